@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.llm import line_dedup, mixing
+from vistaspark.llm import ann, bpe, langid, line_dedup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+    return out.select("doc_id", F.col("token_count").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -29,9 +34,31 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("text")
+
+
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    samples = langid.sample_languages(docs.where(~held_out))
+    out = langid.identify(docs.select("doc_id", "text"), samples)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_hash_prefix_forest": op9_hash_prefix_forest,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
