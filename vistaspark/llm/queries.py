@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.llm import ann, bpe, langid, line_dedup, mixing, quality
+from vistaspark.llm import ann, bpe, html_extract, langid, line_dedup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op7_main_text": op7_main_text,
     "op8_quality_rules": op8_quality_rules,
     "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_language_id": op10_language_id,
