@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.llm import ann, bpe, html_extract, langid, line_dedup, mixing, quality
+from vistaspark.llm import ann, bpe, html_extract, katz, langid, line_dedup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
     return out.select("doc_id", F.col("token_count").alias("n_tokens"), "ids_sha256", "decoded_sha256")
@@ -58,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_katz_score": op2_katz_score,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
