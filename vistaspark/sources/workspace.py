@@ -67,3 +67,11 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("vistaspark", os.path.relpath(full, top)))
     spark.sparkContext.addPyFile(out)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of stages whose results are written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
