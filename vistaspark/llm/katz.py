@@ -31,11 +31,6 @@ CUTOFF = 5
 START, END = np.uint64(0x51A27), np.uint64(0xE7D09)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between U+0020, U+0009 to U+000D, with A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """Factors for counts 0 to CUTOFF + 1 (the last: all larger) from n_1 .. n_{CUTOFF + 1}.
 
@@ -56,21 +51,7 @@ def discounts(counts_of_counts: list[int]) -> np.ndarray:
 
 
 def _build(number: int, rows: list[dict]) -> dict:
-    import xxhash
-
-    ids: dict[bytes, int] = {}
-    tokens: list[int] = []
-    lengths = []
-    for r in rows:
-        words = words_of(r["text"])
-        lengths.append(len(words))
-        tokens += [ids.setdefault(w, len(ids)) for w in words]
-    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
-    return {
-        "block": number, "tokens": B.pack(np.array(tokens, np.uint32)), "words": B.pack(keys),
-        "lengths": B.pack(np.array(lengths, np.int64)), "held": B.pack(np.array([bool(r["held"]) for r in rows])),
-        "ids": [r["id"] for r in rows],
-    }
+    return B.token_block(number, rows) | {"held": B.pack(np.array([bool(r["held"]) for r in rows]))}
 
 
 class Block:
@@ -272,8 +253,7 @@ def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
     work = Workspace(spark, "katz")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    weigh = lambda r: len(r["text"] or "") // 6 + 1
-    made = B.make_blocks(rows, "block long, tokens binary, words binary, lengths binary, held binary, ids array<long>", weigh, block_tokens, _build)
+    made = B.make_blocks(rows, "block long, tokens binary, words binary, lengths binary, held binary, ids array<long>", B.text_weight, block_tokens, _build)
     blocks = work.put(made, "blocks")
     bits = B.part_bits(blocks.select("block").count())
     asked = blocks.mapInArrow(partial(_ask, bits=bits), _REQUEST)
