@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.llm import ann, bpe, html_extract, jaccard, katz, langid, line_dedup, mixing, quality
+from vistaspark.llm import ann, bpe, html_extract, jaccard, katz, langid, line_dedup, mixing, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, keep_text=False)
+
+
 def op2_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return katz.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
@@ -68,6 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_katz_score": op2_katz_score,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_ngram_jaccard": op4_ngram_jaccard,
