@@ -1,13 +1,75 @@
-"""Corpus pipeline: stages over documents, each of them an operator of vistaspark.llm."""
+"""Corpus pipeline: from documents to a mixed, tokenised training corpus.
+
+Each stage is one operator of vistaspark.llm over all that its predecessor kept,
+and its decisions take effect: rejected documents, shared lines and near copies
+go, sources are mixed to their targets, and what is left becomes tokens.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vistaspark.llm import bpe, jaccard, line_dedup, mixing, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the word rules and the compression bands."""
+    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more share; n_chars follows the text."""
+    kept = line_dedup.drop_shared_lines(docs)
+    new = {"text": F.col("line_kept"), "n_chars": F.length("line_kept").cast("long")}
+    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: one with the smallest id."""
+    keepers = jaccard.near_duplicates(docs).where("keeper").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    marked = docs.withColumn("__text_hash", jaccard.text_hash(F.col("text")))
+    kept = marked.join(keepers, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = (
+        mixing.mix(docs).where("copies > 0")
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), "copies")
+        .groupBy("__id", "__hash", "__source").agg(F.max("copies").alias("__copies"))
+    )
+    marked = docs.withColumn("__text_hash", mixing.text_hash(F.col("text")))
+    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & marked["source"].eqNullSafe(F.col("__source"))
+    return marked.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests that a decoded round trip gives."""
+    return bpe.bpe_round_trip(docs.select("doc_id", "source", "lang", "text")).drop("text")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", token_stage),
+]
+
+#: Compression, shuffling by hash and merges have no SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
+    from vistaspark.sources.workspace import Workspace
+
+    work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = work.put(docs, f"stage{k}")
     return docs

@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.llm import blocks as B
@@ -74,10 +74,7 @@ def _build(number: int, rows: list[dict], width: int) -> dict:
         total = np.zeros(len(rows), np.uint64)
         np.add.at(total, docs, B.mix64(shingles ^ np.uint64(salt)))
         sums.append(total.view(np.int64))
-    import xxhash
-
-    hashes = [xxhash.xxh3_64_intdigest((r["text"] or "").encode("utf-8", "surrogatepass")) - (1 << 63) for r in rows]
-    return block | {"sizes": sizes.astype(np.int64), "set1": sums[0], "set2": sums[1], "hashes": hashes}
+    return block | {"sizes": sizes.astype(np.int64), "set1": sums[0], "set2": sums[1], "hashes": [r["hash"] for r in rows]}
 
 
 _BLOCK = "block long, tokens binary, words binary, lengths binary, ids array<long>, sizes array<long>, set1 array<long>, set2 array<long>, hashes array<long>"
@@ -255,6 +252,11 @@ def small_boundary(histogram: dict[int, int], percent: int) -> int:
     return best
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows with one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -276,7 +278,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("hash"))
     blocks = work.put(B.make_blocks(rows, _BLOCK, B.text_weight, block_tokens, partial(_build, width=width)), "blocks")
     bits = B.part_bits(blocks.select("block").count())
     bare = blocks.select("block", "tokens", "words", "lengths")

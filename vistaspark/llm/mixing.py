@@ -47,6 +47,11 @@ def _range_of(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows with one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -72,7 +77,7 @@ def mix(
     sizes = docs.select(
         F.col(id_col).alias("doc"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("text_hash"),
+        text_hash(F.col(text)).alias("text_hash"),
     ).withColumn("h", F.xxhash64(F.lit(seed), "doc", "text_hash"))
     sizes = work.put(sizes, "sizes")
     rows = sizes.count()
