@@ -1,14 +1,404 @@
-"""Queries over the driver's tables, each with SQL that DuckDB can run."""
+"""Queries over the driver's tables, each with SQL that DuckDB can run.
+
+The tables hold no images, so unit vectors stand in for descriptors, and pair
+metrics are synthetic: whole-number arithmetic on the two indexes, the same in
+both engines.  They exercise rules and say nothing about image accuracy.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vistaspark.functions import decisions as D
+from vistaspark.operators import cluster as C
+from vistaspark.operators import evaluate, knn, large, repair
+from vistaspark.sources.workspace import Workspace
+
+K = 12
+#: Similarities that give components of moderate size on the driver's vectors.
+LINK, TIGHT, LOOSE, WIDE = 0.40, 0.44, 0.36, 0.30
+NEIGHBORS, FLOOR = 24, 0.35
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images: index, filename, descriptor, truth, width, height."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("index"), F.format_string("img_%06d.jpg", "vec_id").alias("filename"), F.col("embedding").alias("descriptor"),
+        F.col("label").alias("truth"), (F.lit(640) + F.col("vec_id") % 3 * 8).cast("int").alias("width"), F.lit(480).alias("height"))
+
+
+IMAGES_SQL = """
+images AS (SELECT vec_id AS idx, printf('img_%06d.jpg', vec_id) AS filename, embedding::DOUBLE[] AS d, label AS truth,
+                  640 + vec_id % 3 * 8 AS width, 480 AS height FROM embeddings),
+sims AS (SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.d, b.d), 6) AS sim FROM images a JOIN images b ON a.idx < b.idx),
+both_ways AS (SELECT i, j, sim FROM sims UNION ALL SELECT j, i, sim FROM sims)"""
+
+
+def _topk_sql(k: int) -> str:
+    return f"""
+top AS (SELECT i, j, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM both_ways) WHERE rank <= {k}),
+cand AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top GROUP BY 1, 2)"""
+
+
+def with_metrics(pairs: DataFrame) -> DataFrame:
+    """Synthetic metrics for pairs (i, j)."""
+    i, j = F.col("i"), F.col("j")
+    good = (i * 31 + j * 17) % 120
+    inl = F.least(good, (i * 13 + j * 29) % 100)
+    none = (i + j) % 37 == 0
+    return (
+        pairs.withColumn("good_matches", good).withColumn("ransac_inliers", inl)
+        .withColumn("inlier_ratio", F.round(inl / F.greatest(F.lit(1), good), 4))
+        .withColumn("median_reprojection_error", F.when(none, F.lit(float("inf"))).otherwise(((i * 3 + j * 5) % 64).cast("double") / 10))
+        .withColumn("avg_corner_shift_ratio", ((i * 7 + j * 11) % 20).cast("double") / 100)
+        .withColumn("max_corner_shift_ratio", ((i * 7 + j * 11) % 20).cast("double") / 50)
+        .withColumn("edge_score", ((i * 19 + j * 23) % 100).cast("double") / 100)
+        .withColumn("method", F.when(none, "none").when((i + 2 * j) % 11 == 0, "ecc_euclidean").otherwise("sift_homography"))
+        .withColumn("confidence", D.confidence()).withColumn("decision", D.decision())
+    )
+
+
+def metrics_sql(source: str, name: str = "scores") -> str:
+    return f"""
+{name}_raw AS (SELECT i, j, sim, (i * 31 + j * 17) % 120 AS good_matches, least((i * 31 + j * 17) % 120, (i * 13 + j * 29) % 100) AS ransac_inliers,
+    round(least((i * 31 + j * 17) % 120, (i * 13 + j * 29) % 100)::DOUBLE / greatest(1, (i * 31 + j * 17) % 120)::DOUBLE, 4) AS inlier_ratio,
+    CASE WHEN (i + j) % 37 = 0 THEN 'inf'::DOUBLE ELSE ((i * 3 + j * 5) % 64)::DOUBLE / 10::DOUBLE END AS median_reprojection_error,
+    ((i * 7 + j * 11) % 20)::DOUBLE / 100::DOUBLE AS avg_corner_shift_ratio, ((i * 7 + j * 11) % 20)::DOUBLE / 50::DOUBLE AS max_corner_shift_ratio,
+    ((i * 19 + j * 23) % 100)::DOUBLE / 100::DOUBLE AS edge_score,
+    CASE WHEN (i + j) % 37 = 0 THEN 'none' WHEN (i + 2 * j) % 11 = 0 THEN 'ecc_euclidean' ELSE 'sift_homography' END AS method FROM {source}),
+{name}_flags AS (SELECT *, good_matches >= 45 AND ransac_inliers >= 25 AND inlier_ratio >= 0.3::DOUBLE AS enough,
+    avg_corner_shift_ratio <= 0.08::DOUBLE AND max_corner_shift_ratio <= 0.16::DOUBLE AS motion, median_reprojection_error <= 5 AS reprojection,
+    edge_score >= 0.5::DOUBLE OR (ransac_inliers >= 45 AND inlier_ratio >= 0.375::DOUBLE AND median_reprojection_error <= 3.75::DOUBLE) AS structure,
+    round(greatest(0::DOUBLE, least(1::DOUBLE,
+        0.25::DOUBLE * least(1::DOUBLE, ransac_inliers / 62.5::DOUBLE) + 0.2::DOUBLE * least(1::DOUBLE, inlier_ratio / 0.6::DOUBLE)
+        + 0.2::DOUBLE * (CASE WHEN isinf(median_reprojection_error) THEN 0::DOUBLE ELSE greatest(0::DOUBLE, 1 - median_reprojection_error / 10::DOUBLE) END)
+        + 0.2::DOUBLE * greatest(0::DOUBLE, 1 - avg_corner_shift_ratio / 0.16::DOUBLE) + 0.15::DOUBLE * least(1::DOUBLE, edge_score / 0.5::DOUBLE))), 4) AS confidence FROM {name}_raw),
+{name} AS (SELECT *, CASE WHEN method = 'none' THEN 'reject' WHEN enough AND motion AND reprojection AND structure THEN 'verified'
+    WHEN motion AND avg_corner_shift_ratio <= 0.1::DOUBLE AND edge_score >= 0.62::DOUBLE AND (ransac_inliers >= 8 OR method LIKE 'ecc%') THEN 'tentative' ELSE 'reject' END AS decision
+    FROM {name}_flags)"""
+
+
+RELAXED_SQL = """CASE WHEN method <> 'none' AND NOT isinf(median_reprojection_error) AND good_matches >= 40 AND ransac_inliers >= 20 AND inlier_ratio >= 0.28::DOUBLE
+    AND median_reprojection_error <= 3 AND avg_corner_shift_ratio <= 1 AND max_corner_shift_ratio <= 1.8::DOUBLE AND edge_score >= 0.14::DOUBLE AND confidence >= 0.45::DOUBLE
+  THEN 0.28::DOUBLE * least(1::DOUBLE, ransac_inliers / 60::DOUBLE) + 0.18::DOUBLE * least(1::DOUBLE, good_matches / 100::DOUBLE) + 0.18::DOUBLE * least(1::DOUBLE, inlier_ratio / 0.6::DOUBLE)
+    + 0.16::DOUBLE * greatest(0::DOUBLE, 1 - median_reprojection_error / 3::DOUBLE) + 0.1::DOUBLE * greatest(0::DOUBLE, 1 - avg_corner_shift_ratio) + 0.1::DOUBLE * least(1::DOUBLE, edge_score / 0.3::DOUBLE) END"""
+SINGLETON_SQL = """CASE WHEN method <> 'none' AND good_matches >= 14 AND ransac_inliers >= 10 AND inlier_ratio >= 0.75::DOUBLE AND median_reprojection_error <= 0.35::DOUBLE
+    AND avg_corner_shift_ratio <= 0.6::DOUBLE AND max_corner_shift_ratio <= 0.9::DOUBLE AND edge_score >= 0.3::DOUBLE AND confidence >= 0.52::DOUBLE
+  THEN 0.45::DOUBLE * confidence + 0.3::DOUBLE * edge_score + 0.25::DOUBLE * inlier_ratio END"""
+TINY_SQL = """CASE WHEN method <> 'none' AND good_matches >= 7 AND ransac_inliers >= 7 AND inlier_ratio >= 0.9::DOUBLE AND median_reprojection_error <= 0.45::DOUBLE
+    AND avg_corner_shift_ratio <= 0.12::DOUBLE AND max_corner_shift_ratio <= 0.22::DOUBLE AND edge_score >= 0.3::DOUBLE AND confidence >= 0.6::DOUBLE
+  THEN 0.45::DOUBLE * confidence + 0.35::DOUBLE * inlier_ratio + 0.2::DOUBLE * edge_score END"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.candidate_pairs(images(spark, sf_dir), K)
+
+
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_metrics(candidates(spark, sf_dir))
+
+
+def graph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pairs for clustering: similarity at least LOOSE, so that components stay small."""
+    work = Workspace(spark, "graph-scores")
+    return work.put(with_metrics(knn.similar_pairs(images(spark, sf_dir), LOOSE)), "scores")
+
+
+CAND = f"WITH RECURSIVE {IMAGES_SQL}, {_topk_sql(K)}"
+SCORES = f"{CAND}, {metrics_sql('cand')}"
+GRAPH = f"WITH RECURSIVE {IMAGES_SQL}, graph AS (SELECT * FROM sims WHERE sim >= {LOOSE}), {metrics_sql('graph')}"
+
+
+def components_sql(edges: str, name: str) -> str:
+    """Least reachable index over edges (i, j)."""
+    return f"""
+{name}_e AS (SELECT i, j FROM {edges} UNION SELECT j, i FROM {edges}),
+{name}_r AS (SELECT idx AS node, idx AS reach FROM images UNION SELECT e.j, r.reach FROM {name}_r r JOIN {name}_e e ON r.node = e.i WHERE r.reach < e.j),
+{name} AS (SELECT node AS idx, min(reach) AS component FROM {name}_r GROUP BY 1)"""
+
+
+VERIFIED = f"{GRAPH}, ver AS (SELECT i, j FROM scores WHERE decision = 'verified'), {components_sql('ver', 'comp')}"
+#: Groups for the queries below: verified components.
+GROUPED = f"""{VERIFIED}, acc AS (SELECT i, j, confidence FROM scores WHERE decision <> 'reject'),
+acc2 AS (SELECT i AS idx, j AS other, confidence FROM acc UNION ALL SELECT j, i, confidence FROM acc),
+inside AS (SELECT c.component, a.idx, a.other, a.confidence FROM acc2 a JOIN comp c ON a.idx = c.idx JOIN comp o ON a.other = o.idx AND c.component = o.component),
+reps AS (SELECT component, idx AS representative FROM (
+    SELECT c.component, c.idx, row_number() OVER (PARTITION BY c.component ORDER BY coalesce(m.mean, 0) DESC, c.idx) AS rn
+    FROM comp c LEFT JOIN (SELECT idx, avg(confidence) AS mean FROM inside GROUP BY 1) m ON c.idx = m.idx) WHERE rn = 1),
+conf AS (SELECT c.idx, c.component, r.representative, CASE WHEN c.idx = r.representative THEN 1 ELSE coalesce(b.to_rep, b.best, 1) END AS confidence
+    FROM comp c JOIN reps r ON c.component = r.component
+    LEFT JOIN (SELECT i.idx, max(i.confidence) AS best, max(CASE WHEN i.other = r.representative THEN i.confidence END) AS to_rep
+               FROM inside i JOIN reps r ON i.component = r.component GROUP BY 1) b ON c.idx = b.idx),
+numbered AS (SELECT r.component, f.filename AS representative_filename, row_number() OVER (ORDER BY f.filename) AS group_id FROM reps r JOIN images f ON r.representative = f.idx)"""
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def _verified(spark, sf_dir):
+    scores = graph_scores(spark, sf_dir)
+    return C.verified_components(images(spark, sf_dir), scores), scores
+
+
+def _partition(spark, sf_dir, threshold):
+    """Partition of the images by similarity and aspect: (index, filename, group_id), group numbers from 0."""
+    return large.compact_components(images(spark, sf_dir), knn.similar_pairs(images(spark, sf_dir), threshold), threshold, 0.03)
+
+
+def compact_sql(threshold: float, name: str) -> str:
+    return f"""
+{name}_edges AS (SELECT s.i, s.j FROM sims s JOIN images a ON s.i = a.idx JOIN images b ON s.j = b.idx
+    WHERE s.sim >= {threshold} AND abs(a.width::DOUBLE / a.height - b.width::DOUBLE / b.height) <= 0.03::DOUBLE), {components_sql(name + '_edges', name)}"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return q_exact_set_score(spark, sf_dir)
+
+
+# Queries -----------------------------------------------------------------------------------------
+
+
+def q_all_pairs(spark, sf_dir):
+    return knn.similar_pairs(images(spark, sf_dir), WIDE)
+
+
+def q_knn_topk(spark, sf_dir):
+    return knn.top_k(images(spark, sf_dir), K)
+
+
+def q_range_pairs(spark, sf_dir):
+    return knn.neighbor_pairs(images(spark, sf_dir), NEIGHBORS, FLOOR)
+
+
+def q_ann_pairs(spark, sf_dir):
+    return knn.approximate_neighbor_pairs(images(spark, sf_dir), NEIGHBORS)
+
+
+def q_confidence(spark, sf_dir):
+    return pair_scores(spark, sf_dir).select("i", "j", "confidence")
+
+
+def q_decision(spark, sf_dir):
+    return pair_scores(spark, sf_dir).select("i", "j", "decision")
+
+
+def q_reason(spark, sf_dir):
+    return pair_scores(spark, sf_dir).where("method <> 'none'").select("i", "j", "decision", D.reason().alias("reason"))
+
+
+def q_bidirectional(spark, sf_dir):
+    pairs = candidates(spark, sf_dir)
+    forward = with_metrics(pairs).withColumn("is_forward", F.lit(1)).withColumn("a", F.col("i")).withColumn("b", F.col("j"))
+    backward = with_metrics(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim")).withColumn("is_forward", F.lit(0)).withColumn("a", F.col("j")).withColumn("b", F.col("i"))
+    kept = F.max_by(F.struct("i", "j", "decision", "confidence", "ransac_inliers"), F.struct(D.direction_rank().alias("r"), F.col("is_forward")))
+    return forward.unionByName(backward).groupBy("a", "b").agg(kept.alias("k")).select("a", "b", "k.i", "k.j", "k.decision", "k.confidence", "k.ransac_inliers")
+
+
+def _support_query(column):
+    return lambda spark, sf_dir: pair_scores(spark, sf_dir).select("i", "j", F.round(column(), 6).alias("support")).where("support is not null")
+
+
+def q_bridge_accepts(spark, sf_dir):
+    return pair_scores(spark, sf_dir).select("i", "j", D.bridge_accepts().alias("plain"), D.bridge_accepts(True).alias("with_flag"))
+
+
+def q_components_verified(spark, sf_dir):
+    found, _ = _verified(spark, sf_dir)
+    return found.select("index", F.col("group_id").alias("component"), "status")
+
+
+def q_components_compact(spark, sf_dir):
+    return _partition(spark, sf_dir, LINK).select("index", "filename", "group_id")
+
+
+def q_component_sizes(spark, sf_dir):
+    return _partition(spark, sf_dir, LINK).groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
+
+
+def q_centroids(spark, sf_dir):
+    groups = images(spark, sf_dir).select(F.col("truth").alias("group_id"), "index", "descriptor")
+    return repair.centroids(groups).select("group_id", F.posexplode("centroid").alias("pos", "value")).select("group_id", "pos", F.round("value", 6).alias("value"))
+
+
+def q_affinity_topk(spark, sf_dir):
+    members = repair.group_members(images(spark, sf_dir), _partition(spark, sf_dir, LINK).select("index", "group_id"))
+    members = Workspace(spark, "affinity").put(members, "members")
+    affinity = repair.group_affinity(members, F.col("n") == 1, F.lit(True))
+    return repair.rank_targets(affinity, 24).select("src", "dst", F.round("affinity", 6).alias("affinity"), "rank")
+
+
+def q_representatives(spark, sf_dir):
+    assigned, scores = _verified(spark, sf_dir)
+    return C.representatives(assigned, scores)
+
+
+def q_member_confidence(spark, sf_dir):
+    assigned, scores = _verified(spark, sf_dir)
+    reps = C.representatives(assigned, scores)
+    return C.member_confidences(assigned, reps, scores).select("index", "group_id", "representative", "confidence")
+
+
+def q_renumber(spark, sf_dir):
+    assigned, scores = _verified(spark, sf_dir)
+    reps = C.representatives(assigned, scores)
+    out = C.renumber(C.member_confidences(assigned, reps, scores), images(spark, sf_dir))
+    return out.select("index", "filename", "group_id", "status", "representative_filename")
+
+
+def q_groups_report(spark, sf_dir):
+    assigned, scores = _verified(spark, sf_dir)
+    reps = C.representatives(assigned, scores)
+    return C.groups_report(C.renumber(C.member_confidences(assigned, reps, scores), images(spark, sf_dir)))
+
+
+def q_cluster(spark, sf_dir):
+    return C.cluster(images(spark, sf_dir), graph_scores(spark, sf_dir)).select("index", "group_id", "status", "confidence", "representative")
+
+
+def q_tentative_attach(spark, sf_dir):
+    assigned, scores = _verified(spark, sf_dir)
+    return C.tentative_attach(assigned, scores).select("index", "group_id", "status", "confidence")
+
+
+def _supports(spark, sf_dir):
+    """Member supports between every two truth groups of vectors: (src, dst, member, target, support, sim)."""
+    scored = pair_scores(spark, sf_dir).withColumn("support", D.member_support()).where("support is not null")
+    both = scored.select(F.col("i").alias("member"), F.col("j").alias("target"), "support", "sim").unionByName(
+        scored.select(F.col("j").alias("member"), F.col("i").alias("target"), "support", "sim"))
+    of = images(spark, sf_dir).select("index", (F.col("index") % 40).alias("g"))
+    return both.join(of.select(F.col("index").alias("member"), F.col("g").alias("src")), "member").join(of.select(F.col("index").alias("target"), F.col("g").alias("dst")), "target").where("src <> dst")
+
+
+SUPPORTS = f"""{SCORES}, sup AS (SELECT i, j, sim, coalesce({RELAXED_SQL}, {TINY_SQL}) AS support FROM scores),
+sup2 AS (SELECT i AS member, j AS target, i % 40 AS src, j % 40 AS dst, support, sim FROM sup WHERE support IS NOT NULL
+         UNION ALL SELECT j, i, j % 40, i % 40, support, sim FROM sup WHERE support IS NOT NULL),
+sup3 AS (SELECT * FROM sup2 WHERE src <> dst),
+bests AS (SELECT src, dst, member, max(support) AS best FROM sup3 GROUP BY 1, 2, 3),
+matches AS (SELECT src, dst, avg(best) AS average, min(best) AS least, count(*) AS members, count(*) FILTER (WHERE best >= 0.6::DOUBLE) AS covered FROM bests GROUP BY 1, 2)"""
+
+
+def q_member_supports(spark, sf_dir):
+    best = _supports(spark, sf_dir).groupBy("src", "dst", "member").agg(F.max("support").alias("best"))
+    return best.groupBy("src", "dst").agg(
+        F.round(F.avg("best"), 6).alias("average"), F.round(F.min("best"), 6).alias("least"), F.count(F.lit(1)).alias("members"),
+        F.count(F.when(F.col("best") >= 0.6, 1)).alias("covered"))
+
+
+def _matches(spark, sf_dir):
+    best = _supports(spark, sf_dir).groupBy("src", "dst", "member").agg(F.max("support").alias("best"))
+    return best.groupBy("src", "dst").agg(F.avg("best").alias("average"))
+
+
+def q_best_with_margin(spark, sf_dir):
+    return repair.best_with_margin(_matches(spark, sf_dir)).select("src", "dst", F.round("average", 6).alias("average"), F.round("second", 6).alias("second"))
+
+
+def q_mutual_best(spark, sf_dir):
+    return repair.mutual_best(repair.best_with_margin(_matches(spark, sf_dir))).select("src", "dst", F.round("average", 6).alias("average"))
+
+
+def q_bridge_candidates(spark, sf_dir):
+    groups = Workspace(spark, "bridge-q").put(_partition(spark, sf_dir, TIGHT).select("index", "group_id"), "groups")
+    pairs = knn.neighbor_pairs(images(spark, sf_dir), NEIGHBORS, FLOOR)
+    return large.bridge_candidates(images(spark, sf_dir), groups, pairs, FLOOR, TIGHT, 0.03, 1, 200).select("i", "j", "sim")
+
+
+def q_split_oversized(spark, sf_dir):
+    im = images(spark, sf_dir)
+    pairs = Workspace(spark, "split-q").put(knn.similar_pairs(im, LOOSE), "pairs")
+    return large.bounded_components(im, pairs, LOOSE, 12, 0.03, [0.38, 0.42, 0.46]).select("index", "component")
+
+
+def q_exact_set_score(spark, sf_dir):
+    a, b = (_partition(spark, sf_dir, t).select("group_id", "filename") for t in (LINK, TIGHT))
+    return evaluate.exact_set_score(a, b)
+
+
+def q_exact_set_matches(spark, sf_dir):
+    a, b = (_partition(spark, sf_dir, t).select("group_id", "filename") for t in (LINK, TIGHT))
+    return evaluate.exact_set_matches(a, b).select(F.concat_ws("|", "members").alias("members"))
+
+
+def _cache(spark, sf_dir):
+    return pair_scores(spark, sf_dir).where("(i + j) % 3 <> 0").select("i", "j", "confidence")
+
+
+def q_cached_pairs(spark, sf_dir):
+    return candidates(spark, sf_dir).select("i", "j").join(_cache(spark, sf_dir), ["i", "j"], "left_semi")
+
+
+def q_missing_pairs(spark, sf_dir):
+    return candidates(spark, sf_dir).select("i", "j").join(_cache(spark, sf_dir), ["i", "j"], "left_anti")
+
+
+def q_greedy_proposals(spark, sf_dir):
+    sizes = _partition(spark, sf_dir, LINK).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    edges = _matches(spark, sf_dir).where("average >= 0.6")
+    proposals = edges.select("src", "dst", F.round("average", 1).alias("score"), F.lit(1).alias("phase"), F.row_number().over(Window.orderBy("src", "dst")).alias("seq"))
+    return repair.apply_proposals(proposals, sizes.where("group_id < 40")).select("group_id", "root")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "all_pairs_similarity": q_all_pairs, "knn_topk": q_knn_topk, "candidate_pairs_undirected": candidates, "knn_range_pairs": q_range_pairs, "ann_pairs": q_ann_pairs,
+    "pair_confidence": q_confidence, "pair_decision": q_decision, "pair_decision_reason": q_reason, "bidirectional_best": q_bidirectional,
+    "support_relaxed": _support_query(D.relaxed_support), "support_singleton": _support_query(D.singleton_support), "support_tiny": _support_query(D.tiny_motion_support),
+    "support_coalesced": _support_query(D.member_support), "bridge_accepts": q_bridge_accepts,
+    "components_verified": q_components_verified, "components_compact": q_components_compact, "component_sizes": q_component_sizes,
+    "group_centroid": q_centroids, "group_affinity_topk": q_affinity_topk, "representatives": q_representatives, "member_confidence": q_member_confidence,
+    "renumber_groups": q_renumber, "groups_report": q_groups_report, "cluster_images": q_cluster, "tentative_attach": q_tentative_attach,
+    "group_match_supports": q_member_supports, "best_with_margin": q_best_with_margin, "mutual_best": q_mutual_best,
+    "bridge_candidates": q_bridge_candidates, "split_oversized": q_split_oversized, "exact_set_score": q_exact_set_score, "exact_set_matches": q_exact_set_matches,
+    "cached_pairs": q_cached_pairs, "missing_pairs": q_missing_pairs, "greedy_proposals": q_greedy_proposals,
+}
+
+_NUM_SQL = "SELECT idx AS index, filename, dense_rank() OVER (ORDER BY least_name) - 1 AS group_id FROM (SELECT c.idx, f.filename, c.component, min(f.filename) OVER (PARTITION BY c.component) AS least_name FROM {0} c JOIN images f ON c.idx = f.idx)"
+_SETS = "SELECT DISTINCT string_agg(filename, '|' ORDER BY filename) AS members FROM {0} c JOIN images f ON c.idx = f.idx GROUP BY component"
+_TWO = f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'pc')}, {compact_sql(TIGHT, 'tc')}, p AS ({_SETS.format('pc')}), t AS ({_SETS.format('tc')}), m AS (SELECT * FROM p INTERSECT SELECT * FROM t)"
+
+
+def _rank_key(p: str) -> str:
+    return f"(CASE WHEN {p}.decision <> 'reject' THEN 1 ELSE 0 END), (CASE WHEN {p}.decision = 'verified' THEN 1 ELSE 0 END), {p}.confidence, {p}.ransac_inliers, {p}.inlier_ratio, -{p}.median_reprojection_error"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "all_pairs_similarity": f"WITH {IMAGES_SQL} SELECT i, j, sim FROM sims WHERE sim >= {WIDE}",
+    "knn_topk": f"{CAND} SELECT i, j, sim, rank FROM top",
+    "candidate_pairs_undirected": f"{CAND} SELECT i, j, sim FROM cand",
+    "knn_range_pairs": f"WITH {IMAGES_SQL}, {_topk_sql(NEIGHBORS)} SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top WHERE sim >= {FLOOR} GROUP BY 1, 2",
+    "pair_confidence": f"{SCORES} SELECT i, j, confidence FROM scores",
+    "pair_decision": f"{SCORES} SELECT i, j, decision FROM scores",
+    "pair_decision_reason": f"""{SCORES} SELECT i, j, decision, CASE decision WHEN 'verified' THEN 'feature_homography_verified' WHEN 'tentative' THEN 'structural_alignment_tentative'
+        ELSE coalesce(nullif(concat_ws(',', CASE WHEN NOT enough THEN 'weak_features' END, CASE WHEN NOT motion THEN 'motion_too_large' END,
+            CASE WHEN NOT reprojection THEN 'reprojection_error' END, CASE WHEN NOT structure THEN 'weak_structure' END), ''), 'thresholds_not_met') END AS reason FROM scores WHERE method <> 'none'""",
+    "bidirectional_best": f"""{CAND}, turned AS (SELECT i, j, sim FROM cand UNION ALL SELECT j, i, sim FROM cand), {metrics_sql('turned')}
+        SELECT a, b, i, j, decision, confidence, ransac_inliers FROM (SELECT least(s.i, s.j) AS a, greatest(s.i, s.j) AS b, s.*,
+            row_number() OVER (PARTITION BY least(s.i, s.j), greatest(s.i, s.j) ORDER BY {', '.join(x + ' DESC' for x in _rank_key('s').split(', '))}, s.i < s.j DESC) AS rn FROM scores s) WHERE rn = 1""",
+    "support_relaxed": f"{SCORES} SELECT i, j, round({RELAXED_SQL}, 6) AS support FROM scores WHERE ({RELAXED_SQL}) IS NOT NULL",
+    "support_singleton": f"{SCORES} SELECT i, j, round({SINGLETON_SQL}, 6) AS support FROM scores WHERE ({SINGLETON_SQL}) IS NOT NULL",
+    "support_tiny": f"{SCORES} SELECT i, j, round({TINY_SQL}, 6) AS support FROM scores WHERE ({TINY_SQL}) IS NOT NULL",
+    "support_coalesced": f"{SCORES} SELECT i, j, round(coalesce({RELAXED_SQL}, {TINY_SQL}), 6) AS support FROM scores WHERE coalesce({RELAXED_SQL}, {TINY_SQL}) IS NOT NULL",
+    "bridge_accepts": f"{SCORES} SELECT i, j, decision = 'verified' AS plain, decision = 'verified' OR (ransac_inliers >= 18 AND inlier_ratio >= 0.45::DOUBLE AND median_reprojection_error <= 3 AND avg_corner_shift_ratio <= 0.12::DOUBLE) AS with_flag FROM scores",
+    "components_verified": f"{VERIFIED} SELECT idx AS index, component, CASE WHEN count(*) OVER (PARTITION BY component) > 1 THEN 'verified' ELSE 'singleton' END AS status FROM comp",
+    "components_compact": f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'cc')} {_NUM_SQL.format('cc')}",
+    "component_sizes": f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'cc')} SELECT n, count(*) AS groups FROM (SELECT component, count(*) AS n FROM cc GROUP BY 1) GROUP BY 1",
+    "group_centroid": f"""WITH {IMAGES_SQL}, x AS (SELECT truth AS group_id, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS pos FROM images), m AS (SELECT group_id, pos, avg(v) AS v FROM x GROUP BY 1, 2),
+        n AS (SELECT group_id, sqrt(sum(v * v)) AS norm FROM m GROUP BY 1) SELECT m.group_id, m.pos, round(CASE WHEN norm > 1e-8 THEN v / norm ELSE v END, 6) AS value FROM m JOIN n USING (group_id)""",
+    "representatives": f"{GROUPED} SELECT component AS group_id, representative FROM reps",
+    "member_confidence": f"{GROUPED} SELECT idx AS index, component AS group_id, representative, confidence FROM conf",
+    "renumber_groups": f"""{GROUPED} SELECT c.idx AS index, f.filename, n.group_id, CASE WHEN count(*) OVER (PARTITION BY c.component) > 1 THEN 'verified' ELSE 'singleton' END AS status, n.representative_filename
+        FROM conf c JOIN numbered n ON c.component = n.component JOIN images f ON c.idx = f.idx""",
+    "groups_report": f"""{GROUPED} SELECT printf('angle_%03d', n.group_id) AS angle_id, f.filename, n.representative_filename, count(*) OVER (PARTITION BY c.component) AS group_size,
+        printf('%.4f', c.confidence::DOUBLE) AS confidence, CASE WHEN count(*) OVER (PARTITION BY c.component) > 1 THEN 'verified' ELSE 'singleton' END AS status
+        FROM conf c JOIN numbered n ON c.component = n.component JOIN images f ON c.idx = f.idx""",
+    "group_match_supports": f"{SUPPORTS} SELECT src, dst, round(average, 6) AS average, round(least, 6) AS least, members, covered FROM matches",
+    "best_with_margin": f"{SUPPORTS} SELECT src, dst, round(average, 6) AS average, round(second, 6) AS second FROM (SELECT src, dst, average, coalesce(lead(average) OVER w, 0) AS second, row_number() OVER w AS rn FROM matches WINDOW w AS (PARTITION BY src ORDER BY average DESC, dst)) WHERE rn = 1",
+    "mutual_best": f"{SUPPORTS}, b AS (SELECT src, dst, average FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY average DESC, dst) AS rn FROM matches) WHERE rn = 1) SELECT x.src, x.dst, round(least(x.average, y.average), 6) AS average FROM b x JOIN b y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst",
+    "bridge_candidates": f"""WITH RECURSIVE {IMAGES_SQL}, {_topk_sql(NEIGHBORS)}, {compact_sql(TIGHT, 'cc')}, r AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top WHERE sim >= {FLOOR} GROUP BY 1, 2)
+        SELECT i, j, sim FROM (SELECT r.*, row_number() OVER (PARTITION BY least(a.component, b.component), greatest(a.component, b.component) ORDER BY r.sim DESC, r.i, r.j) AS rn
+          FROM r JOIN cc a ON r.i = a.idx JOIN cc b ON r.j = b.idx JOIN images x ON r.i = x.idx JOIN images y ON r.j = y.idx
+          WHERE r.sim < {TIGHT} AND r.sim >= {FLOOR} AND a.component <> b.component AND abs(x.width::DOUBLE / x.height - y.width::DOUBLE / y.height) <= 0.03::DOUBLE) WHERE rn <= 1 ORDER BY sim DESC, i, j LIMIT 200""",
+    "exact_set_score": f"{_TWO} SELECT (SELECT count(*) FROM p) AS predicted_groups, (SELECT count(*) FROM t) AS truth_groups, (SELECT count(*) FROM m) AS exact_matches, (SELECT count(*) FROM m)::DOUBLE / (SELECT count(*) FROM t) AS score",
+    "exact_set_matches": f"{_TWO} SELECT members FROM m",
+    "cached_pairs": f"{CAND} SELECT i, j FROM cand WHERE (i + j) % 3 <> 0",
+    "missing_pairs": f"{CAND} SELECT i, j FROM cand WHERE (i + j) % 3 = 0",
+}
