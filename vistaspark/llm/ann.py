@@ -42,38 +42,52 @@ class Forest:
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, axis=1)
 
-    def candidates(self, strings: np.ndarray, enough: int) -> np.ndarray:
-        """Rows that share the query's prefix in some tree, at the greatest common depth at which they are enough."""
+    def ranges(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per depth (1 to BITS), tree and query: the tree's entries that share that many bits with the query."""
+        low, high = (np.empty((BITS, len(strings), strings.shape[1]), np.int32) for _ in range(2))
+        for d in range(1, BITS + 1):
+            first = strings >> (BITS - d) << (BITS - d)
+            for t, row in enumerate(self.sorted):
+                low[d - 1, t] = np.searchsorted(row, first[t])
+                high[d - 1, t] = np.searchsorted(row, first[t] + (1 << (BITS - d)))
+        return low, high
+
+    def candidates(self, low: np.ndarray, high: np.ndarray, enough: int) -> np.ndarray:
+        """Rows that share the query's prefix in some tree, at the greatest common depth at which they are enough.
+
+        low, high: the query's ranges by depth and tree.
+        """
         n = len(self.ids)
         if enough >= n:
             return np.arange(n)
-        for depth in range(BITS, 0, -1):
-            low = strings >> (BITS - depth) << (BITS - depth)
-            high = low + (1 << (BITS - depth))
-            ranges = [(np.searchsorted(row, a), np.searchsorted(row, b)) for row, a, b in zip(self.sorted, low, high)]
-            if sum(hi - lo for lo, hi in ranges) < enough:
-                continue
+        deep = np.flatnonzero((high - low).sum(axis=1) >= enough)
+        for d in range(deep[-1] if deep.size else -1, -1, -1):
             hit = np.zeros(n, bool)
-            for order, (lo, hi) in zip(self.order, ranges):
+            for order, lo, hi in zip(self.order, low[d], high[d]):
                 hit[order[lo:hi]] = True
-            if hit.sum() >= enough:
+            if np.count_nonzero(hit) >= enough:
                 return np.flatnonzero(hit)
         return np.arange(n)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, enough: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        strings = hash_strings(queries, self.planes)
-        for i, (qid, q) in enumerate(zip(query_ids, queries)):
-            at = self.candidates(strings[:, i], enough)
-            at = at[self.ids[at] != qid]
-            if not at.size:
-                continue
-            rough = self.vectors[at] @ q / self.norms[at]
-            if at.size > k:
-                at = at[rough >= np.partition(rough, -k)[-k] - 1e-9 * np.sqrt((q * q).sum())]
-            # Summed row by row in one order, so equal vectors have equal scores.
-            score = (self.vectors[at] * q).sum(axis=1) / (self.norms[at] * np.sqrt((q * q).sum()))
-            best = np.lexsort((self.ids[at], -score))[:k]
-            yield qid, self.ids[at][best], score[best]
+        low, high = self.ranges(hash_strings(queries, self.planes))
+        for lo in range(0, len(queries), 128):
+            # Candidates are most of a small block, so products are taken block-wise; only candidates' are used.
+            products = queries[lo : lo + 128] @ self.vectors.T / self.norms
+            for i, rough in enumerate(products, lo):
+                q, qid = queries[i], query_ids[i]
+                at = self.candidates(low[:, :, i], high[:, :, i], enough)
+                at = at[self.ids[at] != qid]
+                if not at.size:
+                    continue
+                near = rough[at]
+                size = np.sqrt((q * q).sum())
+                if at.size > k:
+                    at = at[near >= np.partition(near, -k)[-k] - 1e-9 * size]
+                # Summed row by row in one order, so equal vectors have equal scores.
+                score = (self.vectors[at] * q).sum(axis=1) / (self.norms[at] * size)
+                best = np.lexsort((self.ids[at], -score))[:k]
+                yield qid, self.ids[at][best], score[best]
 
 
 def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
