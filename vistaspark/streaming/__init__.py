@@ -1 +1 @@
-
+"""Incremental scoring of a growing image set."""
