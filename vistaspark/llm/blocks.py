@@ -88,7 +88,8 @@ def make_blocks(docs: DataFrame, schema: str, weigh: Callable[[dict], int], limi
     Block numbers follow from the input's partitions, which a rerun task sees alike;
     a number shifted left by 24 leaves room for a row's place in its block.
     """
-    names = [x.split()[0] for x in schema.split(",")]
+    types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {name: types[kind] for name, kind in (x.split() for x in schema.split(","))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,7 +102,7 @@ def make_blocks(docs: DataFrame, schema: str, weigh: Callable[[dict], int], limi
             nonlocal number
             row = build(number, held)
             number += 1
-            return pa.RecordBatch.from_pydict({n: [row[n]] for n in names})
+            return pa.RecordBatch.from_pydict({n: pa.array([row[n]], t) for n, t in kinds.items()})
 
         for batch in batches:
             for row in batch.to_pylist():
