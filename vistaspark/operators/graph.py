@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaspark.sources.workspace import Workspace, release
+from vistaspark.sources.workspace import Workspace
 
 
 def connected_components(edges: DataFrame, left: str = "i", right: str = "j", max_rounds: int = 64) -> DataFrame:
@@ -26,21 +26,24 @@ def connected_components(edges: DataFrame, left: str = "i", right: str = "j", ma
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         joined = both.join(least, "u")
         if large:
-            moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+            return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return moved.where(F.col("u") != F.col("v")).distinct()
 
+    def state(e: DataFrame) -> tuple:
+        row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+        return row["n"], row["s"]
+
+    before = None
     for k in range(1, max_rounds + 1):
         after = work.put(star(star(current.where("u != v"), True), False), f"e{k}")
-        same = after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        before = current.where("u != v").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if tuple(same) == tuple(before):
+        now = state(after)
+        if now == before or now[0] == 0:
             nodes = named.select("u").unionByName(named.select(F.col("v").alias("u"))).distinct()
             out = nodes.join(after.withColumnRenamed("v", "m"), "u", "left")
             return out.select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
+        before = now
         if k > 1:
             work.drop(f"e{k - 1}")
         current = after
-        release(edges.sparkSession)
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")

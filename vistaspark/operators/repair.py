@@ -9,8 +9,9 @@ become proposals, and proposals are applied in order of score.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,27 +39,63 @@ def centroids(members: DataFrame) -> DataFrame:
     return whole.withColumn("norm", norm).select("group_id", F.when(F.col("norm") > 1e-8, F.transform("m", lambda x: x / F.col("norm"))).otherwise(F.col("m")).alias("centroid"))
 
 
-def group_affinity(members: DataFrame, source: Column, target: Column) -> DataFrame:
+def group_affinity(members: DataFrame, source: Column, target: Column, least: float | None = None, ratio: float | None = None, k: int | None = None, block_groups: int = 512) -> DataFrame:
     """(src, dst, affinity, src_n, dst_n): 0.55 * best member similarity + 0.45 * similarity of the means.
 
-    ``source`` and ``target`` are conditions on (group_id, n).  Groups meet through
-    their members' similarities, so the join is over the chosen groups only.
+    ``source`` and ``target`` are conditions on (group_id, n).  Groups lie whole in
+    blocks; blocks meet in pairs, a pair is two matrix products, and only rows of
+    enough affinity (``least``), like size (``ratio``) and among the block's ``k``
+    best targets of a source leave the task.
     """
-    mean = centroids(members)
-    side = lambda p, c: members.where(c).select(F.col("group_id").alias(p), F.col("descriptor").alias(f"{p}_d"), F.col("n").alias(f"{p}_n"))
-    pairs = side("src", source).join(side("dst", target), F.col("src") != F.col("dst"))
-    best = pairs.groupBy("src", "dst", "src_n", "dst_n").agg(F.max(dot(F.col("src_d"), F.col("dst_d"))).alias("best"))
-    return (
-        best.join(mean.select(F.col("group_id").alias("src"), F.col("centroid").alias("a")), "src").join(mean.select(F.col("group_id").alias("dst"), F.col("centroid").alias("b")), "dst")
-        .select("src", "dst", (0.55 * F.greatest(F.lit(-1.0), F.col("best")) + 0.45 * dot(F.col("a"), F.col("b"))).alias("affinity"), "src_n", "dst_n")
-    )
-
 
-def rank_targets(affinity: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    def side(condition: Column, p: str) -> tuple[DataFrame, int]:
+        chosen = members.where(condition)
+        count = max(1, -(-chosen.select("group_id").distinct().count() // block_groups))
+
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["group_id", "index"])
+            rows = np.array(frame["descriptor"].tolist(), np.float64)
+            return pd.DataFrame({p: [int(frame["block"].iloc[0])], f"{p}_g": [frame["group_id"].to_numpy(np.int64).tobytes()], f"{p}_rows": [rows.tobytes()], "dim": [rows.shape[1]]})
+
+        dealt = chosen.withColumn("block", F.pmod(F.xxhash64("group_id"), F.lit(count)).cast("int")).select("block", "group_id", "index", F.col("descriptor").cast("array<double>").alias("descriptor"))
+        return dealt.groupBy("block").applyInPandas(pack, f"{p} int, {p}_g binary, {p}_rows binary, dim int"), count
+
+    def folded(groups: bytes, rows: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        g, x = np.frombuffer(groups, np.int64), np.frombuffer(rows).reshape(-1, dim)
+        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        n = np.diff(np.append(starts, len(g)))
+        mean = np.add.reduceat(x, starts) / n[:, None]
+        norm = np.linalg.norm(mean, axis=1, keepdims=True)
+        return g[starts], n, starts, x, np.where(norm > 1e-8, mean / np.maximum(norm, 1e-300), mean)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                ga, na, sa, xa, ca = folded(r.a_g, r.a_rows, r.dim)
+                gb, nb, sb, xb, cb = folded(r.b_g, r.b_rows, r.dim)
+                best = np.maximum.reduceat(np.maximum.reduceat(xa @ xb.T, sa, axis=0), sb, axis=1)
+                affinity = 0.55 * np.maximum(best, -1.0) + 0.45 * (ca @ cb.T)
+                keep = ga[:, None] != gb[None, :]
+                if least is not None:
+                    keep &= affinity >= least
+                if ratio is not None:
+                    keep &= np.maximum(na[:, None], nb) <= ratio * np.minimum(na[:, None], nb)
+                if k is not None and gb.size > k:
+                    shown = np.where(keep, affinity, -np.inf)
+                    keep &= shown >= np.partition(shown, gb.size - k, axis=1)[:, gb.size - k][:, None]
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({"src": ga[i], "dst": gb[j], "affinity": affinity[i, j], "src_n": na[i], "dst_n": nb[j]})
+
+    left, _ = side(source, "a")
+    right, blocks = side(target, "b")
+    meetings = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right.drop("dim"), "b")
+    return meetings.mapInPandas(run, "src long, dst long, affinity double, src_n long, dst_n long")
+
+
+def rank_targets(affinity: DataFrame, k: int) -> DataFrame:
     """The k targets of highest affinity of each source, larger group numbers first among equals; adds ``rank``."""
-    kept = affinity if least is None else affinity.where(F.col("affinity") >= least)
     order = Window.partitionBy("src").orderBy(F.col("affinity").desc(), F.col("dst").desc())
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return affinity.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def size_ratio() -> Column:
@@ -75,11 +112,10 @@ def medium_target() -> Column:
 
 def targets(members: DataFrame) -> dict[str, DataFrame]:
     """Ranked targets of singles, tails (pairs) and medium groups."""
-    medium = group_affinity(members, medium_source(), medium_target()).where(size_ratio() <= 4.0)
     return {
-        "single": rank_targets(group_affinity(members, F.col("n") == 1, F.lit(True)), 24),
-        "tail": rank_targets(group_affinity(members, F.col("n") == 2, F.col("n") >= 4), 16, 0.52),
-        "medium": rank_targets(medium, 8, 0.60),
+        "single": rank_targets(group_affinity(members, F.col("n") == 1, F.lit(True), k=24), 24),
+        "tail": rank_targets(group_affinity(members, F.col("n") == 2, F.col("n") >= 4, least=0.52, k=16), 16),
+        "medium": rank_targets(group_affinity(members, medium_source(), medium_target(), least=0.60, ratio=4.0, k=8), 8),
     }
 
 
@@ -110,7 +146,7 @@ def pair_requests(members: DataFrame, scores: DataFrame, ranked: dict[str, DataF
 def singles_near(members: DataFrame, least: float = 0.60) -> DataFrame:
     """Pairs of single groups of enough affinity: (src, dst, left, right), src < dst."""
     single = members.where("n = 1")
-    near = group_affinity(members, F.col("n") == 1, F.col("n") == 1).where((F.col("src") < F.col("dst")) & (F.col("affinity") >= least))
+    near = group_affinity(members, F.col("n") == 1, F.col("n") == 1, least=least).where(F.col("src") < F.col("dst"))
     return near.select("src", "dst").join(single.select(F.col("group_id").alias("src"), F.col("index").alias("left")), "src").join(single.select(F.col("group_id").alias("dst"), F.col("index").alias("right")), "dst")
 
 
@@ -301,7 +337,7 @@ def repair(images: DataFrame, assigned: DataFrame, scores: DataFrame, score: Cal
     merged = work.put(group_members(images, assigned.join(roots, "group_id").select("index", F.col("root").alias("group_id"))), "merged")
 
     # Follow-up: medium groups as merged.
-    later = work.put(rank_targets(group_affinity(merged, medium_target(), medium_target()).where(size_ratio() <= 4.0), 6, 0.60), "later")
+    later = work.put(rank_targets(group_affinity(merged, medium_target(), medium_target(), least=0.60, ratio=4.0, k=6), 6), "later")
     asked = member_candidates(later, merged).select(F.least("member", "target").alias("i"), F.greatest("member", "target").alias("j")).distinct()
     known = completed(asked.join(known.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")), ["i", "j"], "left_anti"), known, "scores-later")
     again = medium_matches(supports(member_candidates(later, merged), known)).where("average >= 0.70")

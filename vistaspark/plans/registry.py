@@ -223,7 +223,7 @@ def q_centroids(spark, sf_dir):
 def q_affinity_topk(spark, sf_dir):
     members = repair.group_members(images(spark, sf_dir), _partition(spark, sf_dir, LINK).select("index", "group_id"))
     members = Workspace(spark, "affinity").put(members, "members")
-    affinity = repair.group_affinity(members, F.col("n") == 1, F.lit(True))
+    affinity = repair.group_affinity(members, F.col("n") == 1, F.lit(True), k=24)
     return repair.rank_targets(affinity, 24).select("src", "dst", F.round("affinity", 6).alias("affinity"), "rank")
 
 
@@ -383,6 +383,12 @@ ORACLE_SQL: dict[str, str] = {
     "component_sizes": f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'cc')} SELECT n, count(*) AS groups FROM (SELECT component, count(*) AS n FROM cc GROUP BY 1) GROUP BY 1",
     "group_centroid": f"""WITH {IMAGES_SQL}, x AS (SELECT truth AS group_id, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS pos FROM images), m AS (SELECT group_id, pos, avg(v) AS v FROM x GROUP BY 1, 2),
         n AS (SELECT group_id, sqrt(sum(v * v)) AS norm FROM m GROUP BY 1) SELECT m.group_id, m.pos, round(CASE WHEN norm > 1e-8 THEN v / norm ELSE v END, 6) AS value FROM m JOIN n USING (group_id)""",
+    "group_affinity_topk": f"""WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'cc')}, numbered AS ({_NUM_SQL.format('cc')}), mem AS (SELECT n.group_id, i.idx, i.d, count(*) OVER (PARTITION BY n.group_id) AS n FROM numbered n JOIN images i ON n.index = i.idx),
+        mean AS (SELECT group_id, list(v ORDER BY pos) AS m FROM (SELECT group_id, pos, avg(v) AS v FROM (SELECT group_id, unnest(d) AS v, generate_subscripts(d, 1) AS pos FROM mem) GROUP BY 1, 2) GROUP BY 1),
+        unit AS (SELECT group_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS c FROM mean),
+        best AS (SELECT a.group_id AS src, b.group_id AS dst, max(list_dot_product(a.d, b.d)) AS best FROM mem a JOIN mem b ON a.group_id <> b.group_id WHERE a.n = 1 GROUP BY 1, 2),
+        aff AS (SELECT src, dst, 0.55::DOUBLE * best + 0.45::DOUBLE * list_dot_product(x.c, y.c) AS affinity FROM best JOIN unit x ON src = x.group_id JOIN unit y ON dst = y.group_id)
+        SELECT src, dst, round(affinity, 6) AS affinity, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY affinity DESC, dst DESC) AS rank FROM aff) WHERE rank <= 24""",
     "representatives": f"{GROUPED} SELECT component AS group_id, representative FROM reps",
     "member_confidence": f"{GROUPED} SELECT idx AS index, component AS group_id, representative, confidence FROM conf",
     "renumber_groups": f"""{GROUPED} SELECT c.idx AS index, f.filename, n.group_id, CASE WHEN count(*) OVER (PARTITION BY c.component) > 1 THEN 'verified' ELSE 'singleton' END AS status, n.representative_filename
