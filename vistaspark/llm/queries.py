@@ -86,6 +86,25 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+entries AS (SELECT doc_id, unnest(s) AS k FROM sets),
+shared AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM entries a JOIN entries b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT i, j FROM shared JOIN sizes x ON x.doc_id = i JOIN sizes y ON y.doc_id = j WHERE 100 * o >= 80 * (x.n + y.n - o)),
+edges AS (SELECT i, j FROM links UNION SELECT j, i FROM links),
+reached AS (
+  SELECT doc_id AS node, doc_id AS least FROM documents
+  UNION SELECT e.j, r.least FROM reached r JOIN edges e ON r.node = e.i WHERE r.least < e.j)
+SELECT s.doc_id, s.n AS n_shingles, min(r.least) AS component_id FROM sizes s JOIN reached r ON r.node = s.doc_id GROUP BY 1, 2
+""",
     "op6_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
