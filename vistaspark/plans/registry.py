@@ -403,6 +403,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT i, j, sim FROM (SELECT r.*, row_number() OVER (PARTITION BY least(a.component, b.component), greatest(a.component, b.component) ORDER BY r.sim DESC, r.i, r.j) AS rn
           FROM r JOIN cc a ON r.i = a.idx JOIN cc b ON r.j = b.idx JOIN images x ON r.i = x.idx JOIN images y ON r.j = y.idx
           WHERE r.sim < {TIGHT} AND r.sim >= {FLOOR} AND a.component <> b.component AND abs(x.width::DOUBLE / x.height - y.width::DOUBLE / y.height) <= 0.03::DOUBLE) WHERE rn <= 1 ORDER BY sim DESC, i, j LIMIT 200""",
+    "split_oversized": f"""WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LOOSE, 'c0')}, {compact_sql(0.38, 'c1')}, {compact_sql(0.42, 'c2')}, {compact_sql(0.46, 'c3')},
+        largest AS (SELECT w.component AS whole, any_value(w.n) AS n, max(p1.n) AS n1, max(p2.n) AS n2, max(p3.n) AS n3
+          FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c0) w JOIN (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c1) p1 USING (idx)
+          JOIN (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c2) p2 USING (idx) JOIN (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c3) p3 USING (idx) GROUP BY 1)
+        SELECT c0.idx AS index, CASE WHEN n <= 12 THEN c0.component WHEN n1 <= 12 THEN c1.component WHEN n2 <= 12 THEN c2.component WHEN n3 <= 12 THEN c3.component ELSE c0.component END AS component
+        FROM c0 JOIN c1 USING (idx) JOIN c2 USING (idx) JOIN c3 USING (idx) JOIN largest ON c0.component = whole""",
     "exact_set_score": f"{_TWO} SELECT (SELECT count(*) FROM p) AS predicted_groups, (SELECT count(*) FROM t) AS truth_groups, (SELECT count(*) FROM m) AS exact_matches, (SELECT count(*) FROM m)::DOUBLE / (SELECT count(*) FROM t) AS score",
     "exact_set_matches": f"{_TWO} SELECT members FROM m",
     "cached_pairs": f"{CAND} SELECT i, j FROM cand WHERE (i + j) % 3 <> 0",
