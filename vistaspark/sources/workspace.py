@@ -8,7 +8,10 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+#: Whether a query's shuffle files are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -35,15 +38,18 @@ class Workspace:
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write df as Parquet and give it back read from there."""
+        """Write df as Parquet and give it back read from there; the shuffle files of the write go at once."""
         path = f"{self.path}/{name}"
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return self.get(name, df if not partition_by else None)
-
-    def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
-        reader = self.spark.read
-        return (reader.schema(like.schema) if like is not None else reader).parquet(f"{self.path}/{name}")
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        by = set(partition_by or ())
+        fields = sorted(df.schema.fields, key=lambda f: f.name in by)
+        return self.spark.read.schema(StructType(fields)).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
