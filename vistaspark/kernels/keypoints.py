@@ -31,7 +31,7 @@ def _pyramid(gray: np.ndarray) -> list[list[np.ndarray]]:
 def _extrema(dog: np.ndarray, contrast: float) -> np.ndarray:
     """(layer, y, x) of local extremes away from borders and edges."""
     mid = dog[1:-1, 1:-1, 1:-1]
-    high, low = np.abs(mid) > 0.5 * contrast / LAYERS * 255, None
+    high = np.abs(mid) > 0.5 * contrast / LAYERS * 255
     top, bottom = high & (mid > 0), high & (mid < 0)
     s, h, w = mid.shape
     for a in range(3):
@@ -41,7 +41,6 @@ def _extrema(dog: np.ndarray, contrast: float) -> np.ndarray:
                     other = dog[a : a + s, b : b + h, c : c + w]
                     top &= mid >= other
                     bottom &= mid <= other
-    del low
     at = np.argwhere(top | bottom) + 1
     border = 5
     return at[(at[:, 1] >= border) & (at[:, 2] >= border) & (at[:, 1] < dog.shape[1] - border) & (at[:, 2] < dog.shape[2] - border)]
