@@ -77,7 +77,7 @@ class Anchors:
         n = self.data.size
         word = _words_at_all(self.data)
         # Bytes left in the text, from every place on.
-        left = np.repeat(self.ends, self.lengths) - np.arange(n)
+        left = np.repeat(self.ends.astype(np.int32), self.lengths) - np.arange(n, dtype=np.int32)
         places, keys = [], []
         for lo in range(0, n, _SLICE):
             a, b = max(0, lo - width), min(n, lo + _SLICE + length + 32)
@@ -351,7 +351,7 @@ def _remove(left: pa.Table, right: pa.Table, length: int, keep_text: bool) -> pa
     return B.as_table(out, kinds + ([("kept", pa.binary()), ("spans", pa.list_(pa.int64()))] if keep_text else []))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 100, block_bytes: int = 24_000_000, batch_bytes: int = 4_000_000, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 100, block_bytes: int = 8_000_000, batch_bytes: int = 1_000_000, keep_text: bool = True) -> DataFrame:
     """One row per row of docs: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and with ``keep_text`` ``kept`` (bytes) and ``spans`` (starts and ends by turns).
 
     Texts are UTF-8 bytes, whole; null is empty.  A text shorter than ``length`` is
