@@ -117,9 +117,5 @@ def make_blocks(docs: DataFrame, schema: str, weigh: Callable[[dict], int], limi
     return docs.mapInArrow(run, schema)
 
 
-def table_rows(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
-
-
 def as_table(rows: list[dict], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({n: pa.array([r[n] for r in rows], t) for n, t in fields})
