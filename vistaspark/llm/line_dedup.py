@@ -89,6 +89,7 @@ def drop_shared_lines(
     min_chars: int = 1,
     batches: int = 4,
     fanout: int = 3,
+    salts: int = 64,
 ) -> DataFrame:
     """docs with every line dropped whose key occurs in at least ``min_docs`` documents.
 
@@ -120,9 +121,7 @@ def drop_shared_lines(
             F.xxhash64(F.lit("second"), F.col("key")).alias("h2"),
         )
     )
-    work.put(lines, "lines", ["batch"])
-    schema = spark.createDataFrame([], lines.schema).select("doc", "th", "pos", "h1", "h2", "batch").schema
-    lines = spark.read.schema(schema).parquet(f"{work.path}/lines")
+    lines = work.put(lines, "lines", ["batch"])
     runs = LineRuns(spark, work, fanout)
     for b in range(batches):
         batch = (
@@ -130,8 +129,10 @@ def drop_shared_lines(
             .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
         )
         runs.add(batch, min_docs)
+    # A line may be in a third of all documents, so its rows are dealt over salts by document, and keys to every salt.
+    salted = runs.settled(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dropped = (
-        lines.join(runs.settled(min_docs), ["h1", "h2"], "left_semi")
+        lines.withColumn("salt", F.pmod(F.xxhash64("th", "doc"), F.lit(salts)).cast("int")).join(salted, ["h1", "h2", "salt"], "left_semi")
         .groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     )
