@@ -1,4 +1,4 @@
-"""Settings of grouping, with the defaults of the challenge this engine answers."""
+"""Settings of grouping, with their defaults."""
 
 from __future__ import annotations
 
