@@ -263,7 +263,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     width: int = 5,
     percent: int = 80,
-    block_tokens: int = 4_000_000,
+    block_tokens: int = 2_000_000,
     chunk: int = 512,
 ) -> DataFrame:
     """One row per row of docs: id, ``n_shingles``, ``component_id``, ``keeper``, ``text_hash``.
