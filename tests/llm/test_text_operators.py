@@ -242,6 +242,36 @@ def test_quality(docs, rows, empty):
     assert quality.Bands().verdict(5000, 30.0) == "repetitive" and quality.Bands().verdict(5000, 1.01) == "incompressible" and quality.Bands().verdict(5000, 2.2) is None
 
 
+def test_quality_bands_reject_junk_that_passes_the_base_rules():
+    import random
+
+    import pyarrow.parquet as pq
+    import zstandard
+
+    from tests.conftest import SF
+
+    compress, bands, r = zstandard.ZstdCompressor(level=3).compress, quality.Bands(), random.Random(5)
+    scan = lambda text: quality.scan(text, bands, compress)
+    labels = {x["doc_id"]: x["quality"] for x in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    clean = [x["text"] for x in pq.read_table(f"{SF}/documents.parquet").to_pylist() if labels.get(x["doc_id"]) == 1 and not scan(x["text"])[5]]
+    assert sum(scan(x)[6] for x in clean) >= 0.95 * len(clean) > 0
+    english = "\n".join(dict.fromkeys(x["text"] for x in pq.read_table(f"{SF}/documents.parquet").to_pylist() if x["lang"] == "en" and x["text"] in set(clean)))
+    words = english.split()
+    prose = lambda lo, n: english.encode()[lo : lo + n].decode()
+    tagged = lambda n: " ".join(r.choice(words) + r.choice(["###", "$$$", "%%%", "&&&", "***"]) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(r.randint(33, 126)) for _ in range(8)) for _ in range(n))
+    assert scan(prose(0, 9000))[6] and scan(prose(0, 9000))[9] is None
+    # (text, reason): junk all through, in one chunk of many, in the last part chunk, and in a text of one chunk and a part.
+    planted = [
+        (tagged(400), "repetitive"), (tagged(2000), "repetitive"), (noise(100), "incompressible"), (noise(1000), "incompressible"),
+        (prose(0, 8 * 4096) + tagged(900)[:4096] + prose(8 * 4096, 3 * 4096), "chunks"),
+        (prose(0, 5 * 4096) + tagged(200), "chunks"), (prose(0, 4096) + tagged(90), "chunks"),
+    ]
+    for text, reason in planted:
+        _, _, _, _, _, base_failed, kept, _, bad, found = scan(text)
+        assert not base_failed and not kept and found == reason and (reason != "chunks" or bad == 1)
+
+
 def test_language_id(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
