@@ -80,3 +80,31 @@ def test_proposal_rules():
     assert apply_in_order({0: 2, 1: 4, 2: 4}, [(0, 1), (0, 2)]) == {0: 0, 1: 0, 2: 2}
     assert apply_in_order({0: 13, 1: 4}, [(0, 1)]) == {0: 0, 1: 1}
     assert apply_in_order({0: 3, 1: 4, 2: 5}, [(0, 1), (0, 2)]) == {0: 0, 1: 0, 2: 0}
+
+
+def test_greedy_query_covers_every_group(spark):
+    from tests.conftest import SF
+    from vistaspark.plans import registry
+
+    of = {r["index"]: r.group_id for r in registry._partition(spark, SF, registry.LINK).collect()}
+    sizes = {g: list(of.values()).count(g) for g in of.values()}
+    best = {}
+    for r in registry.pair_scores(spark, SF).withColumn("support", registry.D.member_support()).where("support is not null").collect():
+        for a, b in ((r.i, r.j), (r.j, r.i)):
+            if of[a] != of[b]:
+                best.setdefault((of[a], of[b]), {}).setdefault(a, []).append(r.support)
+    averages = {e: sum(map(max, m.values())) / len(m) for e, m in best.items()}
+    ordered = sorted((-int(10 * v + 0.5), e) for e, v in averages.items() if v >= 0.6)
+    want = apply_in_order(sizes, [e for _, e in ordered])
+    got = {r.group_id: r.root for r in registry.QUERIES["greedy_proposals"](spark, SF).collect()}
+    assert len(sizes) > 40 and got == want and any(g != root for g, root in got.items())
+
+
+def test_bridge_query_asks_for_the_default_number_of_pairs(spark, monkeypatch):
+    from tests.conftest import SF
+    from vistaspark.config import EngineConfig
+    from vistaspark.plans import registry
+
+    asked, plain = [], registry.large.bridge_candidates
+    monkeypatch.setattr(registry.large, "bridge_candidates", lambda *a: asked.append(a[-1]) or plain(*a))
+    assert registry.QUERIES["bridge_candidates"](spark, SF).count() > 0 and asked == [EngineConfig().bridge_max_pairs]

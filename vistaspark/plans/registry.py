@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vistaspark.config import EngineConfig
 from vistaspark.functions import decisions as D
 from vistaspark.operators import cluster as C
 from vistaspark.operators import evaluate, knn, large, repair
@@ -260,12 +261,12 @@ def q_tentative_attach(spark, sf_dir):
     return C.tentative_attach(assigned, scores).select("index", "group_id", "status", "confidence")
 
 
-def _supports(spark, sf_dir):
-    """Member supports between every two truth groups of vectors: (src, dst, member, target, support, sim)."""
+def _supports(spark, sf_dir, groups=None):
+    """Member supports between every two groups (index, g) of vectors, index % 40 unless given: (src, dst, member, target, support, sim)."""
     scored = pair_scores(spark, sf_dir).withColumn("support", D.member_support()).where("support is not null")
     both = scored.select(F.col("i").alias("member"), F.col("j").alias("target"), "support", "sim").unionByName(
         scored.select(F.col("j").alias("member"), F.col("i").alias("target"), "support", "sim"))
-    of = images(spark, sf_dir).select("index", (F.col("index") % 40).alias("g"))
+    of = images(spark, sf_dir).select("index", (F.col("index") % 40).alias("g")) if groups is None else groups
     return both.join(of.select(F.col("index").alias("member"), F.col("g").alias("src")), "member").join(of.select(F.col("index").alias("target"), F.col("g").alias("dst")), "target").where("src <> dst")
 
 
@@ -284,8 +285,8 @@ def q_member_supports(spark, sf_dir):
         F.count(F.when(F.col("best") >= 0.6, 1)).alias("covered"))
 
 
-def _matches(spark, sf_dir):
-    best = _supports(spark, sf_dir).groupBy("src", "dst", "member").agg(F.max("support").alias("best"))
+def _matches(spark, sf_dir, groups=None):
+    best = _supports(spark, sf_dir, groups).groupBy("src", "dst", "member").agg(F.max("support").alias("best"))
     return best.groupBy("src", "dst").agg(F.avg("best").alias("average"))
 
 
@@ -300,7 +301,7 @@ def q_mutual_best(spark, sf_dir):
 def q_bridge_candidates(spark, sf_dir):
     groups = Workspace(spark, "bridge-q").put(_partition(spark, sf_dir, TIGHT).select("index", "group_id"), "groups")
     pairs = knn.neighbor_pairs(images(spark, sf_dir), NEIGHBORS, FLOOR)
-    return large.bridge_candidates(images(spark, sf_dir), groups, pairs, FLOOR, TIGHT, 0.03, 1, 200).select("i", "j", "sim")
+    return large.bridge_candidates(images(spark, sf_dir), groups, pairs, FLOOR, TIGHT, 0.03, 1, EngineConfig().bridge_max_pairs).select("i", "j", "sim")
 
 
 def q_split_oversized(spark, sf_dir):
@@ -332,10 +333,11 @@ def q_missing_pairs(spark, sf_dir):
 
 
 def q_greedy_proposals(spark, sf_dir):
-    sizes = _partition(spark, sf_dir, LINK).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    edges = _matches(spark, sf_dir).where("average >= 0.6")
+    groups = Workspace(spark, "greedy-q").put(_partition(spark, sf_dir, LINK).select("index", "group_id"), "groups")
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    edges = _matches(spark, sf_dir, groups.select("index", F.col("group_id").alias("g"))).where("average >= 0.6")
     proposals = edges.select("src", "dst", F.round("average", 1).alias("score"), F.lit(1).alias("phase"), F.row_number().over(Window.orderBy("src", "dst")).alias("seq"))
-    return repair.apply_proposals(proposals, sizes.where("group_id < 40")).select("group_id", "root")
+    return repair.apply_proposals(proposals, sizes).select("group_id", "root")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
