@@ -1,23 +1,30 @@
 """Main text of web pages.
 
-Method: a suffix array per host.  The visible text of a host's pages becomes
-token streams, concatenated with separators; sorting their suffixes (by prefix
-doubling, to the depth of the least length that counts) brings equal substrings
-together, and a substring found on enough distinct pages is boilerplate.
-Covered runs go, unique runs stay.
-
-Documents are also copied from page to page, so repetition alone would take
-whole articles.  Markup therefore sets how much of it is needed: inside an
-article a run must recur on most pages of its group of pages, in text outside
-any declared region on a few, and what is declared as navigation, header,
-footer, form or the like goes without.  Hosts with many pages are split into
-groups of bounded size by a hash of the page, so no task holds a whole host.
+Method: a suffix array per host.  The visible text of a host's distinct pages
+becomes token streams, concatenated with separators; sorting their suffixes (by
+prefix doubling, to the depth of the least length that counts) brings equal
+substrings together.  A substring on a large enough share of the host's pages is
+boilerplate; covered runs go, unique runs stay.
+
+Hosts with many pages are split into groups of bounded size.  A substring on a
+share s of a host's pages is on a share s of some group's pages at least, so the
+groups' suffix arrays name all candidates; candidates of hosts with several
+groups are then counted over all of them.  Results do not depend on the split.
+
+Markup decides what repetition can't tell: elements declared as navigation,
+footer, advert, form, comment or the like go even where their text is unique,
+short text outside an article goes where the page has one, and inside an article
+a larger share is needed.  Articles are also copied from page to page: equal
+pages count once, and a page that is covered nearly whole is a copy, of which
+nothing goes.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vistaspark.llm import blocks as B
 from vistaspark.sources.workspace import Workspace
 
 #: Elements whose content is never the article's text.
@@ -35,10 +43,18 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that nothing needs to close; they don't nest regions.
 LOOSE = frozenset("p b i u em strong a span li dt dd tr td th tbody thead tfoot option small sub sup code font".split())
-#: Words of class, id and role that mark a region as no part of the article.
+#: Names (class, id, role) of regions that are no part of the article: whole, or as the last part of a compound.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar comment comments commentlist disqus replies respond menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead related share sharing social newsletter subscribe subscription signup login popup modal overlay widget pagination pager search skip toolbar complementary contentinfo".split())
 #: Hints that count outside an article only.
 OUTER_HINTS = frozenset("header banner top".split())
+#: Last parts of compounds that say nothing themselves: the part before decides (comment-list).
+HOLDERS = frozenset("area bar block body box container content form group holder inner item items link links list panel row section slot thread unit wrap wrapper".split())
+#: First parts that turn a compound around (no-sidebar) or speak of the page (has-comments).
+TURNS = frozenset("no non not without has have with is hide hidden show".split())
+#: Elements that hold the article: compounds never condemn them, and the outermost ones nothing does.
+HOLDING, OUTERMOST = frozenset("article main body html".split()), frozenset("main body html".split())
+#: Start tags that end an open element of the same kind.
+SIBLINGS = {name: frozenset(kind.split()) for kind in ("li", "dt dd", "td th", "tr", "option") for name in kind.split()}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
@@ -54,25 +70,42 @@ OPEN, MAIN, OUT = 0, 1, 2
 class Settings:
     #: Tokens of a repeated substring, at least.
     min_tokens: int = 8
-    #: Distinct pages it must be on: outside an article, and inside (with the share of the group's pages).
-    open_pages: int = 3
-    main_pages: int = 16
-    main_share: float = 0.6
+    #: Share of the host's distinct pages it must be on, besides ``chance`` pages: outside an article, and inside.
+    open_share: float = 0.1
+    main_share: float = 0.5
+    chance: int = 2
+    #: A page of whose text this share is covered is a copy.
+    copy_share: float = 0.8
+    #: Tokens of a block outside the article that make it text in its own right.
+    open_tokens: int = 25
+    #: Bounds of a group: distinct pages, and tokens unless a single page has more.
     group_pages: int = 512
+    group_tokens: int = 500_000
 
 
 def _is_out(name: str, attributes: str, in_main: bool) -> bool:
-    if not attributes.strip():
+    if not attributes.strip() or name in OUTERMOST:
         return False
-    words: list[str] = []
+    names: list[str] = []
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id", "role"):
-            words += re.split(r"[\s_-]+", value)
+            names += value.split()
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).lower().split()
-    return "hidden" in bare or any(w in HINTS for w in words) or not in_main and any(w in OUTER_HINTS for w in words)
+    if "hidden" in bare:
+        return True
+    hints = HINTS if in_main else HINTS | OUTER_HINTS
+    for whole in names:
+        parts = [x for x in re.split(r"[_-]+", whole) if x]
+        if whole in hints:
+            return True
+        if len(parts) < 2 or name in HOLDING or parts[0] in TURNS:
+            continue
+        if parts[-1] in hints or parts[-1] in HOLDERS and parts[-2] in HINTS:
+            return True
+    return False
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
@@ -87,12 +120,21 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             out.append((text, region))
         held.clear()
 
+    def leave(at: int) -> None:
+        nonlocal region
+        close()
+        region = stack[at][1]
+        del stack[at:]
+
     for m in TOKEN.finditer(page or ""):
         raw, ended, began = m[1], m[2], m[3]
         if began:
             name = began.lower()
             if name in BLOCKS:
                 close()
+                # An open paragraph ends at the next block, an item or cell at the next of its kind.
+                while stack and (stack[-1][0] == "p" or stack[-1][0] in SIBLINGS.get(name, ())):
+                    leave(len(stack) - 1)
             if name in VOID:
                 continue
             if name in LOOSE and name not in DROPPED and not (m[4] and _is_out(name, m[4], region == MAIN)):
@@ -111,36 +153,44 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
                 close()
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
-                close()
-                region = stack[at][1]
-                del stack[at:]
+                leave(at)
         elif raw is None and not m[0].startswith(("<!", "<?")):
             held.append(entities.unescape(m[0]))
     close()
     return out
 
 
+def window_hashes(stream: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the ``depth`` tokens from each place on where they are whole."""
+    size = max(0, stream.size - depth + 1)
+    h = stream[:size].copy()
+    for k in range(1, depth):
+        h = B.follow(h, stream[k : k + size])
+    return h
+
+
 def repeated_runs(streams: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the concatenated streams: each position's stream, and the number of streams that hold the ``depth`` tokens
-    from there (0 where a separator or the end comes first)."""
-    lengths = np.array([s.size for s in streams])
+    from there (0 where a separator or the end comes first); and where each stream's separator is."""
+    lengths = np.array([s.size for s in streams], np.int64)
     owner = np.repeat(np.arange(len(streams)), lengths + 1)
     n = owner.size
-    text = np.empty(n, np.int64)
     ends = np.cumsum(lengths + 1) - 1
     within = np.ones(n, bool)
     within[ends] = False
-    text[within] = np.concatenate(streams) if lengths.sum() else []
     # A separator equals nothing else.
-    text[ends] = -1 - np.arange(len(streams))
+    text = np.empty(n, np.int64)
+    if lengths.sum():
+        text[within] = np.unique(np.concatenate(streams), return_inverse=True)[1] + len(streams)
+    text[ends] = np.arange(len(streams))
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     have = 1
     while have < depth:
-        step = min(have, depth - have)
-        after = np.full(n, 0, np.int64)
+        step = min(have, depth - have, n)
+        after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1
         rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
-        have += step
+        have += min(have, depth - have)
     order = np.argsort(rank, kind="stable")
     sorted_rank, sorted_owner = rank[order], owner[order]
     new_group = np.ones(n, bool)
@@ -149,13 +199,39 @@ def repeated_runs(streams: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     new_page[1:] |= sorted_owner[1:] != sorted_owner[:-1]
     group = np.cumsum(new_group) - 1
     pages = np.zeros(n, np.int64)
-    pages[order] = np.bincount(group, new_page)[group].astype(np.int64)
+    if n:
+        pages[order] = np.bincount(group, new_page)[group].astype(np.int64)
     # Substrings that run into a separator are unique already; those that run off the end don't count.
     left = ends[owner] - np.arange(n)
     pages[left < depth] = 0
     return owner, pages, ends
 
 
+def candidates(streams: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the windows on the least share of a group's distinct pages, by the group's suffix array, and their numbers of pages."""
+    owner, pages, ends = repeated_runs(streams, settings.min_tokens)
+    enough = pages >= max(1, settings.open_share * len(streams))
+    begins = ends - np.array([s.size for s in streams], np.int64)
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for stream, lo in zip(streams, begins):
+        own = window_hashes(stream, settings.min_tokens)
+        hit = enough[lo : lo + own.size]
+        keys.append(own[hit])
+        counts.append(pages[lo : lo + own.size][hit])
+    distinct, first = np.unique(np.concatenate(keys), return_index=True)
+    return distinct, np.concatenate(counts)[first]
+
+
+def count_pages(streams: list[np.ndarray], wanted: np.ndarray, depth: int) -> np.ndarray:
+    """On how many of the streams each of the ``wanted`` windows (sorted keys) is."""
+    total = np.zeros(wanted.size, np.int64)
+    for stream in streams:
+        own = np.unique(window_hashes(stream, depth))
+        at = np.minimum(np.searchsorted(wanted, own), max(0, wanted.size - 1))
+        total[at[wanted[at] == own]] += 1 if wanted.size else 0
+    return total
+
+
 def _long_runs(gone: np.ndarray, least: int) -> np.ndarray:
     """A block's covered tokens, but for short runs in a block that is not all covered: a repeated substring that
     began in the block before may end on a word that pages merely share."""
@@ -169,69 +245,178 @@ def _long_runs(gone: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def main_text(blocks: list[tuple[str, int]], stream: np.ndarray, keys: np.ndarray, shares: np.ndarray, settings: Settings) -> str:
+    """A page's text without its boilerplate; keys (sorted) and shares: the host's repeated windows."""
+    depth = settings.min_tokens
+    own = window_hashes(stream, depth)
+    at = np.minimum(np.searchsorted(keys, own), max(0, keys.size - 1))
+    share = np.where(keys[at] == own, shares[at], 0.0) if keys.size else np.zeros(own.size)
+    covered = []
+    for needed in (settings.open_share, settings.main_share):
+        edge = np.zeros(stream.size + 1, np.int64)
+        hits = np.flatnonzero(share >= needed)
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + depth, -1)
+        covered.append(np.cumsum(edge)[: stream.size] > 0)
+    has_main = any(r == MAIN for _, r in blocks)
+    split = [text.split(" ") for text, _ in blocks]
+    ends = np.cumsum([len(w) for w in split])
+    chosen, repeated = 0, 0
+    for (_, region), words, end in zip(blocks, split, ends):
+        if region == (MAIN if has_main else OPEN):
+            chosen += len(words)
+            repeated += int(covered[1][end - len(words) : end].sum())
+    copy = repeated >= settings.copy_share * max(1, chosen)
+    lines = []
+    for (text, region), words, end in zip(blocks, split, ends):
+        if region == OUT:
+            continue
+        gone = covered[1 if region == MAIN else 0][end - len(words) : end]
+        if copy and (region == MAIN or not has_main):
+            gone = np.zeros(gone.size, bool)
+        if gone.any():
+            gone = _long_runs(gone, depth)
+            text = " ".join(w for w, g in zip(words, gone) if not g)
+        # Short text outside the article is no run of its own.
+        if text and not (region == OPEN and has_main and len(words) - int(gone.sum()) < settings.open_tokens):
+            lines.append(text)
+    return "\n".join(lines)
+
+
+class Words(dict):
+    """Keys of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= 100_000:
+            self.clear()
+        key = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return key
+
+
+def stream_of(blocks: list[tuple[str, int]], keys: Words) -> np.ndarray:
+    return np.array([keys[w] for text, _ in blocks for w in text.split(" ")], np.uint64)
+
+
+def _stored(blocks: list[tuple[str, int]]) -> bytes:
+    return B.pack(np.frombuffer(json.dumps(blocks).encode(), np.uint8))
+
+
+def _loaded(data: bytes) -> list[tuple[str, int]]:
+    return json.loads(B.unpack(data, np.uint8).tobytes())
+
+
 def main_texts(pages: list[str | None], settings: Settings = Settings()) -> list[str]:
-    """Main texts of pages of one host, or of one group of its pages."""
-    parsed = [blocks_of(p) for p in pages]
-    ids: dict[str, int] = {}
-    streams, words = [], []
-    for blocks in parsed:
-        split = [b.split(" ") for b, _ in blocks]
-        words.append(split)
-        streams.append(np.array([ids.setdefault(w, len(ids)) for b in split for w in b], np.int64))
-    if not pages:
+    """Main texts of pages of one small host."""
+    keys, parsed = Words(), [blocks_of(p) for p in pages]
+    streams = [stream_of(b, keys) for b in parsed]
+    distinct = list({s.tobytes(): s for s in streams}.values())
+    if not distinct:
         return []
-    _, found, ends = repeated_runs(streams, settings.min_tokens)
-    needed_main = max(settings.main_pages, int(np.ceil(settings.main_share * len(pages))))
-    out = []
-    for p, blocks in enumerate(parsed):
-        start = 0 if p == 0 else ends[p - 1] + 1
-        own = found[start : ends[p]]
-        covered = []
-        for needed in (settings.open_pages, needed_main):
-            edge = np.zeros(own.size + settings.min_tokens + 1, np.int32)
-            hits = np.flatnonzero(own >= needed)
-            np.add.at(edge, hits, 1)
-            np.add.at(edge, hits + settings.min_tokens, -1)
-            covered.append(np.cumsum(edge)[: own.size] > 0)
-        has_main = any(r == MAIN for _, r in blocks)
-        lines, at = [], 0
-        for (text, region), tokens in zip(blocks, words[p]):
-            lo, at = at, at + len(tokens)
-            if region == OUT or region == OPEN and has_main:
-                continue
-            gone = covered[1 if region == MAIN else 0][lo:at]
-            if gone.any():
-                gone = _long_runs(gone, settings.min_tokens)
-                text = " ".join(w for w, g in zip(tokens, gone) if not g)
-            if text:
-                lines.append(text)
-        out.append("\n".join(lines))
-    return out
+    found, counts = candidates(distinct, settings)
+    shares = (counts - settings.chance) / len(distinct)
+    return [main_text(b, s, found, shares, settings) for b, s in zip(parsed, streams)]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", settings: Settings = Settings()) -> DataFrame:
-    """pages with ``main_text`` and ``main_chars`` (its code points).
+    """pages without their html, with ``main_text`` and ``main_chars`` (its code points).
 
     Null html and pages without text give the empty text.  A null url, or one
     without a host, belongs to the host ''.  Pages of any length are read whole;
-    repeated rows are pages of their own with equal results; an empty table gives
-    an empty table; input columns named like a new one give way.
+    repeated rows are pages of their own with equal results and count once; an
+    empty table gives an empty table; input columns named like a new one give way.
+    Hosts of any number of pages, down to one, are decided by the same shares.
     """
-    names = ["main_text", "main_chars"]
-    pages = pages.select(*[pages[c] for c in pages.columns if c.lower() not in names])
-    schema = T.StructType(list(pages.schema.fields) + [T.StructField("main_text", T.StringType()), T.StructField("main_chars", T.LongType())])
+    own = ["main_text", "main_chars"]
+    kept = [c for c in pages.columns if c.lower() not in own and c != html]
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
     work = Workspace(pages.sparkSession, "html")
-    groups = (-F.floor(-F.col("n") / settings.group_pages)).cast("int")
-    counts = work.put(pages.select(host.alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("n")).select("__host", groups.alias("__groups")), "hosts")
-    spread = (
-        pages.withColumn("__host", host).withColumn("__h", F.xxhash64(F.col(html), F.col(url)))
-        .join(counts, "__host").withColumn("__part", F.pmod("__h", F.col("__groups")))
+    # Columns of pages go by number meanwhile, whatever their names.
+    held = [f"__c{k}" for k in range(len(kept))]
+    base = pages.select(*[pages[c].alias(n) for c, n in zip(kept, held)], pages[html].alias("__html"), host.alias("__host"))
+    extra = [("__hash", T.LongType(), pa.int64()), ("__tokens", T.LongType(), pa.int64()), ("__blocks", T.BinaryType(), pa.binary())]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                at = part.schema.get_field_index("__html")
+                found = [blocks_of(x) for x in part.column(at).to_pylist()]
+                hashes = [xxhash.xxh3_64_intdigest("\n".join(t for t, _ in b).encode("utf-8", "surrogatepass")) - (1 << 63) for b in found]
+                cols = [pa.array(hashes, pa.int64()), pa.array([sum(t.count(" ") + 1 for t, _ in b) for b in found], pa.int64()), pa.array([_stored(b) for b in found], pa.binary())]
+                rest = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != "__html"]
+                yield pa.RecordBatch.from_arrays([*[c for _, c in rest], *cols], names=[*[n for n, _ in rest], *[n for n, _, _ in extra]])
+
+    schema = T.StructType([f for f in base.schema.fields if f.name != "__html"] + [T.StructField(n, t) for n, t, _ in extra])
+    parsed = work.put(base.mapInArrow(parse, schema), "parsed")
+    distinct = parsed.groupBy("__host", "__hash").agg(F.first("__blocks").alias("__blocks"), F.first("__tokens").alias("__tokens"))
+    distinct = work.put(distinct, "distinct")
+    groups = F.greatest(F.ceil(F.count(F.lit(1)) / settings.group_pages), F.ceil(F.sum("__tokens") / settings.group_tokens), F.lit(1)).cast("long")
+    hosts = work.put(distinct.groupBy("__host").agg(F.count(F.lit(1)).alias("n"), groups.alias("groups")), "hosts")
+    dealt = distinct.join(hosts, "__host").withColumn("part", F.pmod("__hash", F.col("groups")))
+
+    def find(table: pa.Table) -> pa.Table:
+        words = Words()
+        streams = [stream_of(_loaded(b), words) for b in table.column("__blocks").to_pylist()]
+        keys, counts = candidates(streams, settings)
+        name, n, g = (table.column(c)[0].as_py() for c in ("__host", "n", "groups"))
+        if g == 1:
+            keys, counts = keys[counts > settings.chance], counts[counts > settings.chance]
+        return pa.table({
+            "host": pa.array([name] * keys.size, pa.string()), "key": pa.array(keys.view(np.int64), pa.int64()), "pages": pa.array(counts, pa.int64()),
+            "n": pa.array([n] * keys.size, pa.int64()), "groups": pa.array([g] * keys.size, pa.int64()),
+        })
+
+    found = work.put(dealt.groupBy("__host", "part").applyInArrow(find, "host string, key long, pages long, n long, groups long"), "found")
+
+    # Hosts of several groups: candidates of any group, counted over all.
+    many = found.where("groups > 1").select("host", "key", "groups").distinct()
+    asked = many.groupBy("host", "groups").agg(F.sort_array(F.collect_list("key")).alias("keys")).select(
+        F.col("host").alias("__host"), "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return pa.table({"host": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "pages": pa.array([], pa.int64())})
+        words = Words()
+        wanted = np.sort(np.array(right.column("keys")[0].as_py(), np.int64).view(np.uint64))
+        total = count_pages([stream_of(_loaded(b), words) for b in left.column("__blocks").to_pylist()], wanted, settings.min_tokens)
+        return pa.table({"host": pa.array([right.column("__host")[0].as_py()] * wanted.size, pa.string()), "key": pa.array(wanted.view(np.int64)), "pages": pa.array(total)})
+
+    counted = (
+        dealt.where("groups > 1").groupBy("__host", "part").cogroup(asked.groupBy("__host", "part")).applyInArrow(count, "host string, key long, pages long")
+        .groupBy("host", "key").agg(F.sum("pages").alias("pages")).join(hosts.select(F.col("__host").alias("host"), "n"), "host").select("host", "key", "pages", "n")
     )
+    total = found.where("groups = 1").select("host", "key", "pages", "n").unionByName(counted)
+    # A window on a share s of the pages: at most (mean tokens of a page) / s a host.
+    share = (F.col("pages") - settings.chance) / F.col("n")
+    often = total.where(share >= settings.open_share)
+    verdict = often.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("key", share.alias("share")))).alias("runs"))
+    verdict = work.put(verdict, "verdict")
+    spread = hosts.join(verdict, hosts["__host"] == verdict["host"]).select(
+        F.col("__host").alias("host"), "runs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
+    # Rows of a host are dealt evenly over its groups, equal ones too.
+    salted = parsed.join(hosts.select(F.col("__host").alias("h"), "groups"), F.col("__host") == F.col("h")).withColumn(
+        "salt", F.pmod(F.monotonically_increasing_id(), F.col("groups")))
+    joined = salted.join(spread, (F.col("__host") == F.col("host")) & (salted["salt"] == spread["salt"]), "left").select(*held, "__host", "__blocks", "runs")
+    out_schema = T.StructType([f for f in pages.schema.fields if f.name in kept] + [T.StructField("main_text", T.StringType()), T.StructField("main_chars", T.LongType())])
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = main_texts(table.column(html).to_pylist(), settings)
-        kept = table.drop_columns(["__host", "__h", "__groups", "__part"])
-        return kept.append_column("main_text", pa.array(texts, pa.string())).append_column("main_chars", pa.array([len(t) for t in texts], pa.int64()))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, last, keys, shares = Words(), None, np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            runs, names = batch.column("runs"), batch.column("__host").to_pylist()
+            texts = []
+            for k, (name, data) in enumerate(zip(names, batch.column("__blocks").to_pylist())):
+                if name != last:
+                    last, of = name, runs[k].as_py() or []
+                    keys = np.array([r["key"] for r in of], np.int64).view(np.uint64)
+                    order = np.argsort(keys)
+                    keys, shares = keys[order], np.array([r["share"] for r in of])[order]
+                blocks = _loaded(data)
+                texts.append(main_text(blocks, stream_of(blocks, words), keys, shares, settings))
+            cols = [batch.column(batch.schema.get_field_index(n)) for n in held]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, *own])
 
-    return spread.groupBy("__host", "__part").applyInArrow(run, schema)
+    return joined.mapInArrow(clean, out_schema)
