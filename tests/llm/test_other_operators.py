@@ -55,25 +55,45 @@ def test_html_table(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
-def test_forest_recall_and_ties(spark):
-    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+def recall(data, out, k=5):
+    """Share of the true k nearest found, by brute force in double precision; scores are exact."""
     rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in data.collect()]
     m, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
     q = ids % 50 == 0
     sims = m[q] @ m.T / np.linalg.norm(m, axis=1) / np.linalg.norm(m[q], axis=1)[:, None]
     sims[np.arange(q.sum()), np.flatnonzero(q)] = -2
-    out = ann.nearest_neighbours(data, data.where("vec_id % 50 = 0")).collect()
-    got = collections.defaultdict(set)
+    got = collections.defaultdict(dict)
     for r in out:
-        got[r.query_id].add(r.vec_id)
-    hits = sum(len(got[i] & set(ids[np.argsort(-s)[:5]])) for i, s in zip(ids[q], sims))
-    assert hits >= 0.9 * 5 * q.sum() and all(len(g) == 5 for g in got.values())
+        got[r.query_id][r.vec_id] = r.score
+    of, place = dict(zip(ids[q].tolist(), sims)), {i: k for k, i in enumerate(ids.tolist())}
+    assert all(abs(of[i][place[j]] - s) < 1e-12 for i, g in got.items() for j, s in g.items())
+    assert all(len(g) == min(k, len(ids) - 1) for g in got.values()) and set(got) == set(of)
+    return sum(len(set(got[i]) & set(ids[np.argsort(-s)[:k]].tolist())) for i, s in of.items()) / (k * len(of))
+
+
+@pytest.mark.parametrize("sf, block_rows", [("0.001", 8192), ("0.1", 8192), ("0.1", 700)])
+def test_forest_recall_and_work(spark, sf, block_rows):
+    data = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding")
+    out = ann.nearest_neighbours(data, data.where("vec_id % 50 = 0"), block_rows=block_rows, query_rows=16).collect()
+    assert recall(data, out) >= 0.9
+    rows = data.count()
+    work = {r.query_id: r.compared for r in out}
+    assert sum(work.values()) <= 0.45 * rows * len(work), "products are taken with candidates only"
+
+
+def test_forest_ties_at_the_last_place_and_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(1500)
+    rows = [(k, (base if k in (0, 4, 9, 3, 7, 8, 1, 5) else rng.standard_normal(1500)).tolist(), 1.0) for k in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
+    out = ann.nearest_neighbours(v, v.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [1, 3, 4, 5, 7] and len({r.score for r in out}) == 1
 
 
 def test_forest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (150, [nan, 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [inf, 1.0]), (4, [1.0, None]), (5, [0.0, 1.0]), (6, [1.0, 0.0, 0.0]), (7, []), (0, [1.0, 0.0]), (None, [1.0, 1.0]), (8, [1.0, 1.0])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<float>, block string, compared int")
     out = ann.nearest_neighbours(v, v.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in out] == [(0, 1, 1), (0, 2, 2), (0, 3, 8), (0, 4, 5)]
     assert out[0].score == 1.0 and out[3].score == 0.0
