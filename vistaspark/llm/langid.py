@@ -5,8 +5,12 @@ text, the longest stretch that also occurs in that language's sample.  The text
 is parsed greedily into such stretches; phrases times log2(sample length) is
 what the text would cost in that language, and the cheapest language wins.
 
-Parsing runs as a table-driven machine over many text segments at a time: a
-missing transition ends a phrase and goes on from the root.
+Automata are held sparsely, as double arrays: a state's transitions lie at its base
+plus the symbol, among those of other states.  Parsing runs over many stretches of
+text at a time; a missing transition ends a phrase and goes on from the root.  A
+long text's stretches first run from the root, then again from the state in which
+the stretch before has ended, until nothing changes: what comes out is the parse of
+the whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +44,7 @@ def _lower(c: str) -> str:
 class Parser:
     """Machines for the languages of ``samples`` ({language: text})."""
 
-    def __init__(self, samples: dict[str, str], segment: int = 256):
+    def __init__(self, samples: dict[str, str], segment: int = 512):
         self.names = sorted(samples)
         self.segment = segment
         letters = _letters()
@@ -68,8 +72,8 @@ class Parser:
         keep[1:] = (symbols[1:] != BLANK) | (symbols[:-1] != BLANK)
         return symbols[keep], keep
 
-    def _machine(self, symbols: list[int]) -> np.ndarray:
-        """Suffix automaton as a table: (target state * width) << 1 | 1 where a phrase begins."""
+    def _machine(self, symbols: list[int]) -> tuple[np.ndarray, ...]:
+        """Suffix automaton: each state's base, the owner and the target of each slot, and where each symbol leads from the root."""
         edges: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
@@ -95,24 +99,44 @@ class Parser:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        width = self.width
-        # From the root, and wherever the sample has no way on, the symbol begins a new phrase.
-        begin = np.full(width, 1, np.int32)
+        begin = np.zeros(self.width, np.int32)
         for c, to in edges[0].items():
-            begin[c] = (to * width) << 1 | 1
-        begin[PAD] = 0
-        table = np.tile(begin, (len(edges), 1))
-        for s, out in enumerate(edges[1:], 1):
+            begin[c] = to
+        # The root's transitions are apart, so no slot is its own.
+        base, slots = [0] * len(edges), 2 * sum(map(len, edges)) + self.width
+        owner, target = [0] * (slots + self.width), [0] * (slots + self.width)
+        draw = np.random.default_rng(len(edges)).integers(0, slots, 4096).tolist()
+        at = 0
+        for state in sorted(range(1, len(edges)), key=lambda x: -len(edges[x])):
+            out = edges[state]
+            if not out:
+                break
+            while True:
+                place = (draw[at & 4095] + at * 7919) % slots
+                at += 1
+                if not any(owner[place + c] for c in out):
+                    break
+            base[state] = place
             for c, to in out.items():
-                table[s, c] = (to * width) << 1
-        return table.ravel()
+                owner[place + c], target[place + c] = state, to
+        return np.array(base, np.int32), np.array(owner, np.int32), np.array(target, np.int32), begin
 
-    def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per language (rows: texts) and whether a text has a letter.
+    @staticmethod
+    def _parse(machine: tuple[np.ndarray, ...], grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each column of symbols, entered in the given states, and the states at its end."""
+        base, owner, target, begin = machine
+        phrases = np.zeros(grid.shape[1], np.int32)
+        for row in grid:
+            at = base[state] + row
+            on = owner[at] == state
+            on &= state > 0
+            pad = row == PAD
+            phrases += ~(on | pad)
+            state = np.where(pad, state, np.where(on, target[at], begin[row]))
+        return phrases, state
 
-        Texts are parsed whole, in segments of fixed length at whose starts a new
-        phrase begins, so that long texts run beside one another.
-        """
+    def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per language (rows: texts) and whether a text has a letter."""
         lengths = np.array([len(x or "") for x in texts], np.int64)
         symbols = self._symbols("".join(x or "" for x in texts))
         owner = np.repeat(np.arange(len(texts)), lengths)
@@ -129,14 +153,19 @@ class Parser:
         grid = np.full((self.segment, int(parts.sum())), PAD, np.int32)
         grid[within % self.segment, first_part[owner] + within // self.segment] = symbols
         of_part = np.repeat(np.arange(len(texts)), parts)
+        later = np.ones(of_part.size, bool)
+        later[first_part[parts > 0]] = False
         out = np.zeros((len(texts), len(self.names)))
-        for k, (table, bits) in enumerate(zip(self.tables, self.bits)):
-            state = np.zeros(grid.shape[1], np.int32)
-            phrases = np.zeros(grid.shape[1], np.int32)
-            for row in grid:
-                step = table[state + row]
-                phrases += step & 1
-                state = step >> 1
+        for k, (machine, bits) in enumerate(zip(self.tables, self.bits)):
+            entered = np.zeros(of_part.size, np.int32)
+            phrases, left = self._parse(machine, grid, entered)
+            while True:
+                before = np.where(later, np.concatenate([entered[:1], left[:-1]]), 0).astype(np.int32)
+                todo = np.flatnonzero(before != entered)
+                if not todo.size:
+                    break
+                entered = before
+                phrases[todo], left[todo] = self._parse(machine, grid[:, todo], entered[todo])
             out[:, k] = np.bincount(of_part, phrases, len(texts)) * bits
         return out, has_letter
 
@@ -157,36 +186,57 @@ class Parser:
         return found
 
 
-def sample_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 160, chars_per_lang: int = 24_000) -> dict[str, str]:
-    """A bounded text sample of each language: about ``docs_per_lang`` rows by hash, cut at ``chars_per_lang``.
+def sample_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 24, doc_chars: int = 4000) -> dict[str, str]:
+    """Each language's sample: ``docs_per_lang`` of its distinct texts, those with the smallest hashes.
 
-    Rows with null text or language teach nothing.
+    Texts of at most ``doc_chars`` characters come first and are taken whole; a
+    longer one is needed only where a language has too few of them, and then
+    counts up to that length.  The sample is thus bounded by these two parameters
+    a language, and copies of a text never keep others out.  Rows with null or
+    empty text or null language teach nothing.  An empty table gives no sample.
     """
-    usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    usable = labelled.select(labelled[lang].alias("lang"), labelled[text].alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    usable = usable.withColumn("h", F.xxhash64(F.lit("sample"), "text")).withColumn("long", F.length("text") > doc_chars)
+    order = Window.partitionBy("lang").orderBy("long", "h")
+    chosen = (
+        usable.select("lang", "long", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
+        .select("lang", "h", "rank").collect()
+    )
+    if not chosen:
         return {}
-    whole = 1 << 30
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(whole, docs_per_lang * whole // n + 1)))])
-    h = F.xxhash64(F.lit("sample"), "text")
-    rows = usable.withColumn("h", h).where(F.pmod(F.shiftright("h", 3), F.lit(whole)) < share[F.col("lang")]).dropDuplicates(["lang", "text"]).collect()
+    rank = {(r["lang"], r["h"]): r["rank"] for r in chosen}
+    some = usable.where(F.col("h").isin(sorted({h for _, h in rank}))).select("lang", "h", F.substring("text", 1, doc_chars).alias("text"))
+    rows = {(r["lang"], r["h"]): r["text"] for r in some.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()}
     out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        have = out.get(r["lang"], "")
-        if len(have) < chars_per_lang:
-            out[r["lang"]] = (have + " " + r["text"])[:chars_per_lang]
+    for key in sorted(rank, key=lambda k: (k[0], rank[k])):
+        out[key[0]] = f"{out[key[0]]} {rows[key]}" if key[0] in out else rows[key]
     return out
 
 
 _PARSERS: dict[int, Parser] = {}
 
 
+def _portions(batch: pa.RecordBatch, at: int, rows: int = 512, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes of text (a longer text is a slice of its own)."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo == rows or held + n > size):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if sizes:
+        yield batch.slice(lo)
+
+
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``lang_score``.
 
     Null texts and texts without a letter get ``und`` and 0; so does every text if
     there are no samples.  Equal costs: the language first in code point order.
-    Texts of any length are parsed whole; repeated rows get the same answer; an
+    Texts of any length are parsed whole, as one; repeated rows get the same answer; an
     empty table gives an empty table; input columns named like a new one give way.
     """
     names = ["lang_pred", "lang_score"]
@@ -194,7 +244,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
     at = docs.columns.index(text)
     schema = T.StructType(list(docs.schema.fields) + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     key = hash(tuple(sorted(samples.items())))
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by languages * chars_per_lang
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: languages * docs_per_lang * doc_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _PARSERS.get(key)
@@ -202,8 +252,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
             _PARSERS.clear()
             parser = _PARSERS[key] = Parser(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in _portions(batch, at):
                 found = parser.predict(part.column(at).to_pylist())
                 cols = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
