@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Symbol classes: white space, digits, marks (one blank), letters outside every sample, end of a segment.
-BLANK, FOREIGN, PAD, FIRST = 0, 1, 2, 3
+#: Symbol classes: white space, digits, marks (one blank), letters outside every sample.
+BLANK, FOREIGN, FIRST = 0, 1, 2
 UNKNOWN = "und"
 
 
@@ -104,7 +104,7 @@ class Parser:
             begin[c] = to
         # The root's transitions are apart, so no slot is its own.
         base, slots = [0] * len(edges), 2 * sum(map(len, edges)) + self.width
-        owner, target = [0] * (slots + self.width), [0] * (slots + self.width)
+        owner, target = [-1] * (slots + self.width), [0] * (slots + self.width)
         draw = np.random.default_rng(len(edges)).integers(0, slots, 4096).tolist()
         at = 0
         for state in sorted(range(1, len(edges)), key=lambda x: -len(edges[x])):
@@ -114,7 +114,7 @@ class Parser:
             while True:
                 place = (draw[at & 4095] + at * 7919) % slots
                 at += 1
-                if not any(owner[place + c] for c in out):
+                if all(owner[place + c] < 0 for c in out):
                     break
             base[state] = place
             for c, to in out.items():
@@ -122,17 +122,21 @@ class Parser:
         return np.array(base, np.int32), np.array(owner, np.int32), np.array(target, np.int32), begin
 
     @staticmethod
-    def _parse(machine: tuple[np.ndarray, ...], grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that begin in each column of symbols, entered in the given states, and the states at its end."""
+    def _parse(machine: tuple[np.ndarray, ...], grid: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each column of symbols, entered in the given states, and the states at its end.
+
+        ``size``: the columns' lengths, falling.
+        """
         base, owner, target, begin = machine
-        phrases = np.zeros(grid.shape[1], np.int32)
-        for row in grid:
-            at = base[state] + row
-            on = owner[at] == state
-            on &= state > 0
-            pad = row == PAD
-            phrases += ~(on | pad)
-            state = np.where(pad, state, np.where(on, target[at], begin[row]))
+        phrases, state = np.zeros(size.size, np.int32), state.copy()
+        for row, n in zip(grid, np.searchsorted(-size, -np.arange(len(grid)))):
+            if not n:
+                break
+            was, row = state[:n], row[:n]
+            at = base[was] + row
+            on = owner[at] == was
+            phrases[:n] += ~on
+            state[:n] = np.where(on, target[at], begin[row])
         return phrases, state
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,23 +154,32 @@ class Parser:
         first_part = np.cumsum(parts) - parts
         first = np.cumsum(sizes) - sizes
         within = np.arange(symbols.size) - first[owner]
-        grid = np.full((self.segment, int(parts.sum())), PAD, np.int32)
-        grid[within % self.segment, first_part[owner] + within // self.segment] = symbols
         of_part = np.repeat(np.arange(len(texts)), parts)
+        of_symbol = first_part[owner] + within // self.segment
+        size = np.bincount(of_symbol, minlength=of_part.size)
+        # Stretches in columns by falling length.
+        order = np.argsort(-size, kind="stable")
+        column = np.empty(order.size, np.int64)
+        column[order] = np.arange(order.size)
+        size = size[order]
+        grid = np.zeros((self.segment, order.size), np.int32)
+        grid[within % self.segment, column[of_symbol]] = symbols
         later = np.ones(of_part.size, bool)
         later[first_part[parts > 0]] = False
+        follows, comes_after = column[later], column[np.flatnonzero(later) - 1]
         out = np.zeros((len(texts), len(self.names)))
         for k, (machine, bits) in enumerate(zip(self.tables, self.bits)):
-            entered = np.zeros(of_part.size, np.int32)
-            phrases, left = self._parse(machine, grid, entered)
+            entered = np.zeros(order.size, np.int32)
+            phrases, left = self._parse(machine, grid, size, entered)
             while True:
-                before = np.where(later, np.concatenate([entered[:1], left[:-1]]), 0).astype(np.int32)
+                before = np.zeros(order.size, np.int32)
+                before[follows] = left[comes_after]
                 todo = np.flatnonzero(before != entered)
                 if not todo.size:
                     break
                 entered = before
-                phrases[todo], left[todo] = self._parse(machine, grid[:, todo], entered[todo])
-            out[:, k] = np.bincount(of_part, phrases, len(texts)) * bits
+                phrases[todo], left[todo] = self._parse(machine, grid[:, todo], size[todo], entered[todo])
+            out[:, k] = np.bincount(of_part[order], phrases, len(texts)) * bits
         return out, has_letter
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
