@@ -304,7 +304,7 @@ def test_cross_parsing_is_greedy_longest_match():
 
 
 def test_mixing(docs, rows, empty):
-    out = mixing.mix(docs, range_rows=8).collect()
+    out = mixing.mix(docs).collect()
     size = collections.Counter()
     for r in rows:
         size[r[3]] += len((r[1] or "").encode().split())
@@ -326,6 +326,6 @@ def test_mixing(docs, rows, empty):
         taken[r.source] += r.taken
     largest = max(r.size for r in out)
     assert all(abs(taken[s] - target[s]) <= largest + 1 for s in names) and sum(taken.values()) <= budget
-    again = mixing.mix(docs.repartition(5), range_rows=8).collect()
+    again = mixing.mix(docs.repartition(5)).collect()
     assert bag((r.doc_id, r.source, r.taken) for r in again) == bag((r.doc_id, r.source, r.taken) for r in out)
     assert mixing.mix(empty).count() == 0

@@ -4,8 +4,13 @@ Each source queues its documents in shuffled order, twice over (a document may
 be taken twice at most).  A queued copy's virtual finish time is the source's
 cumulative words up to its end divided by the source's target; all copies are
 range-sorted by that time and the sort is cut where the words taken reach the
-total budget.  Every running sum is a sum over coarse ranges first and within a
-range then, so no task holds a whole source or the whole sort.
+total budget.
+
+Both orders (by source and shuffle hash, by finish time) are range sorts whose
+ranges Spark draws from samples, so a source that holds most rows, or a time at
+which many copies finish, is spread like any other.  A running sum is the sum of
+the ranges before, one number a range, plus a window within the range; no task
+holds a whole source or the whole sort.
 """
 
 from __future__ import annotations
@@ -43,8 +48,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     )
 
 
-def _range_of(h: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+def _running(work: Workspace, df: DataFrame, name: str, order: list[Column], value: str, by: str | None = None) -> DataFrame:
+    """df with ``run``: the running sum of ``value`` in the given order, of each ``by`` on its own.
+
+    ``order`` must begin with ``by`` and leave no two rows equal.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written at once: what a range holds must not change if a task runs again.
+    ranged = work.put(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), name)
+    keys = [by] if by else []
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    # At most one row a range, and one more a source.
+    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(F.col("__range").alias("__r"), *[F.col(k).alias("__by") for k in keys], F.coalesce(before, F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("__range") == F.col("__r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col("__by"))
+    summed = ranged.withColumn("__own", F.sum(value).over(within)).join(F.broadcast(before) if ranges <= 100_000 and not keys else before, same)
+    return summed.withColumn("run", F.col("__base") + F.col("__own")).drop("__range", "__r", "__by", "__base", "__own")
 
 
 def text_hash(text: Column) -> Column:
@@ -61,73 +83,41 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = 42,
-    range_rows: int = 16384,
 ) -> DataFrame:
     """One row per input row: id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (= copies * size).
 
     The row's text hash ``text_hash`` comes along, so that (id, text_hash) finds a
     row's text again.  Null text has size 0; documents of size 0 are taken 0
-    times.  A null source is a source, last in order.  Shuffling is by a hash of
-    id and text, hence the same in every run; rows equal in both are
-    interchangeable.  Copies are taken whole: the one that would pass the budget
-    is the first left out.  An empty table gives an empty table.
+    times.  Texts of any length count whole.  A null source is a source, last in
+    order.  Shuffling is by a hash of id and text, hence the same in every run;
+    rows equal in both are interchangeable.  Copies are taken whole: the one that
+    would pass the budget is the first left out.  Other columns of docs, whatever
+    their names, are not looked at.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
     sizes = docs.select(
-        F.col(id_col).alias("doc"), F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        text_hash(F.col(text)).alias("text_hash"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "doc", "text_hash"))
+        docs[id_col].alias("doc"), docs[source].alias("source"),
+        F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        text_hash(docs[text]).alias("text_hash"),
+    ).withColumn("h", F.xxhash64(F.lit(seed), "doc", "text_hash")).withColumn("row", F.monotonically_increasing_id())
+    # Row numbers tell equal rows apart; once written they stay as they are.
     sizes = work.put(sizes, "sizes")
-    rows = sizes.count()
-    bits = max(0, (rows // range_rows).bit_length())
     targets = work.put(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    budget = (targets.agg(F.max("budget")).first() or [None])[0] or 0.0
 
-    # Cumulative words of each source in shuffled order.
-    coarse = sizes.groupBy("source", _range_of(F.col("h"), bits).alias("part")).agg(F.sum("size").alias("part_size"))
-    up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    coarse = coarse.withColumn("base", F.sum("part_size").over(up_to) - F.col("part_size")).drop("part_size")
-    coarse = (
-        coarse.join(targets, coarse["source"].eqNullSafe(targets["source"]))
-        .select(coarse["source"].alias("s"), F.col("part").alias("p"), "base", "source_size", "target")
-    )
-    within = Window.partitionBy("source", "part").orderBy("h", F.col("doc").asc_nulls_last(), "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queue = (
-        sizes.withColumn("part", _range_of(F.col("h"), bits))
-        .withColumn("cum", F.sum("size").over(within))
-    )
-    queue = queue.join(coarse, queue["source"].eqNullSafe(coarse["s"]) & (queue["part"] == coarse["p"])).select(
-        "doc", "text_hash", "h", "source", "size", "source_size", "target", (F.col("base") + F.col("cum")).alias("cum"),
-    )
-    queue = work.put(queue, "queue")
-
-    # Cut of the global sort by finish time.
-    finish = lambda copy: (copy * F.col("source_size") + F.col("cum")) / F.col("target")
-    ranges = 1 << (bits + 4)
+    # Cumulative words of each source in shuffled order, and the copies' finish times.
+    shuffled = [F.col("source").asc_nulls_last(), F.col("h"), F.col("row")]
+    queue = _running(work, sizes, "shuffled", shuffled, "size", by="source")
+    of = targets.select(F.col("source").alias("s"), "source_size", "target")
+    queue = work.put(queue.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "queue")
     copies = (
         queue.where((F.col("size") > 0) & (F.col("target") > 0))
-        .select("h", "doc", "text_hash", "size", F.explode(F.array(*[F.struct(F.lit(k).alias("copy"), finish(F.lit(k)).alias("finish")) for k in range(most)])).alias("c"))
-        .select("h", "doc", "text_hash", "size", "c.copy", "c.finish")
-        .withColumn("slot", F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)).cast("long"))
+        .select("row", "h", "size", F.explode(F.array(*[F.lit(k) for k in range(most)])).alias("copy"), ((F.col("copy") * F.col("source_size") + F.col("run")) / F.col("target")).alias("finish"))
     )
-    budget = (targets.agg(F.max("budget")).first() or [None])[0] or 0.0
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
-    slots = slots.withColumn("upto", F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    over = slots.where(F.col("upto") > budget).orderBy("slot").select("slot", (F.col("upto") - F.col("words")).alias("before")).first()
-    if over is None:
-        taken = F.when(F.col("target") > 0, F.lit(most)).otherwise(F.lit(0))
-    else:
-        order = ["finish", "h", "doc", "text_hash", "copy"]
-        running = Window.partitionBy("slot").orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        edge = (
-            copies.where(F.col("slot") == over["slot"]).withColumn("run", F.sum("size").over(running))
-            .where(F.col("run") > budget - over["before"])
-            .orderBy(*[F.col(c).asc_nulls_last() for c in order]).select("finish", "h").first()
-        )
-        earlier = lambda k: ((finish(F.lit(k)) < edge["finish"]) | ((finish(F.lit(k)) == edge["finish"]) & (F.col("h") < edge["h"]))).cast("int")
-        taken = F.when(F.col("target") > 0, sum((earlier(k) for k in range(most)), F.lit(0))).otherwise(F.lit(0))
-    return queue.select(
-        F.col("doc").alias(id_col), "text_hash", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("int").alias("copies"),
+    # The range sort, cut where the budget is reached.
+    by_time = [F.col(c) for c in ("finish", "h", "row", "copy")]
+    taken = _running(work, copies, "finish", by_time, "size").where(F.col("run") <= budget).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return queue.join(taken, "row", "left").select(
+        F.col("doc").alias(id_col), "text_hash", "source", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"),
     ).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
