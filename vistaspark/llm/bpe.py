@@ -209,7 +209,7 @@ def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
 class WordBpe:
     """A vocabulary file with word ends: normalise, split into words, encode each word by the transducer."""
 
-    def __init__(self, path: str, cache_size: int = 150_000):
+    def __init__(self, path: str, cache_size: int = 240_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -231,7 +231,7 @@ class WordBpe:
             for letters, numbers in (classes(0x110000), classes(0x10000))
         )
         #: Packed ids by word, and by stretch between blanks (before normalisation).
-        self._of_word = Cache(self._word, cache_size // 3)
+        self._of_word = Cache(self._word, cache_size // 4)
         self._of_stretch = Cache(self._stretch, cache_size)
 
     def ends(self, name: str) -> bool:

@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 #: Symbol classes: white space, digits, marks (one blank), letters outside every sample.
 BLANK, FOREIGN, FIRST = 0, 1, 2
 UNKNOWN = "und"
+#: Symbols of a stretch within which another way in has mostly met the first.
+_HEAD = 48
 
 
 @lru_cache(maxsize=1)
@@ -169,8 +171,12 @@ class Parser:
         follows, comes_after = column[later], column[np.flatnonzero(later) - 1]
         out = np.zeros((len(texts), len(self.names)))
         for k, (machine, bits) in enumerate(zip(self.tables, self.bits)):
+            # Entered from elsewhere, a stretch mostly comes into the same state within a few symbols; then the rest stands.
+            head, rest = grid[:_HEAD], grid[_HEAD:]
+            left_over = np.maximum(size - _HEAD, 0)
             entered = np.zeros(order.size, np.int32)
-            phrases, left = self._parse(machine, grid, size, entered)
+            first_phrases, middle = self._parse(machine, head, np.minimum(size, _HEAD), entered)
+            rest_phrases, left = self._parse(machine, rest, left_over, middle)
             while True:
                 before = np.zeros(order.size, np.int32)
                 before[follows] = left[comes_after]
@@ -178,7 +184,12 @@ class Parser:
                 if not todo.size:
                     break
                 entered = before
-                phrases[todo], left[todo] = self._parse(machine, grid[:, todo], size[todo], entered[todo])
+                first_phrases[todo], now = self._parse(machine, head[:, todo], np.minimum(size[todo], _HEAD), entered[todo])
+                other = now != middle[todo]
+                middle[todo] = now
+                again = todo[other]
+                rest_phrases[again], left[again] = self._parse(machine, rest[:, again], left_over[again], middle[again])
+            phrases = first_phrases + rest_phrases
             out[:, k] = np.bincount(of_part[order], phrases, len(texts)) * bits
         return out, has_letter
 
