@@ -16,9 +16,12 @@ _SHIPPED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where unset."""
+    """The folder the cluster shares (spark.checkpoint.dir); where unset, a temporary one if all of Spark is on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master: {master})")
         root = "file://" + tempfile.mkdtemp(prefix="vistaspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,31 +34,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """A fresh folder below the shared one; tables written here cut lineage and outlive executors."""
+    """A fresh folder below the shared one; tables written here cut lineage and outlive executors.
+
+    Results are read from these tables lazily, so the folder stays until the
+    application ends; tables that nothing reads any more can be dropped before.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        # Shuffle files go with the query that made them: every result here is written and read again.
+        if spark.conf.get(_CLEANUP, "false") != "true":
+            spark.conf.set(_CLEANUP, "true")
+        path, files = self._at("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write df as Parquet and give it back read from there; the shuffle files of the write go at once."""
+        """Write df as Parquet and give it back read from there."""
         path = f"{self.path}/{name}"
         writer = df.write.mode("overwrite")
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         by = set(partition_by or ())
         fields = sorted(df.schema.fields, key=lambda f: f.name in by)
         return self.spark.read.schema(StructType(fields)).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._at(name)
+        files.delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -73,11 +84,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("vistaspark", os.path.relpath(full, top)))
     spark.sparkContext.addPyFile(out)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of stages whose results are written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
