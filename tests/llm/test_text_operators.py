@@ -48,7 +48,7 @@ def test_suffix_dedup(docs, rows, empty):
             seen.add(s)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want.append((rows[k][0], len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), sha(kept)))
-    out = suffix_dedup.remove_repeats(docs, block_bytes=9000).collect()
+    out = suffix_dedup.remove_repeats(docs, block_bytes=3000).collect()
     got = bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
     assert got == bag(want) and sum(w[2] for w in want) > 1000
     for r in out:
@@ -112,7 +112,7 @@ def check_jaccard(spark, frame, rows, **kw):
 
 
 def test_jaccard(spark, docs, rows, empty):
-    check_jaccard(spark, docs, rows, block_tokens=3000, chunk=4)
+    check_jaccard(spark, docs, rows, block_tokens=600, chunk=4)
     assert jaccard.near_duplicates(empty).count() == 0
 
 
@@ -120,7 +120,7 @@ def test_jaccard_small_sets_and_chains(spark):
     words = [f"w{k}" for k in range(40)]
     texts = [" ".join(words[i : i + n]) for n in (5, 6, 7, 8, 9, 10, 12, 14, 18, 30) for i in range(0, 9)]
     rows = [(k, t) for k, t in enumerate(texts)]
-    check_jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, block_tokens=200, chunk=8)
+    check_jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, block_tokens=40, chunk=8)
 
 
 def test_overlaps_by_both_ways():
@@ -171,7 +171,7 @@ def test_katz(docs, rows, empty):
         t = (r[1] or "").encode().lower().split() + [None]
         base = sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in t)
         want.append((r[0], h, len(t), sum(uni[w] > 0 for w in t), n, round(base, 5), round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t)), 5)))
-    out = katz.score(docs, (F.col("doc_id") / 3).cast("long") % 5 == 2, block_tokens=3000).collect()
+    out = katz.score(docs, (F.col("doc_id") / 3).cast("long") % 5 == 2, block_tokens=600).collect()
     assert bag((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in out) == bag(want)
     # Exactly normalised: over all known types and the unknown one, for every kind of context.
     for a in ["<s>", *list(uni)[:40], b"never seen"]:

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from vistaspark.llm import blocks as B
 from vistaspark.operators.graph import connected_components
-from vistaspark.sources.workspace import Workspace, release
+from vistaspark.sources.workspace import Workspace
 
 #: Largest size for which subsets are considered at all.
 SMALL_MOST = 24
+_ROW = (1 << B.ROW_BITS) - 1
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -80,40 +81,29 @@ def _build(number: int, rows: list[dict], width: int) -> dict:
 _BLOCK = "block long, tokens binary, words binary, lengths binary, ids array<long>, sizes array<long>, set1 array<long>, set2 array<long>, hashes array<long>"
 
 
-def _ask(batches, bits: int, width: int):
-    """Distinct shingles of each block by part, as the 32 bits after the part's, with the number of texts."""
+def _log2(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
+    return {"levels": np.floor(np.log2(np.maximum(data["times"], 1)))}, {}
+
+
+#: Shingles to the binary logarithms of their numbers of texts.
+LEVELS = B.Sums({"times": "u8"}, {"levels": "u1"}, _log2)
+
+
+def _ask(batches, width: int):
+    """Distinct shingles of each block, with the number of texts."""
     for batch in batches:
         for row in batch.to_pylist():
             _, shingles, _ = _rows_of(row, width)
             keys, counts = np.unique(shingles, return_counts=True)
-            edges = B.part_edges(keys, bits)
-            short = (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-            for p, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": [row["block"]], "keys": [short[lo:hi].tobytes()], "counts": [B.pack(counts[lo:hi].astype(np.uint32))]})
-
-
-def _levels(table: pa.Table) -> pa.Table:
-    """Binary logarithms of the numbers of texts, in each asking block's order.
-
-    Short keys may coincide; that makes a shingle look more frequent, which
-    changes the order of prefixes for all texts alike and no result.
-    """
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate([B.unpack(r["counts"], np.uint32) for r in rows]))
-    level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)[at]
-    edges = np.cumsum([0, *[k.size for k in keys]])
-    out = [{"block": r["block"], "part": r["part"], "levels": B.pack(level[a:b])} for r, a, b in zip(rows, edges, edges[1:])]
-    return B.as_table(out, [("block", pa.int64()), ("part", pa.int32()), ("levels", pa.binary())])
+            out = B.messages(LEVELS, row["block"], {"keys": keys, "times": counts.astype("u8")})
+            yield from B.as_table(out, B.asked_fields(LEVELS)).to_batches()
 
 
 def _with_levels(row: dict, replies: list[dict], width: int, rows: np.ndarray):
     """Shingles of the chosen rows of a block with their levels."""
     docs, shingles, sizes = _rows_of(row, width)
     keys, at = np.unique(shingles, return_inverse=True)
-    parts = sorted((r for r in replies if r["levels"] is not None), key=lambda r: r["part"])
-    levels = np.concatenate([B.unpack(r["levels"], np.uint8) for r in parts])[at] if parts else np.zeros(0, np.uint8)
+    levels = LEVELS.take(replies)["levels"][at]
     chosen = np.zeros(sizes.size, bool)
     chosen[rows] = True
     keep = chosen[docs]
@@ -131,8 +121,8 @@ def _entries(left: pa.Table, right: pa.Table, width: int, percent: int, small: i
     """
     (row,), replies = left.to_pylist(), right.to_pylist()
     mine = np.array([r["gid"] for r in replies if r["gid"] is not None], np.int64)
-    docs, shingles, levels, sizes = _with_levels(row, replies, width, mine & 0xFFFFFF)
-    base = row["block"] << 24
+    docs, shingles, levels, sizes = _with_levels(row, replies, width, mine & _ROW)
+    base = row["block"] << B.ROW_BITS
     order = np.lexsort((shingles, levels, docs))
     docs, shingles, levels = docs[order], shingles[order], levels[order]
     present, first = np.unique(docs, return_index=True)
@@ -162,7 +152,7 @@ def _entries(left: pa.Table, right: pa.Table, width: int, percent: int, small: i
 def _family_sets(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
     """Shared shingles of the texts that are in families."""
     (row,), replies = left.to_pylist(), right.to_pylist()
-    mine = {r["gid"] & 0xFFFFFF: r for r in replies if r["gid"] is not None}
+    mine = {r["gid"] & _ROW: r for r in replies if r["gid"] is not None}
     docs, shingles, levels, sizes = _with_levels(row, replies, width, np.fromiter(mine, np.int64, len(mine)))
     shared = levels > 0
     docs, shingles = docs[shared], shingles[shared]
@@ -263,7 +253,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     width: int = 5,
     percent: int = 80,
-    block_tokens: int = 2_000_000,
+    block_tokens: int = 1_000_000,
     chunk: int = 512,
 ) -> DataFrame:
     """One row per row of docs: id, ``n_shingles``, ``component_id``, ``keeper``, ``text_hash``.
@@ -273,33 +263,30 @@ def near_duplicates(
     texts have no shingles.  Null ids are no id: a component of such rows alone has
     a null ``component_id``.  Repeated rows are texts with equal sets, so they are
     in one component.  ``keeper`` marks one row of each component, one with the
-    smallest id.  Words are compared by 64-bit keys.  An empty table gives an
-    empty table.
+    smallest id.  Words are compared by 64-bit keys.  Texts of any length count
+    whole.  Other columns, whatever their names, are not looked at.  An empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("hash"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"), text_hash(docs[text]).alias("hash"))
     blocks = work.put(B.make_blocks(rows, _BLOCK, B.text_weight, block_tokens, partial(_build, width=width)), "blocks")
-    bits = B.part_bits(blocks.select("block").count())
+    count = blocks.select("block").count()
     bare = blocks.select("block", "tokens", "words", "lengths")
 
     texts = blocks.select("block", F.posexplode(F.arrays_zip("ids", "sizes", "set1", "set2", "hashes")).alias("row", "t")).select(
-        (F.shiftleft("block", 24) + F.col("row")).alias("gid"), F.col("t.ids").alias("id"), F.col("t.sizes").alias("size"), "t.set1", "t.set2", F.col("t.hashes").alias("text_hash"),
+        (F.shiftleft("block", B.ROW_BITS) + F.col("row")).alias("gid"), F.col("t.ids").alias("id"), F.col("t.sizes").alias("size"), "t.set1", "t.set2", F.col("t.hashes").alias("text_hash"),
     )
     sets = work.put(texts.where("size > 0").groupBy("size", "set1", "set2").agg(F.min("gid").alias("rep"), F.min("id").alias("least_id")), "sets")
     histogram = {r["size"]: r["count"] for r in sets.where(F.col("size") <= 2 * SMALL_MOST).groupBy("size").count().collect()}
     small = small_boundary(histogram, percent)
 
-    levels = work.put(
-        bare.mapInArrow(partial(_ask, bits=bits, width=width), "part int, block long, keys binary, counts binary")
-        .groupBy("part").applyInArrow(_levels, "block long, part int, levels binary"), "levels")
-    release(spark)
-    reps = sets.select(F.shiftright("rep", 24).alias("block"), F.col("rep").alias("gid"))
+    levels, _ = B.exchange(work, "levels", bare.mapInArrow(partial(_ask, width=width), B.asked_schema(LEVELS)), count, LEVELS)
+    reps = sets.select(F.shiftright("rep", B.ROW_BITS).alias("block"), F.col("rep").alias("gid"))
     told = levels.unionByName(reps, allowMissingColumns=True)
     entries = work.put(
         bare.groupBy("block").cogroup(told.groupBy("block"))
         .applyInArrow(lambda a, b: _entries(a, b, width, percent, small), "kind int, key long, size long, gid long"), "entries")
-    release(spark)
 
     # Small sets: each text to the smallest with the same subset.
     subsets = entries.where("kind > 0")
@@ -318,7 +305,7 @@ def near_duplicates(
     families = work.put(connected_components(may_link), "families")
     sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))
     members = families.join(sizes, "component").select(
-        F.shiftright("node", 24).alias("block"), F.col("node").alias("gid"), F.col("component").alias("family"), "chunks",
+        F.shiftright("node", B.ROW_BITS).alias("block"), F.col("node").alias("gid"), F.col("component").alias("family"), "chunks",
         F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"),
     )
     told = levels.unionByName(members, allowMissingColumns=True)
@@ -327,13 +314,12 @@ def near_duplicates(
     pairs = bags.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
         "family", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunks", "gid", "size", "elements")
     # Families of one chunk share tasks; each pair of chunks of a larger family is a group.
-    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("family"), F.lit(8 << bits))).otherwise(-1 - F.abs(F.xxhash64("family", "c1", "c2")))
+    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("family"), F.lit(16 * max(8, count)))).otherwise(-1 - F.abs(F.xxhash64("family", "c1", "c2")))
     large_links = (
         pairs.withColumn("task", group).groupBy("task")
         .applyInArrow(lambda t: _compare(t, percent), "i long, j long")
     )
     links = work.put(small_links.unionByName(large_links), "links")
-    release(spark)
     groups = connected_components(links)
 
     reached = (

@@ -10,24 +10,22 @@ P(. | v) sum to 1 exactly.
 
 Counts, discounts and backoff weights live in tables partitioned by key range.
 Text lies in blocks; a block asks the tables for its distinct n-grams (see
-``blocks``) and evaluates the recursion per token with the answers.
+``blocks.exchange``) and evaluates the recursion per token with the answers.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.llm import blocks as B
-from vistaspark.sources.workspace import Workspace, release
+from vistaspark.sources.workspace import Workspace
 
 #: Counts above this are not discounted.
 CUTOFF = 5
-#: Keys of the mark before a text (a context only) and of the end token.
+#: Keys of the mark before a text (a context only) and of the end token.  Keys of words are odd, those of bigrams even.
 START, END = np.uint64(0x51A27), np.uint64(0xE7D09)
 
 
@@ -61,7 +59,7 @@ class Block:
         self.ids = row["ids"]
         self.lengths = B.unpack(row["lengths"], np.int64)
         self.held = B.unpack(row["held"], bool)
-        keys = np.concatenate([[START, END], B.unpack(row["words"], np.uint64)])
+        keys = np.concatenate([[START, END], B.unpack(row["words"], np.uint64)]) | np.uint64(1)
         order = np.argsort(keys)
         place = np.empty(order.size, np.int64)
         place[order] = np.arange(order.size)
@@ -82,72 +80,49 @@ class Block:
         self.pairs, self.bigram, self.times = np.unique(pair, return_inverse=True, return_counts=True)
         self.train = ~self.held[self.doc]
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the distinct bigrams in sorted order, and that order."""
         left, right = np.divmod(self.pairs, self.words.size)
-        keys = B.follow(self.words[left], self.words[right])
-        order = np.argsort(keys)
-        return keys[order], order
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training occurrences of the words (of the start: its texts) and of the bigrams."""
+        grams = B.follow(self.words[left], self.words[right]) & ~np.uint64(1)
+        #: Keys of words and bigrams together, and where each stands among them in sorted order.
+        keys = np.concatenate([self.words, grams])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.at = np.empty(order.size, np.int64)
+        self.at[order] = np.arange(order.size)
+
+    def counts(self) -> np.ndarray:
+        """Training occurrences of the words (of the start: its texts) and of the bigrams, in order of the keys."""
         words = np.bincount(self.token[self.train], minlength=self.words.size)
         words[self.start] = int((~self.held).sum())
-        return words, np.bincount(self.bigram[self.train], minlength=self.pairs.size)
+        out = np.empty(self.keys.size, np.int64)
+        out[self.at] = np.concatenate([words, np.bincount(self.bigram[self.train], minlength=self.pairs.size)])
+        return out
+
+
+#: Counts of counts of words and bigrams, training tokens and types.
+STATISTICS = (*[f"{k}{r}" for k in "wg" for r in range(1, CUTOFF + 2)], "tokens", "types")
 
 
-_REQUEST = "part int, block long, words binary, word_counts binary, grams binary, gram_counts binary"
-_REPLY = [("block", pa.int64()), ("part", pa.int32()), ("word_totals", pa.binary()), ("gram_totals", pa.binary()), ("owned", pa.binary()),
-          *[(f"{k}{r}", pa.int64()) for k in "wg" for r in range(1, CUTOFF + 2)], ("tokens", pa.int64()), ("types", pa.int64())]
-_REPLY_DDL = "block long, part int, word_totals binary, gram_totals binary, owned binary, " + ", ".join(f"{k}{r} long" for k in "wg" for r in range(1, CUTOFF + 2)) + ", tokens long, types long"
+def _totals(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
+    total = data["times"]
+    is_word = (keys & np.uint64(1)) > 0
+    words, grams = total[is_word & (keys != START)], total[~is_word]
+    stats = {f"{k}{r}": int((t == r).sum()) for k, t in (("w", words), ("g", grams)) for r in range(1, CUTOFF + 2)}
+    return {"totals": total, "owned": np.ones(total.size, bool)}, stats | {"tokens": int(words.sum()), "types": int((words > 0).sum())}
 
 
-def _ask(batches, bits: int):
-    """Distinct words and bigrams of each block, with training counts, by part."""
+#: The count tables: occurrences are added up; one of the blocks that hold a bigram answers for it.
+COUNTS = B.Sums({"times": "i8"}, {"totals": "i8", "owned": "u1"}, _totals, STATISTICS)
+#: The backoff table: both sums of a context over the bigrams that blocks answer for.
+WEIGHTS = B.Sums({"seen": "f8", "lower": "f8"}, {"seen": "f8", "lower": "f8"}, lambda keys, data: (data, {}))
+
+
+def _ask(batches):
+    """Distinct words and bigrams of each block, with training counts."""
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row)
-            word_counts, gram_counts = block.counts()
-            grams, order = block.bigrams()
-            gram_counts = gram_counts[order]
-            we, ge = B.part_edges(block.words, bits), B.part_edges(grams, bits)
-            for p in range(1 << bits):
-                w, g = slice(we[p], we[p + 1]), slice(ge[p], ge[p + 1])
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([p], pa.int32()), "block": [row["block"]],
-                    "words": [block.words[w].tobytes()], "word_counts": [B.pack(word_counts[w].astype(np.int64))],
-                    "grams": [grams[g].tobytes()], "gram_counts": [B.pack(gram_counts[g].astype(np.int64))],
-                })
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """A part of the count tables: totals by key, in each asking block's order; counts of counts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    totals = {}
-    stats = {f"{k}{r}": 0 for k in "wg" for r in range(1, CUTOFF + 2)} | {"tokens": 0, "types": 0}
-    owned = None
-    for kind, name in (("w", "word"), ("g", "gram")):
-        keys = [np.frombuffer(r[f"{name}s"], np.uint64) for r in rows]
-        counts = np.concatenate([B.unpack(r[f"{name}_counts"], np.int64) for r in rows])
-        distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(at, counts, distinct.size).astype(np.int64)
-        edges = np.cumsum([0, *[k.size for k in keys]])
-        totals[name] = [total[at[a:b]] for a, b in zip(edges, edges[1:])]
-        if kind == "g":
-            mark = np.zeros(at.size, bool)
-            mark[first] = True
-            owned = [mark[a:b] for a, b in zip(edges, edges[1:])]
-        else:
-            total = total[distinct != START]
-            stats |= {"tokens": int(total.sum()), "types": int((total > 0).sum())}
-        for r in range(1, CUTOFF + 2):
-            stats[f"{kind}{r}"] = int((total == r).sum())
-    none = dict.fromkeys(stats, 0)
-    out = [
-        {"block": r["block"], "part": r["part"], "word_totals": B.pack(w), "gram_totals": B.pack(g), "owned": B.pack(o)} | (none if i else stats)
-        for i, (r, w, g, o) in enumerate(zip(rows, totals["word"], totals["gram"], owned))
-    ]
-    return B.as_table(out, _REPLY)
+            out = B.messages(COUNTS, row["block"], {"keys": block.keys, "times": block.counts()})
+            yield from B.as_table(out, B.asked_fields(COUNTS)).to_batches()
 
 
 class Model:
@@ -177,12 +152,10 @@ class Answers:
 
     def __init__(self, row: dict, replies: list[dict], model: Model):
         self.block = Block(row)
-        replies = sorted((r for r in replies if r["word_totals"] is not None), key=lambda r: r["part"])
-        self.word_totals = np.concatenate([B.unpack(r["word_totals"], np.int64) for r in replies])
-        _, order = self.block.bigrams()
-        self.gram_totals, self.owned = np.empty(order.size, np.int64), np.empty(order.size, bool)
-        self.gram_totals[order] = np.concatenate([B.unpack(r["gram_totals"], np.int64) for r in replies])
-        self.owned[order] = np.concatenate([B.unpack(r["owned"], bool) for r in replies])
+        told, words = COUNTS.take(replies), self.block.words.size
+        totals = told["totals"][self.block.at]
+        self.word_totals, self.gram_totals = totals[:words], totals[words:]
+        self.owned = told["owned"][self.block.at][words:] > 0
         self.left, self.right = np.divmod(self.block.pairs, self.block.words.size)
         self.unigram = model.unigram(self.word_totals)
         contexts = np.maximum(self.word_totals[self.left], 1)
@@ -190,7 +163,7 @@ class Answers:
         self.bigram = np.where(self.seen, model.gram_discount[np.minimum(self.gram_totals, CUTOFF + 1)] * self.gram_totals / contexts, 0.0)
 
 
-def _sums(left: pa.Table, right: pa.Table, model: Model, bits: int) -> pa.Table:
+def _sums(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
     """By context: discounted and lower-order mass of the bigrams this block answers for."""
     (row,), replies = left.to_pylist(), right.to_pylist()
     a = Answers(row, replies, model)
@@ -198,30 +171,14 @@ def _sums(left: pa.Table, right: pa.Table, model: Model, bits: int) -> pa.Table:
     size = a.block.words.size
     seen = np.bincount(a.left[mine], a.bigram[mine], size)
     lower = np.bincount(a.left[mine], a.unigram[a.right[mine]], size)
-    edges = B.part_edges(a.block.words, bits)
-    out = [
-        {"part": p, "block": row["block"], "words": a.block.words[lo:hi].tobytes(), "seen": B.pack(seen[lo:hi]), "lower": B.pack(lower[lo:hi])}
-        for p, (lo, hi) in enumerate(zip(edges, edges[1:]))
-    ]
-    return B.as_table(out, [("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("seen", pa.binary()), ("lower", pa.binary())])
-
-
-def _weights(table: pa.Table) -> pa.Table:
-    """A part of the backoff table: both sums of each context, in each asking block's order."""
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    edges = np.cumsum([0, *[k.size for k in keys]])
-    sums = [np.bincount(at, np.concatenate([B.unpack(r[c], np.float64) for r in rows])) for c in ("seen", "lower")]
-    out = [{"block": r["block"], "part": r["part"], "seen": B.pack(sums[0][at[a:b]]), "lower": B.pack(sums[1][at[a:b]])} for r, a, b in zip(rows, edges, edges[1:])]
-    return B.as_table(out, [("block", pa.int64()), ("part", pa.int32()), ("seen", pa.binary()), ("lower", pa.binary())])
+    return B.as_table(B.messages(WEIGHTS, row["block"], {"keys": a.block.words, "seen": seen, "lower": lower}), B.asked_fields(WEIGHTS))
 
 
 def _evaluate(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
     (row,), replies = left.to_pylist(), right.to_pylist()
     a = Answers(row, replies, model)
-    weights = sorted((r for r in replies if r["seen"] is not None), key=lambda r: r["part"])
-    seen, lower = (np.concatenate([B.unpack(r[c], np.float64) for r in weights]) for c in ("seen", "lower"))
+    weights = WEIGHTS.take(replies)
+    seen, lower = weights["seen"], weights["lower"]
     scale = np.where(seen > 1 - 1e-12, a.word_totals / (a.word_totals + 1.0), 1.0)
     backoff = (1 - scale * seen) / np.maximum(1 - lower, 1e-300)
     p = np.where(a.seen, scale[a.left] * a.bigram, backoff[a.left] * a.unigram[a.right])
@@ -246,28 +203,22 @@ def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id",
     ``held_out``: a boolean Column over docs; rows where it is true are scored but
     teach nothing (null: they teach).  Null and empty texts are one end token.
     Each row is a text of its own, repeated rows included; null ids are kept as
-    null.  With no training text every token has probability 1 in ``score``.  An
-    empty table gives an empty table.  Whole texts are used, and every n-gram of
-    the training texts is counted.
+    null.  With no training text every token has probability 1 in ``score``.
+    Other columns, whatever their names, are not looked at.  An empty table gives
+    an empty table.  Whole texts of any length are used, and every n-gram of the
+    training texts is counted.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "katz")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     made = B.make_blocks(rows, "block long, tokens binary, words binary, lengths binary, held binary, ids array<long>", B.text_weight, block_tokens, _build)
     blocks = work.put(made, "blocks")
-    bits = B.part_bits(blocks.select("block").count())
-    asked = blocks.mapInArrow(partial(_ask, bits=bits), _REQUEST)
-    counts = work.put(asked.groupBy("part").applyInArrow(_count, _REPLY_DDL), "counts")
-    release(spark)
-    stats = counts.agg(*[F.sum(c).alias(c) for c in [*[f"{k}{r}" for k in "wg" for r in range(1, CUTOFF + 2)], "tokens", "types"]]).first().asDict()
+    count = blocks.select("block").count()
+    replies, stats = B.exchange(work, "counts", blocks.mapInArrow(_ask, B.asked_schema(COUNTS)), count, COUNTS)
     model = Model(stats)
-    replies = counts.select("block", "part", "word_totals", "gram_totals", "owned")
-    sums = (
-        blocks.groupBy("block").cogroup(replies.groupBy("block"))
-        .applyInArrow(lambda a, b: _sums(a, b, model, bits), "part int, block long, words binary, seen binary, lower binary")
-    )
-    weights = work.put(sums.groupBy("part").applyInArrow(_weights, "block long, part int, seen binary, lower binary"), "weights")
-    release(spark)
+    replies = replies.select("block", "part", "totals", "owned")
+    sums = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _sums(a, b, model), B.asked_schema(WEIGHTS))
+    weights, _ = B.exchange(work, "weights", sums, count, WEIGHTS)
     both = replies.unionByName(weights, allowMissingColumns=True)
     out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         lambda a, b: _evaluate(a, b, model),

@@ -4,19 +4,22 @@ Every string of ``length`` bytes that occurred earlier (in a text with a smaller
 id, or further left in the same text) is removed wherever it occurs again.
 
 Method: threshold-bounded interval expansion.  On the Burrows-Wheeler transform
-of a text, the suffixes that begin with a string form an interval; backward
-extension by a character gives the intervals of longer strings, breadth first,
-so common prefixes come out by increasing value; singletons drop out at once and
-the expansion stops at the least length.  What is left are the intervals of all
-repeated strings of that length.
+of a text, the suffixes that begin with a string form an interval.  Expansion
+begins with the empty string's interval; backward extension by a character gives
+the intervals of longer strings, breadth first, so common prefixes come out by
+increasing value; singletons drop out at once and the expansion stops at the
+least length.  What is left are the intervals of all repeated strings of that
+length.  An interval is its two ends: the transform's runs of equal characters
+tell which characters come before it, at a cost that does not depend on its size.
 
 The corpus is too large for one transform, so equal strings are brought
 together first.  Each string of ``length`` bytes holds an anchor, the substring
 of ``ANCHOR`` bytes with the smallest hash, chosen by content alone; equal
 strings have equal anchors at equal places.  An anchor's surroundings within
-reach of any such string (its context) go to the part that owns the anchor's
-key, if the anchor occurs twice at all; equal contexts are sent once a block,
-and the part decides all strings in them by its own transform.
+reach of any such string (its context) go to the unit that holds the anchor's
+key (see ``blocks.exchange``), if the anchor occurs twice at all; equal contexts
+become one on their way, and the unit decides all strings in them by its own
+transform.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.llm import blocks as B
-from vistaspark.sources.workspace import Workspace, release
+from vistaspark.sources.workspace import Workspace
 
 ANCHOR = 32
 _SLICE = 1 << 18
@@ -128,26 +131,21 @@ class Anchors:
         return out
 
 
-def _ask(batches, bits: int, length: int):
-    """Distinct anchor keys of each block by part, and which occur more than once in the block."""
+def _repeated(keys: np.ndarray, totals: dict) -> tuple[dict, dict]:
+    return {"repeated": totals["times"] > 1}, {}
+
+
+#: Which anchors occur twice or more; a block tells one place from several.
+ANCHOR_COUNTS = B.Sums({"times": "u4"}, {"repeated": "u1"}, _repeated)
+
+
+def _ask(batches, length: int):
+    """Distinct anchor keys of each block, and which occur more than once in the block."""
     for batch in batches:
         for row in batch.to_pylist():
             keys, counts = np.unique(Anchors(row, length).key, return_counts=True)
-            edges = B.part_edges(keys, bits)
-            for p, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": [row["block"]], "keys": [keys[lo:hi].tobytes()], "many": [B.pack(counts[lo:hi] > 1)]})
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """Which keys occur twice or more, in each asking block's order."""
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    _, at, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    many = np.bincount(at, np.concatenate([B.unpack(r["many"], bool) for r in rows]), blocks.size) > 0
-    repeated = (many | (blocks > 1))[at]
-    edges = np.cumsum([0, *[k.size for k in keys]])
-    out = [{"block": r["block"], "part": r["part"], "repeated": B.pack(repeated[a:b])} for r, a, b in zip(rows, edges, edges[1:])]
-    return B.as_table(out, [("block", pa.int64()), ("part", pa.int32()), ("repeated", pa.binary())])
+            out = B.messages(ANCHOR_COUNTS, row["block"], {"keys": keys, "times": np.minimum(counts, 2).astype("u4")})
+            yield from B.as_table(out, B.asked_fields(ANCHOR_COUNTS)).to_batches()
 
 
 class Contexts:
@@ -155,10 +153,8 @@ class Contexts:
 
     def __init__(self, row: dict, replies: list[dict], length: int):
         self.anchors = a = Anchors(row, length)
-        parts = sorted((r for r in replies if r["repeated"] is not None), key=lambda r: r["part"])
-        if parts:
-            _, at = np.unique(a.key, return_inverse=True)
-            a.only(np.concatenate([B.unpack(r["repeated"], bool) for r in parts])[at])
+        _, at = np.unique(a.key, return_inverse=True)
+        a.only(ANCHOR_COUNTS.take(replies)["repeated"][at] > 0)
         last = np.iinfo(np.int64).max
         self.ids = np.array([last if i is None else i for i in row["ids"]], np.int64)
         context = a.context_keys()
@@ -176,25 +172,88 @@ class Contexts:
         self.is_first[self.first] = True
 
 
-def _send(left: pa.Table, right: pa.Table, bits: int, length: int) -> pa.Table:
+class ContextMerge(B.Sums):
+    """Merging of contexts: equal ones become one, that of the first text; the unit that holds an anchor decides its strings.
+
+    ``first`` is told to the block with a context's first occurrence, with the strings in it that occur ``earlier``.
+    """
+
+    def __init__(self, length: int, batch_bytes: int):
+        super().__init__(dict.fromkeys(("contexts", "bytes", "sizes", "ids", "texts", "starts"), ""), {"first": "u1", "earlier": "u1"}, None)
+        self.length, self.batch_bytes = length, batch_bytes
+        self.width = -(-(length - ANCHOR + 1) // 8)
+
+    def dump(self, data: dict, lo: int, hi: int) -> dict[str, bytes]:
+        at = data["offset"][lo] if lo < hi else 0
+        end = data["offset"][hi - 1] + data["sizes"][hi - 1] if lo < hi else 0
+        return {
+            "keys": B.pack_sorted(data["keys"][lo:hi]), "contexts": data["contexts"][lo:hi].tobytes(), "bytes": B.pack(data["bytes"][at:end]), "sizes": B.pack(data["sizes"][lo:hi].astype(np.uint16)),
+            "ids": B.pack_sorted(data["ids"][lo:hi]), "texts": B.pack_sorted(data["texts"][lo:hi]), "starts": B.pack_sorted(data["starts"][lo:hi]),
+        }
+
+    def load(self, row: dict) -> dict:
+        sizes = B.unpack(row["sizes"], np.uint16).astype(np.int64)
+        return {
+            "keys": B.unpack_sorted(row["keys"], np.uint64), "contexts": np.frombuffer(row["contexts"], np.uint64), "bytes": B.unpack(row["bytes"], np.uint8), "sizes": sizes,
+            "offset": np.cumsum(sizes) - sizes, **{n: B.unpack_sorted(row[n], np.int64) for n in ("ids", "texts", "starts")},
+        }
+
+    @staticmethod
+    def chosen(data: dict, which: np.ndarray) -> dict:
+        sizes = data["sizes"][which]
+        offset = np.cumsum(sizes) - sizes
+        at = np.repeat(data["offset"][which] - offset, sizes) + np.arange(sizes.sum())
+        return {n: data[n][which] for n in ("keys", "contexts", "sizes", "ids", "texts", "starts")} | {"bytes": data["bytes"][at], "offset": offset}
+
+    def _joined(self, parts: list[dict]) -> tuple[dict, np.ndarray, np.ndarray]:
+        """All parts' contexts; the number of each one's kind, and each kind's first occurrence."""
+        data = {n: np.concatenate([p[n] for p in parts]) for n in ("keys", "contexts", "bytes", "sizes", "ids", "texts", "starts")}
+        data["offset"] = np.cumsum(data["sizes"]) - data["sizes"]
+        order = np.lexsort((data["starts"], data["texts"], data["ids"], data["contexts"], data["keys"]))
+        k, c = data["keys"][order], data["contexts"][order]
+        new = np.ones(order.size, bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        number = np.empty(order.size, np.int64)
+        number[order] = np.cumsum(new) - 1
+        return data, number, order[new]
+
+    def merge(self, parts: list[dict]) -> tuple[dict, np.ndarray, np.ndarray]:
+        data, number, first = self._joined(parts)
+        owner = np.searchsorted(np.cumsum([p["keys"].size for p in parts]), first, side="right")
+        return self.chosen(data, first), number, owner
+
+    def answers(self, parts: list[dict], children: list[int]) -> tuple[list[dict], dict]:
+        data, _, first = self._joined(parts)
+        is_first = np.zeros(data["keys"].size, bool)
+        is_first[first] = True
+        earlier = decide(data, first, self.length, self.batch_bytes)
+        edges = np.cumsum([0, *[p["keys"].size for p in parts]])
+        return [{"first": is_first[a:b], "earlier": earlier[a:b]} for a, b in zip(edges, edges[1:])], {}
+
+    def pick(self, reply: dict, at: np.ndarray, mine: np.ndarray) -> dict:
+        first = (reply["first"][at] > 0) & mine
+        return {"first": first, "earlier": np.where(first[:, None], reply["earlier"][at], np.uint8(0))}
+
+    def give(self, reply: dict) -> dict[str, bytes]:
+        return {"first": B.pack(reply["first"].astype(np.uint8)), "earlier": B.pack(reply["earlier"])}
+
+    def take(self, rows: list[dict]) -> dict:
+        rows = sorted((r for r in rows if r["first"] is not None), key=lambda r: r["part"])
+        first = [B.unpack(r["first"], np.uint8) for r in rows]
+        earlier = [B.unpack(r["earlier"], np.uint8).reshape(-1, self.width) for r in rows]
+        return {"first": np.concatenate([np.zeros(0, np.uint8), *first]), "earlier": np.concatenate([np.zeros((0, self.width), np.uint8), *earlier])}
+
+
+def _send(left: pa.Table, right: pa.Table, m: ContextMerge) -> pa.Table:
     (row,), replies = left.to_pylist(), right.to_pylist()
-    c = Contexts(row, replies, length)
+    c = Contexts(row, replies, m.length)
     a, f = c.anchors, c.first
-    edges = B.part_edges(c.keys, bits)
-    out = []
-    for p, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        if lo == hi:
-            continue
-        some = f[lo:hi]
-        sizes = a.hi[some] - a.lo[some]
-        at = np.repeat(a.lo[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        out.append({
-            "part": p, "block": row["block"], "keys": c.keys[lo:hi].tobytes(), "contexts": c.contexts[lo:hi].tobytes(), "bytes": B.pack(a.data[at]),
-            "sizes": B.pack(sizes.astype(np.uint16)), "ids": B.pack(c.ids[a.doc[some]]), "rows": B.pack(a.doc[some].astype(np.uint32)),
-            "starts": B.pack((a.lo[some] - a.start_of_doc[some]).astype(np.int64)),
-        })
-    kinds = [("part", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("keys", "contexts", "bytes", "sizes", "ids", "rows", "starts")]]
-    return B.as_table(out, kinds)
+    whole = {
+        "keys": a.key, "contexts": np.zeros(a.key.size, np.uint64), "bytes": a.data, "sizes": a.hi - a.lo, "offset": a.lo,
+        "ids": c.ids[a.doc], "texts": (row["block"] << B.ROW_BITS) + a.doc, "starts": a.lo - a.start_of_doc,
+    }
+    data = m.chosen(whole, f) | {"contexts": c.contexts}
+    return B.as_table(B.messages(m, row["block"], data), B.asked_fields(m))
 
 
 def repeated_intervals(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,80 +273,71 @@ def repeated_intervals(text: np.ndarray, sizes: np.ndarray, length: int) -> tupl
     key = np.zeros(n, np.int64)
     for k in range(6):
         shifted = np.zeros(n, np.int64)
-        shifted[: n - k] = symbols[k:]
+        shifted[: max(0, n - k)] = symbols[k:]
         key = key * 512 + np.where(k <= to_end, shifted, 0)
     rank = np.unique(key, return_inverse=True)[1]
-    depth, before = 6, None
-    longest = int(sizes.max(initial=0)) + 1
-    begun = None
+    depth, longest = 6, int(sizes.max(initial=0)) + 1
     while depth < longest and rank.max(initial=0) < n - 1:
         after = np.zeros(n, np.int64)
-        after[: n - depth] = rank[depth:] + 1
+        after[: max(0, n - depth)] = rank[depth:] + 1
         after[depth > to_end] = 0
         rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
         depth *= 2
-        if depth <= length:
-            before, begun = depth, rank
-    if begun is None:
-        before, begun = 6, np.unique(key, return_inverse=True)[1]
     suffixes = np.argsort(rank, kind="stable")
     # The transform: the symbol before each suffix (none across strings), and where a step back leads.
     transform = np.where(suffixes > 0, symbols[suffixes - 1], 0)
     back = np.empty(n, np.int64)
-    back[np.argsort(transform, kind="stable")] = np.arange(n)
-    # Intervals of the strings of the depth reached by sorting, then breadth-first one symbol at a time.
-    active = np.arange(n)
-    group = begun[suffixes]
-    whole = to_end[suffixes] >= before
-    active, group = active[whole], group[whole]
-
-    def repeated(active: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks in intervals of two or more; ``same``: whether a rank belongs with the one before it."""
-        number = np.cumsum(~same) - 1
-        keep = np.bincount(number)[number] > 1
-        return active[keep], number[keep]
-
-    if active.size:
-        active, group = repeated(active, np.concatenate([[False], group[1:] == group[:-1]]))
-    for _ in range(length - before):
-        if not active.size:
+    back[np.argsort(transform.astype(np.uint16), kind="stable")] = np.arange(n)
+    # Its runs of equal symbols.
+    new = np.ones(n, bool)
+    new[1:] = transform[1:] != transform[:-1]
+    run = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], n)
+    # Intervals [lo, hi) of the empty string, of single symbols, and so on; those of one suffix drop out.
+    lo, hi = (np.array([0]), np.array([n])) if n > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for _ in range(length):
+        if not lo.size:
             break
-        symbol = transform[active]
-        inside = symbol > 0
-        active, group, symbol = active[inside], group[inside], symbol[inside]
-        order = np.argsort(symbol.astype(np.uint16), kind="stable")
-        active, group, symbol = back[active[order]], group[order], symbol[order]
-        if active.size:
-            active, group = repeated(active, np.concatenate([[False], (group[1:] == group[:-1]) & (symbol[1:] == symbol[:-1])]))
-    return suffixes[active] - np.searchsorted(ends, suffixes[active]), group
-
-
-def _decide(table: pa.Table, length: int, batch_bytes: int) -> pa.Table:
-    """For each block's contexts: whether it holds the first occurrence, and if so which strings in it occur earlier."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    counts = [len(r["keys"]) // 8 for r in rows]
-    join = lambda name, dtype: np.concatenate([B.unpack(r[name], dtype) for r in rows])
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
-    contexts = np.frombuffer(b"".join(r["contexts"] for r in rows), np.uint64)
-    data, sizes, ids, starts = join("bytes", np.uint8), join("sizes", np.uint16).astype(np.int64), join("ids", np.int64), join("starts", np.int64)
-    text = np.repeat([r["block"] << 24 for r in rows], counts) + join("rows", np.uint32)
-    offset = np.cumsum(sizes) - sizes
-    order = np.lexsort((starts, text, ids, contexts, keys))
-    k, c = keys[order], contexts[order]
-    new = np.ones(order.size, bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    first = order[new]
-    is_first = np.zeros(order.size, bool)
-    is_first[first] = True
+        first, last = run[lo], run[hi - 1]
+        inner = first == last
+        # One symbol comes before all of it.
+        at = np.flatnonzero(inner & (transform[lo] > 0))
+        next_lo, next_hi = [back[lo[at]]], [back[hi[at] - 1] + 1]
+        # Several do: the runs within, gathered by symbol.
+        at = np.flatnonzero(~inner)
+        pieces = last[at] - first[at] + 1
+        which = np.repeat(at, pieces)
+        of_run = np.repeat(first[at] - (np.cumsum(pieces) - pieces), pieces) + np.arange(pieces.sum())
+        a, b = np.maximum(lo[which], begin[of_run]), np.minimum(hi[which], end[of_run])
+        symbol = transform[a]
+        order = np.lexsort((a, symbol, which))
+        order = order[symbol[order] > 0]
+        which, symbol, a, b = which[order], symbol[order], a[order], b[order]
+        head = np.ones(order.size, bool)
+        head[1:] = (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])
+        tail = np.append(head[1:], True)[: order.size]
+        child_lo, child_hi = back[a[head]], back[b[tail] - 1] + 1
+        more = child_hi - child_lo > 1
+        lo, hi = np.concatenate([*next_lo, child_lo[more]]), np.concatenate([*next_hi, child_hi[more]])
+    sizes_of = hi - lo
+    at = np.repeat(lo - (np.cumsum(sizes_of) - sizes_of), sizes_of) + np.arange(sizes_of.sum())
+    places = suffixes[at]
+    return places - np.searchsorted(ends, places), np.repeat(np.arange(lo.size), sizes_of)
+
+
+def decide(data: dict, first: np.ndarray, length: int, batch_bytes: int) -> np.ndarray:
+    """Which strings in the contexts occur earlier, as packed bits; ``first``: the distinct contexts, by anchor."""
+    keys, sizes, ids, text, starts, offset = (data[n] for n in ("keys", "sizes", "ids", "texts", "starts", "offset"))
     # Only anchors with several contexts need the transform.
     key_of = keys[first]
     new_key = np.ones(first.size, bool)
     new_key[1:] = key_of[1:] != key_of[:-1]
     of_key = np.cumsum(new_key) - 1
-    several = np.bincount(of_key)[of_key] > 1
+    several = np.bincount(of_key)[of_key] > 1 if first.size else np.zeros(0, bool)
     some, of_key = first[several], of_key[several]
     strings = length - ANCHOR + 1
-    earlier = np.zeros((order.size, strings), bool)
+    earlier = np.zeros((keys.size, strings), bool)
     # Whole anchors are dealt into transforms of about batch_bytes.
     batch = np.cumsum(sizes[some]) // batch_bytes
     if some.size:
@@ -297,7 +347,7 @@ def _decide(table: pa.Table, length: int, batch_bytes: int) -> pa.Table:
         size = sizes[part]
         base = np.cumsum(size) - size
         at = np.repeat(offset[part] - base, size) + np.arange(size.sum())
-        places, group = repeated_intervals(data[at], size, length)
+        places, group = repeated_intervals(data["bytes"][at], size, length)
         owner = np.searchsorted(base, places, side="right") - 1
         inner = places - base[owner]
         who = part[owner]
@@ -309,24 +359,18 @@ def _decide(table: pa.Table, length: int, batch_bytes: int) -> pa.Table:
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = (start != start[lead]) | (text[who] != text[who[lead]])
         earlier[who[later], inner[later]] = True
-    edges = np.cumsum([0, *counts])
-    out = [
-        {"block": r["block"], "part": r["part"], "first": B.pack(is_first[a:b]), "earlier": B.pack(np.packbits(earlier[a:b], axis=1))}
-        for r, a, b in zip(rows, edges, edges[1:])
-    ]
-    return B.as_table(out, [("block", pa.int64()), ("part", pa.int32()), ("first", pa.binary()), ("earlier", pa.binary())])
+    return np.packbits(earlier, axis=1)
 
 
-def _remove(left: pa.Table, right: pa.Table, length: int, keep_text: bool) -> pa.Table:
+def _remove(left: pa.Table, right: pa.Table, m: ContextMerge, keep_text: bool) -> pa.Table:
     (row,), replies = left.to_pylist(), right.to_pylist()
+    length = m.length
     c = Contexts(row, replies, length)
     a = c.anchors
-    told = sorted((r for r in replies if r["first"] is not None), key=lambda r: r["part"])
     edge = np.zeros(a.data.size + 1, np.int64)
-    if told and a.place.size:
-        first = np.concatenate([B.unpack(r["first"], bool) for r in told])
-        strings = length - ANCHOR + 1
-        earlier = np.concatenate([np.unpackbits(B.unpack(r["earlier"], np.uint8).reshape(-1, -(-strings // 8)), axis=1)[:, :strings] for r in told])
+    if a.place.size:
+        told = m.take(replies)
+        first, earlier = told["first"] > 0, np.unpackbits(told["earlier"], axis=1)[:, : length - ANCHOR + 1]
         lead = c.is_first & first[c.number]
         gone = ~lead & (a.hi - a.lo >= length)
         np.add.at(edge, a.lo[gone], 1)
@@ -358,26 +402,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     untouched.  Overlapping strings count, as do strings that overlap themselves.
     What is removed is judged on the input.  Rows that share an id come in the
     order in which they are read; null ids come last.  Repeated rows lose all but
-    what is new in the first.  An empty table gives an empty table.  ``length``
-    must exceed the anchor's 32 bytes.
+    what is new in the first.  Other columns, whatever their names, are not looked
+    at.  An empty table gives an empty table.  ``length`` must exceed the anchor's
+    32 bytes.
     """
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     spark = docs.sparkSession
     work = Workspace(spark, "suffix")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"))
     weigh = lambda r: len(r["text"] or "") + 64
     blocks = work.put(B.make_blocks(rows, "block long, data binary, lengths binary, ids array<long>", weigh, block_bytes, _build), "blocks")
-    bits = B.part_bits(blocks.select("block").count())
-    repeated = work.put(
-        blocks.mapInArrow(partial(_ask, bits=bits, length=length), "part int, block long, keys binary, many binary")
-        .groupBy("part").applyInArrow(_repeated, "block long, part int, repeated binary"), "repeated")
-    release(spark)
-    sent = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(
-        lambda a, b: _send(a, b, bits, length), "part int, block long, keys binary, contexts binary, bytes binary, sizes binary, ids binary, rows binary, starts binary")
-    decided = work.put(sent.groupBy("part").applyInArrow(lambda t: _decide(t, length, batch_bytes), "block long, part int, first binary, earlier binary"), "decided")
-    release(spark)
+    count = blocks.select("block").count()
+    asked = blocks.mapInArrow(partial(_ask, length=length), B.asked_schema(ANCHOR_COUNTS))
+    repeated, _ = B.exchange(work, "anchors", asked, count, ANCHOR_COUNTS)
+    repeated = repeated.select("block", F.col("part"), "repeated")
+    m = ContextMerge(length, batch_bytes)
+    sent = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, m), B.asked_schema(m))
+    decided, _ = B.exchange(work, "contexts", sent, count, m)
     told = repeated.unionByName(decided, allowMissingColumns=True)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<long>" if keep_text else "")
-    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, length, keep_text), schema)
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, m, keep_text), schema)
     return out.withColumnRenamed("id", id_col)
