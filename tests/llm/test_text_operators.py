@@ -48,7 +48,7 @@ def test_suffix_dedup(docs, rows, empty):
             seen.add(s)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want.append((rows[k][0], len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), sha(kept)))
-    out = suffix_dedup.remove_repeats(docs, block_bytes=3000).collect()
+    out = suffix_dedup.remove_repeats(docs, block_bytes=900).collect()
     got = bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
     assert got == bag(want) and sum(w[2] for w in want) > 1000
     for r in out:

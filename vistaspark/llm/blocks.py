@@ -153,15 +153,15 @@ def _merge(table: pa.Table, m: Sums, level: int) -> pa.Table:
     children, parts = _children(table, m)
     data, at, owner = m.merge(parts)
     unit = (group << (FAN_BITS * level)) | prefix
-    blank = dict.fromkeys(["keys", *m.up, "children", "sizes", "places", "owner"])
+    blank = dict.fromkeys(["keys", *m.up, "children", "counts", "places", "owner"])
     sizes = np.array([p["keys"].size for p in parts], np.int64)
     # Each child's places rise: differences are small.
     places = np.diff(at, prepend=0)
     places[np.cumsum(sizes)[:-1][sizes[1:] > 0]] = at[np.cumsum(sizes)[:-1][sizes[1:] > 0]]
-    out = [blank | {"unit": unit, "group": group, "prefix": prefix, "digit": -1, "children": children, "sizes": pack(sizes), "places": pack_sorted(places.astype(np.uint32)), "owner": pack_sorted(owner.astype(np.uint16))}]
+    out = [blank | {"unit": unit, "group": group, "prefix": prefix, "digit": -1, "children": children, "counts": pack(sizes), "places": pack_sorted(places.astype(np.uint32)), "owner": pack_sorted(owner.astype(np.uint16))}]
     edges = digit_edges(data["keys"], level)
     out += [blank | {"unit": unit, "group": group, "prefix": prefix, "digit": d} | m.dump(data, lo, hi) for d, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
-    binary = [(n, pa.binary()) for n in ("keys", *m.up, "sizes", "places", "owner")]
+    binary = [(n, pa.binary()) for n in ("keys", *m.up, "counts", "places", "owner")]
     return as_table(out, [*[(n, pa.int64()) for n in ("unit", "group", "prefix", "digit")], ("children", pa.list_(pa.int64())), *binary])
 
 
@@ -182,7 +182,7 @@ def _pass_on(left: pa.Table, right: pa.Table, m: Sums) -> pa.Table:
     """A unit's replies, handed to its children."""
     (row,) = right.to_pylist()
     reply = m.take(left.to_pylist())
-    sizes = unpack(row["sizes"], np.int64)
+    sizes = unpack(row["counts"], np.int64)
     places, owner = unpack_sorted(row["places"], np.uint32), unpack_sorted(row["owner"], np.uint16)
     out, at = [], 0
     for k, (child, n) in enumerate(zip(row["children"], sizes)):
@@ -197,7 +197,7 @@ def exchange(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums)
     levels = levels_of(blocks)
     up = asked.select(
         F.col("block").alias("child"), F.pmod(F.xxhash64("block"), F.lit(-(-blocks // FAN))).alias("group"), F.col("digit").alias("prefix"), "keys", *m.up)
-    middle = "unit long, group long, prefix long, digit long, children array<long>, keys binary" + "".join(f", {n} binary" for n in (*m.up, "sizes", "places", "owner"))
+    middle = "unit long, group long, prefix long, digit long, children array<long>, keys binary" + "".join(f", {n} binary" for n in (*m.up, "counts", "places", "owner"))
     replies = "child long, part long" + "".join(f", {n} binary" for n in m.down)
     merged = []
     for level in range(1, levels):
@@ -208,7 +208,7 @@ def exchange(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums)
     extra = answers.agg(*[F.sum(n).alias(n) for n in m.extra]).first().asDict() if m.extra else {}
     answers = answers.drop(*m.extra)
     for level in range(levels - 1, 0, -1):
-        kept = merged[level - 1].where("digit < 0").select("unit", "prefix", "children", "sizes", "places", "owner")
+        kept = merged[level - 1].where("digit < 0").select("unit", "prefix", "children", "counts", "places", "owner")
         answers = answers.groupBy("child").cogroup(kept.groupBy("unit")).applyInArrow(lambda a, b: _pass_on(a, b, m), replies)
     if levels > 1:
         answers = work.put(answers, f"{name}-replies")
