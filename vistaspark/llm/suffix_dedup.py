@@ -269,57 +269,59 @@ def repeated_intervals(text: np.ndarray, sizes: np.ndarray, length: int) -> tupl
     inner[ends] = False
     symbols[inner] = text.astype(np.int64) + 1
     to_end = np.repeat(ends, sizes + 1) - np.arange(n)
-    # Order of the suffixes, each ending at its string's end: 6 symbols at once, then doubling.
+    # Order of the suffixes, each ending at its string's end, by their first ``length`` symbols or more (ties by place,
+    # which suffices for strings of that length): 7 symbols at once, then doubling.
     key = np.zeros(n, np.int64)
-    for k in range(6):
-        shifted = np.zeros(n, np.int64)
-        shifted[: max(0, n - k)] = symbols[k:]
-        key = key * 512 + np.where(k <= to_end, shifted, 0)
+    for k in range(7):
+        key <<= 9
+        key[: max(0, n - k)] += np.where(k <= to_end, np.append(symbols[k:], np.zeros(min(k, n), np.int64)), 0)[: max(0, n - k)]
     rank = np.unique(key, return_inverse=True)[1]
-    depth, longest = 6, int(sizes.max(initial=0)) + 1
+    depth, longest = 7, min(length, int(sizes.max(initial=0)) + 1)
     while depth < longest and rank.max(initial=0) < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - depth)] = rank[depth:] + 1
-        after[depth > to_end] = 0
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
+        key = rank * (n + 1)
+        key[: max(0, n - depth)] += np.where(depth <= to_end, np.append(rank[depth:] + 1, np.zeros(min(depth, n), np.int64)), 0)[: max(0, n - depth)]
+        rank = np.unique(key, return_inverse=True)[1]
         depth *= 2
-    suffixes = np.argsort(rank, kind="stable")
+    suffixes = np.argsort(rank * n + np.arange(n)).astype(np.int32)
     # The transform: the symbol before each suffix (none across strings), and where a step back leads.
-    transform = np.where(suffixes > 0, symbols[suffixes - 1], 0)
-    back = np.empty(n, np.int64)
-    back[np.argsort(transform.astype(np.uint16), kind="stable")] = np.arange(n)
+    transform = np.where(suffixes > 0, symbols[suffixes - 1], 0).astype(np.uint16)
+    back = np.empty(n, np.int32)
+    back[np.argsort(transform, kind="stable")] = np.arange(n, dtype=np.int32)
     # Its runs of equal symbols.
     new = np.ones(n, bool)
     new[1:] = transform[1:] != transform[:-1]
-    run = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], n)
+    run = (np.cumsum(new) - 1).astype(np.int32)
+    begin = np.flatnonzero(new).astype(np.int32)
+    end = np.append(begin[1:], np.int32(n))
     # Intervals [lo, hi) of the empty string, of single symbols, and so on; those of one suffix drop out.
-    lo, hi = (np.array([0]), np.array([n])) if n > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    lo, hi = (np.array([x], np.int32) if n > 1 else np.zeros(0, np.int32) for x in (0, n))
     for _ in range(length):
         if not lo.size:
             break
-        first, last = run[lo], run[hi - 1]
-        inner = first == last
+        first = run[lo]
+        inner = end[first] >= hi
         # One symbol comes before all of it.
-        at = np.flatnonzero(inner & (transform[lo] > 0))
-        next_lo, next_hi = [back[lo[at]]], [back[hi[at] - 1] + 1]
+        at = np.flatnonzero(inner)
+        at = at[transform[lo[at]] > 0]
+        one_lo, one_hi = back[lo[at]], back[hi[at] - 1] + 1
         # Several do: the runs within, gathered by symbol.
         at = np.flatnonzero(~inner)
-        pieces = last[at] - first[at] + 1
+        pieces = run[hi[at] - 1] - first[at] + 1
         which = np.repeat(at, pieces)
         of_run = np.repeat(first[at] - (np.cumsum(pieces) - pieces), pieces) + np.arange(pieces.sum())
-        a, b = np.maximum(lo[which], begin[of_run]), np.minimum(hi[which], end[of_run])
-        symbol = transform[a]
-        order = np.lexsort((a, symbol, which))
-        order = order[symbol[order] > 0]
-        which, symbol, a, b = which[order], symbol[order], a[order], b[order]
-        head = np.ones(order.size, bool)
-        head[1:] = (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])
-        tail = np.append(head[1:], True)[: order.size]
-        child_lo, child_hi = back[a[head]], back[b[tail] - 1] + 1
-        more = child_hi - child_lo > 1
-        lo, hi = np.concatenate([*next_lo, child_lo[more]]), np.concatenate([*next_hi, child_hi[more]])
+        symbol = transform[begin[of_run]]
+        known = symbol > 0
+        which, of_run, symbol = which[known], of_run[known], symbol[known]
+        by = which * 512 + symbol
+        order = np.argsort(by)
+        by = by[order]
+        head = np.flatnonzero(np.concatenate([by[:1] == by[:1], by[1:] != by[:-1]]))
+        if head.size:
+            low, high = np.maximum(lo[which], begin[of_run])[order], np.minimum(hi[which], end[of_run])[order]
+            child_lo, child_hi = np.minimum.reduceat(back[low], head), np.maximum.reduceat(back[high - 1], head) + 1
+            more = child_hi - child_lo > 1
+            one_lo, one_hi = np.concatenate([one_lo, child_lo[more]]), np.concatenate([one_hi, child_hi[more]])
+        lo, hi = one_lo, one_hi
     sizes_of = hi - lo
     at = np.repeat(lo - (np.cumsum(sizes_of) - sizes_of), sizes_of) + np.arange(sizes_of.sum())
     places = suffixes[at]
@@ -395,7 +397,7 @@ def _remove(left: pa.Table, right: pa.Table, m: ContextMerge, keep_text: bool) -
     return B.as_table(out, kinds + ([("kept", pa.binary()), ("spans", pa.list_(pa.int64()))] if keep_text else []))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 100, block_bytes: int = 8_000_000, batch_bytes: int = 1_000_000, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 100, block_bytes: int = 8_000_000, batch_bytes: int = 200_000, keep_text: bool = True) -> DataFrame:
     """One row per row of docs: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and with ``keep_text`` ``kept`` (bytes) and ``spans`` (starts and ends by turns).
 
     Texts are UTF-8 bytes, whole; null is empty.  A text shorter than ``length`` is
