@@ -54,10 +54,12 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
         """Write df as Parquet and give it back read from there."""
         path = f"{self.path}/{name}"
         writer = df.write.mode("overwrite")
+        if compression:
+            writer = writer.option("compression", compression)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         by = set(partition_by or ())
         fields = sorted(df.schema.fields, key=lambda f: f.name in by)
