@@ -89,20 +89,30 @@ def _log2(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
 LEVELS = B.Sums({"times": "u8"}, {"levels": "u1"}, _log2)
 
 
-def _ask(batches, width: int):
+def short_keys(blocks: int) -> np.uint64:
+    """The bits of a shingle's key that frequencies are counted by: those that name its range, and 32 more.
+
+    Shingles that agree in them count as one, which makes them look more frequent:
+    that changes the order of prefixes for all texts alike and no result.
+    """
+    bits = min(64, B.FAN_BITS * B.levels_of(blocks) + 32)
+    return np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
+def _ask(batches, width: int, mask: np.uint64):
     """Distinct shingles of each block, with the number of texts."""
     for batch in batches:
         for row in batch.to_pylist():
             _, shingles, _ = _rows_of(row, width)
-            keys, counts = np.unique(shingles, return_counts=True)
+            keys, counts = np.unique(shingles & mask, return_counts=True)
             out = B.messages(LEVELS, row["block"], {"keys": keys, "times": counts.astype("u8")})
             yield from B.as_table(out, B.asked_fields(LEVELS)).to_batches()
 
 
-def _with_levels(row: dict, replies: list[dict], width: int, rows: np.ndarray):
+def _with_levels(row: dict, replies: list[dict], width: int, rows: np.ndarray, mask: np.uint64):
     """Shingles of the chosen rows of a block with their levels."""
     docs, shingles, sizes = _rows_of(row, width)
-    keys, at = np.unique(shingles, return_inverse=True)
+    _, at = np.unique(shingles & mask, return_inverse=True)
     levels = LEVELS.take(replies)["levels"][at]
     chosen = np.zeros(sizes.size, bool)
     chosen[rows] = True
@@ -113,7 +123,7 @@ def _with_levels(row: dict, replies: list[dict], width: int, rows: np.ndarray):
 _ENTRY = [("kind", pa.int32()), ("key", pa.int64()), ("size", pa.int64()), ("gid", pa.int64())]
 
 
-def _entries(left: pa.Table, right: pa.Table, width: int, percent: int, small: int) -> pa.Table:
+def _entries(left: pa.Table, right: pa.Table, width: int, percent: int, small: int, mask: np.uint64) -> pa.Table:
     """Index entries of a block's representative texts.
 
     kind 0: an entry of an inverted list (shared prefix shingles of sets that may
@@ -121,7 +131,7 @@ def _entries(left: pa.Table, right: pa.Table, width: int, percent: int, small: i
     """
     (row,), replies = left.to_pylist(), right.to_pylist()
     mine = np.array([r["gid"] for r in replies if r["gid"] is not None], np.int64)
-    docs, shingles, levels, sizes = _with_levels(row, replies, width, mine & _ROW)
+    docs, shingles, levels, sizes = _with_levels(row, replies, width, mine & _ROW, mask)
     base = row["block"] << B.ROW_BITS
     order = np.lexsort((shingles, levels, docs))
     docs, shingles, levels = docs[order], shingles[order], levels[order]
@@ -149,11 +159,11 @@ def _entries(left: pa.Table, right: pa.Table, width: int, percent: int, small: i
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(_ENTRY, cols)})
 
 
-def _family_sets(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
+def _family_sets(left: pa.Table, right: pa.Table, width: int, mask: np.uint64) -> pa.Table:
     """Shared shingles of the texts that are in families."""
     (row,), replies = left.to_pylist(), right.to_pylist()
     mine = {r["gid"] & _ROW: r for r in replies if r["gid"] is not None}
-    docs, shingles, levels, sizes = _with_levels(row, replies, width, np.fromiter(mine, np.int64, len(mine)))
+    docs, shingles, levels, sizes = _with_levels(row, replies, width, np.fromiter(mine, np.int64, len(mine)), mask)
     shared = levels > 0
     docs, shingles = docs[shared], shingles[shared]
     present, first = np.unique(docs, return_index=True)
@@ -272,6 +282,7 @@ def near_duplicates(
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"), text_hash(docs[text]).alias("hash"))
     blocks = work.put(B.make_blocks(rows, _BLOCK, B.text_weight, block_tokens, partial(_build, width=width)), "blocks")
     count = blocks.select("block").count()
+    mask = short_keys(count)
     bare = blocks.select("block", "tokens", "words", "lengths")
 
     texts = blocks.select("block", F.posexplode(F.arrays_zip("ids", "sizes", "set1", "set2", "hashes")).alias("row", "t")).select(
@@ -281,12 +292,12 @@ def near_duplicates(
     histogram = {r["size"]: r["count"] for r in sets.where(F.col("size") <= 2 * SMALL_MOST).groupBy("size").count().collect()}
     small = small_boundary(histogram, percent)
 
-    levels, _ = B.exchange(work, "levels", bare.mapInArrow(partial(_ask, width=width), B.asked_schema(LEVELS)), count, LEVELS)
+    levels, _ = B.exchange(work, "levels", bare.mapInArrow(partial(_ask, width=width, mask=mask), B.asked_schema(LEVELS)), count, LEVELS)
     reps = sets.select(F.shiftright("rep", B.ROW_BITS).alias("block"), F.col("rep").alias("gid"))
     told = levels.unionByName(reps, allowMissingColumns=True)
     entries = work.put(
         bare.groupBy("block").cogroup(told.groupBy("block"))
-        .applyInArrow(lambda a, b: _entries(a, b, width, percent, small), "kind int, key long, size long, gid long"), "entries")
+        .applyInArrow(lambda a, b: _entries(a, b, width, percent, small, mask), "kind int, key long, size long, gid long"), "entries")
 
     # Small sets: each text to the smallest with the same subset.
     subsets = entries.where("kind > 0")
@@ -310,7 +321,7 @@ def near_duplicates(
     )
     told = levels.unionByName(members, allowMissingColumns=True)
     bags = bare.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        lambda a, b: _family_sets(a, b, width), "family long, chunk long, chunks long, gid long, size long, elements binary")
+        lambda a, b: _family_sets(a, b, width, mask), "family long, chunk long, chunks long, gid long, size long, elements binary")
     pairs = bags.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
         "family", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunks", "gid", "size", "elements")
     # Families of one chunk share tasks; each pair of chunks of a larger family is a group.
