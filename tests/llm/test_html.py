@@ -11,7 +11,7 @@ from vistaspark.llm import html_extract as H
 
 def brute(pages, settings):
     """Texts of one host's pages: every window of tokens looked up in a table of all pages."""
-    parsed = [H.blocks_of(p) for p in pages]
+    parsed = [[b for b in H.blocks_of(p) if b[1] != H.OUT] for p in pages]
     tokens = [[w for text, _ in b for w in text.split(" ")] for b in parsed]
     n = settings.min_tokens
     windows = lambda t: [tuple(t[i : i + n]) for i in range(len(t) - n + 1)]

@@ -22,7 +22,6 @@ nothing goes.
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,8 +78,8 @@ class Settings:
     #: Tokens of a block outside the article that make it text in its own right.
     open_tokens: int = 25
     #: Bounds of a group: distinct pages, and tokens unless a single page has more.
-    group_pages: int = 512
-    group_tokens: int = 500_000
+    group_pages: int = 4096
+    group_tokens: int = 1_000_000
 
 
 def _is_out(name: str, attributes: str, in_main: bool) -> bool:
@@ -248,7 +247,9 @@ def _long_runs(gone: np.ndarray, least: int) -> np.ndarray:
 def main_text(blocks: list[tuple[str, int]], stream: np.ndarray, keys: np.ndarray, shares: np.ndarray, settings: Settings) -> str:
     """A page's text without its boilerplate; keys (sorted) and shares: the host's repeated windows."""
     depth = settings.min_tokens
-    own = window_hashes(stream, depth)
+    if not keys.size:
+        stream = np.zeros(sum(text.count(" ") + 1 for text, _ in blocks), np.uint64)
+    own = window_hashes(stream, depth) if keys.size else np.zeros(0, np.uint64)
     at = np.minimum(np.searchsorted(keys, own), max(0, keys.size - 1))
     share = np.where(keys[at] == own, shares[at], 0.0) if keys.size else np.zeros(own.size)
     covered = []
@@ -269,8 +270,6 @@ def main_text(blocks: list[tuple[str, int]], stream: np.ndarray, keys: np.ndarra
     copy = repeated >= settings.copy_share * max(1, chosen)
     lines = []
     for (text, region), words, end in zip(blocks, split, ends):
-        if region == OUT:
-            continue
         gone = covered[1 if region == MAIN else 0][end - len(words) : end]
         if copy and (region == MAIN or not has_main):
             gone = np.zeros(gone.size, bool)
@@ -299,17 +298,23 @@ def stream_of(blocks: list[tuple[str, int]], keys: Words) -> np.ndarray:
     return np.array([keys[w] for text, _ in blocks for w in text.split(" ")], np.uint64)
 
 
-def _stored(blocks: list[tuple[str, int]]) -> bytes:
-    return B.pack(np.frombuffer(json.dumps(blocks).encode(), np.uint8))
+def visible(blocks: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Blocks that may be text: all but those that markup rules out."""
+    return [b for b in blocks if b[1] != OUT]
+
+
+def _stored(blocks: list[tuple[str, int]]) -> str:
+    """Blocks as lines, each with its region first (a block has no line break)."""
+    return "\n".join([f"{region}{text}" for text, region in blocks])
 
 
-def _loaded(data: bytes) -> list[tuple[str, int]]:
-    return json.loads(B.unpack(data, np.uint8).tobytes())
+def _loaded(data: str) -> list[tuple[str, int]]:
+    return [(x[1:], int(x[0])) for x in data.split("\n")] if data else []
 
 
 def main_texts(pages: list[str | None], settings: Settings = Settings()) -> list[str]:
     """Main texts of pages of one small host."""
-    keys, parsed = Words(), [blocks_of(p) for p in pages]
+    keys, parsed = Words(), [visible(blocks_of(p)) for p in pages]
     streams = [stream_of(b, keys) for b in parsed]
     distinct = list({s.tobytes(): s for s in streams}.values())
     if not distinct:
@@ -335,7 +340,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
     # Columns of pages go by number meanwhile, whatever their names.
     held = [f"__c{k}" for k in range(len(kept))]
     base = pages.select(*[pages[c].alias(n) for c, n in zip(kept, held)], pages[html].alias("__html"), host.alias("__host"))
-    extra = [("__hash", T.LongType(), pa.int64()), ("__tokens", T.LongType(), pa.int64()), ("__blocks", T.BinaryType(), pa.binary())]
+    extra = [("__hash", T.LongType(), pa.int64()), ("__tokens", T.LongType(), pa.int64()), ("__blocks", T.StringType(), pa.string())]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -344,49 +349,79 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 at = part.schema.get_field_index("__html")
-                found = [blocks_of(x) for x in part.column(at).to_pylist()]
-                hashes = [xxhash.xxh3_64_intdigest("\n".join(t for t, _ in b).encode("utf-8", "surrogatepass")) - (1 << 63) for b in found]
-                cols = [pa.array(hashes, pa.int64()), pa.array([sum(t.count(" ") + 1 for t, _ in b) for b in found], pa.int64()), pa.array([_stored(b) for b in found], pa.binary())]
+                found = [_stored(visible(blocks_of(x))) for x in part.column(at).to_pylist()]
+                hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
+                cols = [pa.array(hashes, pa.int64()), pa.array([x.count(" ") + x.count("\n") + 1 for x in found], pa.int64()), pa.array(found, pa.string())]
                 rest = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != "__html"]
                 yield pa.RecordBatch.from_arrays([*[c for _, c in rest], *cols], names=[*[n for n, _ in rest], *[n for n, _, _ in extra]])
 
     schema = T.StructType([f for f in base.schema.fields if f.name != "__html"] + [T.StructField(n, t) for n, t, _ in extra])
-    parsed = work.put(base.mapInArrow(parse, schema), "parsed")
-    distinct = parsed.groupBy("__host", "__hash").agg(F.first("__blocks").alias("__blocks"), F.first("__tokens").alias("__tokens"))
-    distinct = work.put(distinct, "distinct")
+    parsed = work.put(base.mapInArrow(parse, schema), "parsed", compression="zstd")
     groups = F.greatest(F.ceil(F.count(F.lit(1)) / settings.group_pages), F.ceil(F.sum("__tokens") / settings.group_tokens), F.lit(1)).cast("long")
-    hosts = work.put(distinct.groupBy("__host").agg(F.count(F.lit(1)).alias("n"), groups.alias("groups")), "hosts")
-    dealt = distinct.join(hosts, "__host").withColumn("part", F.pmod("__hash", F.col("groups")))
+    hosts = work.put(parsed.select("__host", "__hash", "__tokens").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("n"), groups.alias("groups")), "hosts")
 
-    def find(table: pa.Table) -> pa.Table:
-        words = Words()
-        streams = [stream_of(_loaded(b), words) for b in table.column("__blocks").to_pylist()]
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages that this task has met go no further (as far back as it remembers)."""
+        met: set = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column("__host").to_pylist(), batch.column("__hash").to_pylist()):
+                new.append(key not in met)
+                met.add(key)
+            if len(met) > 1_000_000:
+                met.clear()
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    few = parsed.select("__host", "__hash", "__blocks")
+    dealt = few.mapInArrow(once, few.schema).join(hosts, "__host").withColumn("part", F.pmod("__hash", F.col("groups")))
+
+    def grouped(rows: DataFrame, of: list[str]) -> DataFrame:
+        """Groups side by side, the pages of one in order of their hashes."""
+        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(ranges, "__host", "part").sortWithinPartitions("__host", "part", "__hash").select(*of)
+
+    def each(batches: Iterator[pa.RecordBatch], decide) -> Iterator[pa.RecordBatch]:
+        """decide(first row, streams of the distinct pages) for one group after another; holds one group's tokens."""
+        words, group, last, first, streams = Words(), None, None, None, []
+        for batch in batches:
+            names, parts, hashes, texts = (batch.column(c).to_pylist() for c in ("__host", "part", "__hash", "__blocks"))
+            for k, key in enumerate(zip(names, parts)):
+                if key != group:
+                    if streams:
+                        yield decide(first, streams)
+                    group, last, streams = key, None, []
+                    first = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("__blocks", "__hash")}
+                if hashes[k] != last:
+                    last = hashes[k]
+                    streams.append(stream_of(_loaded(texts[k]), words))
+        if streams:
+            yield decide(first, streams)
+
+    def find(first: dict, streams: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = candidates(streams, settings)
-        name, n, g = (table.column(c)[0].as_py() for c in ("__host", "n", "groups"))
-        if g == 1:
+        if first["groups"] == 1:
             keys, counts = keys[counts > settings.chance], counts[counts > settings.chance]
-        return pa.table({
-            "host": pa.array([name] * keys.size, pa.string()), "key": pa.array(keys.view(np.int64), pa.int64()), "pages": pa.array(counts, pa.int64()),
-            "n": pa.array([n] * keys.size, pa.int64()), "groups": pa.array([g] * keys.size, pa.int64()),
+        return pa.RecordBatch.from_pydict({
+            "host": pa.array([first["__host"]] * keys.size, pa.string()), "key": pa.array(keys.view(np.int64), pa.int64()), "pages": pa.array(counts, pa.int64()),
+            "n": pa.array([first["n"]] * keys.size, pa.int64()), "groups": pa.array([first["groups"]] * keys.size, pa.int64()),
         })
 
-    found = work.put(dealt.groupBy("__host", "part").applyInArrow(find, "host string, key long, pages long, n long, groups long"), "found")
+    found = grouped(dealt, ["__host", "part", "__hash", "__blocks", "n", "groups"]).mapInArrow(lambda b: each(b, find), "host string, key long, pages long, n long, groups long")
+    found = work.put(found, "found")
 
     # Hosts of several groups: candidates of any group, counted over all.
     many = found.where("groups > 1").select("host", "key", "groups").distinct()
     asked = many.groupBy("host", "groups").agg(F.sort_array(F.collect_list("key")).alias("keys")).select(
         F.col("host").alias("__host"), "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return pa.table({"host": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "pages": pa.array([], pa.int64())})
-        words = Words()
-        wanted = np.sort(np.array(right.column("keys")[0].as_py(), np.int64).view(np.uint64))
-        total = count_pages([stream_of(_loaded(b), words) for b in left.column("__blocks").to_pylist()], wanted, settings.min_tokens)
-        return pa.table({"host": pa.array([right.column("__host")[0].as_py()] * wanted.size, pa.string()), "key": pa.array(wanted.view(np.int64)), "pages": pa.array(total)})
+    def count(first: dict, streams: list[np.ndarray]) -> pa.RecordBatch:
+        wanted = np.sort(np.array(first["keys"], np.int64).view(np.uint64))
+        total = count_pages(streams, wanted, settings.min_tokens)
+        return pa.RecordBatch.from_pydict({"host": pa.array([first["__host"]] * wanted.size, pa.string()), "key": pa.array(wanted.view(np.int64), pa.int64()), "pages": pa.array(total, pa.int64())})
 
+    several = grouped(dealt.where("groups > 1").join(asked, ["__host", "part"]), ["__host", "part", "__hash", "__blocks", "keys"])
     counted = (
-        dealt.where("groups > 1").groupBy("__host", "part").cogroup(asked.groupBy("__host", "part")).applyInArrow(count, "host string, key long, pages long")
+        several.mapInArrow(lambda b: each(b, count), "host string, key long, pages long")
         .groupBy("host", "key").agg(F.sum("pages").alias("pages")).join(hosts.select(F.col("__host").alias("host"), "n"), "host").select("host", "key", "pages", "n")
     )
     total = found.where("groups = 1").select("host", "key", "pages", "n").unionByName(counted)
@@ -415,7 +450,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
                     order = np.argsort(keys)
                     keys, shares = keys[order], np.array([r["share"] for r in of])[order]
                 blocks = _loaded(data)
-                texts.append(main_text(blocks, stream_of(blocks, words), keys, shares, settings))
+                stream = stream_of(blocks, words) if keys.size else np.zeros(0, np.uint64)
+                texts.append(main_text(blocks, stream, keys, shares, settings))
             cols = [batch.column(batch.schema.get_field_index(n)) for n in held]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, *own])
 
