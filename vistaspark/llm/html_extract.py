@@ -361,8 +361,10 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
     hosts = work.put(parsed.select("__host", "__hash", "__tokens").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("n"), groups.alias("groups")), "hosts")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pages that this task has met go no further (as far back as it remembers)."""
-        met: set = set()
+        """Pages packed; those that this task has met go no further (as far back as it remembers)."""
+        import zstandard
+
+        met, compress = set(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             new = []
             for key in zip(batch.column("__host").to_pylist(), batch.column("__hash").to_pylist()):
@@ -370,10 +372,12 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
                 met.add(key)
             if len(met) > 1_000_000:
                 met.clear()
-            yield batch.filter(pa.array(new, pa.bool_()))
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            packed = pa.array([compress(x.encode("utf-8", "surrogatepass")) for x in batch.column("__blocks").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("__host"), batch.column("__hash"), packed], names=["__host", "__hash", "__packed"])
 
     few = parsed.select("__host", "__hash", "__blocks")
-    dealt = few.mapInArrow(once, few.schema).join(hosts, "__host").withColumn("part", F.pmod("__hash", F.col("groups")))
+    dealt = few.mapInArrow(once, "__host string, __hash long, __packed binary").join(hosts, "__host").withColumn("part", F.pmod("__hash", F.col("groups")))
 
     def grouped(rows: DataFrame, of: list[str]) -> DataFrame:
         """Groups side by side, the pages of one in order of their hashes."""
@@ -384,16 +388,16 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
         """decide(first row, streams of the distinct pages) for one group after another; holds one group's tokens."""
         words, group, last, first, streams = Words(), None, None, None, []
         for batch in batches:
-            names, parts, hashes, texts = (batch.column(c).to_pylist() for c in ("__host", "part", "__hash", "__blocks"))
+            names, parts, hashes, texts = (batch.column(c).to_pylist() for c in ("__host", "part", "__hash", "__packed"))
             for k, key in enumerate(zip(names, parts)):
                 if key != group:
                     if streams:
                         yield decide(first, streams)
                     group, last, streams = key, None, []
-                    first = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("__blocks", "__hash")}
+                    first = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("__packed", "__hash")}
                 if hashes[k] != last:
                     last = hashes[k]
-                    streams.append(stream_of(_loaded(texts[k]), words))
+                    streams.append(stream_of(_loaded(B.unpack(texts[k], np.uint8).tobytes().decode("utf-8", "surrogatepass")), words))
         if streams:
             yield decide(first, streams)
 
@@ -406,7 +410,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
             "n": pa.array([first["n"]] * keys.size, pa.int64()), "groups": pa.array([first["groups"]] * keys.size, pa.int64()),
         })
 
-    found = grouped(dealt, ["__host", "part", "__hash", "__blocks", "n", "groups"]).mapInArrow(lambda b: each(b, find), "host string, key long, pages long, n long, groups long")
+    found = grouped(dealt, ["__host", "part", "__hash", "__packed", "n", "groups"]).mapInArrow(lambda b: each(b, find), "host string, key long, pages long, n long, groups long")
     found = work.put(found, "found")
 
     # Hosts of several groups: candidates of any group, counted over all.
@@ -419,7 +423,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
         total = count_pages(streams, wanted, settings.min_tokens)
         return pa.RecordBatch.from_pydict({"host": pa.array([first["__host"]] * wanted.size, pa.string()), "key": pa.array(wanted.view(np.int64), pa.int64()), "pages": pa.array(total, pa.int64())})
 
-    several = grouped(dealt.where("groups > 1").join(asked, ["__host", "part"]), ["__host", "part", "__hash", "__blocks", "keys"])
+    several = grouped(dealt.where("groups > 1").join(asked, ["__host", "part"]), ["__host", "part", "__hash", "__packed", "keys"])
     counted = (
         several.mapInArrow(lambda b: each(b, count), "host string, key long, pages long")
         .groupBy("host", "key").agg(F.sum("pages").alias("pages")).join(hosts.select(F.col("__host").alias("host"), "n"), "host").select("host", "key", "pages", "n")
@@ -432,6 +436,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
     verdict = work.put(verdict, "verdict")
     spread = hosts.join(verdict, hosts["__host"] == verdict["host"]).select(
         F.col("__host").alias("host"), "runs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
+    # Written, so that Spark knows its size and broadcasts it where it is small.
+    spread = work.put(spread, "spread")
     # Rows of a host are dealt evenly over its groups, equal ones too.
     salted = parsed.join(hosts.select(F.col("__host").alias("h"), "groups"), F.col("__host") == F.col("h")).withColumn(
         "salt", F.pmod(F.monotonically_increasing_id(), F.col("groups")))
