@@ -41,12 +41,12 @@ class EngineConfig:
     large_component_features: int = 900
     large_component_candidates: int = 16
     large_component_postpass: bool = False
-    large_hybrid_time_budget: float = 2400.0
+    large_hybrid_time_budget: float = float("inf")
     large_blockwise_candidates: bool = True
     large_candidate_min_similarity: float = 0.45
     bridge_min_similarity: float = 0.84
     bridge_max_pairs: int = 20_000
-    bridge_time_budget: float = 900.0
+    bridge_time_budget: float = float("inf")
     bridge_batch_size: int = 512
     bridge_edges_per_component_pair: int = 1
     bridge_accept_strong_reject: bool = False

@@ -125,22 +125,28 @@ def warp(image: np.ndarray, h: np.ndarray, height: int, width: int, nearest: boo
     return out.astype(np.float32).reshape(height, width)
 
 
+def edge_overlap(one: np.ndarray, other: np.ndarray) -> float:
+    """Dice coefficient of two edge images, each thickened by a pixel; 0 if neither has an edge."""
+    thick = [dilate((x > 0).astype(np.uint8), 3).astype(bool) for x in (one, other)]
+    marked = sum(map(np.count_nonzero, thick))
+    return 2.0 * np.count_nonzero(np.logical_and(*thick)) / marked if marked else 0.0
+
+
+def gradient_correlation(one: np.ndarray, other: np.ndarray, least: int = 50) -> float:
+    """Pearson correlation, 0 at least, over pixels where either is positive; 0 with fewer than ``least`` of them or no variation."""
+    either = np.stack([one, other])[:, (one > 0) | (other > 0)].astype(np.float64)
+    if either.shape[1] < least:
+        return 0.0
+    either -= either.mean(axis=1, keepdims=True)
+    lengths = np.sqrt((either * either).sum(axis=1)).prod()
+    return float(np.clip((either[0] * either[1]).sum() / lengths, 0.0, 1.0)) if lengths > 1e-8 else 0.0
+
+
 def structural_alignment(a: dict, b: dict, h: np.ndarray) -> tuple[float, float]:
-    """(edge score, gradient score): overlap of thickened edges with a share of gradient correlation."""
-    size = (b["height"], b["width"])
-    moved = dilate((warp(a["edges"], h, *size, True) > 0).astype(np.uint8), 3)
-    fixed = dilate((b["edges"] > 0).astype(np.uint8), 3)
-    total = int(moved.sum()) + int(fixed.sum())
-    overlap = 2.0 * int((moved & fixed).sum()) / total if total else 0.0
-    gradient = warp(a["gradient"], h, *size, False)
-    valid = (gradient > 0) | (b["gradient"] > 0)
-    correlation = 0.0
-    if np.count_nonzero(valid) >= 50:
-        x, y = gradient[valid].astype(np.float64), b["gradient"][valid].astype(np.float64)
-        x, y = x - x.mean(), y - y.mean()
-        scale = float(np.linalg.norm(x) * np.linalg.norm(y))
-        correlation = min(1.0, max(0.0, float(x @ y) / scale)) if scale > 1e-8 else 0.0
-    return 0.65 * overlap + 0.35 * correlation, correlation
+    """(edge score, gradient score) of a moved onto b; the first is 65 % overlap and 35 % correlation."""
+    onto = lambda kind, nearest: warp(a[kind], h, b["height"], b["width"], nearest)
+    gradient = gradient_correlation(onto("gradient", False), b["gradient"])
+    return 0.65 * edge_overlap(onto("edges", True), b["edges"]) + 0.35 * gradient, gradient
 
 
 def small_motion(a: dict, b: dict, iterations: int = 80, eps: float = 1e-5) -> tuple[np.ndarray | None, str]:

@@ -167,7 +167,8 @@ def supports(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def _folded(found: DataFrame) -> DataFrame:
+def folded(found: DataFrame) -> DataFrame:
+    """Supports of ``supports()`` folded into one row for each two groups: over members their best, over targets those that corroborate."""
     best = F.col("place") == 1
     only = lambda c: F.when(best, F.col(c))
     return found.groupBy("src", "dst", "src_n", "dst_n", "rank").agg(
@@ -184,13 +185,13 @@ def relaxed_matches(found: DataFrame) -> DataFrame:
     strong = (F.col("top") >= 0.80) & (F.col("top_confidence") >= 0.80) & (F.col("top_shift") <= 0.05) & (F.col("top_edge") >= 0.25)
     tiny = (F.col("top") >= 0.72) & F.col("top_tiny").isNotNull()
     lone = (F.col("src_n") == 1) & (F.col("dst_n") > 1)
-    return _folded(found).where(
+    return folded(found).where(
         (F.col("supported") == F.col("src_n")) & (F.col("average") >= 0.60) & (F.col("least") >= 0.52)
         & (~lone | (F.col("corroborating") >= 2) | strong | tiny)).select("src", "dst", "rank", "average")
 
 
 def medium_matches(found: DataFrame) -> DataFrame:
-    return _folded(found).where(
+    return folded(found).where(
         F.col("src_n").between(3, 12) & F.col("dst_n").between(3, 16) & (size_ratio() <= 4.0) & (F.col("supported") == F.col("src_n"))
         & (F.col("average") >= 0.66) & (F.col("least") >= 0.58) & (F.col("covered") >= F.greatest(F.lit(3), F.ceil(0.75 * F.col("src_n"))))
         & (F.col("covered_targets") >= F.least(F.lit(3), F.col("dst_n")))).select("src", "dst", "rank", "average")

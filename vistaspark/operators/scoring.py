@@ -96,14 +96,21 @@ def decide(metrics: DataFrame, images: DataFrame, t: Thresholds) -> DataFrame:
     return kept.join(names("i", "filename_a"), "i").join(names("j", "filename_b"), "j").select(*[c.strip().split()[0] for c in PAIR_SCORE.split(",")])
 
 
+def unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
+def missing_pairs(pairs: DataFrame, have: DataFrame) -> DataFrame:
+    """Wanted pairs (i < j, once each) that ``have`` holds in neither orientation."""
+    return unordered(pairs).join(unordered(have), ["i", "j"], "left_anti")
+
+
 def score_pairs(pairs: DataFrame, features: DataFrame, images: DataFrame, t: Thresholds, cache=None) -> DataFrame:
     """Scores of all pairs; those in the cache are not computed, the others are appended to it."""
     if cache is None:
         return decide(pair_metrics(pairs, features, t), images, t)
     work = Workspace(pairs.sparkSession, "cached")
     have = work.put(cache.load(pairs, images), "have")
-    known = have.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    missing = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().join(known, ["i", "j"], "left_anti")
-    fresh = work.put(decide(pair_metrics(missing, features, t), images, t), "fresh")
+    fresh = work.put(decide(pair_metrics(missing_pairs(pairs, have), features, t), images, t), "fresh")
     cache.append(fresh)
     return have.unionByName(fresh)

@@ -7,6 +7,7 @@ columns: index, filename, group_id.
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import replace
 
@@ -79,6 +80,7 @@ def group_bridge(images: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
     names, accepted = images.select("index", "filename"), None
     for batch in range(0 if last is None else last + 1):
         if time.monotonic() - began >= cfg.bridge_time_budget:
+            log.warning("bridge time budget: %d of %d batches of pairs not scored", last + 1 - batch, last + 1)
             break
         some = asked.where(F.col("batch") == batch)
         used = some.select(F.explode(F.array("i", "j")).alias("index")).distinct()
@@ -109,6 +111,7 @@ def group_hybrid(images: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
     parts = work.put(large.bounded_components(compact, pairs, cfg.large_super_min_similarity, cfg.large_max_component_size, cfg.large_max_aspect_delta, ladder), "parts")
     names = images.select("index", "filename")
     if time.monotonic() - began >= cfg.large_hybrid_time_budget:
+        log.warning("hybrid time budget: no component refined")
         return large.number_by_name(parts.join(names, "index").select("index", "filename", "component")).drop("component")
     fine = parts.where((F.col("n") > 1) & (F.col("n") <= cfg.large_max_component_size))
     inner = replace(cfg, max_size=cfg.large_component_max_size, features_per_variant=cfg.large_component_features)
@@ -133,6 +136,8 @@ def group_hybrid(images: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
     return large.number_by_name(refined.select("index", "filename", F.col("group_id").alias("component")).unionByName(whole)).drop("component")
 
 
+#: What a time budget (off by default) has cut is reported here.
+log = logging.getLogger(__name__)
 STRATEGIES = {"bridge": group_bridge, "hybrid": group_hybrid, "compact": group_compact}
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from vistaspark.config import EngineConfig
 from vistaspark.functions import decisions as D
 from vistaspark.operators import cluster as C
-from vistaspark.operators import evaluate, knn, large, repair
+from vistaspark.operators import evaluate, knn, large, repair, scoring
+from vistaspark.schemas import PAIR_SCORE
+from vistaspark.sources.tables import PairCache, fingerprint
 from vistaspark.sources.workspace import Workspace
 
 K = 12
@@ -278,11 +280,43 @@ bests AS (SELECT src, dst, member, max(support) AS best FROM sup3 GROUP BY 1, 2,
 matches AS (SELECT src, dst, avg(best) AS average, min(best) AS least, count(*) AS members, count(*) FILTER (WHERE best >= 0.6::DOUBLE) AS covered FROM bests GROUP BY 1, 2)"""
 
 
+def _group_candidates(spark, sf_dir, groups, scores):
+    """Scored pairs between every two groups (index, g), in both directions, as repair's candidates."""
+    n = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    of = groups.join(n, "g")
+    side = lambda i, g: of.select(F.col("index").alias(i), F.col("g").alias(g), F.col("n").alias(f"{g}_n"))
+    both = scores.select(F.col("i").alias("member"), F.col("j").alias("target")).unionByName(scores.select(F.col("j").alias("member"), F.col("i").alias("target")))
+    return both.join(side("member", "src"), "member").join(side("target", "dst"), "target").where("src <> dst").withColumn("rank", F.lit(1)).withColumn("member_rank", F.col("target"))
+
+
+def _found_supports(spark, sf_dir, groups):
+    scores = Workspace(spark, "supports-q").put(pair_scores(spark, sf_dir), "scores")
+    return repair.supports(_group_candidates(spark, sf_dir, groups, scores), scores)
+
+
 def q_member_supports(spark, sf_dir):
-    best = _supports(spark, sf_dir).groupBy("src", "dst", "member").agg(F.max("support").alias("best"))
-    return best.groupBy("src", "dst").agg(
-        F.round(F.avg("best"), 6).alias("average"), F.round(F.min("best"), 6).alias("least"), F.count(F.lit(1)).alias("members"),
-        F.count(F.when(F.col("best") >= 0.6, 1)).alias("covered"))
+    groups = images(spark, sf_dir).select("index", (F.col("index") % 40).alias("g"))
+    return repair.folded(_found_supports(spark, sf_dir, groups)).select(
+        "src", "dst", F.round("average", 6).alias("average"), F.round("least", 6).alias("least"), F.col("supported").alias("members"), "covered")
+
+
+def _partition_supports(spark, sf_dir):
+    groups = Workspace(spark, "match-q").put(_partition(spark, sf_dir, LINK).select("index", F.col("component").alias("g")), "groups")
+    return _found_supports(spark, sf_dir, groups)
+
+
+def q_match_relaxed(spark, sf_dir):
+    return repair.relaxed_matches(_partition_supports(spark, sf_dir)).select("src", "dst", F.round("average", 6).alias("average"))
+
+
+def q_match_medium(spark, sf_dir):
+    return repair.medium_matches(_partition_supports(spark, sf_dir)).select("src", "dst", F.round("average", 6).alias("average"))
+
+
+def q_match_folds(spark, sf_dir):
+    return repair.folded(_partition_supports(spark, sf_dir)).select(
+        "src", "dst", "src_n", "dst_n", *[F.round(c, 6).alias(c) for c in ("average", "least", "top", "top_confidence", "top_shift", "top_edge")],
+        "supported", "covered", "covered_targets", "corroborating", F.col("top_tiny").isNotNull().alias("any_tiny"))
 
 
 def _matches(spark, sf_dir, groups=None):
@@ -321,15 +355,22 @@ def q_exact_set_matches(spark, sf_dir):
 
 
 def _cache(spark, sf_dir):
-    return pair_scores(spark, sf_dir).where("(i + j) % 3 <> 0").select("i", "j", "confidence")
+    """What an earlier run has scored, in the checkpoint that a run resumes from."""
+    names = lambda i, f: images(spark, sf_dir).select(F.col("index").alias(i), F.col("filename").alias(f))
+    scored = pair_scores(spark, sf_dir).where("(i + j) % 3 <> 0").join(names("i", "filename_a"), "i").join(names("j", "filename_b"), "j")
+    rows = scored.withColumn("reason", F.lit("")).withColumn("gradient_score", F.lit(0.0)).withColumn("avg_corner_shift_pixels", F.lit(0.0)).withColumn("max_corner_shift_pixels", F.lit(0.0))
+    fields = [x.split() for x in PAIR_SCORE.split(",")]
+    cache = PairCache(spark, f"{Workspace(spark, 'cache-q').path}/scores", fingerprint(EngineConfig().thresholds, EngineConfig().max_size, EngineConfig().features_per_variant))
+    cache.append(rows.select(*[F.col(n).cast(t).alias(n) for n, t in fields]))
+    return cache.load(candidates(spark, sf_dir), images(spark, sf_dir))
 
 
 def q_cached_pairs(spark, sf_dir):
-    return candidates(spark, sf_dir).select("i", "j").join(_cache(spark, sf_dir), ["i", "j"], "left_semi")
+    return scoring.unordered(_cache(spark, sf_dir))
 
 
 def q_missing_pairs(spark, sf_dir):
-    return candidates(spark, sf_dir).select("i", "j").join(_cache(spark, sf_dir), ["i", "j"], "left_anti")
+    return scoring.missing_pairs(candidates(spark, sf_dir), _cache(spark, sf_dir))
 
 
 def q_greedy_proposals(spark, sf_dir):
@@ -348,11 +389,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "components_verified": q_components_verified, "components_compact": q_components_compact, "component_sizes": q_component_sizes,
     "group_centroid": q_centroids, "group_affinity_topk": q_affinity_topk, "representatives": q_representatives, "member_confidence": q_member_confidence,
     "renumber_groups": q_renumber, "groups_report": q_groups_report, "cluster_images": q_cluster, "tentative_attach": q_tentative_attach,
-    "group_match_supports": q_member_supports, "best_with_margin": q_best_with_margin, "mutual_best": q_mutual_best,
+    "group_match_supports": q_member_supports, "group_match_folds": q_match_folds, "group_match_relaxed": q_match_relaxed, "group_match_medium": q_match_medium, "best_with_margin": q_best_with_margin, "mutual_best": q_mutual_best,
     "bridge_candidates": q_bridge_candidates, "split_oversized": q_split_oversized, "exact_set_score": q_exact_set_score, "exact_set_matches": q_exact_set_matches,
     "cached_pairs": q_cached_pairs, "missing_pairs": q_missing_pairs, "greedy_proposals": q_greedy_proposals,
 }
 
+FOLDS = f"""{SCORES}, {compact_sql(LINK, 'mc')}, sized AS (SELECT idx, component, count(*) OVER (PARTITION BY component) AS n FROM mc),
+said AS (SELECT *, coalesce({RELAXED_SQL}, {TINY_SQL}) AS support, {TINY_SQL} AS tiny FROM scores),
+turned AS (SELECT i AS member, j AS target, support, tiny, confidence, avg_corner_shift_ratio AS shift, edge_score FROM said WHERE support IS NOT NULL
+           UNION ALL SELECT j, i, support, tiny, confidence, avg_corner_shift_ratio, edge_score FROM said WHERE support IS NOT NULL),
+placed AS (SELECT t.*, a.component AS src, b.component AS dst, a.n AS src_n, b.n AS dst_n, row_number() OVER (PARTITION BY a.component, b.component, member ORDER BY support DESC, target) AS place
+           FROM turned t JOIN sized a ON t.member = a.idx JOIN sized b ON t.target = b.idx WHERE a.component <> b.component),
+folds AS (SELECT src, dst, src_n, dst_n, avg(support) FILTER (WHERE place = 1) AS average, min(support) FILTER (WHERE place = 1) AS least, count(*) FILTER (WHERE place = 1) AS supported,
+    count(*) FILTER (WHERE place = 1 AND support >= 0.6::DOUBLE) AS covered, count(DISTINCT CASE WHEN place = 1 AND support >= 0.6::DOUBLE THEN target END) AS covered_targets,
+    count(DISTINCT CASE WHEN support >= 0.58::DOUBLE THEN target END) AS corroborating, max(support) FILTER (WHERE place = 1) AS top, max(confidence) FILTER (WHERE place = 1) AS top_confidence,
+    max(shift) FILTER (WHERE place = 1) AS top_shift, max(edge_score) FILTER (WHERE place = 1) AS top_edge, max(tiny) FILTER (WHERE place = 1) AS top_tiny FROM placed GROUP BY 1, 2, 3, 4)"""
 _NUM_SQL = "SELECT idx AS index, filename, dense_rank() OVER (ORDER BY least_name) - 1 AS group_id FROM (SELECT c.idx, f.filename, c.component, min(f.filename) OVER (PARTITION BY c.component) AS least_name FROM {0} c JOIN images f ON c.idx = f.idx)"
 _SETS = "SELECT DISTINCT string_agg(filename, '|' ORDER BY filename) AS members FROM {0} c JOIN images f ON c.idx = f.idx GROUP BY component"
 _TWO = f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'pc')}, {compact_sql(TIGHT, 'tc')}, p AS ({_SETS.format('pc')}), t AS ({_SETS.format('tc')}), m AS (SELECT * FROM p INTERSECT SELECT * FROM t)"
@@ -399,6 +450,11 @@ ORACLE_SQL: dict[str, str] = {
         printf('%.4f', c.confidence::DOUBLE) AS confidence, CASE WHEN count(*) OVER (PARTITION BY c.component) > 1 THEN 'verified' ELSE 'singleton' END AS status
         FROM conf c JOIN numbered n ON c.component = n.component JOIN images f ON c.idx = f.idx""",
     "group_match_supports": f"{SUPPORTS} SELECT src, dst, round(average, 6) AS average, round(least, 6) AS least, members, covered FROM matches",
+    "group_match_folds": f"{FOLDS} SELECT src, dst, src_n, dst_n, round(average, 6) AS average, round(least, 6) AS least, round(top, 6) AS top, round(top_confidence, 6) AS top_confidence, round(top_shift, 6) AS top_shift, round(top_edge, 6) AS top_edge, supported, covered, covered_targets, corroborating, top_tiny IS NOT NULL AS any_tiny FROM folds",
+    "group_match_relaxed": f"""{FOLDS} SELECT src, dst, round(average, 6) AS average FROM folds WHERE supported = src_n AND average >= 0.6::DOUBLE AND least >= 0.52::DOUBLE
+        AND (NOT (src_n = 1 AND dst_n > 1) OR corroborating >= 2 OR (top >= 0.8::DOUBLE AND top_confidence >= 0.8::DOUBLE AND top_shift <= 0.05::DOUBLE AND top_edge >= 0.25::DOUBLE) OR (top >= 0.72::DOUBLE AND top_tiny IS NOT NULL))""",
+    "group_match_medium": f"""{FOLDS} SELECT src, dst, round(average, 6) AS average FROM folds WHERE src_n BETWEEN 3 AND 12 AND dst_n BETWEEN 3 AND 16 AND greatest(src_n, dst_n)::DOUBLE / least(src_n, dst_n) <= 4
+        AND supported = src_n AND average >= 0.66::DOUBLE AND least >= 0.58::DOUBLE AND covered >= greatest(3, ceil(0.75::DOUBLE * src_n)) AND covered_targets >= least(3, dst_n)""",
     "best_with_margin": f"{SUPPORTS} SELECT src, dst, round(average, 6) AS average, round(second, 6) AS second FROM (SELECT src, dst, average, coalesce(lead(average) OVER w, 0) AS second, row_number() OVER w AS rn FROM matches WINDOW w AS (PARTITION BY src ORDER BY average DESC, dst)) WHERE rn = 1",
     "mutual_best": f"{SUPPORTS}, b AS (SELECT src, dst, average FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY average DESC, dst) AS rn FROM matches) WHERE rn = 1) SELECT x.src, x.dst, round(least(x.average, y.average), 6) AS average FROM b x JOIN b y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst",
     "bridge_candidates": f"""WITH RECURSIVE {IMAGES_SQL}, {_topk_sql(NEIGHBORS)}, {compact_sql(TIGHT, 'cc')}, r AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top WHERE sim >= {FLOOR} GROUP BY 1, 2)
