@@ -122,6 +122,15 @@ def test_pipeline_stages_take_effect(spark, plain):
         assert stage(spark, plain.limit(0), "").count() == 0
 
 
+def test_stages_leave_clashing_columns_alone(spark, docs):
+    own = ["pos", "doc", "size", "block", "kept", "key"]
+    odd = docs.withColumn("n_words", docs["pos"]).withColumn("line_kept", docs["pos"]).withColumn("h", docs["pos"])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns
+        assert all(r.pos == r.n_words == r.line_kept == r.h and r.key in ("k", None) for r in out.select(*own, "n_words", "line_kept", "h").collect())
+
+
 def test_registry_has_all_ten():
     names = entry.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
