@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaspark.operators.graph import connected_components
+from vistaspark.operators.order import with_ordinal
 from vistaspark.sources.workspace import Workspace
 
 
@@ -127,7 +128,7 @@ def renumber(assigned: DataFrame, images: DataFrame) -> DataFrame:
     """Groups numbered from 1 in order of their representatives' filenames."""
     names = images.select(F.col("index").alias("representative"), F.col("filename").alias("representative_filename"))
     groups = assigned.select("group_id", "representative").distinct().join(names, "representative")
-    numbered = groups.select("group_id", "representative_filename", F.row_number().over(Window.orderBy("representative_filename", "group_id")).cast("long").alias("number"))
+    numbered = with_ordinal(groups.drop("representative"), ["representative_filename", "group_id"], "number", start=1)
     return (
         assigned.join(numbered, "group_id").join(images.select("index", "filename"), "index")
         .select("index", "filename", F.col("number").alias("group_id"), "status", "confidence", "representative", "representative_filename")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vistaspark.functions.decisions import aspect_delta
 from vistaspark.operators.cluster import components
+from vistaspark.operators.order import with_ordinal
 from vistaspark.sources.workspace import Workspace
 
 
@@ -20,7 +21,7 @@ def gate(images: DataFrame, pairs: DataFrame, max_aspect_delta: float) -> DataFr
 def number_by_name(rows: DataFrame) -> DataFrame:
     """(index, filename, component) to group numbers from 0 in order of the groups' least filenames."""
     least = rows.groupBy("component").agg(F.min("filename").alias("least_name"))
-    numbered = least.select("component", (F.row_number().over(Window.orderBy("least_name", "component")) - 1).cast("long").alias("group_id"))
+    numbered = with_ordinal(least, ["least_name", "component"], "group_id").drop("least_name")
     return rows.join(numbered, "component").select("index", "filename", "group_id", "component")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vistaspark.functions import decisions as D
 from vistaspark.operators.graph import connected_components
+from vistaspark.operators.order import with_ordinal
 from vistaspark.sources.workspace import Workspace
 
 
@@ -110,12 +111,12 @@ def medium_target() -> Column:
     return F.col("n").between(3, 16)
 
 
-def targets(members: DataFrame) -> dict[str, DataFrame]:
-    """Ranked targets of singles, tails (pairs) and medium groups."""
+def targets(members: DataFrame, tail: float = 0.52, medium: float = 0.60) -> dict[str, DataFrame]:
+    """Ranked targets of singles, tails (pairs) and medium groups; ``tail`` and ``medium`` are their least affinities."""
     return {
         "single": rank_targets(group_affinity(members, F.col("n") == 1, F.lit(True), k=24), 24),
-        "tail": rank_targets(group_affinity(members, F.col("n") == 2, F.col("n") >= 4, least=0.52, k=16), 16),
-        "medium": rank_targets(group_affinity(members, medium_source(), medium_target(), least=0.60, ratio=4.0, k=8), 8),
+        "tail": rank_targets(group_affinity(members, F.col("n") == 2, F.col("n") >= 4, least=tail, k=16), 16),
+        "medium": rank_targets(group_affinity(members, medium_source(), medium_target(), least=medium, ratio=4.0, k=8), 8),
     }
 
 
@@ -197,7 +198,7 @@ def medium_matches(found: DataFrame) -> DataFrame:
         & (F.col("covered_targets") >= F.least(F.lit(3), F.col("dst_n")))).select("src", "dst", "rank", "average")
 
 
-def tail_matches(found: DataFrame, ranked: DataFrame, members: DataFrame, scores: DataFrame) -> DataFrame:
+def tail_matches(found: DataFrame, members: DataFrame, scores: DataFrame) -> DataFrame:
     """Pairs of which one image is supported directly and the other through it."""
     pair = members.where("n = 2").groupBy("group_id").agg(F.min("index").alias("one"), F.max("index").alias("two"))
     inner = _scored(pair, scores, "one", "two").where(
@@ -247,7 +248,7 @@ def proposals(members: DataFrame, scores: DataFrame, ranked: dict[str, DataFrame
     mutual = chosen.join(back, (F.col("dst") == F.col("__s")) & (F.col("src") == F.col("__d"))).where(
         (F.col("average") >= F.col("second") + 0.05) & (F.col("average") >= F.col("__second") + 0.05))
 
-    tails = best_with_margin(tail_matches(supports(member_candidates(ranked["tail"], members), scores), ranked["tail"], members, scores)).where(
+    tails = best_with_margin(tail_matches(supports(member_candidates(ranked["tail"], members), scores), members, scores)).where(
         (F.col("average") >= 0.72) & (F.col("average") >= F.col("second") + 0.06))
 
     medium = medium_matches(supports(member_candidates(ranked["medium"], members), scores))
@@ -345,5 +346,5 @@ def repair(images: DataFrame, assigned: DataFrame, scores: DataFrame, score: Cal
     joined = connected_components(again, "src", "dst")
     final = merged.join(joined, merged["group_id"] == joined["node"], "left").select("index", "filename", F.coalesce("component", "group_id").alias("root"))
     least = final.groupBy("root").agg(F.min("filename").alias("least_name"))
-    numbered = least.withColumn("number", F.row_number().over(Window.orderBy("least_name", "root")) - 1)
-    return final.join(numbered, "root").select("index", "filename", F.col("number").cast("long").alias("group_id"))
+    numbered = with_ordinal(least, ["least_name", "root"], "number")
+    return final.join(numbered, "root").select("index", "filename", F.col("number").alias("group_id"))

@@ -24,6 +24,8 @@ K = 12
 #: Similarities that give components of moderate size on the driver's vectors.
 LINK, TIGHT, LOOSE, WIDE = 0.40, 0.44, 0.36, 0.30
 NEIGHBORS, FLOOR = 24, 0.35
+#: Least affinities of tails and medium groups; the driver's vectors are too far apart for the defaults, 0.52 and 0.60.
+TAIL, MEDIUM = 0.20, 0.20
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +156,16 @@ def compact_sql(threshold: float, name: str) -> str:
     WHERE s.sim >= {threshold} AND abs(a.width::DOUBLE / a.height - b.width::DOUBLE / b.height) <= 0.03::DOUBLE), {components_sql(name + '_edges', name)}"""
 
 
+def affinity_sql(threshold: float, source: str, target: str, enough: str, k: int) -> str:
+    """Ranked targets: groups a and b of a partition, conditions on their sizes and on the affinity."""
+    return f"""WITH RECURSIVE {IMAGES_SQL}, {compact_sql(threshold, 'cc')}, numbered AS ({_NUM_SQL.format('cc')}), mem AS (SELECT n.group_id, i.idx, i.d, count(*) OVER (PARTITION BY n.group_id) AS n FROM numbered n JOIN images i ON n.index = i.idx),
+        mean AS (SELECT group_id, list(v ORDER BY pos) AS m FROM (SELECT group_id, pos, avg(v) AS v FROM (SELECT group_id, unnest(d) AS v, generate_subscripts(d, 1) AS pos FROM mem) GROUP BY 1, 2) GROUP BY 1),
+        unit AS (SELECT group_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS c FROM mean),
+        best AS (SELECT a.group_id AS src, b.group_id AS dst, any_value(a.n) AS src_n, any_value(b.n) AS dst_n, max(list_dot_product(a.d, b.d)) AS best FROM mem a JOIN mem b ON a.group_id <> b.group_id WHERE {source} AND {target} GROUP BY 1, 2),
+        aff AS (SELECT src, dst, src_n, dst_n, 0.55::DOUBLE * best + 0.45::DOUBLE * list_dot_product(x.c, y.c) AS affinity FROM best JOIN unit x ON src = x.group_id JOIN unit y ON dst = y.group_id)
+        SELECT src, dst, round(affinity, 6) AS affinity, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY affinity DESC, dst DESC) AS rank FROM aff WHERE {enough}) WHERE rank <= {k}"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_exact_set_score(spark, sf_dir)
 
@@ -230,6 +242,28 @@ def q_affinity_topk(spark, sf_dir):
     return repair.rank_targets(affinity, 24).select("src", "dst", F.round("affinity", 6).alias("affinity"), "rank")
 
 
+def _ranked(spark, sf_dir, kind):
+    members = repair.group_members(images(spark, sf_dir), _partition(spark, sf_dir, LOOSE).select("index", "group_id"))
+    members = Workspace(spark, "ranked-q").put(members, "members")
+    return repair.targets(members, tail=TAIL, medium=MEDIUM)[kind].select("src", "dst", F.round("affinity", 6).alias("affinity"), "rank")
+
+
+def q_affinity_tail(spark, sf_dir):
+    return _ranked(spark, sf_dir, "tail")
+
+
+def q_affinity_medium(spark, sf_dir):
+    return _ranked(spark, sf_dir, "medium")
+
+
+def q_match_tail(spark, sf_dir):
+    of = Workspace(spark, "tail-q").put(_partition(spark, sf_dir, LINK).select("index", "filename", "group_id"), "groups")
+    members = repair.group_members(images(spark, sf_dir), of.select("index", "group_id"))
+    scores = Workspace(spark, "tail-q").put(pair_scores(spark, sf_dir), "scores")
+    found = repair.supports(_group_candidates(spark, sf_dir, of.select("index", F.col("group_id").alias("g")), scores).where("src_n = 2 and dst_n >= 4"), scores)
+    return repair.tail_matches(found, members, scores).select("src", "dst", F.round("average", 6).alias("average"))
+
+
 def q_representatives(spark, sf_dir):
     assigned, scores = _verified(spark, sf_dir)
     return C.representatives(assigned, scores)
@@ -387,9 +421,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "support_relaxed": _support_query(D.relaxed_support), "support_singleton": _support_query(D.singleton_support), "support_tiny": _support_query(D.tiny_motion_support),
     "support_coalesced": _support_query(D.member_support), "bridge_accepts": q_bridge_accepts,
     "components_verified": q_components_verified, "components_compact": q_components_compact, "component_sizes": q_component_sizes,
-    "group_centroid": q_centroids, "group_affinity_topk": q_affinity_topk, "representatives": q_representatives, "member_confidence": q_member_confidence,
+    "group_centroid": q_centroids, "group_affinity_topk": q_affinity_topk, "group_affinity_tail": q_affinity_tail, "group_affinity_medium": q_affinity_medium, "representatives": q_representatives, "member_confidence": q_member_confidence,
     "renumber_groups": q_renumber, "groups_report": q_groups_report, "cluster_images": q_cluster, "tentative_attach": q_tentative_attach,
-    "group_match_supports": q_member_supports, "group_match_folds": q_match_folds, "group_match_relaxed": q_match_relaxed, "group_match_medium": q_match_medium, "best_with_margin": q_best_with_margin, "mutual_best": q_mutual_best,
+    "group_match_supports": q_member_supports, "group_match_folds": q_match_folds, "group_match_relaxed": q_match_relaxed, "group_match_medium": q_match_medium, "group_match_tail": q_match_tail, "best_with_margin": q_best_with_margin, "mutual_best": q_mutual_best,
     "bridge_candidates": q_bridge_candidates, "split_oversized": q_split_oversized, "exact_set_score": q_exact_set_score, "exact_set_matches": q_exact_set_matches,
     "cached_pairs": q_cached_pairs, "missing_pairs": q_missing_pairs, "greedy_proposals": q_greedy_proposals,
 }
@@ -436,12 +470,9 @@ ORACLE_SQL: dict[str, str] = {
     "component_sizes": f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'cc')} SELECT n, count(*) AS groups FROM (SELECT component, count(*) AS n FROM cc GROUP BY 1) GROUP BY 1",
     "group_centroid": f"""WITH {IMAGES_SQL}, x AS (SELECT truth AS group_id, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS pos FROM images), m AS (SELECT group_id, pos, avg(v) AS v FROM x GROUP BY 1, 2),
         n AS (SELECT group_id, sqrt(sum(v * v)) AS norm FROM m GROUP BY 1) SELECT m.group_id, m.pos, round(CASE WHEN norm > 1e-8 THEN v / norm ELSE v END, 6) AS value FROM m JOIN n USING (group_id)""",
-    "group_affinity_topk": f"""WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'cc')}, numbered AS ({_NUM_SQL.format('cc')}), mem AS (SELECT n.group_id, i.idx, i.d, count(*) OVER (PARTITION BY n.group_id) AS n FROM numbered n JOIN images i ON n.index = i.idx),
-        mean AS (SELECT group_id, list(v ORDER BY pos) AS m FROM (SELECT group_id, pos, avg(v) AS v FROM (SELECT group_id, unnest(d) AS v, generate_subscripts(d, 1) AS pos FROM mem) GROUP BY 1, 2) GROUP BY 1),
-        unit AS (SELECT group_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS c FROM mean),
-        best AS (SELECT a.group_id AS src, b.group_id AS dst, max(list_dot_product(a.d, b.d)) AS best FROM mem a JOIN mem b ON a.group_id <> b.group_id WHERE a.n = 1 GROUP BY 1, 2),
-        aff AS (SELECT src, dst, 0.55::DOUBLE * best + 0.45::DOUBLE * list_dot_product(x.c, y.c) AS affinity FROM best JOIN unit x ON src = x.group_id JOIN unit y ON dst = y.group_id)
-        SELECT src, dst, round(affinity, 6) AS affinity, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY affinity DESC, dst DESC) AS rank FROM aff) WHERE rank <= 24""",
+    "group_affinity_topk": affinity_sql(LINK, "a.n = 1", "true", "true", 24),
+    "group_affinity_tail": affinity_sql(LOOSE, "a.n = 2", "b.n >= 4", f"affinity >= {TAIL}::DOUBLE", 16),
+    "group_affinity_medium": affinity_sql(LOOSE, "a.n BETWEEN 3 AND 12", "b.n BETWEEN 3 AND 16", f"affinity >= {MEDIUM}::DOUBLE AND greatest(src_n, dst_n) <= 4 * least(src_n, dst_n)", 8),
     "representatives": f"{GROUPED} SELECT component AS group_id, representative FROM reps",
     "member_confidence": f"{GROUPED} SELECT idx AS index, component AS group_id, representative, confidence FROM conf",
     "renumber_groups": f"""{GROUPED} SELECT c.idx AS index, f.filename, n.group_id, CASE WHEN count(*) OVER (PARTITION BY c.component) > 1 THEN 'verified' ELSE 'singleton' END AS status, n.representative_filename
@@ -455,12 +486,17 @@ ORACLE_SQL: dict[str, str] = {
         AND (NOT (src_n = 1 AND dst_n > 1) OR corroborating >= 2 OR (top >= 0.8::DOUBLE AND top_confidence >= 0.8::DOUBLE AND top_shift <= 0.05::DOUBLE AND top_edge >= 0.25::DOUBLE) OR (top >= 0.72::DOUBLE AND top_tiny IS NOT NULL))""",
     "group_match_medium": f"""{FOLDS} SELECT src, dst, round(average, 6) AS average FROM folds WHERE src_n BETWEEN 3 AND 12 AND dst_n BETWEEN 3 AND 16 AND greatest(src_n, dst_n)::DOUBLE / least(src_n, dst_n) <= 4
         AND supported = src_n AND average >= 0.66::DOUBLE AND least >= 0.58::DOUBLE AND covered >= greatest(3, ceil(0.75::DOUBLE * src_n)) AND covered_targets >= least(3, dst_n)""",
+    "group_match_tail": f"""{FOLDS}, named AS ({_NUM_SQL.format('mc')}), number AS (SELECT DISTINCT c.component, n.group_id FROM named n JOIN mc c ON n.index = c.idx),
+        inner_pair AS (SELECT a.component AS src, least(0.7::DOUBLE, 0.85::DOUBLE * s.confidence) AS indirect FROM sized a JOIN sized b ON a.component = b.component AND a.idx < b.idx JOIN scores s ON s.i = a.idx AND s.j = b.idx
+          WHERE a.n = 2 AND s.decision <> 'reject' AND s.confidence >= 0.9::DOUBLE AND s.ransac_inliers >= 50 AND s.avg_corner_shift_ratio <= 0.05::DOUBLE AND s.max_corner_shift_ratio <= 0.1::DOUBLE),
+        direct AS (SELECT src, dst, max(support) AS direct FROM placed WHERE place = 1 AND src_n = 2 AND dst_n >= 4 AND support >= 0.7::DOUBLE GROUP BY 1, 2 HAVING count(*) = 1)
+        SELECT x.group_id AS src, y.group_id AS dst, round((direct + indirect) / 2, 6) AS average FROM direct JOIN inner_pair USING (src) JOIN number x ON src = x.component JOIN number y ON dst = y.component WHERE (direct + indirect) / 2 >= 0.72::DOUBLE""",
     "best_with_margin": f"{SUPPORTS} SELECT src, dst, round(average, 6) AS average, round(second, 6) AS second FROM (SELECT src, dst, average, coalesce(lead(average) OVER w, 0) AS second, row_number() OVER w AS rn FROM matches WINDOW w AS (PARTITION BY src ORDER BY average DESC, dst)) WHERE rn = 1",
     "mutual_best": f"{SUPPORTS}, b AS (SELECT src, dst, average FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY average DESC, dst) AS rn FROM matches) WHERE rn = 1) SELECT x.src, x.dst, round(least(x.average, y.average), 6) AS average FROM b x JOIN b y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst",
     "bridge_candidates": f"""WITH RECURSIVE {IMAGES_SQL}, {_topk_sql(NEIGHBORS)}, {compact_sql(TIGHT, 'cc')}, r AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top WHERE sim >= {FLOOR} GROUP BY 1, 2)
         SELECT i, j, sim FROM (SELECT r.*, row_number() OVER (PARTITION BY least(a.component, b.component), greatest(a.component, b.component) ORDER BY r.sim DESC, r.i, r.j) AS rn
           FROM r JOIN cc a ON r.i = a.idx JOIN cc b ON r.j = b.idx JOIN images x ON r.i = x.idx JOIN images y ON r.j = y.idx
-          WHERE r.sim < {TIGHT} AND r.sim >= {FLOOR} AND a.component <> b.component AND abs(x.width::DOUBLE / x.height - y.width::DOUBLE / y.height) <= 0.03::DOUBLE) WHERE rn <= 1 ORDER BY sim DESC, i, j LIMIT 200""",
+          WHERE r.sim < {TIGHT} AND r.sim >= {FLOOR} AND a.component <> b.component AND abs(x.width::DOUBLE / x.height - y.width::DOUBLE / y.height) <= 0.03::DOUBLE) WHERE rn <= 1 ORDER BY sim DESC, i, j LIMIT {EngineConfig().bridge_max_pairs}""",
     "split_oversized": f"""WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LOOSE, 'c0')}, {compact_sql(0.38, 'c1')}, {compact_sql(0.42, 'c2')}, {compact_sql(0.46, 'c3')},
         largest AS (SELECT w.component AS whole, any_value(w.n) AS n, max(p1.n) AS n1, max(p2.n) AS n2, max(p3.n) AS n3
           FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c0) w JOIN (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c1) p1 USING (idx)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.sources.workspace import Workspace
+from vistaspark.operators.order import with_ordinal
 
 CORE_SUFFIXES = ("jpg", "jpeg")
 WRAPPER_SUFFIXES = ("jpg", "jpeg", "png")
@@ -16,13 +16,8 @@ def _any_case(suffix: str) -> str:
 
 
 def with_index(paths: DataFrame, key: str = "path") -> DataFrame:
-    """paths with ``index``: its place from 0 in the order of ``key``, by range-sorted parts and their sizes."""
-    work = Workspace(paths.sparkSession, "index")
-    parts = work.put(paths.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "parts")
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return parts.withColumn("__place", place).join(before, "__part").withColumn("index", (F.col("before") + F.col("__place")).cast("long")).select("index", *paths.columns)
+    """paths with ``index``: its place from 0 in the order of ``key``."""
+    return with_ordinal(paths, [key], "index").select("index", *paths.columns)
 
 
 def list_images(spark: SparkSession, folder: str, recursive: bool = False, suffixes: tuple[str, ...] = CORE_SUFFIXES) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistaspark.config import Thresholds
+from vistaspark.operators.order import with_ordinal
 from vistaspark.schemas import PAIR_SCORE, REPORT
 
 
@@ -24,7 +25,7 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 def write_predictions(groups: DataFrame, path: str) -> None:
     """filename, group_id by group, then filename; groups numbered from 0 by least filename."""
     least = groups.groupBy("group_id").agg(F.min("filename").alias("least_name"))
-    number = least.select("group_id", (F.row_number().over(Window.orderBy("least_name", "group_id")) - 1).alias("number"))
+    number = with_ordinal(least, ["least_name", "group_id"], "number").drop("least_name")
     out = groups.join(number, "group_id").select("filename", F.col("number").alias("group_id"))
     out.orderBy("group_id", "filename").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
