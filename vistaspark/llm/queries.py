@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.llm import ann, bpe, html_extract, jaccard, katz, langid, line_dedup, mixing, quality, suffix_dedup
+from vistaspark.llm import ann, bpe, conversations, html_extract, jaccard, katz, langid, line_dedup, mixing, quality, simhash, spelling, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The contract's misspellings: one run in 199 loses a code point; a null id is the empty text.
+    run = docs.select("doc_id", F.explode(spelling.runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    hashed = run.select("run", h.alias("h"))
+    gone = F.col("h") % F.length("run")
+    cut = F.concat(F.substring("run", F.lit(1), gone.cast("int")), F.substring("run", (gone + 2).cast("int"), F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.count_words(words))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # The contract's damage, by a hash of conversation and turn; nulls are one space.
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    damaged = rows.where(k != 0).select(
+        "conv_id", "turn", F.when(k == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(k == 3, 2).otherwise(1))).alias("copy"))
+    return conversations.report_for(rows, conversations.repair(damaged).report)
+
+
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_katz_score": op2_katz_score,
@@ -83,6 +111,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_simhash_groups": op13_simhash_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
