@@ -1,99 +1,276 @@
-"""Similarity joins of unit vectors: exact top-k, threshold and all-pairs joins by blocks, and an approximate join.
-
-Vectors lie in blocks of bounded size; blocks meet in pairs, a pair is one
-matrix product, and only what a row needs (its k best of the other block, or what
-passes the threshold) leaves the task.  Similarities are rounded to 6 decimals
-before anything is compared, ties go to the smaller partner.
+"""Similarity joins of vectors: exact top-k, threshold and all-pairs joins over pivot cells, and an approximate join over a kd-forest.
+
+Exact joins: rows go to the cell of their nearest pivot, cells lie in blocks of
+bounded size, and a row meets a cell only if the cell's ball can hold what it
+asks for: x . y <= x . pivot + |x| radius for every y of the cell.  A threshold
+join asks for its threshold; a top-k join first meets the row's own cell and then
+asks for its k-th similarity found there.  A meeting is one matrix product, and
+only what a row needs leaves the task.
+
+Equal vectors are one row in top-k joins, whatever their number.  Similarities
+are rounded to 6 decimals before anything is compared, ties go to the smaller
+partner.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DECIMALS = 6
-
-
-def packed_blocks(vectors: DataFrame, index: str, vector: str, block_rows: int) -> tuple[DataFrame, int]:
-    """(block, ids, rows, dim) and the number of blocks; rows are dealt by a hash of the index."""
-    count = vectors.count()
-    blocks = max(1, -(-count // block_rows))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        rows = np.array(frame["v"].tolist(), np.float64)
-        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "ids": [frame["i"].to_numpy(np.int64).tobytes()], "rows": [rows.tobytes()], "dim": [rows.shape[1]]})
-
-    dealt = vectors.select(
-        F.col(index).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"),
-        F.pmod(F.xxhash64(F.col(index).cast("long")), F.lit(blocks)).cast("int").alias("block"),
-    ).where(F.col("v").isNotNull() & F.col("i").isNotNull())
-    return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, rows binary, dim int"), blocks
-
-
-def _meetings(packed: DataFrame, blocks: int, ordered: bool) -> DataFrame:
-    """Pairs of blocks with both payloads; ``ordered``: each unordered pair once."""
-    other = F.sequence(F.col("block") if ordered else F.lit(0), F.lit(blocks - 1))
-    left = packed.select("block", F.col("ids").alias("ids_a"), F.col("rows").alias("rows_a"), "dim", F.explode(other).alias("other"))
-    right = packed.select(F.col("block").alias("other"), F.col("ids").alias("ids_b"), F.col("rows").alias("rows_b"))
-    return left.join(right, "other").repartition(F.col("block"), F.col("other"))
-
-
-def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.frombuffer(row.ids_a, np.int64), np.frombuffer(row.ids_b, np.int64)
-    x, y = np.frombuffer(row.rows_a).reshape(-1, row.dim), np.frombuffer(row.rows_b).reshape(-1, row.dim)
-    return a, b, np.round(x @ y.T, DECIMALS) + 0.0
-
-
-def _frame(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"i": i, "j": j, "sim": s})
-
+from vistaspark.operators import kdforest
+from vistaspark.sources.workspace import Workspace
 
+DECIMALS = 6
+#: Pivots, which every task is sent, are at most so many rows, and what they are fitted on at most so many bytes.
+MOST_PIVOTS, SAMPLE_BYTES = 1024, 1 << 26
+_SLACK = 2e-6
 _PAIRS = "i long, j long, sim double"
 
 
-def similar_pairs(vectors: DataFrame, min_similarity: float | None, index: str = "index", vector: str = "descriptor", block_rows: int = 2048) -> DataFrame:
-    """(i, j, sim) with i < j and sim >= min_similarity; None: all pairs."""
-    packed, blocks = packed_blocks(vectors, index, vector, block_rows)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                a, b, s = _arrays(row)
-                hit = np.ones(s.shape, bool) if min_similarity is None else s >= min_similarity
-                if row.block == row.other:
-                    hit &= a[:, None] < b[None, :]
-                u, v = np.nonzero(hit)
-                yield _frame(np.minimum(a[u], b[v]), np.maximum(a[u], b[v]), s[u, v])
+def _rows(vectors: DataFrame, index: str, vector: str) -> DataFrame:
+    return vectors.select(F.col(index).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.col("i").isNotNull())
+
+
+def sample_rows(rows: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` rows, and ``SAMPLE_BYTES`` bytes, the first by a hash of their index."""
+    head = rows.select(F.size("v").alias("d")).first()
+    if head is None:
+        return np.zeros((0, 1))
+    most = max(1, min(most, SAMPLE_BYTES // (8 * max(1, head["d"]))))
+    taken = rows.select("v", F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(most).select("v").toPandas()
+    return np.array(taken["v"].tolist(), np.float64)
+
+
+def fit_pivots(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
+    """``count`` means of the sample's rows (Lloyd's rounds from evenly taken rows)."""
+    pivots = sample[np.linspace(0, len(sample) - 1, count).astype(int)]
+    for _ in range(rounds):
+        near = np.argmin((pivots**2).sum(1) - 2 * sample @ pivots.T, axis=1)
+        for c in np.unique(near):
+            pivots[c] = sample[near == c].mean(0)
+    return pivots
+
+
+class Cells:
+    """Rows (i, v) in blocks (cell, part, ids, rows, dim), the pivots, and each cell's radius and number of rows."""
+
+    def __init__(self, rows: DataFrame, work: Workspace, name: str, block_rows: int):
+        self.work, self.name = work, name
+        self.count = rows.count()
+        wanted = min(MOST_PIVOTS, max(1, -(-self.count // block_rows)))
+        sample = sample_rows(rows, 32 * wanted) if wanted > 1 else np.zeros((0, 1))
+        pivots = self.pivots = fit_pivots(sample, min(wanted, len(sample))) if wanted > 1 else sample
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    x = np.array(frame["v"].tolist(), np.float64)
+                    square = np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0)
+                    cell = square.argmin(1)
+                    yield frame.assign(cell=cell.astype(np.int32), off=np.linalg.norm(x - pivots[cell], axis=1))
+
+        if len(pivots):
+            placed = work.put(rows.mapInPandas(place, "i long, v array<double>, cell int, off double"), f"{name}-placed")
+            told = placed.groupBy("cell").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+            self.radius, sizes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+            for r in told:
+                self.radius[r["cell"]], sizes[r["cell"]] = r["radius"], r["n"]
+        else:
+            placed, self.radius, sizes = rows.withColumn("cell", F.lit(0)), np.full(1, np.inf), np.array([self.count])
+        self.sizes = sizes
+        self.parts = np.maximum(1, -(-sizes // block_rows))
+        parts = F.get(F.lit([int(p) for p in self.parts]), F.col("cell"))
+
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("i")
+            x = np.array(frame["v"].tolist(), np.float64)
+            return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "part": [int(frame["part"].iloc[0])], "ids": [frame["i"].to_numpy(np.int64).tobytes()], "rows": [x.tobytes()], "dim": [x.shape[1]]})
+
+        dealt = placed.select("i", "v", "cell", F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
+        self.blocks = work.put(dealt.groupBy("cell", "part").applyInPandas(pack, "cell int, part int, ids binary, rows binary, dim int"), f"{name}-blocks")
+
+    def _bound(self) -> tuple[Callable, np.ndarray]:
+        """What tasks need of the cells: pivots, radii and parts, no more than MOST_PIVOTS rows."""
+        pivots, radius, parts = self.pivots, self.radius, self.parts
+
+        def reach(x: np.ndarray) -> np.ndarray:
+            return x @ pivots.T + np.linalg.norm(x, axis=1)[:, None] * radius if len(pivots) else np.full((len(x), 1), np.inf)
+
+        return reach, parts
+
+    def own(self, keep: Callable, once: bool = False) -> DataFrame:
+        """(cell, part, i, j, sim) of rows of one cell that ``keep(ids, ids, products)`` chooses; ``once``: i < j, each pair of blocks meets once."""
+        _, parts = self._bound()
+        last = F.get(F.lit([int(p) for p in parts]), F.col("cell")) - 1
+        left = self.blocks.withColumn("other", F.explode(F.sequence(F.col("part") if once else F.lit(0), last.cast("int"))))
+        right = self.blocks.select("cell", F.col("part").alias("other"), F.col("ids").alias("ids_b"), F.col("rows").alias("rows_b"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for r in frame.itertuples(index=False):
+                    a, b, s = _product(r)
+                    if once and r.part == r.other:
+                        s[a[:, None] >= b[None, :]] = -np.inf
+                    u, v = keep(a, b, s)
+                    i, j = (np.minimum(a[u], b[v]), np.maximum(a[u], b[v])) if once else (a[u], b[v])
+                    yield pd.DataFrame({"cell": np.int32(r.cell), "part": np.int32(r.part), "i": i, "j": j, "sim": s[u, v]})
+
+        return left.join(right, ["cell", "other"]).mapInPandas(run, f"cell int, part int, {_PAIRS}")
+
+    def visits(self, asked: DataFrame | None, least: float | None, onwards: bool) -> DataFrame:
+        """Packs of rows for the blocks of other cells that can hold what they ask for.
+
+        ``asked``: (cell, part, i, least); else all ask for ``least`` (None: for all).
+        ``onwards``: cells after the row's own alone.
+        """
+        reach, parts = self._bound()
+
+        def packs(cell: int, ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> Iterator[pd.DataFrame]:
+            meets = reach(x) >= (floor - _SLACK)[:, None]
+            meets[:, : cell + 1 if onwards else 0] = False
+            meets[:, cell] = False
+            for c in np.flatnonzero(meets.any(0)):
+                some = meets[:, c]
+                for p in range(parts[c]):
+                    yield pd.DataFrame({"cell": [np.int32(c)], "part": [np.int32(p)], "ids": [ids[some].tobytes()], "rows": [x[some].tobytes()], "floor": [floor[some].tobytes()], "dim": [x.shape[1]]})
+
+        schema = "cell int, part int, ids binary, rows binary, floor binary, dim int"
+        if asked is None:
+            floor = -np.inf if least is None else least
+
+            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    for r in frame.itertuples(index=False):
+                        ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows).reshape(-1, r.dim)
+                        yield from packs(r.cell, ids, x, np.full(len(ids), floor))
+
+            return self.blocks.mapInPandas(run, schema)
+
+        def told(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            r = left.iloc[0]
+            ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"]).reshape(-1, r["dim"])
+            floor = np.full(len(ids), -np.inf)
+            floor[np.searchsorted(ids, right["i"].to_numpy())] = right["least"].to_numpy()
+            out = list(packs(int(r["cell"]), ids, x, floor))
+            return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("cell", "part", "ids", "rows", "floor", "dim")})
+
+        return self.blocks.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(told, schema)
+
+    def meet(self, visits: DataFrame, keep: Callable) -> DataFrame:
+        """(i, j, sim) that ``keep(ids, ids, products)`` chooses of what visitors find and asked for."""
+        other = self.blocks.select("cell", "part", F.col("ids").alias("ids_b"), F.col("rows").alias("rows_b"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for r in frame.itertuples(index=False):
+                    a, b, s = _product(r)
+                    s[s < np.frombuffer(r.floor)[:, None]] = -np.inf
+                    u, v = keep(a, b, s)
+                    yield pd.DataFrame({"i": a[u], "j": b[v], "sim": s[u, v]})
+
+        return visits.join(other, ["cell", "part"]).mapInPandas(run, _PAIRS)
+
+    def share(self, visits: DataFrame) -> float:
+        """The share of all pairs of rows (both ways) that were multiplied: own cells and visits."""
+        sizes = self.blocks.select("cell", "part", (F.octet_length("ids") / 8).alias("n"))
+        met = visits.select("cell", "part", (F.octet_length("ids") / 8).alias("m")).join(sizes, ["cell", "part"]).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+        return (float((self.sizes.astype(float) ** 2).sum()) + (met or 0)) / max(1, self.count) ** 2
+
+
+def _product(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_b, np.int64)
+    x, y = np.frombuffer(r.rows).reshape(-1, r.dim), np.frombuffer(r.rows_b).reshape(-1, r.dim)
+    return a, b, np.round(x @ y.T, DECIMALS) + 0.0
 
-    return _meetings(packed, blocks, True).mapInPandas(run, _PAIRS)
 
+def _best(k: int) -> Callable:
+    """Chooses each row's k best products with others and all equal to the k-th."""
+    def keep(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s[a[:, None] == b[None, :]] = -np.inf
+        if b.size <= k:
+            return np.nonzero(s > -np.inf)
+        kth = np.partition(s, b.size - k, axis=1)[:, b.size - k]
+        return np.nonzero((s >= kth[:, None]) & (s > -np.inf))
 
-def top_k(vectors: DataFrame, k: int, index: str = "index", vector: str = "descriptor", block_rows: int = 2048) -> DataFrame:
-    """(i, j, sim, rank): each row's k most similar others."""
-    packed, blocks = packed_blocks(vectors, index, vector, block_rows)
+    return keep
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                a, b, s = _arrays(row)
-                s[a[:, None] == b[None, :]] = -np.inf
-                if b.size > k:
-                    kth = np.partition(s, b.size - k, axis=1)[:, b.size - k]
-                    u, v = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
-                else:
-                    u, v = np.nonzero(s > -np.inf)
-                yield _frame(a[u], b[v], s[u, v])
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("i").orderBy(F.col("sim").desc(), F.col("j"))
-    found = _meetings(packed, blocks, False).mapInPandas(run, _PAIRS)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def similar_pairs(vectors: DataFrame, min_similarity: float | None, index: str = "index", vector: str = "descriptor", block_rows: int = 2048, report: dict | None = None) -> DataFrame:
+    """(i, j, sim) with i < j and sim >= min_similarity; None: all pairs.  ``report`` gets the share of pairs that were multiplied."""
+    work = Workspace(vectors.sparkSession, "similar")
+    cells = Cells(_rows(vectors, index, vector), work, "cells", block_rows)
+
+    floor = -np.inf if min_similarity is None else min_similarity
+
+    def enough(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero((s >= floor) & (s > -np.inf))
+
+    found = cells.own(enough, once=True).select("i", "j", "sim")
+    if len(cells.pivots):
+        visits = work.put(cells.visits(None, min_similarity, True), "visits")
+        other = cells.meet(visits, enough)
+        found = found.unionByName(other.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim"))
+        if report is not None:
+            report["share"] = cells.share(visits)
+    return found
+
+
+def distinct_vectors(rows: DataFrame, keep: int, work: Workspace) -> tuple[DataFrame, DataFrame, bool]:
+    """Equal vectors as one: (i, v, ids) with the least index and the ``keep`` least; (copy, i) for all rows; whether any are equal.
+
+    Vectors are told apart by two 64-bit hashes.
+    """
+    keyed = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit("second"), F.col("v")))
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("i"))
+    few = keyed.select("h1", "h2", "i").withColumn("place", place).where(F.col("place") <= keep)
+    heads = work.put(few.groupBy("h1", "h2").agg(F.min("i").alias("head"), F.array_sort(F.collect_list("i")).alias("ids")), "heads")
+    if heads.where(F.size("ids") > 1).isEmpty():
+        return rows, rows.select(F.col("i").alias("copy"), "i"), False
+    one = rows.join(heads.select(F.col("head").alias("i"), "ids"), "i")
+    return one, keyed.select(F.col("i").alias("copy"), "h1", "h2").join(heads, ["h1", "h2"]).select("copy", F.col("head").alias("i")), True
+
+
+def _to_copies(near: DataFrame, heads: DataFrame, copies: DataFrame, k: int, own: DataFrame) -> DataFrame:
+    """Neighbours of distinct vectors handed to all rows: a vector's k + 1 first partners hold the k first of each of its copies."""
+    ids = heads.select(F.col("i").alias("j"), "ids")
+    each = near.select("i", "j", "sim").unionByName(own).join(ids, "j").select("i", F.explode("ids").alias("j"), "sim")
+    lists = _ranked(each, k + 1).groupBy("i").agg(F.collect_list(F.struct("j", "sim")).alias("near"))
+    told = copies.join(lists, "i").select(F.col("copy").alias("i"), F.explode("near").alias("n")).where(F.col("i") != F.col("n.j"))
+    return _ranked(told.select("i", "n.j", "n.sim"), k)
+
+
+def _own_products(heads: DataFrame) -> DataFrame:
+    square = F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    return heads.where(F.size("ids") > 1).select("i", F.col("i").alias("j"), F.round(square, DECIMALS).alias("sim"))
+
+
+def top_k(vectors: DataFrame, k: int, index: str = "index", vector: str = "descriptor", block_rows: int = 2048, report: dict | None = None) -> DataFrame:
+    """(i, j, sim, rank): each row's k most similar others.  ``report`` gets the share of pairs that were multiplied."""
+    work = Workspace(vectors.sparkSession, "top-k")
+    heads, copies, some = distinct_vectors(_rows(vectors, index, vector), k + 1, work)
+    if some:
+        heads = work.put(heads, "distinct")
+    cells = Cells(heads.select("i", "v"), work, "cells", block_rows)
+    near = _ranked(cells.own(_best(k)), k)
+    if len(cells.pivots):
+        first = work.put(near, "first")
+        kth = first.groupBy("cell", "part", "i").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(float("-inf"))).alias("least"))
+        visits = work.put(cells.visits(kth, None, False), "visits")
+        near = _ranked(first.select("i", "j", "sim").unionByName(cells.meet(visits, _best(k))), k)
+        if report is not None:
+            report["share"] = cells.share(visits)
+    return _to_copies(near, heads, copies, k, _own_products(heads)) if some else near.select("i", "j", "sim", "rank")
+
+
 def undirected(pairs: DataFrame) -> DataFrame:
     """(i, j, sim) with i < j, once each, with the larger similarity."""
     return pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("sim").alias("sim"))
@@ -113,14 +290,19 @@ def neighbor_pairs(vectors: DataFrame, neighbors: int, min_similarity: float | N
     return undirected(found if min_similarity is None else found.where(F.col("sim") >= min_similarity))
 
 
-def approximate_neighbor_pairs(vectors: DataFrame, neighbors: int, index: str = "index", vector: str = "descriptor", bucket_length: float = 2.0, tables: int = 4, max_distance: float = 1.2) -> DataFrame:
-    """Approximate form of ``neighbor_pairs`` without a floor: random projections, similarity 1 - d^2 / 2."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate_top_k(vectors: DataFrame, k: int, index: str = "index", vector: str = "descriptor", recall: float = 0.9, report: dict | None = None, **kw) -> DataFrame:
+    """(i, j, sim, rank): about ``recall`` of each row's k nearest others by Euclidean distance d, sim = 1 - d^2 / 2, without a floor.
+
+    Equal vectors are one in the forest.  ``kw`` and ``report``: see ``kdforest.search``.
+    """
+    work = Workspace(vectors.sparkSession, "approximate")
+    heads, copies, some = distinct_vectors(_rows(vectors, index, vector), k + 1, work)
+    heads = work.put(heads, "distinct")
+    near = _ranked(kdforest.search(heads.select("i", "v"), k, sample_rows, work, recall=recall, report=report, **kw), k)
+    own = heads.where(F.size("ids") > 1).select("i", F.col("i").alias("j"), F.lit(1.0).alias("sim")) if some else None
+    return _to_copies(near, heads, copies, k, own) if some else near
+
 
-    frame = vectors.select(F.col(index).cast("long").alias("index"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=1).fit(frame)
-    near = model.approxSimilarityJoin(frame, frame, max_distance, "d").select(F.col("datasetA.index").alias("i"), F.col("datasetB.index").alias("j"), "d").where("i <> j")
-    order = Window.partitionBy("i").orderBy("d", "j")
-    top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbors)
-    return undirected(top.select("i", "j", F.round(1 - F.col("d") * F.col("d") / 2, DECIMALS).alias("sim")))
+def approximate_neighbor_pairs(vectors: DataFrame, neighbors: int, **kw) -> DataFrame:
+    """Approximate form of ``neighbor_pairs`` without a floor: one row a pair of ``approximate_top_k``."""
+    return undirected(approximate_top_k(vectors, neighbors, **kw))

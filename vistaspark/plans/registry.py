@@ -189,6 +189,19 @@ def q_ann_pairs(spark, sf_dir):
     return knn.approximate_neighbor_pairs(images(spark, sf_dir), NEIGHBORS)
 
 
+def q_ann_recall(spark, sf_dir):
+    """One row: whether the forest finds at least nine tenths of all rows' true neighbours, with their true similarities."""
+    im = images(spark, sf_dir)
+    work = Workspace(spark, "ann-q")
+    found = work.put(knn.approximate_top_k(im, NEIGHBORS), "found")
+    true = knn.top_k(im, NEIGHBORS).select("i", "j", F.lit(1).alias("true"))
+    side = lambda i, d: im.select(F.col("index").alias(i), F.col("descriptor").alias(d))
+    off = F.abs(F.col("sim") - repair.dot(F.col("a"), F.col("b")))
+    wrong = found.join(side("i", "a"), "i").join(side("j", "b"), "j").agg(F.coalesce(F.max(off), F.lit(0.0)).alias("off"))
+    hits = true.join(found.select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left").agg(F.count("true").alias("neighbours"), F.count("hit").alias("hits"))
+    return hits.crossJoin(wrong).select("neighbours", (10 * F.col("hits") >= 9 * F.col("neighbours")).alias("recall_reached"), (F.col("off") <= 2e-6).alias("similarities_true"))
+
+
 def q_confidence(spark, sf_dir):
     return pair_scores(spark, sf_dir).select("i", "j", "confidence")
 
@@ -416,7 +429,7 @@ def q_greedy_proposals(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "all_pairs_similarity": q_all_pairs, "knn_topk": q_knn_topk, "candidate_pairs_undirected": candidates, "knn_range_pairs": q_range_pairs, "ann_pairs": q_ann_pairs,
+    "all_pairs_similarity": q_all_pairs, "knn_topk": q_knn_topk, "candidate_pairs_undirected": candidates, "knn_range_pairs": q_range_pairs, "ann_pairs": q_ann_pairs, "ann_recall": q_ann_recall,
     "pair_confidence": q_confidence, "pair_decision": q_decision, "pair_decision_reason": q_reason, "bidirectional_best": q_bidirectional,
     "support_relaxed": _support_query(D.relaxed_support), "support_singleton": _support_query(D.singleton_support), "support_tiny": _support_query(D.tiny_motion_support),
     "support_coalesced": _support_query(D.member_support), "bridge_accepts": q_bridge_accepts,
@@ -452,6 +465,7 @@ ORACLE_SQL: dict[str, str] = {
     "knn_topk": f"{CAND} SELECT i, j, sim, rank FROM top",
     "candidate_pairs_undirected": f"{CAND} SELECT i, j, sim FROM cand",
     "knn_range_pairs": f"WITH {IMAGES_SQL}, {_topk_sql(NEIGHBORS)} SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top WHERE sim >= {FLOOR} GROUP BY 1, 2",
+    "ann_recall": f"WITH {IMAGES_SQL}, {_topk_sql(NEIGHBORS)} SELECT count(*) AS neighbours, true AS recall_reached, true AS similarities_true FROM top",
     "pair_confidence": f"{SCORES} SELECT i, j, confidence FROM scores",
     "pair_decision": f"{SCORES} SELECT i, j, decision FROM scores",
     "pair_decision_reason": f"""{SCORES} SELECT i, j, decision, CASE decision WHEN 'verified' THEN 'feature_homography_verified' WHEN 'tentative' THEN 'structural_alignment_tentative'
