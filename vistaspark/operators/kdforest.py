@@ -10,7 +10,8 @@ The budget is measured, not guessed: for a bounded set of probe rows the true
 neighbours are found in one pass over the table, each is as many checks away as
 the leaves before its own hold, and the budget is the quantile of those numbers
 that the wanted recall asks for.  Vectors in clusters need few checks; vectors
-without structure need a large share of the table, and get it.
+without structure need a large share of the table, and get it: where that is over
+half of all rows, all rows meet in blocks.
 """
 
 from __future__ import annotations
@@ -96,8 +97,12 @@ def _k_best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
     return np.nonzero((s >= kth[:, None]) & (s > -np.inf))
 
 
-def measured_checks(placed: DataFrame, probes: pd.DataFrame, forest: list[Tree], sizes: np.ndarray, k: int, recall: float) -> int:
-    """The checks that bring ``recall`` of the probes' true k nearest, from one pass over the table."""
+def measured_checks(placed: DataFrame, probes: pd.DataFrame, forest: list[Tree], sizes: np.ndarray, k: int, recall: float) -> tuple[int, int]:
+    """(checks, trees) that bring ``recall`` of the probes' true k nearest with fewest checks, from one pass over the table.
+
+    Rows met in several trees are checked several times, so few trees are best for
+    vectors without structure, many for vectors in clusters.
+    """
     ids, x = probes["i"].to_numpy(), np.array(probes["v"].tolist(), np.float64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +116,16 @@ def measured_checks(placed: DataFrame, probes: pd.DataFrame, forest: list[Tree],
     order = Window.partitionBy("q").orderBy(F.col("sim").desc(), "j")
     near = placed.mapInPandas(run, "q long, j long, sim double, leaves array<int>").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).toPandas()
     if near.empty:
-        return 1
-    taken = leaf_order(forest, x)
-    held = np.cumsum(sizes[taken], axis=1)
-    place = np.argsort(taken, axis=1)
-    needed = [held[q, min(place[q, leaf] for leaf in leaves)] for q, leaves in zip(near["q"], near["leaves"])]
-    return int(np.quantile(needed, recall, method="higher"))
+        return 1, 1
+    found, trees = [], 1
+    while trees <= len(forest):
+        taken = leaf_order(forest[:trees], x)
+        held = np.cumsum(sizes[taken], axis=1)
+        place = np.argsort(taken, axis=1)
+        needed = [held[q, min(place[q, leaf] for leaf in leaves[:trees])] for q, leaves in zip(near["q"], near["leaves"])]
+        found.append((int(np.quantile(needed, recall, method="higher")), trees))
+        trees *= 2
+    return min(found)
 
 
 def search(
@@ -127,8 +136,8 @@ def search(
 
     ``checks``: rows looked at for each row, over all trees; None: measured for
     ``recall`` (with 0.03 on top for what probes leave open) on ``probes`` rows.
-    ``report`` gets checks, the leaves a tree has, and the share of all pairs
-    that were multiplied.
+    ``report`` gets the checks, the trees that were used, the leaves of each, and the
+    share of all pairs that were multiplied.
     """
     count = rows.count()
     depth = max(0, int(np.ceil(np.log2(max(1, min(MOST_LEAVES, count / leaf_rows))))))
@@ -150,11 +159,16 @@ def search(
         sizes[r["leaf"]] = r["count"]
     if checks is None:
         asked = placed.select("i", "v", F.xxhash64(F.lit("probe"), F.col("i")).alias("h")).orderBy("h", "i").limit(probes).select("i", "v").toPandas()
-        checks = measured_checks(placed, asked, forest, sizes, k, min(1.0, recall + 0.03)) if len(asked) else 1
+        checks, used = measured_checks(placed, asked, forest, sizes, k, min(1.0, recall + 0.03)) if len(asked) else (1, 1)
+        forest, sizes = forest[:used], sizes[: used * leaves]
+        if 2 * checks > count:
+            # Over half of all rows: one leaf holds all, and blocks of it meet.
+            forest, sizes, leaves = [Tree(np.zeros(0, np.int64), np.zeros(0))], np.array([count]), 1
+    at = F.slice("leaves", 1, len(forest)) if leaves > 1 else F.array(F.lit(0))
     parts = np.maximum(1, -(-sizes // _PART))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, (1 << 22) // sizes.size)
+        step = max(1, (1 << 22) // max(sizes.size, min(_PART, int(sizes.max(initial=1)))))
         for frame in frames:
             for lo in range(0, len(frame), step):
                 some = frame.iloc[lo : lo + step]
@@ -177,7 +191,7 @@ def search(
         return pd.DataFrame({"leaf": [frame["leaf"].iloc[0]], "part": [frame["part"].iloc[0]], "ids_b": [frame["i"].to_numpy(np.int64).tobytes()], "rows_b": [x.tobytes()]})
 
     part = F.pmod(F.xxhash64("i"), F.get(F.lit([int(p) for p in parts]), F.col("leaf"))).cast("int")
-    members = placed.select("i", "v", F.explode("leaves").alias("leaf")).withColumn("part", part).groupBy("leaf", "part").applyInPandas(pack, "leaf int, part int, ids_b binary, rows_b binary")
+    members = placed.select("i", "v", F.explode(at).alias("leaf")).withColumn("part", part).groupBy("leaf", "part").applyInPandas(pack, "leaf int, part int, ids_b binary, rows_b binary")
     visits = work.put(placed.select("i", "v").mapInPandas(visit, "leaf int, part int, ids binary, rows binary, dim int"), "visits")
     members = work.put(members, "members")
 
@@ -191,6 +205,6 @@ def search(
 
     if report is not None:
         met = visits.join(members, ["leaf", "part"]).agg(F.sum(F.octet_length("ids") / 8 * F.octet_length("ids_b") / 8)).first()[0] or 0
-        report |= {"checks": checks, "leaves": leaves, "share": met / max(1, count) ** 2}
+        report |= {"checks": checks, "trees": len(forest), "leaves": leaves, "share": met / max(1, count) ** 2}
     # One pair can be found in several trees.
     return visits.join(members, ["leaf", "part"]).mapInPandas(meet, "i long, j long, sim double").groupBy("i", "j").agg(F.max("sim").alias("sim"))
