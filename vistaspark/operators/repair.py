@@ -9,14 +9,14 @@ become proposals, and proposals are applied in order of score.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaspark.functions import decisions as D
+from vistaspark.operators.affinity import group_affinity
 from vistaspark.operators.graph import connected_components
 from vistaspark.operators.order import with_ordinal
 from vistaspark.sources.workspace import Workspace
@@ -32,67 +32,6 @@ def group_members(images: DataFrame, assigned: DataFrame) -> DataFrame:
     return assigned.select("index", "group_id").join(images.select("index", "filename", "descriptor"), "index").withColumn("n", n).select("group_id", "index", "filename", "descriptor", "n")
 
 
-def centroids(members: DataFrame) -> DataFrame:
-    """(group_id, centroid): the mean descriptor, scaled to length 1 unless it is nearly zero."""
-    mean = members.select("group_id", F.posexplode("descriptor").alias("pos", "x")).groupBy("group_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    whole = mean.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m"))
-    norm = F.sqrt(dot(F.col("m"), F.col("m")))
-    return whole.withColumn("norm", norm).select("group_id", F.when(F.col("norm") > 1e-8, F.transform("m", lambda x: x / F.col("norm"))).otherwise(F.col("m")).alias("centroid"))
-
-
-def group_affinity(members: DataFrame, source: Column, target: Column, least: float | None = None, ratio: float | None = None, k: int | None = None, block_groups: int = 512) -> DataFrame:
-    """(src, dst, affinity, src_n, dst_n): 0.55 * best member similarity + 0.45 * similarity of the means.
-
-    ``source`` and ``target`` are conditions on (group_id, n).  Groups lie whole in
-    blocks; blocks meet in pairs, a pair is two matrix products, and only rows of
-    enough affinity (``least``), like size (``ratio``) and among the block's ``k``
-    best targets of a source leave the task.
-    """
-
-    def side(condition: Column, p: str) -> tuple[DataFrame, int]:
-        chosen = members.where(condition)
-        count = max(1, -(-chosen.select("group_id").distinct().count() // block_groups))
-
-        def pack(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["group_id", "index"])
-            rows = np.array(frame["descriptor"].tolist(), np.float64)
-            return pd.DataFrame({p: [int(frame["block"].iloc[0])], f"{p}_g": [frame["group_id"].to_numpy(np.int64).tobytes()], f"{p}_rows": [rows.tobytes()], "dim": [rows.shape[1]]})
-
-        dealt = chosen.withColumn("block", F.pmod(F.xxhash64("group_id"), F.lit(count)).cast("int")).select("block", "group_id", "index", F.col("descriptor").cast("array<double>").alias("descriptor"))
-        return dealt.groupBy("block").applyInPandas(pack, f"{p} int, {p}_g binary, {p}_rows binary, dim int"), count
-
-    def folded(groups: bytes, rows: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        g, x = np.frombuffer(groups, np.int64), np.frombuffer(rows).reshape(-1, dim)
-        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        n = np.diff(np.append(starts, len(g)))
-        mean = np.add.reduceat(x, starts) / n[:, None]
-        norm = np.linalg.norm(mean, axis=1, keepdims=True)
-        return g[starts], n, starts, x, np.where(norm > 1e-8, mean / np.maximum(norm, 1e-300), mean)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                ga, na, sa, xa, ca = folded(r.a_g, r.a_rows, r.dim)
-                gb, nb, sb, xb, cb = folded(r.b_g, r.b_rows, r.dim)
-                best = np.maximum.reduceat(np.maximum.reduceat(xa @ xb.T, sa, axis=0), sb, axis=1)
-                affinity = 0.55 * np.maximum(best, -1.0) + 0.45 * (ca @ cb.T)
-                keep = ga[:, None] != gb[None, :]
-                if least is not None:
-                    keep &= affinity >= least
-                if ratio is not None:
-                    keep &= np.maximum(na[:, None], nb) <= ratio * np.minimum(na[:, None], nb)
-                if k is not None and gb.size > k:
-                    shown = np.where(keep, affinity, -np.inf)
-                    keep &= shown >= np.partition(shown, gb.size - k, axis=1)[:, gb.size - k][:, None]
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"src": ga[i], "dst": gb[j], "affinity": affinity[i, j], "src_n": na[i], "dst_n": nb[j]})
-
-    left, _ = side(source, "a")
-    right, blocks = side(target, "b")
-    meetings = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right.drop("dim"), "b")
-    return meetings.mapInPandas(run, "src long, dst long, affinity double, src_n long, dst_n long")
-
-
 def rank_targets(affinity: DataFrame, k: int) -> DataFrame:
     """The k targets of highest affinity of each source, larger group numbers first among equals; adds ``rank``."""
     order = Window.partitionBy("src").orderBy(F.col("affinity").desc(), F.col("dst").desc())

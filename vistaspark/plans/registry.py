@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vistaspark.config import EngineConfig
 from vistaspark.functions import decisions as D
 from vistaspark.operators import cluster as C
-from vistaspark.operators import evaluate, knn, large, repair, scoring
+from vistaspark.operators import affinity, evaluate, knn, large, repair, scoring
 from vistaspark.schemas import PAIR_SCORE
 from vistaspark.sources.tables import PairCache, fingerprint
 from vistaspark.sources.workspace import Workspace
@@ -245,14 +245,14 @@ def q_component_sizes(spark, sf_dir):
 
 def q_centroids(spark, sf_dir):
     groups = images(spark, sf_dir).select(F.col("truth").alias("group_id"), "index", "descriptor")
-    return repair.centroids(groups).select("group_id", F.posexplode("centroid").alias("pos", "value")).select("group_id", "pos", F.round("value", 6).alias("value"))
+    return affinity.centroids(groups).select("group_id", F.posexplode("centroid").alias("pos", "value")).select("group_id", "pos", F.round("value", 6).alias("value"))
 
 
 def q_affinity_topk(spark, sf_dir):
     members = repair.group_members(images(spark, sf_dir), _partition(spark, sf_dir, LINK).select("index", "group_id"))
     members = Workspace(spark, "affinity").put(members, "members")
-    affinity = repair.group_affinity(members, F.col("n") == 1, F.lit(True), k=24)
-    return repair.rank_targets(affinity, 24).select("src", "dst", F.round("affinity", 6).alias("affinity"), "rank")
+    near = affinity.group_affinity(members, F.col("n") == 1, F.lit(True), k=24)
+    return repair.rank_targets(near, 24).select("src", "dst", F.round("affinity", 6).alias("affinity"), "rank")
 
 
 def _ranked(spark, sf_dir, kind):
