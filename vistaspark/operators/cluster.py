@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaspark.operators.graph import connected_components
+from vistaspark.operators.greedy import attach_rounds
 from vistaspark.operators.order import with_ordinal
 from vistaspark.sources.workspace import Workspace
 
@@ -39,7 +40,9 @@ def verified_components(images: DataFrame, scores: DataFrame) -> DataFrame:
 MARGIN = 0.05
 
 
-def attach_in_order(members: dict[int, int], edges: list[tuple[int, int, float]], margin: float = MARGIN) -> dict[int, tuple[int, float]]:
+def attach_in_order(
+    members: dict[int, int], edges: list[tuple[int, int, float]], margin: float = MARGIN, alone: set[int] | None = None, skip: list[bool] | None = None,
+) -> dict[int, tuple[int, float]]:
     """Attachments (image: group, confidence) within one closed set of images and tentative edges.
 
     Edges go by falling confidence.  One that joins an image alone in its group
@@ -47,49 +50,73 @@ def attach_in_order(members: dict[int, int], edges: list[tuple[int, int, float]]
     into yet another group comes within ``margin``.  Moves change what follows.
     """
     group = dict(members)
-    size = pd.Series(list(group.values())).value_counts().to_dict()
-    edges = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
+    if alone is None:
+        size = pd.Series(list(group.values())).value_counts()
+        alone = {x for x, g in group.items() if size[g] == 1}
+    lone = set(alone)
+    order = sorted(range(len(edges)), key=lambda k: (-edges[k][2], edges[k][0], edges[k][1]))
     by_image: dict[int, list[tuple[int, float]]] = {}
-    for a, b, c in edges:
+    for a, b, c in (edges[k] for k in order):
         by_image.setdefault(a, []).append((b, c))
         by_image.setdefault(b, []).append((a, c))
     moved = {}
-    for a, b, c in edges:
-        if group[a] == group[b] or (size[group[a]] == 1) == (size[group[b]] == 1):
+    for k in order:
+        a, b, c = edges[k]
+        if (a in lone) == (b in lone) or skip is not None and skip[k]:
             continue
-        alone, other = (a, b) if size[group[a]] == 1 else (b, a)
+        one, other = (a, b) if a in lone else (b, a)
         target = group[other]
-        rival = next((x for n, x in by_image[alone] if group[n] != target), None)
+        rival = next((x for n, x in by_image[one] if group[n] != target), None)
         if rival is not None and rival > c - margin:
             continue
-        size[group[alone]] -= 1
-        size[target] += 1
-        group[alone] = target
-        moved[alone] = (target, c)
+        lone.discard(one)
+        group[one] = target
+        moved[one] = (target, c)
     return moved
 
 
-def tentative_attach(assigned: DataFrame, scores: DataFrame) -> DataFrame:
+def tentative_attach(assigned: DataFrame, scores: DataFrame, serial_edges: int = 100_000, max_rounds: int = 24) -> DataFrame:
     """``assigned`` with single images attached by tentative pairs.
 
-    No attachment looks beyond a connected component of accepted pairs, so each
-    component is decided on its own, in parallel; only components that hold a
-    tentative pair take part.
+    While more than ``serial_edges`` tentative pairs are open, rounds decide all that
+    nothing undecided can change.  No attachment looks beyond a connected component
+    of the pairs that are left and the groups they lead to, so the rest is decided
+    by components, in order.
     """
     work = Workspace(assigned.sparkSession, "attach")
     pairs = canonical(scores)
-    closed = work.put(connected_components(pairs.select(F.col("a").alias("i"), F.col("b").alias("j"))), "closed")
-    tentative = work.put(pairs.where(F.col("decision") == "tentative").join(closed, F.col("a") == F.col("node")).select("component", "a", "b", "confidence"), "tentative")
-    held = tentative.select("component").distinct()
-    members = assigned.join(closed, assigned["index"] == closed["node"]).join(held, "component", "left_semi").select("component", "index", "group_id")
-    members = work.put(members, "members")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        moved = attach_in_order(dict(zip(left["index"], left["group_id"])), list(zip(right["a"], right["b"], right["confidence"])))
-        return pd.DataFrame([(i, g, c) for i, (g, c) in moved.items()], columns=["moved", "to_group", "to_confidence"])
-
-    moves = members.groupBy("component").cogroup(tentative.groupBy("component")).applyInPandas(run, "moved long, to_group long, to_confidence double")
-    return assigned.join(moves, assigned["index"] == moves["moved"], "left").select(
+    n = F.count(F.lit(1)).over(Window.partitionBy("group_id"))
+    images = assigned.select("index", "group_id", (n == 1).alias("alone"))
+    tentative = pairs.where(F.col("decision") == "tentative").select("a", "b", "confidence")
+    turns = work.put(with_ordinal(tentative.withColumn("__worst", -F.col("confidence")), ["__worst", "a", "b"], "turn").select("a", "b", "confidence", "turn"), "turns")
+    state, left = attach_rounds(images, turns, work, MARGIN, serial_edges, max_rounds)
+
+    # Decided edges of images that are still alone stay as rivals (they come first and decide nothing again).
+    alone = state.where("alone").select("index")
+    touched = left.select(F.col("a").alias("index")).unionByName(left.select(F.col("b").alias("index"))).distinct().join(alone, "index")
+    near = turns.join(touched.select(F.col("index").alias("a")), "a", "left_semi").unionByName(turns.join(touched.select(F.col("index").alias("b")), "b", "left_semi")).distinct()
+    near = near.join(left.select("turn", F.lit(True).alias("open")), "turn", "left")
+    where = state.select("index", "group_id", "alone")
+    ends = near.join(where.select(F.col("index").alias("a"), F.col("group_id").alias("a_group"), F.col("alone").alias("a_alone")), "a").join(
+        where.select(F.col("index").alias("b"), F.col("group_id").alias("b_group"), F.col("alone").alias("b_alone")), "b")
+    ends = work.put(ends, "ends")
+    # Images in groups do not change, so lone images alone hold components together.
+    held = ends.select(F.when(F.col("a_alone"), F.col("a")).otherwise(F.col("b")).alias("i"), F.when(F.col("b_alone"), F.col("b")).otherwise(F.col("a")).alias("j")).where(F.col("i").isNotNull())
+    closed = work.put(connected_components(held), "closed")
+    rest = ends.withColumn("i", F.when(F.col("a_alone"), F.col("a")).otherwise(F.col("b"))).join(closed, F.col("i") == F.col("node"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        group = dict(zip(frame["a"], frame["a_group"])) | dict(zip(frame["b"], frame["b_group"]))
+        alone = set(frame["a"][frame["a_alone"]]) | set(frame["b"][frame["b_alone"]])
+        edges = frame.sort_values("turn")
+        opened = set(edges["turn"][edges["open"].notna()])
+        moved = attach_in_order(group, list(zip(edges["a"], edges["b"], edges["confidence"])), alone=alone, skip=[t not in opened for t in edges["turn"]])
+        return pd.DataFrame([(i, g, c) for i, (g, c) in moved.items()], columns=["moved", "last_group", "last_confidence"])
+
+    moves = rest.groupBy("component").applyInPandas(run, "moved long, last_group long, last_confidence double")
+    decided = state.join(moves, state["index"] == moves["moved"], "left").where(F.col("to_confidence").isNotNull() | F.col("last_group").isNotNull()).select(
+        F.col("index").alias("moved"), F.coalesce("last_group", "group_id").alias("to_group"), F.coalesce("last_confidence", "to_confidence").alias("to_confidence"))
+    return assigned.join(decided, assigned["index"] == decided["moved"], "left").select(
         "index", F.coalesce("to_group", "group_id").alias("group_id"),
         F.when(F.col("moved").isNotNull(), "tentative").otherwise(F.col("status")).alias("status"),
         F.coalesce("to_confidence", "confidence").alias("confidence"), "home")

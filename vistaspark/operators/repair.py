@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vistaspark.functions import decisions as D
 from vistaspark.operators.affinity import group_affinity
 from vistaspark.operators.graph import connected_components
+from vistaspark.operators.greedy import merge_rounds
 from vistaspark.operators.order import with_ordinal
 from vistaspark.sources.workspace import Workspace
 
@@ -207,13 +208,15 @@ def proposals(members: DataFrame, scores: DataFrame, ranked: dict[str, DataFrame
     )
 
 
-def apply_in_order(sizes: dict[int, int], ordered: list[tuple[int, int]]) -> dict[int, int]:
+def apply_in_order(sizes: dict[int, int], ordered: list[tuple[int, int]], used: set[int] = frozenset(), at: dict[int, int] | None = None) -> dict[int, int]:
     """Group to root after greedy merging of one closed set of proposals, best first.
 
     A single merges once, as source or as a single's target; a pair is a source
-    once; sources of 3 to 12 merge freely; larger sources do not.
+    once; sources of 3 to 12 merge freely; larger sources do not.  ``used`` and
+    ``at`` (group to the node it is part of) say what went before.
     """
-    root = {g: g for g in sizes}
+    at = at or {g: g for g in sizes}
+    root = {g: g for g in at.values()}
 
     def find(g: int) -> int:
         while root[g] != g:
@@ -221,12 +224,12 @@ def apply_in_order(sizes: dict[int, int], ordered: list[tuple[int, int]]) -> dic
             g = root[g]
         return g
 
-    used: set[int] = set()
+    used = set(used)
     for src, dst in ordered:
         n = sizes[src]
         if n > 12 or n <= 2 and src in used or n == 1 and sizes[dst] == 1 and dst in used:
             continue
-        a, b = find(src), find(dst)
+        a, b = find(at[src]), find(at[dst])
         if a == b:
             continue
         root[max(a, b)] = min(a, b)
@@ -234,30 +237,40 @@ def apply_in_order(sizes: dict[int, int], ordered: list[tuple[int, int]]) -> dic
             used.add(src)
         if n == 1 and sizes[dst] == 1:
             used.add(dst)
-    return {g: find(g) for g in sizes}
+    return {g: find(at[g]) for g in sizes}
 
 
-def apply_proposals(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(group_id, root) for all groups: proposals applied by falling score, ties by phase and seq.
+def apply_proposals(found: DataFrame, sizes: DataFrame, serial_edges: int = 100_000, max_rounds: int = 24) -> DataFrame:
+    """(group_id, root) for all groups: proposals applied by falling score, ties by phase and seq (then by src and dst).
 
-    A decision looks at its own two groups and what has merged with them, so each
-    connected component of proposals is applied on its own.
+    While more than ``serial_edges`` proposals are open, rounds decide all that
+    nothing undecided can change; the rest is applied in order, by connected
+    components of what is left.
     """
     work = Workspace(found.sparkSession, "proposals")
-    found = work.put(found.join(sizes.select(F.col("group_id").alias("src")), "src", "left_semi").join(sizes.select(F.col("group_id").alias("dst")), "dst", "left_semi"), "found")
-    parts = work.put(connected_components(found, "src", "dst"), "parts")
-    order = Window.partitionBy("part").orderBy(F.col("score").desc(), "phase", "seq")
-    edges = found.join(parts.select(F.col("node").alias("src"), F.col("component").alias("part")), "src").withColumn("turn", F.row_number().over(order)).select("part", "src", "dst", "turn")
-    edges = work.put(edges, "edges")
-    groups = parts.join(sizes, parts["node"] == sizes["group_id"]).select(F.col("component").alias("part"), "group_id", "n")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("turn")
-        roots = apply_in_order(dict(zip(left["group_id"], left["n"])), list(zip(right["src"], right["dst"])))
-        return pd.DataFrame({"moved": list(roots), "to_root": list(roots.values())})
-
-    merged = groups.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(run, "moved long, to_root long")
-    return sizes.join(merged, sizes["group_id"] == merged["moved"], "left").select("group_id", F.coalesce("to_root", "group_id").alias("root"))
+    n = lambda key: sizes.select(F.col("group_id").alias(key), F.col("n").cast("long").alias(f"{key}_n"))
+    known = work.put(found.join(n("src"), "src").join(n("dst"), "dst").withColumn("__worst", -F.col("score")), "found")
+    turns = work.put(with_ordinal(known, ["__worst", "phase", "seq", "src", "dst"], "turn").select("src", "dst", "src_n", "dst_n", "turn"), "turns")
+    roots, used, left = merge_rounds(turns, work, serial_edges, max_rounds)
+
+    # What is left, by components of merged nodes.
+    parts = work.put(connected_components(left, "a", "b"), "parts")
+    edges = left.join(parts.select(F.col("node").alias("a"), F.col("component").alias("part")), "a").select("part", "src", "dst", "src_n", "dst_n", "a", "b", "turn")
+    spent = used.select(F.col("group").alias("src"), F.lit(True).alias("src_used")), used.select(F.col("group").alias("dst"), F.lit(True).alias("dst_used"))
+    edges = work.put(edges.join(spent[0], "src", "left").join(spent[1], "dst", "left"), "edges")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("turn")
+        size = dict(zip(frame["src"], frame["src_n"])) | dict(zip(frame["dst"], frame["dst_n"]))
+        at = dict(zip(frame["src"], frame["a"])) | dict(zip(frame["dst"], frame["b"]))
+        gone = set(frame["src"][frame["src_used"].notna()]) | set(frame["dst"][frame["dst_used"].notna()])
+        to = apply_in_order(size, list(zip(frame["src"], frame["dst"])), gone, at)
+        moved = {at[g]: r for g, r in to.items()}
+        return pd.DataFrame({"moved": list(moved), "to_root": list(moved.values())})
+
+    merged = work.put(edges.groupBy("part").applyInPandas(run, "moved long, to_root long"), "merged")
+    at = sizes.select("group_id").join(roots, sizes["group_id"] == roots["group"], "left").select("group_id", F.coalesce("root", "group_id").alias("node"))
+    return at.join(merged, at["node"] == merged["moved"], "left").select("group_id", F.coalesce("to_root", "node").alias("root"))
 
 
 def repair(images: DataFrame, assigned: DataFrame, scores: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
