@@ -49,7 +49,7 @@ def brute(pages, settings):
                         gone[i:j] = [False] * (j - i)
                     i = max(j, i + 1)
             kept = [w for w, g in zip(t[a:b], gone) if not g]
-            if kept and not (region == H.OPEN and main and len(kept) < settings.open_tokens):
+            if kept:
                 lines.append(" ".join(kept))
         out.append("\n".join(lines))
     return out
@@ -120,9 +120,42 @@ def test_names_and_open_paragraphs():
     assert one('<article><p class="promo">Buy<p>Real text</p><p>More</p></article>') == "Real text\nMore"
     assert one('<article><p>T</p><ul><li class="ad">x<li>y</ul><div class="cookie-banner">c</div><ol class="comment-list"><li>no</ol><div class="widget site-footer">f</div></article>') == "T\ny"
     long = " ".join(f"u{k}" for k in range(30))
-    assert one(f"<div>short</div><article><p>T</p></article><div>{long}</div>") == f"T\n{long}"
+    assert one(f"<div>short</div><article><p>T</p></article><div>{long}</div>") == f"short\nT\n{long}"
 
 
 def test_long_page():
     text = " ".join(f"t{k % 977}" for k in range(200_000))
     assert H.main_texts([f"<p>{text}</p>", "<p>other</p>"]) == [text, "other"]
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        H.blocks_of(page)
+        return time.perf_counter() - began
+
+    for unit in ("<a ", "<a x='", '<a b="', "<!", "</b", "<div>", "<div></b>", "<p x=\"y' >", "<script>", "<!--", "&amp;<", "<li>", "<form><p>w", '<a "x <a ', "<p title=it's>"):
+        pages = [unit * (n // len(unit)) for n in (250_000, 1_000_000)]
+        few, many = took(pages[0]), took(pages[1])
+        assert many < 12 and many < 10 * few + 0.5, (unit, few, many)
+    assert took("<div>" * 100_000 + "</b>" * 100_000) < 10
+
+
+def test_tags_that_never_close_are_text_and_quotes_need_an_equals_sign():
+    text = lambda page: [t for t, _ in H.blocks_of(page)]
+    assert text("<p>a <b c</p> d <i") == ["a d <i"]
+    assert text("1 < 2 <3 </ <p title=it's>x</p><p title='a>b'>y</p>") == ["1 < 2 <3 </", "x", "y"]
+    assert text('<p>a</p><a href="open <p>b</p>') == ["a", "b"]
+    assert text("<p>a<!-- x") == ["a"] and text("<script>x") == [] and text("a<!b") == ["a<!b"] and text("<!doctype html>a") == ["a"]
+
+
+def test_forms_titles_and_articles_named_like_comments():
+    one = lambda page: H.main_texts([page])[0]
+    assert one("<body><form action='x'><h1>T</h1><article><p>story</p><form>no</form></article></form></body>") == "T\nstory\nno"
+    assert one("<article><form><p>T</p></form></article>") == "T"
+    assert one("<article><p>a long enough story of words</p><form><p>send us</p></form></article>") == "a long enough story of words"
+    assert one("<h1>Title</h1><article><p>body</p></article><p>short end</p>") == "Title\nbody\nshort end"
+    assert one('<article class="comments"><p>T</p></article>') == "T"
+    assert one('<article><p>T</p></article><article class="comment"><p>reader</p></article>') == "T"

@@ -54,3 +54,27 @@ def test_ties_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, h double")
     out = langid.identify(docs, {"second": "abab", "first": "abab"}).orderBy("doc_id").collect()
     assert [(r.doc_id, r.lang_pred, r.lang_score, r.h) for r in out] == [(1, "first", 0.0, 0.5), (1, "first", 0.0, 0.5), (2, "und", 0.0, None), (3, "und", 0.0, 1.0), (4, "first", 0.0, 1.0)]
+
+
+def test_long_runs_of_one_letter_take_linear_time():
+    import time
+
+    sample = " ".join(["aaa baa aab"] * 20)
+    parser, other = langid.Parser({"x": sample, "y": "some other words here"}), langid.Parser({"x": sample, "y": "some other words here"})
+    other.segment = 1 << 21
+    r = __import__("random").Random(4)
+    for text in ("a" * 20_000, "a" * 5000 + " word " + "ab" * 9000, "".join(r.choice("ab ") for _ in range(30_000))):
+        assert (parser.costs([text, "aa b", text[:700]])[0] == other.costs([text, "aa b", text[:700]])[0]).all()
+    took = []
+    for n in (250_000, 1_000_000):
+        began = time.perf_counter()
+        parser.predict(["a" * n])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] and took[1] < 15, took
+
+
+def test_samples_hold_whole_texts(spark):
+    long, short = "lang " * 3000, "kurz und gut"
+    rows = [("de", long), ("de", short), ("de", short), ("fr", "bref " * 2000)]
+    found = langid.sample_languages(spark.createDataFrame(rows, "lang string, text string"), doc_chars=100)
+    assert found == {"de": f"{short} {long}", "fr": "bref " * 2000}

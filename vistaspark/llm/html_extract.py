@@ -12,9 +12,8 @@ groups' suffix arrays name all candidates; candidates of hosts with several
 groups are then counted over all of them.  Results do not depend on the split.
 
 Markup decides what repetition can't tell: elements declared as navigation,
-footer, advert, form, comment or the like go even where their text is unique,
-short text outside an article goes where the page has one, and inside an article
-a larger share is needed.  Articles are also copied from page to page: equal
+footer, advert, form, comment or the like go even where their text is unique, and
+inside an article a larger share is needed.  Length decides nothing.  Articles are also copied from page to page: equal
 pages count once, and a page that is covered nearly whole is a copy, of which
 nothing goes.
 """
@@ -36,7 +35,7 @@ from vistaspark.llm import blocks as B
 from vistaspark.sources.workspace import Workspace
 
 #: Elements whose content is never the article's text.
-DROPPED = frozenset("script style template noscript iframe svg math canvas object head title nav aside footer form button select textarea option dialog menu".split())
+DROPPED = frozenset("script style template noscript iframe svg math canvas object head title nav aside footer button select textarea option dialog menu".split())
 #: Elements that break a line of text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,11 +54,12 @@ HOLDING, OUTERMOST = frozenset("article main body html".split()), frozenset("mai
 #: Start tags that end an open element of the same kind.
 SIBLINGS = {name: frozenset(kind.split()) for kind in ("li", "dt dd", "td th", "tr", "option") for name in kind.split()}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|</([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+#: Elements whose content is not parsed as markup; they end at their own end tag or the page's end.
+RAW = frozenset("script style title textarea template noscript iframe svg".split())
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
+# A value's quotes begin right after "="; nothing is tried twice.
+_REST = re.compile(r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>")
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Regions of a block.
 OPEN, MAIN, OUT = 0, 1, 2
@@ -75,8 +75,6 @@ class Settings:
     chance: int = 2
     #: A page of whose text this share is covered is a copy.
     copy_share: float = 0.8
-    #: Tokens of a block outside the article that make it text in its own right.
-    open_tokens: int = 25
     #: Bounds of a group: distinct pages, and tokens unless a single page has more.
     group_pages: int = 4096
     group_tokens: int = 1_000_000
@@ -98,7 +96,7 @@ def _is_out(name: str, attributes: str, in_main: bool) -> bool:
     hints = HINTS if in_main else HINTS | OUTER_HINTS
     for whole in names:
         parts = [x for x in re.split(r"[_-]+", whole) if x]
-        if whole in hints:
+        if whole in hints and name != "article":
             return True
         if len(parts) < 2 or name in HOLDING or parts[0] in TURNS:
             continue
@@ -107,28 +105,93 @@ def _is_out(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) of a page in one pass: "text" and its characters, "start" and "end" and the element's name.
+
+    Comments, declarations and raw elements give nothing.  Time is linear: a scan for
+    a tag's end that fails ends at the page's end, and happens once; after that a tag
+    ends at the next ">" whatever its quotes.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    begun = 0
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        name = _NAME.match(page, lt + 2 if page.startswith("</", lt) else lt + 1)
+        if name is None and not page.startswith(("<!", "<?"), lt) or name is not None and last < lt:
+            at = lt + 1
+            continue
+        if name is None and not page.startswith("<!--", lt) and last < lt:
+            at = lt + 1
+            continue
+        closing = page[lt + 1] == "/"
+        if name is None:
+            end = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt) - 2
+            end = n if end < 0 and page.startswith("<!--", lt) else end + 3
+        elif closing or not quotes:
+            end = page.find(">", name.end()) + 1
+        else:
+            rest = _REST.match(page, name.end())
+            if rest is None:
+                quotes = False
+                end = page.find(">", name.end()) + 1
+            else:
+                end = rest.end()
+        if begun < lt:
+            yield "text", page[begun:lt], ""
+        if name is not None:
+            kind = name[0].lower()
+            if closing:
+                yield "end", kind, ""
+            elif kind in RAW:
+                stop = _RAW_END[kind].search(page, end)
+                end = n if stop is None else stop.end()
+            else:
+                yield "start", kind, page[name.end() : end - 1]
+        begun = at = end
+    if begun < n:
+        yield "text", page[begun:], ""
+
+
+@dataclass
+class _Holder:
+    """A form, or an article named like no article: what it holds decides at the page's end."""
+
+    form: bool
+    inside: bool = False
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, region) of a page's blocks in order: references decoded, white space squeezed, no empty blocks."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
-    region, held = OPEN, []
+    """(text, region) of a page's blocks in order: references decoded, white space squeezed, no empty blocks.
+
+    A form that holds an article or over half of the page's words wraps the page and
+    says nothing; other forms go.  An article whose whole name is that of comments
+    or the like goes only where the page has another one.
+    """
+    out: list[tuple[str, int, _Holder | None]] = []
+    stack: list[tuple[str, int, _Holder | None]] = []
+    opened: dict[str, int] = {}
+    region, holder, held = OPEN, None, []
 
     def close() -> None:
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, region))
+            out.append((text, region, holder))
         held.clear()
 
     def leave(at: int) -> None:
-        nonlocal region
+        nonlocal region, holder
         close()
-        region = stack[at][1]
+        region, holder = stack[at][1:]
+        for name, *_ in stack[at:]:
+            opened[name] -= 1
         del stack[at:]
 
-    for m in TOKEN.finditer(page or ""):
-        raw, ended, began = m[1], m[2], m[3]
-        if began:
-            name = began.lower()
+    for kind, name, attributes in tokens(page or ""):
+        if kind == "text":
+            held.append(entities.unescape(name))
+        elif kind == "start":
             if name in BLOCKS:
                 close()
                 # An open paragraph ends at the next block, an item or cell at the next of its kind.
@@ -136,27 +199,42 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
                     leave(len(stack) - 1)
             if name in VOID:
                 continue
-            if name in LOOSE and name not in DROPPED and not (m[4] and _is_out(name, m[4], region == MAIN)):
-                continue
-            if m[4].endswith("/"):
+            ruled_out = bool(attributes) and _is_out(name, attributes, region == MAIN)
+            if name in LOOSE and name not in DROPPED and not ruled_out or attributes.endswith("/"):
                 continue
             close()
-            stack.append((name, region))
-            if region == OUT or name in DROPPED or name == "header" and region != MAIN or _is_out(name, m[4], region == MAIN):
+            stack.append((name, region, holder))
+            opened[name] = opened.get(name, 0) + 1
+            if holder is not None and name in ("article", "main"):
+                holder.inside = True
+            if region == OUT or name in DROPPED or name == "header" and region != MAIN or ruled_out:
                 region = OUT
             elif name in ("article", "main"):
                 region = MAIN
-        elif ended:
-            name = ended.lower()
+                if holder is None and name == "article" and _is_out("div", attributes, False):
+                    holder = _Holder(False)
+            elif name == "form" and holder is None:
+                holder = _Holder(True)
+        else:
             if name in BLOCKS:
                 close()
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                leave(at)
-        elif raw is None and not m[0].startswith(("<!", "<?")):
-            held.append(entities.unescape(m[0]))
+            if opened.get(name):
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
     close()
-    return out
+    count = lambda found: sum(text.count(" ") + 1 for text, *_ in found)
+    shown = [b for b in out if b[1] != OUT]
+    whole, another = count(shown), any(r == MAIN and (h is None or h.form) for _, r, h in shown)
+    words: dict[int, int] = {}
+    for text, _, h in shown:
+        if h is not None:
+            words[id(h)] = words.get(id(h), 0) + text.count(" ") + 1
+
+    def kept(h: _Holder | None) -> bool:
+        if h is None:
+            return True
+        return h.inside or 2 * words.get(id(h), 0) > whole if h.form else not another
+
+    return [(text, r if r == OUT or kept(h) else OUT) for text, r, h in out]
 
 
 def window_hashes(stream: np.ndarray, depth: int) -> np.ndarray:
@@ -276,8 +354,7 @@ def main_text(blocks: list[tuple[str, int]], stream: np.ndarray, keys: np.ndarra
         if gone.any():
             gone = _long_runs(gone, depth)
             text = " ".join(w for w, g in zip(words, gone) if not g)
-        # Short text outside the article is no run of its own.
-        if text and not (region == OPEN and has_main and len(words) - int(gone.sum()) < settings.open_tokens):
+        if text:
             lines.append(text)
     return "\n".join(lines)
 

@@ -15,6 +15,7 @@ the whole text.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ BLANK, FOREIGN, FIRST = 0, 1, 2
 UNKNOWN = "und"
 #: Symbols of a stretch within which another way in has mostly met the first.
 _HEAD = 48
+#: Rounds in which stretches are parsed side by side; a text that needs more is parsed in order.
+_ROUNDS = 6
 
 
 @lru_cache(maxsize=1)
@@ -141,6 +144,26 @@ class Parser:
             state[:n] = np.where(on, target[at], begin[row])
         return phrases, state
 
+    @staticmethod
+    def _in_order(machine, grid, size, texts, first_part, parts, column, entered, first_phrases, rest_phrases, left) -> None:
+        """Parses texts stretch by stretch, changing phrases and states left; a stretch entered as before stands as it is."""
+        base, owner, target, begin = machine
+        for text in texts.tolist():
+            state = 0
+            for c in column[first_part[text] : first_part[text] + parts[text]].tolist():
+                if state != entered[c]:
+                    entered[c] = state
+                    phrases = 0
+                    for symbol in grid[: size[c], c].tolist():
+                        at = base[state] + symbol
+                        if owner[at] == state:
+                            state = target[at]
+                        else:
+                            phrases += 1
+                            state = begin[symbol]
+                    first_phrases[c], rest_phrases[c], left[c] = phrases, 0, state
+                state = left[c]
+
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per language (rows: texts) and whether a text has a letter."""
         lengths = np.array([len(x or "") for x in texts], np.int64)
@@ -177,12 +200,16 @@ class Parser:
             entered = np.zeros(order.size, np.int32)
             first_phrases, middle = self._parse(machine, head, np.minimum(size, _HEAD), entered)
             rest_phrases, left = self._parse(machine, rest, left_over, middle)
-            while True:
+            for turn in itertools.count():
                 before = np.zeros(order.size, np.int32)
                 before[follows] = left[comes_after]
                 todo = np.flatnonzero(before != entered)
                 if not todo.size:
                     break
+                if turn == _ROUNDS:
+                    # Stretches that never come into the same state: what is left of these texts is parsed in order.
+                    self._in_order(machine, grid, size, np.unique(of_part[order[todo]]), first_part, parts, column, entered, first_phrases, rest_phrases, left)
+                    break
                 entered = before
                 first_phrases[todo], now = self._parse(machine, head[:, todo], np.minimum(size[todo], _HEAD), entered[todo])
                 other = now != middle[todo]
@@ -213,10 +240,9 @@ class Parser:
 def sample_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 24, doc_chars: int = 4000) -> dict[str, str]:
     """Each language's sample: ``docs_per_lang`` of its distinct texts, those with the smallest hashes.
 
-    Texts of at most ``doc_chars`` characters come first and are taken whole; a
-    longer one is needed only where a language has too few of them, and then
-    counts up to that length.  The sample is thus bounded by these two parameters
-    a language, and copies of a text never keep others out.  Rows with null or
+    Texts of at most ``doc_chars`` characters come first, longer ones where a
+    language has too few of them; all are taken whole.  The sample is thus bounded by
+    ``docs_per_lang`` rows a language, and copies of a text never keep others out.  Rows with null or
     empty text or null language teach nothing.  An empty table gives no sample.
     """
     usable = labelled.select(labelled[lang].alias("lang"), labelled[text].alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
@@ -229,7 +255,7 @@ def sample_languages(labelled: DataFrame, text: str = "text", lang: str = "lang"
     if not chosen:
         return {}
     rank = {(r["lang"], r["h"]): r["rank"] for r in chosen}
-    some = usable.where(F.col("h").isin(sorted({h for _, h in rank}))).select("lang", "h", F.substring("text", 1, doc_chars).alias("text"))
+    some = usable.where(F.col("h").isin(sorted({h for _, h in rank}))).select("lang", "h", "text")
     rows = {(r["lang"], r["h"]): r["text"] for r in some.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()}
     out: dict[str, str] = {}
     for key in sorted(rank, key=lambda k: (k[0], rank[k])):
@@ -268,7 +294,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
     at = docs.columns.index(text)
     schema = T.StructType(list(docs.schema.fields) + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     key = hash(tuple(sorted(samples.items())))
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: languages * docs_per_lang * doc_chars
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: languages * docs_per_lang texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _PARSERS.get(key)
