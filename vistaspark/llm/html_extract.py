@@ -325,11 +325,11 @@ def _long_runs(gone: np.ndarray, least: int) -> np.ndarray:
 def main_text(blocks: list[tuple[str, int]], stream: np.ndarray, keys: np.ndarray, shares: np.ndarray, settings: Settings) -> str:
     """A page's text without its boilerplate; keys (sorted) and shares: the host's repeated windows."""
     depth = settings.min_tokens
-    if not keys.size:
-        stream = np.zeros(sum(text.count(" ") + 1 for text, _ in blocks), np.uint64)
     own = window_hashes(stream, depth) if keys.size else np.zeros(0, np.uint64)
     at = np.minimum(np.searchsorted(keys, own), max(0, keys.size - 1))
     share = np.where(keys[at] == own, shares[at], 0.0) if keys.size else np.zeros(own.size)
+    if not (share >= min(settings.open_share, settings.main_share)).any():
+        return "\n".join([text for text, _ in blocks])
     covered = []
     for needed in (settings.open_share, settings.main_share):
         edge = np.zeros(stream.size + 1, np.int64)
@@ -359,20 +359,13 @@ def main_text(blocks: list[tuple[str, int]], stream: np.ndarray, keys: np.ndarra
     return "\n".join(lines)
 
 
-class Words(dict):
-    """Keys of words, remembered up to a bound."""
+def stream_of(blocks: list[tuple[str, int]]) -> np.ndarray:
+    """Keys of a page's words in order."""
+    import xxhash
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 100_000:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return key
-
-
-def stream_of(blocks: list[tuple[str, int]], keys: Words) -> np.ndarray:
-    return np.array([keys[w] for text, _ in blocks for w in text.split(" ")], np.uint64)
+    key = xxhash.xxh3_64_intdigest
+    text = " ".join([text for text, _ in blocks])
+    return np.array([key(w) for w in text.encode("utf-8", "surrogatepass").split(b" ")] if text else [], np.uint64)
 
 
 def visible(blocks: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -391,8 +384,8 @@ def _loaded(data: str) -> list[tuple[str, int]]:
 
 def main_texts(pages: list[str | None], settings: Settings = Settings()) -> list[str]:
     """Main texts of pages of one small host."""
-    keys, parsed = Words(), [visible(blocks_of(p)) for p in pages]
-    streams = [stream_of(b, keys) for b in parsed]
+    parsed = [visible(blocks_of(p)) for p in pages]
+    streams = [stream_of(b) for b in parsed]
     distinct = list({s.tobytes(): s for s in streams}.values())
     if not distinct:
         return []
@@ -463,7 +456,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
 
     def each(batches: Iterator[pa.RecordBatch], decide) -> Iterator[pa.RecordBatch]:
         """decide(first row, streams of the distinct pages) for one group after another; holds one group's tokens."""
-        words, group, last, first, streams = Words(), None, None, None, []
+        group, last, first, streams = None, None, None, []
         for batch in batches:
             names, parts, hashes, texts = (batch.column(c).to_pylist() for c in ("__host", "part", "__hash", "__packed"))
             for k, key in enumerate(zip(names, parts)):
@@ -474,7 +467,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
                     first = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("__packed", "__hash")}
                 if hashes[k] != last:
                     last = hashes[k]
-                    streams.append(stream_of(_loaded(B.unpack(texts[k], np.uint8).tobytes().decode("utf-8", "surrogatepass")), words))
+                    streams.append(stream_of(_loaded(B.unpack(texts[k], np.uint8).tobytes().decode("utf-8", "surrogatepass"))))
         if streams:
             yield decide(first, streams)
 
@@ -522,7 +515,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
     out_schema = T.StructType([f for f in pages.schema.fields if f.name in kept] + [T.StructField("main_text", T.StringType()), T.StructField("main_chars", T.LongType())])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, keys, shares = Words(), None, np.zeros(0, np.uint64), np.zeros(0)
+        last, keys, shares = None, np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             runs, names = batch.column("runs"), batch.column("__host").to_pylist()
             texts = []
@@ -533,7 +526,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", se
                     order = np.argsort(keys)
                     keys, shares = keys[order], np.array([r["share"] for r in of])[order]
                 blocks = _loaded(data)
-                stream = stream_of(blocks, words) if keys.size else np.zeros(0, np.uint64)
+                stream = stream_of(blocks) if keys.size else np.zeros(0, np.uint64)
                 texts.append(main_text(blocks, stream, keys, shares, settings))
             cols = [batch.column(batch.schema.get_field_index(n)) for n in held]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, *own])
