@@ -1,5 +1,7 @@
 """Kernels on closed-form cases, and images end to end."""
 
+import struct
+
 import numpy as np
 import pytest
 
@@ -8,7 +10,8 @@ from vistaspark.kernels import geometry as G
 from vistaspark.kernels import image as I
 from vistaspark.operators.evaluate import exact_set_score
 from vistaspark.plans.grouping import group, group_compact
-from vistaspark.sources import images, sheets, tables
+from vistaspark.operators.features import extract_compact
+from vistaspark.sources import exif, images, sheets, tables
 
 
 def scene(seed, gamma=1.0, shift=(0, 0)):
@@ -79,12 +82,55 @@ def test_small_plan_finds_brackets(spark, folder, tmp_path):
     assert exact_set_score(back, truth(spark)).first().score == 1.0
 
 
-def test_large_plans(spark, folder):
+@pytest.mark.parametrize("exact", [True, False])
+def test_large_plans(spark, folder, exact):
+    """Bridge, hybrid and compact plans, over exact and approximate neighbours, give the scenes."""
     found = images.read_images(spark, str(folder), suffixes=images.WRAPPER_SUFFIXES)
-    assert group_compact(found, SMALL).count() == 10
-    for strategy in ("bridge", "hybrid"):
-        cfg = EngineConfig(max_size=240, large_threshold=1, large_strategy=strategy, large_min_similarity=0.97, bridge_min_similarity=0.6, large_super_min_similarity=0.6, large_component_max_size=240, large_component_features=200)
-        assert group(found, cfg).select("index").distinct().count() == 10
+    for strategy, least in (("bridge", 0.97), ("hybrid", 0.97), ("compact", 0.9)):
+        cfg = EngineConfig(
+            max_size=240, large_threshold=1, large_strategy=strategy, large_min_similarity=least, bridge_min_similarity=0.5, large_super_min_similarity=0.5,
+            large_component_max_size=240, large_component_features=250, large_blockwise_candidates=exact)
+        got = group(found, cfg)
+        assert got.select("index").distinct().count() == 10
+        assert exact_set_score(got.select("group_id", "filename"), truth(spark)).first().score == 1.0, strategy
+
+
+def turned_jpeg(spark, pixels, orientation):
+    """A JPEG of the pixels as a camera held in that orientation stores them."""
+    stored = pixels
+    if orientation in (3, 4, 7, 8):
+        stored = stored[::-1]
+    if orientation in (2, 3, 6, 7):
+        stored = stored[:, ::-1]
+    if orientation >= 5:
+        stored = stored.transpose(1, 0, 2)
+    jvm = spark._jvm
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(sheets.png(np.ascontiguousarray(stored)))))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(read, "jpg", out)
+    data = bytes(out.toByteArray())
+    order = ">" if orientation % 2 else "<"
+    tiff = (b"MM\0*" if order == ">" else b"II*\0") + struct.pack(order + "IH", 8, 2) + struct.pack(order + "HHIHH", 0x0110, 3, 1, 9, 0) + struct.pack(order + "HHIHH", 0x0112, 3, 1, orientation, 0)
+    segment = b"Exif\0\0" + tiff
+    return data[:2] + b"\xff\xe1" + struct.pack(">H", len(segment) + 2) + segment + data[2:]
+
+
+def test_turned_photographs_are_seen_upright(spark, tmp_path):
+    for k in range(1, 9):
+        (tmp_path / f"o{k}.jpg").write_bytes(turned_jpeg(spark, scene(7), k))
+    found = images.read_images(spark, str(tmp_path))
+    assert [r.orientation for r in found.orderBy("index").collect()] == list(range(1, 9))
+    rows = extract_compact(found, 256).orderBy("index").collect()
+    first = np.array(rows[0].descriptor)
+    assert all((r.width, r.height) == (240, 180) and np.array(r.descriptor) @ first > 0.97 for r in rows)
+    assert len({r.group_id for r in group_compact(found, EngineConfig(large_min_similarity=0.95)).collect()}) == 1
+
+
+def test_orientation_of_odd_bytes():
+    whole = b"\xff\xd8\xff\xe1\x00\x22Exif\0\0II*\0" + struct.pack("<IHHHIHH", 8, 1, 0x0112, 3, 1, 6, 0)
+    assert exif.orientation(whole) == 6 and exif.orientation(None) == exif.orientation(b"") == exif.orientation(b"\x89PNG") == 1
+    assert all(exif.orientation(whole[:n]) in (1, 6) for n in range(len(whole)))
+    assert exif.orientation(whole.replace(struct.pack("<HH", 6, 0), struct.pack("<HH", 9, 0))) == 1
 
 
 def test_missing_and_broken_files(spark, tmp_path):

@@ -32,3 +32,15 @@ def test_infinite_values_survive_csv(spark, tmp_path):
     assert len(got) == 1 and got[0].median_reprojection_error == float("inf")
     tables.write_pair_scores(scores(spark, {}), str(tmp_path / "report"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "report")).where(F.col("confidence") == "0.5000").count() == 1
+
+
+def test_malformed_rows_are_counted_and_empty_texts_kept(spark, tmp_path):
+    names = list(ROW)
+    good = {n: str(v) for n, v in ROW.items()} | {"reason": ""}
+    changes = [{}, {"i": "x"}, {"confidence": ""}, {"good_matches": "3.0"}, {"j": " 7 "}, {"edge_score": "nan"}, {"method": ""}, {"filename_a": "a, b"}]
+    quoted = lambda v: f'"{v}"' if "," in v else v
+    lines = [",".join(reversed(names))] + [",".join(quoted((good | c)[n]) for n in reversed(names)) for c in changes] + ["short,row"]
+    (tmp_path / "s.csv").write_text("\n".join(lines) + "\n")
+    report = {}
+    got = tables.read_pair_scores(spark, str(tmp_path / "s.csv"), report).collect()
+    assert report == {"malformed": 4} and sorted((r.j, r.method, r.filename_a, r.reason) for r in got) == [(1, "", "a", ""), (1, "none", "a", ""), (1, "none", "a", ""), (1, "none", "a, b", ""), (7, "none", "a", "")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ from vistaspark.config import EngineConfig, Thresholds
 from vistaspark.operators.cluster import groups_report
 from vistaspark.operators.evaluate import exact_set_score
 from vistaspark.plans.grouping import group, group_core
+from vistaspark.progress import progress
 from vistaspark.sources import images, sheets, tables
 from vistaspark.sources.workspace import ship_package
 
@@ -28,11 +30,13 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--max-candidates", type=int, default=40)
     g.add_argument("--disable-pruning", action="store_true")
     g.add_argument("--pair-cache")
+    g.add_argument("--jobs", type=int)
     for f in fields(Thresholds):
         g.add_argument("--" + f.name.replace("_", "-"), type=type(f.default), default=f.default)
     w = sub.add_parser("predict")
     w.add_argument("folder")
     w.add_argument("output")
+    w.add_argument("--jobs", type=int)
     for f in fields(EngineConfig):
         if f.name != "thresholds":
             kind = str if f.default is None else (lambda x: x not in ("0", "false", "")) if isinstance(f.default, bool) else type(f.default)
@@ -50,10 +54,30 @@ def summary(row) -> str:
         f"missed_groups={row['truth_groups'] - row['exact_matches']}", f"extra_groups={row['predicted_groups'] - row['exact_matches']}", f"score={row['score']:.6f}"])
 
 
+#: Libraries that would start a thread for each core inside every task.
+THREADS = ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")
+
+
+def session(jobs: int | None) -> SparkSession:
+    """A session whose Python workers compute in one thread a task; ``jobs``: tasks at a time where this machine is all there is."""
+    builder = SparkSession.builder.appName("vistaspark")
+    for name in THREADS:
+        builder = builder.config(f"spark.executorEnv.{name}", "1")
+        os.environ.setdefault(name, "1")
+    if jobs is not None:
+        builder = builder.master(f"local[{max(1, jobs)}]")
+    return builder.getOrCreate()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("vistaspark").getOrCreate()
+    spark = session(getattr(a, "jobs", None))
     ship_package(spark)
+    with progress(spark.sparkContext, a.command):
+        return _run(spark, a)
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "group":
         t = Thresholds(**{f.name: getattr(a, f.name) for f in fields(Thresholds)})
         cfg = replace(EngineConfig(), thresholds=t, max_size=a.max_size, features_per_variant=a.features_per_variant, max_candidates=a.max_candidates, disable_pruning=a.disable_pruning, pair_cache_path=a.pair_cache)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from vistaspark.kernels import image as I
 from vistaspark.kernels import keypoints as K
 from vistaspark.schemas import COMPACT, FEATURES
+from vistaspark.sources.exif import upright
 
 #: Images of a block; pairs of blocks are scored together.
 BLOCK_IMAGES = 8
@@ -20,7 +21,7 @@ BLOCK_IMAGES = 8
 def pixels(row) -> np.ndarray:
     if row.data is None or row.height is None or row.height <= 0:
         raise ValueError(f"cannot decode {row.path}")
-    return np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.channels))
+    return upright(np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.channels)), int(row.orientation))
 
 
 def extract(bgr: np.ndarray, max_size: int, per_variant: int) -> dict:
@@ -55,7 +56,7 @@ def undump(row) -> dict:
 
 
 def extract_features(images: DataFrame, max_size: int, per_variant: int) -> DataFrame:
-    """Features of every image; fails on one that cannot be decoded."""
+    """Features of every image, turned as its file says; fails on one that cannot be decoded."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -66,7 +67,7 @@ def extract_features(images: DataFrame, max_size: int, per_variant: int) -> Data
                     "original_width": f["original_width"], "original_height": f["original_height"], "clipped_ratio": f["clipped_ratio"], "descriptor": f["descriptor"].tolist(),
                 }])
 
-    return images.select("index", "path", "height", "width", "channels", "data").mapInPandas(run, FEATURES)
+    return images.select("index", "path", "height", "width", "channels", "data", "orientation").mapInPandas(run, FEATURES)
 
 
 def extract_compact(images: DataFrame, max_size: int) -> DataFrame:
@@ -78,4 +79,4 @@ def extract_compact(images: DataFrame, max_size: int) -> DataFrame:
                 f = I.compact_features(pixels(pd.Series(r)), max_size)
                 yield pd.DataFrame([{"index": r["index"], "filename": r["filename"], "width": f["width"], "height": f["height"], "descriptor": f["descriptor"].tolist()}])
 
-    return images.select("index", "path", "filename", "height", "width", "channels", "data").mapInPandas(run, COMPACT)
+    return images.select("index", "path", "filename", "height", "width", "channels", "data", "orientation").mapInPandas(run, COMPACT)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaspark.operators.order import with_ordinal
+from vistaspark.sources.exif import orientation
 
 CORE_SUFFIXES = ("jpg", "jpeg")
 WRAPPER_SUFFIXES = ("jpg", "jpeg", "png")
@@ -32,16 +36,31 @@ def list_images(spark: SparkSession, folder: str, recursive: bool = False, suffi
     return with_index(found)
 
 
+def _orientations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"origin": frame["origin"], "orientation": [orientation(bytes(x)) for x in frame["content"]]})
+
+
 def read_images(spark: SparkSession, folder: str, recursive: bool = False, suffixes: tuple[str, ...] = CORE_SUFFIXES) -> DataFrame:
-    """(index, path, filename, height, width, channels, data): decoded pixels in BGR order.
+    """(index, path, filename, height, width, channels, data, orientation): decoded pixels in BGR order, as stored.
 
-    A file that cannot be decoded has height -1; the feature stage raises on it.
+    ``orientation`` (1 to 8, from a JPEG's EXIF segment) says how they are to be turned;
+    what takes the pixels does so.  A file that cannot be decoded has height -1; the
+    feature stage raises on it.
     """
     index = list_images(spark, folder, recursive, suffixes)
-    reader = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", "*.{" + ",".join(map(_any_case, suffixes)) + "}")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    pixels = reader.load(folder).select(
-        F.regexp_replace("image.origin", "^file:/+", "/").alias("__origin"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+
+    def files(kind: str, of: tuple[str, ...]) -> DataFrame:
+        reader = spark.read.format(kind).option("pathGlobFilter", "*.{" + ",".join(map(_any_case, of)) + "}")
+        return (reader.option("recursiveFileLookup", "true") if recursive else reader).option("dropInvalid", "false").load(folder)
+
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    pixels = files("image", suffixes).select(
+        plain("image.origin").alias("__origin"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return index.join(pixels, F.regexp_replace("path", "^file:/+", "/") == F.col("__origin"), "left").drop("__origin")
+    found = index.join(pixels, plain("path") == F.col("__origin"), "left").drop("__origin")
+    jpeg = tuple(x for x in suffixes if x in CORE_SUFFIXES)
+    if not jpeg:
+        return found.withColumn("orientation", F.lit(1))
+    turned = files("binaryFile", jpeg).select(plain("path").alias("origin"), "content").mapInPandas(_orientations, "origin string, orientation int")
+    return found.join(turned, plain("path") == F.col("origin"), "left").withColumn("orientation", F.coalesce("orientation", F.lit(1))).drop("origin")

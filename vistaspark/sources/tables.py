@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,7 +78,25 @@ def expected(rows: DataFrame, pairs: DataFrame, images: DataFrame, order: str) -
     return last.select(*[c.strip().split()[0] for c in PAIR_SCORE.split(",")])
 
 
-def read_pair_scores(spark: SparkSession, path: str) -> DataFrame:
-    """A pair-score CSV with indexes; infinite values by name; rows that do not parse are left out."""
-    rows = spark.read.schema(PAIR_SCORE).option("header", "true").option("positiveInf", "inf").option("negativeInf", "-inf").option("mode", "PERMISSIVE").csv(path)
-    return rows.dropna()
+def read_pair_scores(spark: SparkSession, path: str, report: dict | None = None) -> DataFrame:
+    """A pair-score CSV with indexes, read by column name; infinite values by name.
+
+    A row is left out where a number does not parse or is missing; empty texts are
+    texts.  ``report`` gets the number of such rows as ``malformed``.
+    """
+    fields = [c.split() for c in PAIR_SCORE.split(",")]
+    raw = spark.read.option("header", "true").option("nullValue", "\u0000").csv(path)
+    have = {c for c in raw.columns}
+    text = lambda n: F.trim(F.col(n)) if n in have else F.lit(None).cast("string")
+    number = {
+        "double": lambda n: F.expr(f"try_cast(trim(`{n}`) AS double)") if n in have else F.lit(None).cast("double"),
+        "string": lambda n: F.coalesce(F.col(n), F.lit("")) if n in have else F.lit(None).cast("string"),
+    }
+    # Whole numbers are digits: "3.0" is none.
+    whole = lambda n, kind: F.when(text(n).rlike(r"^[+-]?[0-9]+$"), F.expr(f"try_cast(trim(`{n}`) AS {kind})") if n in have else F.lit(None))
+    rows = raw.select(*[(number[kind](n) if kind in number else whole(n, kind)).cast(kind).alias(n) for n, kind in fields])
+    # NaN is a number here.
+    sound = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n, _ in fields])
+    if report is not None:
+        report["malformed"] = rows.where(~sound).count()
+    return rows.where(sound)
