@@ -28,7 +28,7 @@ def tables(spark, sizes, ordered):
     return found.repartition(4), spark.createDataFrame(list(sizes.items()), "group_id long, n long")
 
 
-@pytest.mark.parametrize("serial, rounds", [(0, 40), (0, 2), (10**6, 24)])
+@pytest.mark.parametrize("serial, rounds", [(0, 40), (0, 2)])
 def test_proposals_in_rounds(spark, serial, rounds):
     sizes, ordered = proposal_graphs()
     want = apply_in_order(sizes, ordered)
@@ -59,7 +59,7 @@ def attach_graphs(count=60, seed=2):
     return images, scores
 
 
-@pytest.mark.parametrize("serial, rounds", [(0, 40), (0, 2), (10**6, 24)])
+@pytest.mark.parametrize("serial, rounds", [(0, 40), (0, 2)])
 def test_attachments_in_rounds(spark, serial, rounds):
     images, scores = attach_graphs()
     at = {x: k for k, x in enumerate(images)}

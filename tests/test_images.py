@@ -82,17 +82,16 @@ def test_small_plan_finds_brackets(spark, folder, tmp_path):
     assert exact_set_score(back, truth(spark)).first().score == 1.0
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_large_plans(spark, folder, exact):
+@pytest.mark.parametrize("strategy, least, exact", [("bridge", 0.97, True), ("hybrid", 0.97, True), ("compact", 0.9, False)])
+def test_large_plans(spark, folder, strategy, least, exact):
     """Bridge, hybrid and compact plans, over exact and approximate neighbours, give the scenes."""
     found = images.read_images(spark, str(folder), suffixes=images.WRAPPER_SUFFIXES)
-    for strategy, least in (("bridge", 0.97), ("hybrid", 0.97), ("compact", 0.9)):
-        cfg = EngineConfig(
-            max_size=240, large_threshold=1, large_strategy=strategy, large_min_similarity=least, bridge_min_similarity=0.5, large_super_min_similarity=0.5,
-            large_component_max_size=240, large_component_features=250, large_blockwise_candidates=exact)
-        got = group(found, cfg)
-        assert got.select("index").distinct().count() == 10
-        assert exact_set_score(got.select("group_id", "filename"), truth(spark)).first().score == 1.0, strategy
+    cfg = EngineConfig(
+        max_size=240, large_threshold=1, large_strategy=strategy, large_min_similarity=least, bridge_min_similarity=0.5, large_super_min_similarity=0.5,
+        large_component_max_size=240, large_component_features=250, large_blockwise_candidates=exact)
+    got = group(found, cfg)
+    assert got.select("index").distinct().count() == 10
+    assert exact_set_score(got.select("group_id", "filename"), truth(spark)).first().score == 1.0
 
 
 def turned_jpeg(spark, pixels, orientation):
