@@ -60,7 +60,7 @@ def test_groups_against_brute_force(spark, docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows, values", [(1 << 14, 1 << 22), (16, 1 << 22), (4, 500)])
+@pytest.mark.parametrize("bucket_rows, values", [(1 << 14, 1 << 22), (16, 500)])
 def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, bucket_rows, values):
     """A family in one ball, chains at distance four, neighbours at distance five, noise; crowded prefixes and values in parts."""
     monkeypatch.setattr(simhash, "_VALUES", values)
