@@ -58,8 +58,8 @@ def fit_pivots(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
 class Cells:
     """Rows (i, v) in blocks (cell, part, ids, rows, dim), the pivots, and each cell's radius and number of rows."""
 
-    def __init__(self, rows: DataFrame, work: Workspace, name: str, block_rows: int):
-        self.work, self.name = work, name
+    def __init__(self, rows: DataFrame, work: Workspace, name: str, block_rows: int, kind: type = np.float64):
+        self.work, self.name, self.kind = work, name, kind
         self.count = rows.count()
         wanted = min(MOST_PIVOTS, max(1, -(-self.count // block_rows)))
         sample = sample_rows(rows, 32 * wanted) if wanted > 1 else np.zeros((0, 1))
@@ -88,7 +88,7 @@ class Cells:
         def pack(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("i")
             x = np.array(frame["v"].tolist(), np.float64)
-            return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "part": [int(frame["part"].iloc[0])], "ids": [frame["i"].to_numpy(np.int64).tobytes()], "rows": [x.tobytes()], "dim": [x.shape[1]]})
+            return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "part": [int(frame["part"].iloc[0])], "ids": [frame["i"].to_numpy(np.int64).tobytes()], "rows": [x.astype(kind).tobytes()], "dim": [x.shape[1]]})
 
         dealt = placed.select("i", "v", "cell", F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
         self.blocks = work.put(dealt.groupBy("cell", "part").applyInPandas(pack, "cell int, part int, ids binary, rows binary, dim int"), f"{name}-blocks")
@@ -104,7 +104,7 @@ class Cells:
 
     def own(self, keep: Callable, once: bool = False) -> DataFrame:
         """(cell, part, i, j, sim) of rows of one cell that ``keep(ids, ids, products)`` chooses; ``once``: i < j, each pair of blocks meets once."""
-        _, parts = self._bound()
+        kind, (_, parts) = self.kind, self._bound()
         last = F.get(F.lit([int(p) for p in parts]), F.col("cell")) - 1
         left = self.blocks.withColumn("other", F.explode(F.sequence(F.col("part") if once else F.lit(0), last.cast("int"))))
         right = self.blocks.select("cell", F.col("part").alias("other"), F.col("ids").alias("ids_b"), F.col("rows").alias("rows_b"))
@@ -112,12 +112,12 @@ class Cells:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for r in frame.itertuples(index=False):
-                    a, b, s = _product(r)
-                    if once and r.part == r.other:
-                        s[a[:, None] >= b[None, :]] = -np.inf
-                    u, v = keep(a, b, s)
-                    i, j = (np.minimum(a[u], b[v]), np.maximum(a[u], b[v])) if once else (a[u], b[v])
-                    yield pd.DataFrame({"cell": np.int32(r.cell), "part": np.int32(r.part), "i": i, "j": j, "sim": s[u, v]})
+                    for a, b, s, _ in _products(r, kind):
+                        if once and r.part == r.other:
+                            s[a[:, None] >= b[None, :]] = -np.inf
+                        u, v = keep(a, b, s)
+                        i, j = (np.minimum(a[u], b[v]), np.maximum(a[u], b[v])) if once else (a[u], b[v])
+                        yield pd.DataFrame({"cell": np.int32(r.cell), "part": np.int32(r.part), "i": i, "j": j, "sim": s[u, v]})
 
         return left.join(right, ["cell", "other"]).mapInPandas(run, f"cell int, part int, {_PAIRS}")
 
@@ -127,7 +127,7 @@ class Cells:
         ``asked``: (cell, part, i, least); else all ask for ``least`` (None: for all).
         ``onwards``: cells after the row's own alone.
         """
-        reach, parts = self._bound()
+        kind, (reach, parts) = self.kind, self._bound()
 
         def packs(cell: int, ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> Iterator[pd.DataFrame]:
             meets = reach(x) >= (floor - _SLACK)[:, None]
@@ -136,7 +136,7 @@ class Cells:
             for c in np.flatnonzero(meets.any(0)):
                 some = meets[:, c]
                 for p in range(parts[c]):
-                    yield pd.DataFrame({"cell": [np.int32(c)], "part": [np.int32(p)], "ids": [ids[some].tobytes()], "rows": [x[some].tobytes()], "floor": [floor[some].tobytes()], "dim": [x.shape[1]]})
+                    yield pd.DataFrame({"cell": [np.int32(c)], "part": [np.int32(p)], "ids": [ids[some].tobytes()], "rows": [x[some].astype(kind).tobytes()], "floor": [floor[some].tobytes()], "dim": [x.shape[1]]})
 
         schema = "cell int, part int, ids binary, rows binary, floor binary, dim int"
         if asked is None:
@@ -145,14 +145,14 @@ class Cells:
             def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for frame in frames:
                     for r in frame.itertuples(index=False):
-                        ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows).reshape(-1, r.dim)
+                        ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, kind).reshape(-1, r.dim).astype(np.float64)
                         yield from packs(r.cell, ids, x, np.full(len(ids), floor))
 
             return self.blocks.mapInPandas(run, schema)
 
         def told(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             r = left.iloc[0]
-            ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"]).reshape(-1, r["dim"])
+            ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], kind).reshape(-1, r["dim"]).astype(np.float64)
             floor = np.full(len(ids), -np.inf)
             floor[np.searchsorted(ids, right["i"].to_numpy())] = right["least"].to_numpy()
             out = list(packs(int(r["cell"]), ids, x, floor))
@@ -161,18 +161,27 @@ class Cells:
         return self.blocks.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(told, schema)
 
     def meet(self, visits: DataFrame, keep: Callable) -> DataFrame:
-        """(i, j, sim) that ``keep(ids, ids, products)`` chooses of what visitors find and asked for."""
-        other = self.blocks.select("cell", "part", F.col("ids").alias("ids_b"), F.col("rows").alias("rows_b"))
+        """(i, j, sim) that ``keep(ids, ids, products)`` chooses of what visitors find and asked for.
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for r in frame.itertuples(index=False):
-                    a, b, s = _product(r)
-                    s[s < np.frombuffer(r.floor)[:, None]] = -np.inf
-                    u, v = keep(a, b, s)
-                    yield pd.DataFrame({"i": a[u], "j": b[v], "sim": s[u, v]})
-
-        return visits.join(other, ["cell", "part"]).mapInPandas(run, _PAIRS)
+        A block's visitors are dealt over slots, about eight packs each, and a block is
+        sent once a slot; so neither its visitors nor copies of it come together.
+        """
+        kind, slots = self.kind, max(1, -(-int(self.parts.sum()) // 8))
+        keys = ["cell", "part", "slot"]
+        asking = visits.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+        other = self.blocks.select("cell", "part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("ids").alias("ids_b"), F.col("rows").alias("rows_b"))
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0)})]
+            for block in right.itertuples(index=False):
+                for r in left.itertuples(index=False):
+                    for a, b, s, floor in _products(r, kind, block):
+                        s[s < floor[:, None]] = -np.inf
+                        u, v = keep(a, b, s)
+                        out.append(pd.DataFrame({"i": a[u], "j": b[v], "sim": s[u, v]}))
+            return pd.concat(out)
+
+        return asking.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(run, _PAIRS)
 
     def share(self, visits: DataFrame) -> float:
         """The share of all pairs of rows (both ways) that were multiplied: own cells and visits."""
@@ -181,10 +190,21 @@ class Cells:
         return (float((self.sizes.astype(float) ** 2).sum()) + (met or 0)) / max(1, self.count) ** 2
 
 
-def _product(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_b, np.int64)
-    x, y = np.frombuffer(r.rows).reshape(-1, r.dim), np.frombuffer(r.rows_b).reshape(-1, r.dim)
-    return a, b, np.round(x @ y.T, DECIMALS) + 0.0
+def _products(r, kind: type, block=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(ids, other ids, products, what the rows ask for), some rows at a time."""
+    block = r if block is None else block
+    a, b = np.frombuffer(r.ids, np.int64), np.frombuffer(block.ids_b, np.int64)
+    x = np.frombuffer(r.rows, kind).reshape(-1, r.dim).astype(np.float64)
+    y = np.frombuffer(block.rows_b, kind).reshape(-1, r.dim).astype(np.float64)
+    floor = np.frombuffer(r.floor) if hasattr(r, "floor") else None
+    for lo in range(0, len(a), 1024):
+        some = slice(lo, lo + 1024)
+        yield a[some], b, np.round(x[some] @ y.T, DECIMALS) + 0.0, None if floor is None else floor[some]
+
+
+def _kind(vectors: DataFrame, vector: str) -> type:
+    """What vectors are packed as: single precision where they are given so, which loses nothing."""
+    return np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
 
 
 def _best(k: int) -> Callable:
@@ -204,10 +224,10 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, min_similarity: float | None, index: str = "index", vector: str = "descriptor", block_rows: int = 2048, report: dict | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, min_similarity: float | None, index: str = "index", vector: str = "descriptor", block_rows: int = 4096, report: dict | None = None) -> DataFrame:
     """(i, j, sim) with i < j and sim >= min_similarity; None: all pairs.  ``report`` gets the share of pairs that were multiplied."""
     work = Workspace(vectors.sparkSession, "similar")
-    cells = Cells(_rows(vectors, index, vector), work, "cells", block_rows)
+    cells = Cells(_rows(vectors, index, vector), work, "cells", block_rows, _kind(vectors, vector))
 
     floor = -np.inf if min_similarity is None else min_similarity
 
@@ -216,7 +236,7 @@ def similar_pairs(vectors: DataFrame, min_similarity: float | None, index: str =
 
     found = cells.own(enough, once=True).select("i", "j", "sim")
     if len(cells.pivots):
-        visits = work.put(cells.visits(None, min_similarity, True), "visits")
+        visits = cells.visits(None, min_similarity, True)
         other = cells.meet(visits, enough)
         found = found.unionByName(other.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim"))
         if report is not None:
@@ -253,18 +273,18 @@ def _own_products(heads: DataFrame) -> DataFrame:
     return heads.where(F.size("ids") > 1).select("i", F.col("i").alias("j"), F.round(square, DECIMALS).alias("sim"))
 
 
-def top_k(vectors: DataFrame, k: int, index: str = "index", vector: str = "descriptor", block_rows: int = 2048, report: dict | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, k: int, index: str = "index", vector: str = "descriptor", block_rows: int = 4096, report: dict | None = None) -> DataFrame:
     """(i, j, sim, rank): each row's k most similar others.  ``report`` gets the share of pairs that were multiplied."""
     work = Workspace(vectors.sparkSession, "top-k")
     heads, copies, some = distinct_vectors(_rows(vectors, index, vector), k + 1, work)
     if some:
         heads = work.put(heads, "distinct")
-    cells = Cells(heads.select("i", "v"), work, "cells", block_rows)
+    cells = Cells(heads.select("i", "v"), work, "cells", block_rows, _kind(vectors, vector))
     near = _ranked(cells.own(_best(k)), k)
     if len(cells.pivots):
         first = work.put(near, "first")
         kth = first.groupBy("cell", "part", "i").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(float("-inf"))).alias("least"))
-        visits = work.put(cells.visits(kth, None, False), "visits")
+        visits = cells.visits(kth, None, False)
         near = _ranked(first.select("i", "j", "sim").unionByName(cells.meet(visits, _best(k))), k)
         if report is not None:
             report["share"] = cells.share(visits)
