@@ -14,8 +14,8 @@ from vistaspark.kernels import keypoints as K
 from vistaspark.schemas import COMPACT, FEATURES
 from vistaspark.sources.exif import upright
 
-#: Images of a block; pairs of blocks are scored together.
-BLOCK_IMAGES = 8
+#: Rows of a frame that leaves a task; features of one image take megabytes.
+FRAME_ROWS = 16
 
 
 def pixels(row) -> np.ndarray:
@@ -40,43 +40,58 @@ def extract(bgr: np.ndarray, max_size: int, per_variant: int) -> dict:
     }
 
 
-def dump(features: dict) -> bytes:
+def _saved(**arrays) -> bytes:
     out = io.BytesIO()
-    desc = features["desc"]
-    np.savez_compressed(out, edges=features["edges"] > 0, gradient=features["gradient"], xy=features["xy"], desc=np.zeros((0, 128), np.float32) if desc is None else desc)
+    np.savez_compressed(out, **arrays)
     return out.getvalue()
 
 
+def dump(features: dict) -> tuple[bytes, bytes]:
+    """(keypoints, maps): what only matching needs, and what every alignment needs."""
+    desc = features["desc"]
+    keypoints = _saved(xy=features["xy"], desc=np.zeros((0, 128), np.float32) if desc is None else desc)
+    return keypoints, _saved(edges=features["edges"] > 0, gradient=features["gradient"])
+
+
 def undump(row) -> dict:
-    z = np.load(io.BytesIO(row.payload))
-    return {
+    """Features of one row; without its keypoints where the row has none."""
+    maps = np.load(io.BytesIO(row.maps))
+    out = {
         "width": int(row.width), "height": int(row.height), "original_width": int(row.original_width), "original_height": int(row.original_height),
-        "edges": z["edges"].astype(np.uint8) * 255, "gradient": z["gradient"], "xy": z["xy"], "desc": z["desc"],
+        "edges": maps["edges"].astype(np.uint8) * 255, "gradient": maps["gradient"],
     }
+    if getattr(row, "keypoints", None) is not None:
+        found = np.load(io.BytesIO(row.keypoints))
+        out |= {"xy": found["xy"], "desc": found["desc"]}
+    return out
+
+
+def _framed(frames: Iterator[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
+    """``of`` each row, some rows a frame."""
+    for frame in frames:
+        for lo in range(0, len(frame), FRAME_ROWS):
+            yield pd.DataFrame([of(r) for r in frame.iloc[lo : lo + FRAME_ROWS].itertuples(index=False)])
 
 
 def extract_features(images: DataFrame, max_size: int, per_variant: int) -> DataFrame:
     """Features of every image, turned as its file says; fails on one that cannot be decoded."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.to_dict("records"):
-                f = extract(pixels(pd.Series(r)), max_size, per_variant)
-                yield pd.DataFrame([{
-                    "index": r["index"], "block": r["index"] // BLOCK_IMAGES, "payload": dump(f), "width": f["width"], "height": f["height"],
-                    "original_width": f["original_width"], "original_height": f["original_height"], "clipped_ratio": f["clipped_ratio"], "descriptor": f["descriptor"].tolist(),
-                }])
+    def of(r) -> dict:
+        f = extract(pixels(r), max_size, per_variant)
+        keypoints, maps = dump(f)
+        return {
+            "index": r.index, "keypoints": keypoints, "maps": maps, "width": f["width"], "height": f["height"],
+            "original_width": f["original_width"], "original_height": f["original_height"], "clipped_ratio": f["clipped_ratio"], "descriptor": f["descriptor"].tolist(),
+        }
 
-    return images.select("index", "path", "height", "width", "channels", "data", "orientation").mapInPandas(run, FEATURES)
+    return images.select("index", "path", "height", "width", "channels", "data", "orientation").mapInPandas(lambda frames: _framed(frames, of), FEATURES)
 
 
 def extract_compact(images: DataFrame, max_size: int) -> DataFrame:
     """(index, filename, width, height, descriptor) for the plans over large sets; sizes are the resized ones."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.to_dict("records"):
-                f = I.compact_features(pixels(pd.Series(r)), max_size)
-                yield pd.DataFrame([{"index": r["index"], "filename": r["filename"], "width": f["width"], "height": f["height"], "descriptor": f["descriptor"].tolist()}])
+    def of(r) -> dict:
+        f = I.compact_features(pixels(r), max_size)
+        return {"index": r.index, "filename": r.filename, "width": f["width"], "height": f["height"], "descriptor": f["descriptor"].tolist()}
 
-    return images.select("index", "path", "filename", "height", "width", "channels", "data", "orientation").mapInPandas(run, COMPACT)
+    return images.select("index", "path", "filename", "height", "width", "channels", "data", "orientation").mapInPandas(lambda frames: _framed(frames, of), COMPACT)
