@@ -16,6 +16,7 @@ from vistaspark.config import EngineConfig
 from vistaspark.functions import decisions as D
 from vistaspark.operators import cluster as C
 from vistaspark.operators import affinity, evaluate, knn, large, repair, scoring
+from vistaspark.operators.order import with_ordinal
 from vistaspark.schemas import PAIR_SCORE
 from vistaspark.sources.tables import PairCache, fingerprint
 from vistaspark.sources.workspace import Workspace
@@ -48,31 +49,34 @@ top AS (SELECT i, j, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY i
 cand AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(sim) AS sim FROM top GROUP BY 1, 2)"""
 
 
-def with_metrics(pairs: DataFrame) -> DataFrame:
-    """Synthetic metrics for pairs (i, j)."""
+def with_metrics(pairs: DataFrame, strong: bool = False) -> DataFrame:
+    """Synthetic metrics for pairs (i, j); ``strong``: those of pairs that mostly support each other."""
     i, j = F.col("i"), F.col("j")
-    good = (i * 31 + j * 17) % 120
-    inl = F.least(good, (i * 13 + j * 29) % 100)
+    good, inl, parts, floor = (80 + (i * 31 + j * 17) % 40, 60 + (i * 13 + j * 29) % 40, (100, 400, 200, 200), 0.5) if strong else (
+        (i * 31 + j * 17) % 120, (i * 13 + j * 29) % 100, (10, 100, 50, 100), 0.0)
+    inl = F.least(good, inl)
     none = (i + j) % 37 == 0
     return (
         pairs.withColumn("good_matches", good).withColumn("ransac_inliers", inl)
         .withColumn("inlier_ratio", F.round(inl / F.greatest(F.lit(1), good), 4))
-        .withColumn("median_reprojection_error", F.when(none, F.lit(float("inf"))).otherwise(((i * 3 + j * 5) % 64).cast("double") / 10))
-        .withColumn("avg_corner_shift_ratio", ((i * 7 + j * 11) % 20).cast("double") / 100)
-        .withColumn("max_corner_shift_ratio", ((i * 7 + j * 11) % 20).cast("double") / 50)
-        .withColumn("edge_score", ((i * 19 + j * 23) % 100).cast("double") / 100)
+        .withColumn("median_reprojection_error", F.when(none, F.lit(float("inf"))).otherwise(((i * 3 + j * 5) % 64).cast("double") / parts[0]))
+        .withColumn("avg_corner_shift_ratio", ((i * 7 + j * 11) % 20).cast("double") / parts[1])
+        .withColumn("max_corner_shift_ratio", ((i * 7 + j * 11) % 20).cast("double") / parts[2])
+        .withColumn("edge_score", F.lit(floor) + ((i * 19 + j * 23) % 100).cast("double") / parts[3])
         .withColumn("method", F.when(none, "none").when((i + 2 * j) % 11 == 0, "ecc_euclidean").otherwise("sift_homography"))
         .withColumn("confidence", D.confidence()).withColumn("decision", D.decision())
     )
 
 
-def metrics_sql(source: str, name: str = "scores") -> str:
+def metrics_sql(source: str, name: str = "scores", strong: bool = False) -> str:
+    good, inl, (error, avg, most, edge), floor = ("80 + (i * 31 + j * 17) % 40", "60 + (i * 13 + j * 29) % 40", (100, 400, 200, 200), 0.5) if strong else (
+        "(i * 31 + j * 17) % 120", "(i * 13 + j * 29) % 100", (10, 100, 50, 100), 0.0)
     return f"""
-{name}_raw AS (SELECT i, j, sim, (i * 31 + j * 17) % 120 AS good_matches, least((i * 31 + j * 17) % 120, (i * 13 + j * 29) % 100) AS ransac_inliers,
-    round(least((i * 31 + j * 17) % 120, (i * 13 + j * 29) % 100)::DOUBLE / greatest(1, (i * 31 + j * 17) % 120)::DOUBLE, 4) AS inlier_ratio,
-    CASE WHEN (i + j) % 37 = 0 THEN 'inf'::DOUBLE ELSE ((i * 3 + j * 5) % 64)::DOUBLE / 10::DOUBLE END AS median_reprojection_error,
-    ((i * 7 + j * 11) % 20)::DOUBLE / 100::DOUBLE AS avg_corner_shift_ratio, ((i * 7 + j * 11) % 20)::DOUBLE / 50::DOUBLE AS max_corner_shift_ratio,
-    ((i * 19 + j * 23) % 100)::DOUBLE / 100::DOUBLE AS edge_score,
+{name}_raw AS (SELECT i, j, sim, {good} AS good_matches, least({good}, {inl}) AS ransac_inliers,
+    round(least({good}, {inl})::DOUBLE / greatest(1, {good})::DOUBLE, 4) AS inlier_ratio,
+    CASE WHEN (i + j) % 37 = 0 THEN 'inf'::DOUBLE ELSE ((i * 3 + j * 5) % 64)::DOUBLE / {error}::DOUBLE END AS median_reprojection_error,
+    ((i * 7 + j * 11) % 20)::DOUBLE / {avg}::DOUBLE AS avg_corner_shift_ratio, ((i * 7 + j * 11) % 20)::DOUBLE / {most}::DOUBLE AS max_corner_shift_ratio,
+    {floor}::DOUBLE + ((i * 19 + j * 23) % 100)::DOUBLE / {edge}::DOUBLE AS edge_score,
     CASE WHEN (i + j) % 37 = 0 THEN 'none' WHEN (i + 2 * j) % 11 = 0 THEN 'ecc_euclidean' ELSE 'sift_homography' END AS method FROM {source}),
 {name}_flags AS (SELECT *, good_matches >= 45 AND ransac_inliers >= 25 AND inlier_ratio >= 0.3::DOUBLE AS enough,
     avg_corner_shift_ratio <= 0.08::DOUBLE AND max_corner_shift_ratio <= 0.16::DOUBLE AS motion, median_reprojection_error <= 5 AS reprojection,
@@ -272,7 +276,7 @@ def q_affinity_medium(spark, sf_dir):
 def q_match_tail(spark, sf_dir):
     of = Workspace(spark, "tail-q").put(_partition(spark, sf_dir, LINK).select("index", "filename", "group_id"), "groups")
     members = repair.group_members(images(spark, sf_dir), of.select("index", "group_id"))
-    scores = Workspace(spark, "tail-q").put(pair_scores(spark, sf_dir), "scores")
+    scores = Workspace(spark, "tail-q").put(with_metrics(candidates(spark, sf_dir), strong=True), "scores")
     found = repair.supports(_group_candidates(spark, sf_dir, of.select("index", F.col("group_id").alias("g")), scores).where("src_n = 2 and dst_n >= 4"), scores)
     return repair.tail_matches(found, members, scores).select("src", "dst", F.round("average", 6).alias("average"))
 
@@ -336,8 +340,8 @@ def _group_candidates(spark, sf_dir, groups, scores):
     return both.join(side("member", "src"), "member").join(side("target", "dst"), "target").where("src <> dst").withColumn("rank", F.lit(1)).withColumn("member_rank", F.col("target"))
 
 
-def _found_supports(spark, sf_dir, groups):
-    scores = Workspace(spark, "supports-q").put(pair_scores(spark, sf_dir), "scores")
+def _found_supports(spark, sf_dir, groups, strong=False):
+    scores = Workspace(spark, "supports-q").put(with_metrics(candidates(spark, sf_dir), strong), "scores")
     return repair.supports(_group_candidates(spark, sf_dir, groups, scores), scores)
 
 
@@ -357,7 +361,10 @@ def q_match_relaxed(spark, sf_dir):
 
 
 def q_match_medium(spark, sf_dir):
-    return repair.medium_matches(_partition_supports(spark, sf_dir)).select("src", "dst", F.round("average", 6).alias("average"))
+    # Of every 15 images 3 form one group and 12 another, so that sizes fit the rule on all of the driver's tables.
+    block = F.floor(F.col("index") / 15).cast("long")
+    groups = images(spark, sf_dir).select("index", F.when(F.col("index") % 5 == 0, block).otherwise(-1 - block).alias("g"))
+    return repair.medium_matches(_found_supports(spark, sf_dir, groups, strong=True)).select("src", "dst", F.round("average", 6).alias("average"))
 
 
 def q_match_folds(spark, sf_dir):
@@ -424,7 +431,8 @@ def q_greedy_proposals(spark, sf_dir):
     groups = Workspace(spark, "greedy-q").put(_partition(spark, sf_dir, LINK).select("index", "group_id"), "groups")
     sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     edges = _matches(spark, sf_dir, groups.select("index", F.col("group_id").alias("g"))).where("average >= 0.6")
-    proposals = edges.select("src", "dst", F.round("average", 1).alias("score"), F.lit(1).alias("phase"), F.row_number().over(Window.orderBy("src", "dst")).alias("seq"))
+    scored = edges.select("src", "dst", F.round("average", 1).alias("score"), F.lit(1).alias("phase"))
+    proposals = with_ordinal(scored, ["src", "dst"], "seq", start=1)
     return repair.apply_proposals(proposals, sizes).select("group_id", "root")
 
 
@@ -441,7 +449,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cached_pairs": q_cached_pairs, "missing_pairs": q_missing_pairs, "greedy_proposals": q_greedy_proposals,
 }
 
-FOLDS = f"""{SCORES}, {compact_sql(LINK, 'mc')}, sized AS (SELECT idx, component, count(*) OVER (PARTITION BY component) AS n FROM mc),
+def folds_sql(scores: str, groups: str = compact_sql(LINK, "mc")) -> str:
+    """Folds of every two groups; ``groups`` defines mc (idx, component)."""
+    return f"""{scores}, {groups}, sized AS (SELECT idx, component, count(*) OVER (PARTITION BY component) AS n FROM mc),
 said AS (SELECT *, coalesce({RELAXED_SQL}, {TINY_SQL}) AS support, {TINY_SQL} AS tiny FROM scores),
 turned AS (SELECT i AS member, j AS target, support, tiny, confidence, avg_corner_shift_ratio AS shift, edge_score FROM said WHERE support IS NOT NULL
            UNION ALL SELECT j, i, support, tiny, confidence, avg_corner_shift_ratio, edge_score FROM said WHERE support IS NOT NULL),
@@ -451,6 +461,37 @@ folds AS (SELECT src, dst, src_n, dst_n, avg(support) FILTER (WHERE place = 1) A
     count(*) FILTER (WHERE place = 1 AND support >= 0.6::DOUBLE) AS covered, count(DISTINCT CASE WHEN place = 1 AND support >= 0.6::DOUBLE THEN target END) AS covered_targets,
     count(DISTINCT CASE WHEN support >= 0.58::DOUBLE THEN target END) AS corroborating, max(support) FILTER (WHERE place = 1) AS top, max(confidence) FILTER (WHERE place = 1) AS top_confidence,
     max(shift) FILTER (WHERE place = 1) AS top_shift, max(edge_score) FILTER (WHERE place = 1) AS top_edge, max(tiny) FILTER (WHERE place = 1) AS top_tiny FROM placed GROUP BY 1, 2, 3, 4)"""
+
+
+STRONG = f"{CAND}, {metrics_sql('cand', strong=True)}"
+FOLDS = folds_sql(SCORES)
+#: Tentative pairs, one a step, over lists with a place for every image: its group, whether it is alone, what it was moved by.
+ATTACHED = f"""{VERIFIED},
+place AS MATERIALIZED (SELECT idx, component, row_number() OVER (ORDER BY idx) AS p, count(*) OVER (PARTITION BY component) AS n FROM comp),
+tent AS MATERIALIZED (SELECT a.p AS pa, b.p AS pb, confidence AS c, row_number() OVER (ORDER BY confidence DESC, i, j) AS turn
+    FROM (SELECT least(i, j) AS i, greatest(i, j) AS j, confidence FROM scores WHERE decision = 'tentative') JOIN place a ON i = a.idx JOIN place b ON j = b.idx),
+beside AS MATERIALIZED (SELECT p, list({{'q': q, 'c': c}}) AS near FROM (SELECT pa AS p, pb AS q, c FROM tent UNION ALL SELECT pb, pa, c FROM tent) GROUP BY 1),
+step AS MATERIALIZED (SELECT turn, pa, pb, c, x.near AS near_a, y.near AS near_b FROM tent JOIN beside x ON x.p = pa JOIN beside y ON y.p = pb),
+walk AS (
+    SELECT 0::BIGINT AS turn, list(component ORDER BY p) AS g, list(n = 1 ORDER BY p) AS lone, list(NULL::DOUBLE ORDER BY p) AS via FROM place
+    UNION ALL
+    SELECT turn, CASE WHEN moves THEN list_transform(g, lambda x, i: CASE WHEN i = one THEN target ELSE x END) ELSE g END,
+        CASE WHEN moves THEN list_transform(lone, lambda x, i: x AND i <> one) ELSE lone END,
+        CASE WHEN moves THEN list_transform(via, lambda x, i: CASE WHEN i = one THEN c ELSE x END) ELSE via END
+    FROM (SELECT *, one_alone AND coalesce(list_max(list_transform(list_filter(near, lambda x: g[x.q] <> target), lambda x: x.c)) <= c - 0.05::DOUBLE, true) AS moves
+        FROM (SELECT t.turn, w.g, w.lone, w.via, t.c, w.lone[t.pa] <> w.lone[t.pb] AS one_alone, CASE WHEN w.lone[t.pa] THEN t.pa ELSE t.pb END AS one,
+                CASE WHEN w.lone[t.pa] THEN w.g[t.pb] ELSE w.g[t.pa] END AS target, CASE WHEN w.lone[t.pa] THEN t.near_a ELSE t.near_b END AS near
+            FROM walk w JOIN step t ON t.turn = w.turn + 1))),
+att AS (SELECT idx, p.component AS home, w.g[p] AS component, CASE WHEN w.via[p] IS NOT NULL THEN 'tentative' WHEN n > 1 THEN 'verified' ELSE 'singleton' END AS status, coalesce(w.via[p], 1::DOUBLE) AS own
+    FROM place p, (SELECT * FROM walk ORDER BY turn DESC LIMIT 1) w)"""
+CLUSTERED = f"""{ATTACHED}, acc AS (SELECT i, j, confidence FROM scores WHERE decision <> 'reject'),
+acc2 AS (SELECT i AS idx, j AS other, confidence FROM acc UNION ALL SELECT j, i, confidence FROM acc),
+inside AS (SELECT c.component, a.idx, a.other, a.confidence FROM acc2 a JOIN att c ON a.idx = c.idx JOIN att o ON a.other = o.idx AND c.component = o.component),
+reps AS (SELECT component, idx AS representative FROM (
+    SELECT c.component, c.idx, row_number() OVER (PARTITION BY c.component ORDER BY coalesce(m.mean, 0) DESC, c.home, c.idx) AS rn
+    FROM att c LEFT JOIN (SELECT idx, avg(confidence) AS mean FROM inside GROUP BY 1) m ON c.idx = m.idx) WHERE rn = 1),
+bests AS (SELECT i.idx, max(i.confidence) AS best, max(CASE WHEN i.other = r.representative THEN i.confidence END) AS to_rep FROM inside i JOIN reps r ON i.component = r.component GROUP BY 1),
+numbered AS (SELECT r.component, row_number() OVER (ORDER BY f.filename, r.component) AS group_id FROM reps r JOIN images f ON r.representative = f.idx)"""
 _NUM_SQL = "SELECT idx AS index, filename, dense_rank() OVER (ORDER BY least_name) - 1 AS group_id FROM (SELECT c.idx, f.filename, c.component, min(f.filename) OVER (PARTITION BY c.component) AS least_name FROM {0} c JOIN images f ON c.idx = f.idx)"
 _SETS = "SELECT DISTINCT string_agg(filename, '|' ORDER BY filename) AS members FROM {0} c JOIN images f ON c.idx = f.idx GROUP BY component"
 _TWO = f"WITH RECURSIVE {IMAGES_SQL}, {compact_sql(LINK, 'pc')}, {compact_sql(TIGHT, 'tc')}, p AS ({_SETS.format('pc')}), t AS ({_SETS.format('tc')}), m AS (SELECT * FROM p INTERSECT SELECT * FROM t)"
@@ -498,9 +539,9 @@ ORACLE_SQL: dict[str, str] = {
     "group_match_folds": f"{FOLDS} SELECT src, dst, src_n, dst_n, round(average, 6) AS average, round(least, 6) AS least, round(top, 6) AS top, round(top_confidence, 6) AS top_confidence, round(top_shift, 6) AS top_shift, round(top_edge, 6) AS top_edge, supported, covered, covered_targets, corroborating, top_tiny IS NOT NULL AS any_tiny FROM folds",
     "group_match_relaxed": f"""{FOLDS} SELECT src, dst, round(average, 6) AS average FROM folds WHERE supported = src_n AND average >= 0.6::DOUBLE AND least >= 0.52::DOUBLE
         AND (NOT (src_n = 1 AND dst_n > 1) OR corroborating >= 2 OR (top >= 0.8::DOUBLE AND top_confidence >= 0.8::DOUBLE AND top_shift <= 0.05::DOUBLE AND top_edge >= 0.25::DOUBLE) OR (top >= 0.72::DOUBLE AND top_tiny IS NOT NULL))""",
-    "group_match_medium": f"""{FOLDS} SELECT src, dst, round(average, 6) AS average FROM folds WHERE src_n BETWEEN 3 AND 12 AND dst_n BETWEEN 3 AND 16 AND greatest(src_n, dst_n)::DOUBLE / least(src_n, dst_n) <= 4
+    "group_match_medium": f"""{folds_sql(STRONG, "mc AS (SELECT idx, CASE WHEN idx % 5 = 0 THEN idx // 15 ELSE -1 - idx // 15 END AS component FROM images)")} SELECT src, dst, round(average, 6) AS average FROM folds WHERE src_n BETWEEN 3 AND 12 AND dst_n BETWEEN 3 AND 16 AND greatest(src_n, dst_n)::DOUBLE / least(src_n, dst_n) <= 4
         AND supported = src_n AND average >= 0.66::DOUBLE AND least >= 0.58::DOUBLE AND covered >= greatest(3, ceil(0.75::DOUBLE * src_n)) AND covered_targets >= least(3, dst_n)""",
-    "group_match_tail": f"""{FOLDS}, named AS ({_NUM_SQL.format('mc')}), number AS (SELECT DISTINCT c.component, n.group_id FROM named n JOIN mc c ON n.index = c.idx),
+    "group_match_tail": f"""{folds_sql(STRONG)}, named AS ({_NUM_SQL.format('mc')}), number AS (SELECT DISTINCT c.component, n.group_id FROM named n JOIN mc c ON n.index = c.idx),
         inner_pair AS (SELECT a.component AS src, least(0.7::DOUBLE, 0.85::DOUBLE * s.confidence) AS indirect FROM sized a JOIN sized b ON a.component = b.component AND a.idx < b.idx JOIN scores s ON s.i = a.idx AND s.j = b.idx
           WHERE a.n = 2 AND s.decision <> 'reject' AND s.confidence >= 0.9::DOUBLE AND s.ransac_inliers >= 50 AND s.avg_corner_shift_ratio <= 0.05::DOUBLE AND s.max_corner_shift_ratio <= 0.1::DOUBLE),
         direct AS (SELECT src, dst, max(support) AS direct FROM placed WHERE place = 1 AND src_n = 2 AND dst_n >= 4 AND support >= 0.7::DOUBLE GROUP BY 1, 2 HAVING count(*) = 1)
@@ -519,6 +560,21 @@ ORACLE_SQL: dict[str, str] = {
         FROM c0 JOIN c1 USING (idx) JOIN c2 USING (idx) JOIN c3 USING (idx) JOIN largest ON c0.component = whole""",
     "exact_set_score": f"{_TWO} SELECT (SELECT count(*) FROM p) AS predicted_groups, (SELECT count(*) FROM t) AS truth_groups, (SELECT count(*) FROM m) AS exact_matches, (SELECT count(*) FROM m)::DOUBLE / (SELECT count(*) FROM t) AS score",
     "exact_set_matches": f"{_TWO} SELECT members FROM m",
+    "tentative_attach": f"{ATTACHED} SELECT idx AS index, component AS group_id, status, own AS confidence FROM att",
+    "cluster_images": f"""{CLUSTERED} SELECT c.idx AS index, n.group_id, c.status, CASE WHEN c.idx = r.representative THEN 1::DOUBLE ELSE coalesce(b.to_rep, b.best, c.own) END AS confidence, r.representative
+        FROM att c JOIN reps r USING (component) JOIN numbered n USING (component) LEFT JOIN bests b ON b.idx = c.idx""",
+    "greedy_proposals": f"""{FOLDS}, named AS ({_NUM_SQL.format('mc')}), sizes AS MATERIALIZED (SELECT c.component, n.group_id, count(*) AS n, row_number() OVER (ORDER BY n.group_id) AS p FROM named n JOIN mc c ON n.index = c.idx GROUP BY 1, 2),
+        step AS MATERIALIZED (SELECT a.p AS src, b.p AS dst, a.n AS src_n, b.n AS dst_n, row_number() OVER (ORDER BY round(average, 1) DESC, a.group_id, b.group_id) AS turn
+          FROM folds f JOIN sizes a ON f.src = a.component JOIN sizes b ON f.dst = b.component WHERE average >= 0.6::DOUBLE),
+        walk AS (
+          SELECT 0::BIGINT AS turn, list(group_id ORDER BY p) AS root, list(false ORDER BY p) AS used FROM sizes
+          UNION ALL
+          SELECT turn, CASE WHEN joins THEN list_transform(root, lambda x: CASE WHEN x = greatest(a, b) THEN least(a, b) ELSE x END) ELSE root END,
+            CASE WHEN joins AND src_n <= 2 THEN list_transform(used, lambda x, i: x OR i = src OR (src_n = 1 AND dst_n = 1 AND i = dst)) ELSE used END
+          FROM (SELECT t.*, w.root, w.used, w.root[t.src] AS a, w.root[t.dst] AS b,
+                  t.src_n <= 12 AND NOT (t.src_n <= 2 AND w.used[t.src]) AND NOT (t.src_n = 1 AND t.dst_n = 1 AND w.used[t.dst]) AND w.root[t.src] <> w.root[t.dst] AS joins
+                FROM walk w JOIN step t ON t.turn = w.turn + 1))
+        SELECT s.group_id, w.root[p] AS root FROM sizes s, (SELECT * FROM walk ORDER BY turn DESC LIMIT 1) w""",
     "cached_pairs": f"{CAND} SELECT i, j FROM cand WHERE (i + j) % 3 <> 0",
     "missing_pairs": f"{CAND} SELECT i, j FROM cand WHERE (i + j) % 3 = 0",
 }
