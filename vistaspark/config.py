@@ -42,6 +42,8 @@ class EngineConfig:
     large_component_candidates: int = 16
     large_component_postpass: bool = False
     large_hybrid_time_budget: float = float("inf")
+    #: Images of a batch of components; looked at where there is a time budget.
+    large_hybrid_batch_images: int = 2_000
     large_blockwise_candidates: bool = True
     large_candidate_min_similarity: float = 0.45
     bridge_min_similarity: float = 0.84

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from vistaspark.operators import cluster as C
 from vistaspark.operators import knn, large
 from vistaspark.operators.features import extract_compact, extract_features
 from vistaspark.operators.graph import connected_components
+from vistaspark.operators.order import with_ordinal
 from vistaspark.operators.repair import repair
 from vistaspark.operators.scoring import score_pairs
 from vistaspark.sources.tables import PairCache, fingerprint
@@ -96,11 +96,52 @@ def group_bridge(images: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
     return large.number_by_name(merged).drop("component")
 
 
+def _refine(images: DataFrame, fine: DataFrame, cfg: EngineConfig, work: Workspace, tag: str) -> DataFrame:
+    """(index, filename, component): the core plan within each component (index, component) of fine; a group's name is its least index."""
+    from pyspark.sql import Window
+
+    from vistaspark.operators.repair import dot
+
+    names = images.select("index", "filename")
+    features = work.put(extract_features(images.join(fine, "index", "left_semi"), cfg.large_component_max_size, cfg.large_component_features), f"features{tag}")
+    described = features.select("index", "descriptor").join(fine.select("index", "component"), "index")
+    # Components are small, so a top-k join within each is a join on the component and a window.
+    a = described.select("component", F.col("index").alias("i"), F.col("descriptor").alias("da"))
+    b = described.select("component", F.col("index").alias("j"), F.col("descriptor").alias("db"))
+    near = a.join(b, "component").where("i <> j").select("i", "j", F.round(dot(F.col("da"), F.col("db")), knn.DECIMALS).alias("sim"))
+    top = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("sim").desc(), "j"))).where(F.col("rank") <= cfg.large_component_candidates)
+    wanted = work.put(knn.undirected(top), f"wanted{tag}")
+    scores = work.put(score_pairs(wanted, features, names, EngineConfig().thresholds), f"scores{tag}")
+    members = names.join(fine, "index", "left_semi")
+    refined = work.put(C.cluster(members, scores).select("index", "filename", "group_id"), f"clustered{tag}")
+    if cfg.large_component_postpass:
+        refined = repair(members.join(features.select("index", "descriptor"), "index"), refined.select("index", "group_id"), scores, None)
+    least = F.min("index").over(Window.partitionBy("group_id"))
+    done = work.put(refined.select("index", "filename", least.alias("component")), f"refined{tag}")
+    work.drop(f"features{tag}")
+    return done
+
+
+def by_falling_size(fine: DataFrame, batch_images: int, work: Workspace) -> DataFrame:
+    """fine (index, component, n) with ``batch``: components by falling size (ties: the least component), dealt into batches of about ``batch_images`` images.
+
+    A component is in the batch that its first image's place falls into, so batches
+    hold whole components and are numbered from 0, with gaps where a component is
+    larger than a batch.
+    """
+    placed = with_ordinal(fine.select("index", "component", "n", (-F.col("n")).alias("__less")), ["__less", "component", "index"], "__place")
+    begin = placed.groupBy("component").agg(F.min("__place").alias("__begin"))
+    batched = placed.join(begin, "component").withColumn("batch", F.floor(F.col("__begin") / batch_images).cast("long"))
+    return work.put(batched.select("index", "component", "n", "batch"), "batched")
+
+
 def group_hybrid(images: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Loose components of bounded size, each refined by the core plan; those that stay too large are kept whole.
 
     All components are refined in one run of the core plan: candidates are drawn
-    within components, so nothing joins two of them.
+    within components, so nothing joins two of them.  With a time budget they go in
+    batches by falling size, and the budget is looked at between batches: what is
+    refined is the largest components up to some size, the others are kept whole.
     """
     began = time.monotonic()
     compact, pairs, work = _compact(images, cfg)
@@ -109,31 +150,23 @@ def group_hybrid(images: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
         ladder.append(steps)
         steps += 0.04
     parts = work.put(large.bounded_components(compact, pairs, cfg.large_super_min_similarity, cfg.large_max_component_size, cfg.large_max_aspect_delta, ladder), "parts")
-    names = images.select("index", "filename")
-    if time.monotonic() - began >= cfg.large_hybrid_time_budget:
-        log.warning("hybrid time budget: no component refined")
-        return large.number_by_name(parts.join(names, "index").select("index", "filename", "component")).drop("component")
     fine = parts.where((F.col("n") > 1) & (F.col("n") <= cfg.large_max_component_size))
-    inner = replace(cfg, max_size=cfg.large_component_max_size, features_per_variant=cfg.large_component_features)
-    features = work.put(extract_features(images.join(fine, "index", "left_semi"), inner.max_size, inner.features_per_variant), "features")
-    described = features.select("index", "descriptor").join(fine.select("index", "component"), "index")
-    # Components are small, so a top-k join within each is a join on the component and a window.
-    from pyspark.sql import Window
-
-    from vistaspark.operators.repair import dot
-
-    a = described.select("component", F.col("index").alias("i"), F.col("descriptor").alias("da"))
-    b = described.select("component", F.col("index").alias("j"), F.col("descriptor").alias("db"))
-    near = a.join(b, "component").where("i <> j").select("i", "j", F.round(dot(F.col("da"), F.col("db")), knn.DECIMALS).alias("sim"))
-    top = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("sim").desc(), "j"))).where(F.col("rank") <= cfg.large_component_candidates)
-    wanted = work.put(knn.undirected(top), "wanted")
-    scores = work.put(score_pairs(wanted, features, names, EngineConfig().thresholds), "scores")
-    members = names.join(fine, "index", "left_semi")
-    refined = work.put(C.cluster(members, scores).select("index", "filename", F.col("group_id")), "refined")
-    if cfg.large_component_postpass:
-        refined = repair(members.join(features.select("index", "descriptor"), "index"), refined.select("index", "group_id"), scores, None)
-    whole = parts.join(fine.select("index"), "index", "left_anti").join(names, "index").select("index", "filename", (-1 - F.col("component")).alias("component"))
-    return large.number_by_name(refined.select("index", "filename", F.col("group_id").alias("component")).unionByName(whole)).drop("component")
+    names = images.select("index", "filename")
+    bounded = cfg.large_hybrid_time_budget != float("inf")
+    fine = by_falling_size(fine, cfg.large_hybrid_batch_images, work) if bounded else fine.withColumn("batch", F.lit(0))
+    # One number a batch, of some thousand images each.
+    batches = sorted(r["batch"] for r in fine.select("batch").distinct().collect())
+    refined = None
+    for k, batch in enumerate(batches):
+        if time.monotonic() - began >= cfg.large_hybrid_time_budget:
+            log.warning("hybrid time budget: %d of %d batches of components not refined", len(batches) - k, len(batches))
+            fine = fine.where(F.col("batch") < batch)
+            break
+        done = _refine(images, fine.where(F.col("batch") == batch), cfg, work, str(batch))
+        refined = done if refined is None else refined.unionByName(done)
+    whole = parts if refined is None else parts.join(fine.select("index"), "index", "left_anti")
+    whole = whole.join(names, "index").select("index", "filename", (-1 - F.col("component")).alias("component"))
+    return large.number_by_name(whole if refined is None else refined.unionByName(whole)).drop("component")
 
 
 #: What a time budget (off by default) has cut is reported here.
