@@ -8,6 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from vistaspark.llm import blocks as B
 from vistaspark.llm import bpe, jaccard, katz, langid, line_dedup, mixing, quality, suffix_dedup
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -183,6 +184,61 @@ def test_katz(docs, rows, empty):
     assert all(r.train_tokens == 0 for r in only_held)
 
 
+def katz_recursion(rows, held, order):
+    """log10 probability of a text, and P of a word after a context, straight from the formula, by tuples of words."""
+    texts = [["<s>", *(r[1] or "").encode().lower().split(), None] for r in rows]
+    train = [t for t, h in zip(texts, held) if not h]
+    count = [None, *[collections.Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, order + 1)]]
+    starts = count[1].pop(("<s>",), 0)
+    factors = [None, *[katz.discounts([sum(v == r for v in count[k].values()) for r in range(1, 7)]) for k in range(1, order + 1)]]
+    d = lambda k, c: factors[k][min(c, 6)] * c
+    n = sum(count[1].values())
+    lost = sum((1 - factors[1][min(c, 6)]) * c for c in count[1].values())
+    seen, lower = collections.Counter(), collections.Counter()
+    times = lambda h: starts if h == ("<s>",) else count[len(h)][h]
+
+    def p(context, w):
+        k = len(context) + 1
+        if k == 1:
+            c = count[1][w,]
+            return (d(1, c) / n * (1.0 if lost > 0 else n / (n + 1))) if c else (lost / n if lost > 0 else 1 / (n + 1))
+        if not times(context):
+            return p(context[1:], w)
+        scale = times(context) / (times(context) + 1) if seen[context] > 1 - 1e-12 else 1.0
+        c = count[k][*context, w]
+        return scale * d(k, c) / times(context) if c else (1 - scale * seen[context]) / (1 - lower[context]) * p(context[1:], w)
+
+    for k in range(2, order + 1):
+        for g, c in count[k].items():
+            seen[g[:-1]] += d(k, c) / times(g[:-1])
+            lower[g[:-1]] += p(g[1:-1], g[-1])
+    return texts, p, count
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_katz_orders_and_stored_model(spark, docs, rows, tmp_path, order):
+    held_col, held = (F.col("doc_id") / 3).cast("long") % 5 == 2, [r[0] is not None and (r[0] // 3) % 5 == 2 for r in rows]
+    texts, p, count = katz_recursion(rows, held, order)
+    want = [(r[0], round(sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t))), 4)) for r, t in zip(rows, texts)]
+    scored = katz.score(docs, held_col, order=order, block_tokens=600).collect()
+    assert bag((r.doc_id, round(r.score, 4)) for r in scored) == bag(want)
+    kinds = [w for (w,) in count[1]] + [b"\0unknown"]
+    for context in [*list(count[order - 1])[:15], *[(b"never", b"seen", b"in", b"it")[: order - 1]]]:
+        if None not in context:
+            assert sum(p(context, w) for w in kinds) == pytest.approx(1.0, abs=1e-9)
+
+    katz.fit(docs, held_col, order=order, block_tokens=600).save(str(tmp_path / "model"))
+    model = katz.Model.load(spark, str(tmp_path / "model"))
+    stored = model.tables.where("level = 1").select("keys", "totals").collect()
+    keys, totals = ([x for r in stored for x in B.unpack_sorted(r[c], t).tolist()] for c, t in (("keys", "u8"), ("totals", "i8")))
+    assert len(set(keys)) == len(keys) and sorted(t for t in totals if t) == sorted([sum(not h for h in held), *[c for k in range(1, order + 1) for c in count[k].values()]])
+    # Blocks of another size, and texts in another order, find the same numbers.
+    again = katz.score_with(model, docs.repartition(2).select("text", "doc_id", "source"), block_tokens=2_000).collect()
+    assert bag((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in again) == bag(
+        (r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in scored)
+    assert katz.score_with(model, docs.limit(0)).count() == 0
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 

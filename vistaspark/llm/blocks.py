@@ -31,6 +31,8 @@ FAN_BITS = 4
 FAN = 1 << FAN_BITS
 #: Bits of a row's place in its block.
 ROW_BITS = 20
+#: In place of an asking block's number: a range's own table.
+KEPT = -1
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -90,10 +92,11 @@ class Sums:
     that holds a range replies for each of its keys, by name, and numbers for the
     driver to add up.  ``down``: the replies' names and types.  A reply named
     ``owned`` is true for one of the blocks that have asked for a key only.
+    ``keeps``: each range's keys and replies are a table of their own too (see ``exchange_and_keep``).
     """
 
-    def __init__(self, up: dict[str, str], down: dict[str, str], answer: Callable, extra: tuple[str, ...] = ()):
-        self.up, self.down, self.answer, self.extra = up, down, answer, extra
+    def __init__(self, up: dict[str, str], down: dict[str, str], answer: Callable, extra: tuple[str, ...] = (), keeps: bool = False):
+        self.up, self.down, self.answer, self.extra, self.keeps = up, down, answer, extra, keeps
 
     def dump(self, data: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, bytes]:
         return {"keys": pack_sorted(data["keys"][lo:hi])} | {n: pack_sorted(data[n][lo:hi]) for n in self.up}
@@ -114,7 +117,8 @@ class Sums:
         data, at, owner = self.merge(parts)
         reply, extra = self.answer(data["keys"], data)
         edges = np.cumsum([0, *[p["keys"].size for p in parts]])
-        return [self.pick(reply, at[a:b], owner[at[a:b]] == k) for k, (a, b) in enumerate(zip(edges, edges[1:]))], extra
+        picked = [self.pick(reply, at[a:b], owner[at[a:b]] == k) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+        return picked + ([reply | {"keys": data["keys"]}] if self.keeps else []), extra
 
     def pick(self, reply: dict, at: np.ndarray, mine: np.ndarray) -> dict:
         return {n: mine & reply[n][at] if n == "owned" else reply[n][at] for n in self.down}
@@ -174,8 +178,11 @@ def _answer(table: pa.Table, m: Sums) -> pa.Table:
     children, parts = _children(table, m)
     replies, extra = m.answers(parts, children)
     none = dict.fromkeys(m.extra, 0)
-    out = [{"child": c, "part": prefix} | m.give(r) | (none if k else none | extra) for k, (c, r) in enumerate(zip(children, replies))]
-    return as_table(out, [("child", pa.int64()), ("part", pa.int64()), *[(n, pa.binary()) for n in m.down], *[(n, pa.int64()) for n in m.extra]])
+    out = [{"child": c, "part": prefix} | m.give(r) | (none if k else none | extra) for k, (c, r) in enumerate(zip([*children, KEPT], replies))]
+    if m.keeps:
+        out = [o | {"keys": pack_sorted(r["keys"]) if "keys" in r else None} for o, r in zip(out, replies)]
+    fields = [("child", pa.int64()), ("part", pa.int64()), *[(n, pa.binary()) for n in m.down], *[(n, pa.int64()) for n in m.extra]]
+    return as_table(out, fields + ([("keys", pa.binary())] if m.keeps else []))
 
 
 def _pass_on(left: pa.Table, right: pa.Table, m: Sums) -> pa.Table:
@@ -194,6 +201,11 @@ def _pass_on(left: pa.Table, right: pa.Table, m: Sums) -> pa.Table:
 
 def exchange(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums) -> tuple[DataFrame, dict]:
     """Replies (block, part, ...) to what blocks ask (see ``messages``), about 16 rows a block, and the sums of the extra numbers."""
+    return exchange_and_keep(work, name, asked, blocks, m)[:2]
+
+
+def exchange_and_keep(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums) -> tuple[DataFrame, dict, DataFrame | None]:
+    """As ``exchange``, and where ``m.keeps`` the table (part, keys, replies ...) of distinct keys, one row a key range."""
     levels = levels_of(blocks)
     up = asked.select(
         F.col("block").alias("child"), F.pmod(F.xxhash64("block"), F.lit(-(-blocks // FAN))).alias("group"), F.col("digit").alias("prefix"), "keys", *m.up)
@@ -204,9 +216,12 @@ def exchange(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums)
         merged.append(work.put(up.groupBy("group", "prefix").applyInArrow(_merger(m, level), middle), f"{name}-merged{level}"))
         up = merged[-1].where("digit >= 0").select(
             F.col("unit").alias("child"), F.shiftright("group", FAN_BITS).alias("group"), (F.col("prefix") * FAN + F.col("digit")).alias("prefix"), "keys", *m.up)
-    answers = work.put(up.groupBy("group", "prefix").applyInArrow(lambda t: _answer(t, m), replies + "".join(f", {n} long" for n in m.extra)), f"{name}-answers")
+    answers = work.put(up.groupBy("group", "prefix").applyInArrow(lambda t: _answer(t, m), replies + "".join(f", {n} long" for n in m.extra) + (", keys binary" if m.keeps else "")), f"{name}-answers")
     extra = answers.agg(*[F.sum(n).alias(n) for n in m.extra]).first().asDict() if m.extra else {}
-    answers = answers.drop(*m.extra)
+    answers, kept_table = answers.drop(*m.extra), None
+    if m.keeps:
+        kept_table = answers.where(F.col("child") == KEPT).select("part", "keys", *m.down)
+        answers = answers.where(F.col("child") != KEPT).drop("keys")
     for level in range(levels - 1, 0, -1):
         kept = merged[level - 1].where("digit < 0").select("unit", "prefix", "children", "counts", "places", "owner")
         answers = answers.groupBy("child").cogroup(kept.groupBy("unit")).applyInArrow(lambda a, b: _pass_on(a, b, m), replies)
@@ -214,8 +229,9 @@ def exchange(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums)
         answers = work.put(answers, f"{name}-replies")
         for level in range(1, levels):
             work.drop(f"{name}-merged{level}")
-        work.drop(f"{name}-answers")
-    return answers.withColumnRenamed("child", "block"), extra
+        if not m.keeps:
+            work.drop(f"{name}-answers")
+    return answers.withColumnRenamed("child", "block"), extra, kept_table
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -1,23 +1,29 @@
 """A Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
 
     P(w)     = d(c(w)) c(w) / N,  unknown words as one type with the mass that is left
-    P(w | v) = s(v) d(c(v w)) c(v w) / c(v)        where v w was seen
-             = a(v) P(w)                           elsewhere
-
-d is Katz's discount for counts up to 5.  s(v) is 1, or c(v) / (c(v) + 1) where
-nothing after v is discounted, so that some mass is always left.  a(v) makes
-P(. | v) sum to 1 exactly.
-
-Counts, discounts and backoff weights live in tables partitioned by key range.
-Text lies in blocks; a block asks the tables for its distinct n-grams (see
-``blocks.exchange``) and evaluates the recursion per token with the answers.
+    P(w | h) = s(h) d(c(h w)) c(h w) / c(h)        where h w was seen
+             = a(h) P(w | h without its first)     elsewhere
+
+d is Katz's discount for counts up to 5, by order.  s(h) is 1, or c(h) / (c(h) + 1)
+where nothing after h is discounted: Good-Turing then leaves no mass to back off
+with.  a(h) makes P(. | h) sum to 1 exactly; it is 1 where h was not seen.
+
+Counts and backoff weights are tables by key range (``Model.tables``): a row holds
+a range's keys, sorted, with their counts, or with s and a.  Text lies in blocks; a
+block asks the tables for its distinct n-grams (see ``blocks.exchange``) and
+evaluates the recursion from words up to the model's order.  A stored model scores
+other texts in the same way (``score_with``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaspark.llm import blocks as B
@@ -25,8 +31,15 @@ from vistaspark.sources.workspace import Workspace
 
 #: Counts above this are not discounted.
 CUTOFF = 5
-#: Keys of the mark before a text (a context only) and of the end token.  Keys of words are odd, those of bigrams even.
-START, END = np.uint64(0x51A27), np.uint64(0xE7D09)
+#: The lowest bits of a key are its order, 1 to 7.
+ORDER_BITS = np.uint64(7)
+#: Keys of the mark before a text (a context only) and of the end token.
+START, END = np.uint64(0x51A21), np.uint64(0xE7D09)
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def of_order(keys: np.ndarray, order: int) -> np.ndarray:
+    return (keys & ~ORDER_BITS) | np.uint64(order)
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -53,175 +66,349 @@ def _build(number: int, rows: list[dict]) -> dict:
 
 
 class Block:
-    """A block's n-grams: words sorted by key, bigrams sorted by key, and where tokens find theirs."""
+    """A block's distinct n-grams by order, where its tokens find theirs, and all keys in one sorted array."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.ids = row["ids"]
         self.lengths = B.unpack(row["lengths"], np.int64)
         self.held = B.unpack(row["held"], bool)
-        keys = np.concatenate([[START, END], B.unpack(row["words"], np.uint64)]) | np.uint64(1)
-        order = np.argsort(keys)
-        place = np.empty(order.size, np.int64)
-        place[order] = np.arange(order.size)
-        self.words = keys[order]
-        self.start, self.end = place[0], place[1]
-        # Every text as its words and one end; contexts as the start and its words.
-        ends = np.cumsum(self.lengths + 1) - 1
-        total = int((self.lengths + 1).sum())
-        self.doc = np.repeat(np.arange(self.lengths.size), self.lengths + 1)
-        self.token = np.full(total, self.end)
+        keys = of_order(np.concatenate([[START, END], B.unpack(row["words"], np.uint64)]), 1)
+        by_key = np.argsort(keys)
+        place = np.empty(by_key.size, np.int64)
+        place[by_key] = np.arange(by_key.size)
+        words = keys[by_key]
+        self.start = place[0]
+        # Every text as its words and one end; the start comes before the first word.
+        sizes = self.lengths + 1
+        ends = np.cumsum(sizes) - 1
+        total = int(sizes.sum())
+        self.doc = np.repeat(np.arange(sizes.size), sizes)
         inner = np.ones(total, bool)
         inner[ends] = False
-        self.token[inner] = place[B.unpack(row["tokens"], np.uint32).astype(np.int64) + 2]
-        self.context = np.empty(total, np.int64)
-        self.context[1:] = self.token[:-1]
-        self.context[ends - self.lengths] = self.start
-        pair = self.context * self.words.size + self.token
-        self.pairs, self.bigram, self.times = np.unique(pair, return_inverse=True, return_counts=True)
+        token = np.full(total, place[1])
+        token[inner] = place[B.unpack(row["tokens"], np.uint32).astype(np.int64) + 2]
         self.train = ~self.held[self.doc]
 
-        left, right = np.divmod(self.pairs, self.words.size)
-        grams = B.follow(self.words[left], self.words[right]) & ~np.uint64(1)
-        #: Keys of words and bigrams together, and where each stands among them in sorted order.
-        keys = np.concatenate([self.words, grams])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.at = np.empty(order.size, np.int64)
-        self.at[order] = np.arange(order.size)
+        #: By order: a token's n-gram (-1: its text has too few tokens before it); an n-gram without its last and without its first word; keys.
+        self.at_token, self.left, self.suffix, by_order = [token], [None], [None], [words]
+        nth = np.arange(total) - np.repeat(ends - self.lengths, sizes)
+        for k in range(2, order + 1):
+            here = np.flatnonzero(nth >= k - 2)
+            before = np.roll(self.at_token[-1], 1)
+            if k == 2:
+                before[ends - self.lengths] = self.start
+            pairs, at = np.unique(before[here] * words.size + token[here], return_inverse=True)
+            left, word = np.divmod(pairs, words.size)
+            suffix = np.empty(pairs.size, np.int64)
+            suffix[at] = self.at_token[-1][here]
+            grams = np.full(total, -1)
+            grams[here] = at
+            self.at_token.append(grams)
+            self.left.append(left)
+            self.suffix.append(suffix)
+            by_order.append(of_order(B.follow(by_order[-1][left], words[word]), k))
+
+        self.edges = np.cumsum([len(x) for x in by_order])[:-1]
+        keys = np.concatenate(by_order)
+        by_key = np.argsort(keys, kind="stable")
+        self.keys = keys[by_key]
+        self.at = np.empty(by_key.size, np.int64)
+        self.at[by_key] = np.arange(by_key.size)
+
+    @property
+    def order(self) -> int:
+        return len(self.left)
 
     def counts(self) -> np.ndarray:
-        """Training occurrences of the words (of the start: its texts) and of the bigrams, in order of the keys."""
-        words = np.bincount(self.token[self.train], minlength=self.words.size)
-        words[self.start] = int((~self.held).sum())
-        out = np.empty(self.keys.size, np.int64)
-        out[self.at] = np.concatenate([words, np.bincount(self.bigram[self.train], minlength=self.pairs.size)])
-        return out
+        """Training occurrences of the n-grams (of the start: its texts), in order of the keys."""
+        out = [np.bincount(g[self.train & (g >= 0)], minlength=n.size) for g, n in zip(self.at_token, np.split(self.keys, self.edges))]
+        out[0][self.start] = int((~self.held).sum())
+        counts = np.empty(self.keys.size, np.int64)
+        counts[self.at] = np.concatenate(out)
+        return counts
+
+    def by_order(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values in order of the keys as one array an order."""
+        return np.split(values[self.at], self.edges)
+
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of order k in sorted order, and which of the block's n-grams of that order they are."""
+        mine = self.by_order(self.keys)[k - 1]
+        by_key = np.argsort(mine, kind="stable")
+        return mine[by_key], by_key
+
+
+def statistics(order: int) -> tuple[str, ...]:
+    """Counts of counts by order, training tokens and types."""
+    return (*[f"n{k}_{r}" for k in range(1, order + 1) for r in range(1, CUTOFF + 2)], "tokens", "types")
+
+
+def _totals(keys: np.ndarray, data: dict, order: int) -> tuple[dict, dict]:
+    total, of = data["times"], keys & ORDER_BITS
+    stats = {}
+    for k in range(1, order + 1):
+        mine = total[(of == k) & (keys != START)]
+        stats |= {f"n{k}_{r}": int((mine == r).sum()) for r in range(1, CUTOFF + 2)}
+        if k == 1:
+            stats |= {"tokens": int(mine.sum()), "types": int((mine > 0).sum())}
+    return {"totals": total, "owned": np.ones(total.size, bool)}, stats
+
+
+def count_table(order: int) -> B.Sums:
+    """Occurrences are added up; one of the blocks that hold an n-gram answers for it."""
+    return B.Sums({"times": "i8"}, {"totals": "i8", "owned": "u1"}, partial(_totals, order=order), statistics(order), keeps=True)
+
+
+def _weights(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
+    total, seen = data["total"], data["seen"]
+    scale = np.where(seen > 1 - 1e-12, total / (total + 1.0), 1.0)
+    return {"scale": scale, "weight": (1 - scale * seen) / np.maximum(1 - data["lower"], 1e-300)}, {}
+
+
+#: s and a of a context from its count and the sums, over the n-grams after it, of their own and of their lower-order probabilities.
+WEIGHTS = B.Sums({"seen": "f8", "lower": "f8", "total": "i8"}, {"scale": "f8", "weight": "f8"}, _weights, keeps=True)
+#: Stored tables and what texts ask of them: absent numbers are zero.
+LOOKUP = B.Sums({"totals": "i8", "scale": "f8", "weight": "f8"}, {"totals": "i8", "scale": "f8", "weight": "f8"}, lambda keys, data: (data, {}))
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """Discounts and the distribution of words: what does not depend on a key."""
+
+    order: int
+    tokens: int
+    types: int
+    discount: tuple[np.ndarray, ...]
+    scale: float
+    unknown: float
+
+    @classmethod
+    def of(cls, stats: dict, order: int) -> Numbers:
+        stats = {k: v or 0 for k, v in stats.items()}
+        n = [[stats[f"n{k}_{r}"] for r in range(1, CUTOFF + 2)] for k in range(1, order + 1)]
+        found = tuple(discounts(x) for x in n)
+        tokens = stats["tokens"]
+        lost = sum((1 - found[0][r]) * r * n[0][r - 1] for r in range(1, CUTOFF + 1))
+        # Counts above the cutoff only: a count of 1 in N + 1 is left for unknown words.
+        scale, unknown = (1.0, lost / tokens) if lost > 0 else (tokens / (tokens + 1), 1 / (tokens + 1))
+        return cls(order, tokens, stats["types"], found, scale, unknown)
 
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        if not self.tokens:
+            return np.ones(counts.size)
+        known = self.scale * self.discount[0][np.minimum(counts, CUTOFF + 1)] * counts / self.tokens
+        return np.where(counts > 0, known, self.unknown)
 
-#: Counts of counts of words and bigrams, training tokens and types.
-STATISTICS = (*[f"{k}{r}" for k in "wg" for r in range(1, CUTOFF + 2)], "tokens", "types")
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.tokens + self.types + 1))
 
 
-def _totals(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
-    total = data["times"]
-    is_word = (keys & np.uint64(1)) > 0
-    words, grams = total[is_word & (keys != START)], total[~is_word]
-    stats = {f"{k}{r}": int((t == r).sum()) for k, t in (("w", words), ("g", grams)) for r in range(1, CUTOFF + 2)}
-    return {"totals": total, "owned": np.ones(total.size, bool)}, stats | {"tokens": int(words.sum()), "types": int((words > 0).sum())}
+class Answers:
+    """A block with the training counts of its n-grams, and the recursion over orders."""
+
+    def __init__(self, block: Block, totals: np.ndarray, numbers: Numbers):
+        self.block, self.numbers = block, numbers
+        self.totals = block.by_order(totals)
+        self.unigram = numbers.unigram(self.totals[0])
+
+    def discounted(self, k: int) -> np.ndarray:
+        """d(c) c / c(context) of the block's n-grams of order k; 0 where not seen."""
+        count = self.totals[k - 1]
+        context = np.maximum(self.totals[k - 2][self.block.left[k - 1]], 1)
+        return np.where(count > 0, self.numbers.discount[k - 1][np.minimum(count, CUTOFF + 1)] * count / context, 0.0)
+
+    def probabilities(self, weights: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """P of the n-grams of orders 1, 2, ..., as far as s and a are given for the contexts of the next."""
+        p = [self.unigram]
+        for k, (scale, weight) in enumerate(weights, 2):
+            left, suffix = self.block.left[k - 1], self.block.suffix[k - 1]
+            p.append(np.where(self.totals[k - 1] > 0, scale[left] * self.discounted(k), weight[left] * p[-1][suffix]))
+        return p
+
+    def scores(self, p: list[np.ndarray], id_type: pa.DataType) -> pa.Table:
+        """Each token by its longest context."""
+        block, n = self.block, self.block.lengths.size
+        log_p = np.log10(p[0])[block.at_token[0]]
+        for k in range(2, len(p) + 1):
+            grams = block.at_token[k - 1]
+            log_p = np.where(grams >= 0, np.log10(p[k - 1])[grams] if p[k - 1].size else 0.0, log_p)
+        sums = lambda x: np.bincount(block.doc, x, n)
+        per_token = self.totals[0][block.at_token[0]]
+        return pa.table({
+            "id": pa.array(block.ids, id_type),
+            "held_out": pa.array(block.held),
+            "n_tokens": pa.array(block.lengths + 1),
+            "n_known": pa.array(sums(per_token > 0).astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, self.numbers.tokens, np.int64)),
+            "base_score": pa.array(sums(self.numbers.base(per_token))),
+            "score": pa.array(sums(log_p)),
+        })
+
+
+def _ask(batches: Iterator[pa.RecordBatch], table: B.Sums, order: int, count: bool) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each block, with training counts where they are to be counted."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            block = Block(row, order)
+            data = {"keys": block.keys} | {n: np.zeros(block.keys.size, t) for n, t in table.up.items()}
+            if count:
+                data["times"] = block.counts()
+            yield from B.as_table(B.messages(table, row["block"], data), B.asked_fields(table)).to_batches()
+
+
+def _answered(row: dict, replies: list[dict], numbers: Numbers, upto: int) -> tuple[Answers, np.ndarray, list]:
+    """A block with its totals, which of its n-grams it answers for, and s and a for orders 2 to ``upto``."""
+    block = Block(row, numbers.order)
+    of = {k: [r for r in replies if r["level"] == k] for k in range(1, numbers.order + 1)}
+    told = count_table(numbers.order).take(of[1])
+    weights = []
+    for k in range(2, upto + 1):
+        found = WEIGHTS.take(of[k])
+        by_key = block.contexts(k - 1)[1]
+        both = np.empty((2, by_key.size))
+        both[:, by_key] = found["scale"], found["weight"]
+        weights.append((both[0], both[1]))
+    return Answers(block, told["totals"], numbers), told["owned"] > 0, weights
+
+
+def _sums(left: pa.Table, right: pa.Table, numbers: Numbers, k: int) -> pa.Table:
+    """By context of order k - 1: mass and lower-order mass of the n-grams this block answers for."""
+    (row,) = left.to_pylist()
+    a, owned, weights = _answered(row, right.to_pylist(), numbers, k - 1)
+    owned = a.block.by_order(owned)
+    mine = (a.totals[k - 1] > 0) & owned[k - 1]
+    keys, by_key = a.block.contexts(k - 1)
+    context = a.block.left[k - 1][mine]
+    lower = a.probabilities(weights)[k - 2][a.block.suffix[k - 1][mine]]
+    data = {
+        "keys": keys,
+        "seen": np.bincount(context, a.discounted(k)[mine], keys.size)[by_key],
+        "lower": np.bincount(context, lower, keys.size)[by_key],
+        "total": np.where(owned[k - 2], a.totals[k - 2], 0)[by_key],
+    }
+    return B.as_table(B.messages(WEIGHTS, row["block"], data), B.asked_fields(WEIGHTS))
+
+
+def _evaluate(left: pa.Table, right: pa.Table, numbers: Numbers) -> pa.Table:
+    (row,) = left.to_pylist()
+    a, _, weights = _answered(row, right.to_pylist(), numbers, numbers.order)
+    return a.scores(a.probabilities(weights), left.schema.field("ids").type.value_type)
+
+
+def _evaluate_stored(left: pa.Table, right: pa.Table, numbers: Numbers) -> pa.Table:
+    (row,) = left.to_pylist()
+    block = Block(row, numbers.order)
+    told = LOOKUP.take(right.to_pylist())
+    # A context that is not in the table was not seen.
+    known = told["weight"] > 0
+    scale, weight = block.by_order(np.where(known, told["scale"], 1.0)), block.by_order(np.where(known, told["weight"], 1.0))
+    a = Answers(block, told["totals"], numbers)
+    return a.scores(a.probabilities(list(zip(scale, weight))[: numbers.order - 1]), left.schema.field("ids").type.value_type)
+
+
+@dataclass(frozen=True)
+class Model:
+    """``tables`` (level, part, keys, totals, scale, weight): one row a key range, packed; level 1 holds the counts of all
+    orders, level k > 1 holds s and a of contexts of k - 1 words.  ``stats``: see ``statistics``."""
 
+    order: int
+    stats: dict
+    tables: DataFrame
 
-#: The count tables: occurrences are added up; one of the blocks that hold a bigram answers for it.
-COUNTS = B.Sums({"times": "i8"}, {"totals": "i8", "owned": "u1"}, _totals, STATISTICS)
-#: The backoff table: both sums of a context over the bigrams that blocks answer for.
-WEIGHTS = B.Sums({"seen": "f8", "lower": "f8"}, {"seen": "f8", "lower": "f8"}, lambda keys, data: (data, {}))
+    @property
+    def numbers(self) -> Numbers:
+        return Numbers.of(self.stats, self.order)
 
+    def save(self, path: str) -> None:
+        self.tables.write.mode("overwrite").partitionBy("level").parquet(f"{path}/tables")
+        stats = self.tables.sparkSession.createDataFrame([(self.order, {k: v or 0 for k, v in self.stats.items()})], "order int, stats map<string, long>")
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
 
-def _ask(batches):
-    """Distinct words and bigrams of each block, with training counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            block = Block(row)
-            out = B.messages(COUNTS, row["block"], {"keys": block.keys, "times": block.counts()})
-            yield from B.as_table(out, B.asked_fields(COUNTS)).to_batches()
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        numbers = spark.read.parquet(f"{path}/numbers").first()
+        tables = spark.read.schema("part long, keys binary, totals binary, scale binary, weight binary, level int").parquet(f"{path}/tables")
+        return cls(numbers["order"], numbers["stats"], tables)
 
 
-class Model:
-    """Discounts and the unigram distribution; everything that does not depend on a key."""
-
-    def __init__(self, stats: dict):
-        self.tokens, self.types = stats["tokens"] or 0, stats["types"] or 0
-        n = [stats[f"w{r}"] or 0 for r in range(1, CUTOFF + 2)]
-        self.word_discount = discounts(n)
-        self.gram_discount = discounts([stats[f"g{r}"] or 0 for r in range(1, CUTOFF + 2)])
-        lost = sum((1 - self.word_discount[r]) * r * n[r - 1] for r in range(1, CUTOFF + 1))
-        # Counts above the cutoff only: a count of 1 in N + 1 is left for unknown words.
-        self.scale, self.unknown = (1.0, lost / self.tokens) if lost > 0 else (self.tokens / (self.tokens + 1), 1 / (self.tokens + 1))
+def _blocks(work: Workspace, docs: DataFrame, held_out, text: str, id_col: str, block_tokens: int) -> DataFrame:
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    made = B.make_blocks(rows, "block long, tokens binary, words binary, lengths binary, held binary, ids array<long>", B.text_weight, block_tokens, _build)
+    return work.put(made, "blocks")
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        if not self.tokens:
-            return np.ones(counts.size)
-        known = self.scale * self.word_discount[np.minimum(counts, CUTOFF + 1)] * counts / self.tokens
-        return np.where(counts > 0, known, self.unknown)
 
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.tokens + self.types + 1))
+def _learn(work: Workspace, blocks: DataFrame, order: int) -> tuple[Model, DataFrame]:
+    """The model, and its replies to the blocks it was made of."""
+    if not 2 <= order <= 7:
+        raise ValueError("order must be 2 to 7")
+    counts = count_table(order)
+    count = blocks.select("block").count()
+    asked = blocks.mapInArrow(partial(_ask, table=counts, order=order, count=True), B.asked_schema(counts))
+    replies, stats, kept = B.exchange_and_keep(work, "counts", asked, count, counts)
+    numbers = Numbers.of(stats, order)
+    replies = replies.select("block", "part", F.lit(1).alias("level"), "totals", "owned")
+    tables = kept.select(F.lit(1).alias("level"), "part", "keys", "totals")
+    for k in range(2, order + 1):
+        sums = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(partial(_sums, numbers=numbers, k=k), B.asked_schema(WEIGHTS))
+        found, _, kept = B.exchange_and_keep(work, f"weights{k}", sums, count, WEIGHTS)
+        level = F.lit(k).alias("level")
+        replies = replies.unionByName(found.select("block", "part", level, "scale", "weight"), allowMissingColumns=True)
+        tables = tables.unionByName(kept.select(level, "part", "keys", "scale", "weight"), allowMissingColumns=True)
+    return Model(order, stats, tables), replies
+
+
+def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 4_000_000) -> Model:
+    """A model of docs' texts, those left out where the boolean Column ``held_out`` is true.
+
+    Its tables lie in the workspace and go with the application; ``Model.save`` keeps them.
+    """
+    work = Workspace(docs.sparkSession, "katz-model")
+    blocks = _blocks(work, docs, F.lit(False) if held_out is None else held_out, text, id_col, block_tokens)
+    return _learn(work, blocks, order)[0]
 
 
-class Answers:
-    """A block with the totals of its n-grams, in the block's own orders."""
-
-    def __init__(self, row: dict, replies: list[dict], model: Model):
-        self.block = Block(row)
-        told, words = COUNTS.take(replies), self.block.words.size
-        totals = told["totals"][self.block.at]
-        self.word_totals, self.gram_totals = totals[:words], totals[words:]
-        self.owned = told["owned"][self.block.at][words:] > 0
-        self.left, self.right = np.divmod(self.block.pairs, self.block.words.size)
-        self.unigram = model.unigram(self.word_totals)
-        contexts = np.maximum(self.word_totals[self.left], 1)
-        self.seen = self.gram_totals > 0
-        self.bigram = np.where(self.seen, model.gram_discount[np.minimum(self.gram_totals, CUTOFF + 1)] * self.gram_totals / contexts, 0.0)
-
-
-def _sums(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
-    """By context: discounted and lower-order mass of the bigrams this block answers for."""
-    (row,), replies = left.to_pylist(), right.to_pylist()
-    a = Answers(row, replies, model)
-    mine = a.seen & a.owned
-    size = a.block.words.size
-    seen = np.bincount(a.left[mine], a.bigram[mine], size)
-    lower = np.bincount(a.left[mine], a.unigram[a.right[mine]], size)
-    return B.as_table(B.messages(WEIGHTS, row["block"], {"keys": a.block.words, "seen": seen, "lower": lower}), B.asked_fields(WEIGHTS))
-
-
-def _evaluate(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
-    (row,), replies = left.to_pylist(), right.to_pylist()
-    a = Answers(row, replies, model)
-    weights = WEIGHTS.take(replies)
-    seen, lower = weights["seen"], weights["lower"]
-    scale = np.where(seen > 1 - 1e-12, a.word_totals / (a.word_totals + 1.0), 1.0)
-    backoff = (1 - scale * seen) / np.maximum(1 - lower, 1e-300)
-    p = np.where(a.seen, scale[a.left] * a.bigram, backoff[a.left] * a.unigram[a.right])
-    block = a.block
-    n = block.lengths.size
-    sums = lambda x: np.bincount(block.doc, x, n)
-    per_token = a.word_totals[block.token]
-    return pa.table({
-        "id": pa.array(block.ids, left.schema.field("ids").type.value_type),
-        "held_out": pa.array(block.held),
-        "n_tokens": pa.array(block.lengths + 1),
-        "n_known": pa.array(sums(per_token > 0).astype(np.int64)),
-        "train_tokens": pa.array(np.full(n, model.tokens, np.int64)),
-        "base_score": pa.array(sums(model.base(per_token))),
-        "score": pa.array(sums(np.log10(p)[block.bigram])),
-    })
-
-
-def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id", block_tokens: int = 4_000_000) -> DataFrame:
+def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_tokens: int = 4_000_000) -> DataFrame:
+    """Rows as those of ``score`` for docs that teach nothing (``held_out`` is true), by a stored model.
+
+    The model's ranges take part in the exchange as further blocks, so a text's
+    n-grams meet their counts and weights by key range; nothing of the model is
+    broadcast or collected.  Nulls, empties and clashing columns as in ``score``.
+    """
+    work = Workspace(docs.sparkSession, "katz-lookup")
+    blocks = _blocks(work, docs, F.lit(True), text, id_col, block_tokens)
+    asked = blocks.mapInArrow(partial(_ask, table=LOOKUP, order=model.order, count=False), B.asked_schema(LOOKUP))
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = {"keys": B.unpack_sorted(row["keys"], np.uint64)}
+                data |= {n: B.unpack_sorted(row[n], t) if row[n] else np.zeros(data["keys"].size, t) for n, t in LOOKUP.up.items()}
+                # Ranges are numbered below zero: blocks of text are not.
+                number = -2 - (row["part"] * 8 + row["level"])
+                yield from B.as_table(B.messages(LOOKUP, number, data), B.asked_fields(LOOKUP)).to_batches()
+
+    tables = model.tables.select("level", "part", "keys", "totals", "scale", "weight")
+    count = blocks.select("block").count() + model.tables.select("part").count()
+    replies, _ = B.exchange(work, "lookup", asked.unionByName(tables.mapInArrow(stored, B.asked_schema(LOOKUP))), count, LOOKUP)
+    numbers = model.numbers
+    out = blocks.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(partial(_evaluate_stored, numbers=numbers), SCORES)
+    return out.withColumnRenamed("id", id_col)
+
+
+def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 4_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     ``held_out``: a boolean Column over docs; rows where it is true are scored but
     teach nothing (null: they teach).  Null and empty texts are one end token.
     Each row is a text of its own, repeated rows included; null ids are kept as
-    null.  With no training text every token has probability 1 in ``score``.
-    Other columns, whatever their names, are not looked at.  An empty table gives
-    an empty table.  Whole texts of any length are used, and every n-gram of the
-    training texts is counted.
+    null.  Equal counts are not ranked, so ties have no effect.  With no training
+    text every token has probability 1 in ``score``.  Other columns, whatever
+    their names, are not looked at.  An empty table gives an empty table.  Whole
+    texts of any length are used, and every n-gram of the training texts, up to
+    ``order`` words, is counted.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "katz")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    made = B.make_blocks(rows, "block long, tokens binary, words binary, lengths binary, held binary, ids array<long>", B.text_weight, block_tokens, _build)
-    blocks = work.put(made, "blocks")
-    count = blocks.select("block").count()
-    replies, stats = B.exchange(work, "counts", blocks.mapInArrow(_ask, B.asked_schema(COUNTS)), count, COUNTS)
-    model = Model(stats)
-    replies = replies.select("block", "part", "totals", "owned")
-    sums = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _sums(a, b, model), B.asked_schema(WEIGHTS))
-    weights, _ = B.exchange(work, "weights", sums, count, WEIGHTS)
-    both = replies.unionByName(weights, allowMissingColumns=True)
-    out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
-        lambda a, b: _evaluate(a, b, model),
-        "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    work = Workspace(docs.sparkSession, "katz")
+    blocks = _blocks(work, docs, held_out, text, id_col, block_tokens)
+    model, replies = _learn(work, blocks, order)
+    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(partial(_evaluate, numbers=model.numbers), SCORES)
     return out.withColumnRenamed("id", id_col)
