@@ -81,39 +81,49 @@ class Block:
         # Every text as its words and one end; the start comes before the first word.
         sizes = self.lengths + 1
         ends = np.cumsum(sizes) - 1
+        starts = ends - self.lengths
         total = int(sizes.sum())
-        self.doc = np.repeat(np.arange(sizes.size), sizes)
+        # A block has far fewer than 2**31 tokens, hence of n-grams: places in 32 bits halve its memory.
+        self.doc = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
         inner = np.ones(total, bool)
         inner[ends] = False
-        token = np.full(total, place[1])
-        token[inner] = place[B.unpack(row["tokens"], np.uint32).astype(np.int64) + 2]
-        self.train = ~self.held[self.doc]
+        token = np.full(total, place[1], np.int32)
+        token[inner] = place[B.unpack(row["tokens"], np.uint32).astype(np.int32) + 2]
+        del inner
 
         #: By order: a token's n-gram (-1: its text has too few tokens before it); an n-gram without its last and without its first word; keys.
         self.at_token, self.left, self.suffix, by_order = [token], [None], [None], [words]
-        nth = np.arange(total) - np.repeat(ends - self.lengths, sizes)
+        nth = np.arange(total, dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
         for k in range(2, order + 1):
-            here = np.flatnonzero(nth >= k - 2)
+            here = nth >= k - 2
             before = np.roll(self.at_token[-1], 1)
             if k == 2:
-                before[ends - self.lengths] = self.start
-            pairs, at = np.unique(before[here] * words.size + token[here], return_inverse=True)
+                before[starts] = self.start
+            pairs = before[here].astype(np.int64)
+            del before
+            pairs *= words.size
+            pairs += token[here]
+            pairs, at = np.unique(pairs, return_inverse=True)
+            at = at.astype(np.int32)
             left, word = np.divmod(pairs, words.size)
-            suffix = np.empty(pairs.size, np.int64)
+            suffix = np.empty(pairs.size, np.int32)
             suffix[at] = self.at_token[-1][here]
-            grams = np.full(total, -1)
+            grams = np.full(total, -1, np.int32)
             grams[here] = at
+            by_order.append(of_order(B.follow(by_order[-1][left], words[word]), k))
             self.at_token.append(grams)
-            self.left.append(left)
+            self.left.append(left.astype(np.int32))
             self.suffix.append(suffix)
-            by_order.append(of_order(B.follow(by_order[-1][left], words[word]), k))
+            del pairs, at, word, left, here
+        del nth
 
         self.edges = np.cumsum([len(x) for x in by_order])[:-1]
         keys = np.concatenate(by_order)
-        by_key = np.argsort(keys, kind="stable")
+        del by_order
+        by_key = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[by_key]
-        self.at = np.empty(by_key.size, np.int64)
-        self.at[by_key] = np.arange(by_key.size)
+        self.at = np.empty(by_key.size, np.int32)
+        self.at[by_key] = np.arange(by_key.size, dtype=np.int32)
 
     @property
     def order(self) -> int:
@@ -121,7 +131,8 @@ class Block:
 
     def counts(self) -> np.ndarray:
         """Training occurrences of the n-grams (of the start: its texts), in order of the keys."""
-        out = [np.bincount(g[self.train & (g >= 0)], minlength=n.size) for g, n in zip(self.at_token, np.split(self.keys, self.edges))]
+        train = ~self.held[self.doc]
+        out = [np.bincount(g[train & (g >= 0)], minlength=n.size) for g, n in zip(self.at_token, np.split(self.keys, self.edges))]
         out[0][self.start] = int((~self.held).sum())
         counts = np.empty(self.keys.size, np.int64)
         counts[self.at] = np.concatenate(out)
@@ -231,16 +242,17 @@ class Answers:
         log_p = np.log10(p[0])[block.at_token[0]]
         for k in range(2, len(p) + 1):
             grams = block.at_token[k - 1]
-            log_p = np.where(grams >= 0, np.log10(p[k - 1])[grams] if p[k - 1].size else 0.0, log_p)
+            here = grams >= 0
+            log_p[here] = np.log10(p[k - 1])[grams[here]]
         sums = lambda x: np.bincount(block.doc, x, n)
-        per_token = self.totals[0][block.at_token[0]]
+        token, counts = block.at_token[0], self.totals[0]
         return pa.table({
             "id": pa.array(block.ids, id_type),
             "held_out": pa.array(block.held),
             "n_tokens": pa.array(block.lengths + 1),
-            "n_known": pa.array(sums(per_token > 0).astype(np.int64)),
+            "n_known": pa.array(sums((counts > 0)[token]).astype(np.int64)),
             "train_tokens": pa.array(np.full(n, self.numbers.tokens, np.int64)),
-            "base_score": pa.array(sums(self.numbers.base(per_token))),
+            "base_score": pa.array(sums(self.numbers.base(counts)[token])),
             "score": pa.array(sums(log_p)),
         })
 
@@ -357,7 +369,7 @@ def _learn(work: Workspace, blocks: DataFrame, order: int) -> tuple[Model, DataF
     return Model(order, stats, tables), replies
 
 
-def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 4_000_000) -> Model:
+def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 2_000_000) -> Model:
     """A model of docs' texts, those left out where the boolean Column ``held_out`` is true.
 
     Its tables lie in the workspace and go with the application; ``Model.save`` keeps them.
@@ -367,7 +379,7 @@ def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_i
     return _learn(work, blocks, order)[0]
 
 
-def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_tokens: int = 4_000_000) -> DataFrame:
+def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_tokens: int = 2_000_000) -> DataFrame:
     """Rows as those of ``score`` for docs that teach nothing (``held_out`` is true), by a stored model.
 
     The model's ranges take part in the exchange as further blocks, so a text's
@@ -395,7 +407,7 @@ def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 2_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     ``held_out``: a boolean Column over docs; rows where it is true are scored but
