@@ -14,11 +14,10 @@ def _answer(keys, data):
     return {"total": data["n"], "owned": np.ones(keys.size, bool)}, {"kinds": int(keys.size), "all": int(data["n"].sum())}
 
 
-M = B.Sums({"n": "i8"}, {"total": "i8", "owned": "u1"}, _answer, ("kinds", "all"))
+@pytest.mark.parametrize("blocks, fan_bits", [(1, 4), (16, 4), (17, 4), (60, 4), (300, 4), (20, 2), (9, 8), (300, 8)])
+def test_exchange_adds_up_and_sends_messages_in_proportion(spark, blocks, fan_bits):
+    M = B.Sums({"n": "i8"}, {"total": "i8", "owned": "u1"}, _answer, ("kinds", "all"), keeps=True, fan_bits=fan_bits)  # noqa: N806
 
-
-@pytest.mark.parametrize("blocks", [1, 16, 17, 60, 300])
-def test_exchange_adds_up_and_sends_messages_in_proportion(spark, blocks):
     def data(b):
         rng = np.random.default_rng(b)
         some = np.unique(np.concatenate([rng.integers(0, 1 << 63, 40), np.arange(1, 6) << 59])).astype(np.uint64)
@@ -31,7 +30,7 @@ def test_exchange_adds_up_and_sends_messages_in_proportion(spark, blocks):
 
     work = Workspace(spark, "exchange-test")
     asked = spark.range(blocks).mapInArrow(ask, B.asked_schema(M)).cache()
-    replies, extra = B.exchange(work, "x", asked, blocks, M)
+    replies, extra, kept = B.exchange_and_keep(work, "x", asked, blocks, M)
     of = collections.defaultdict(list)
     for r in replies.collect():
         of[r["block"]].append(r.asDict())
@@ -46,7 +45,9 @@ def test_exchange_adds_up_and_sends_messages_in_proportion(spark, blocks):
         owners.update(k for k, o in zip(d["keys"].tolist(), got["owned"]) if o)
     assert set(owners) == set(want) and set(owners.values()) <= {1}
     assert extra == ({"kinds": len(want), "all": sum(want.values())} if want else extra)
-    assert asked.count() <= B.FAN * blocks and sum(map(len, of.values())) <= B.FAN * blocks
+    assert asked.count() <= blocks << fan_bits and sum(map(len, of.values())) <= blocks << fan_bits
+    stored = [dict(zip(B.unpack_sorted(r["keys"], "u8").tolist(), B.unpack_sorted(r["total"], "i8").tolist())) for r in kept.collect()]
+    assert {k: n for s in stored for k, n in s.items()} == dict(want) and sum(map(len, stored)) == len(want)
 
 
 def test_levels_grow_with_the_logarithm():

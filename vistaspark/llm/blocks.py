@@ -71,18 +71,19 @@ def follow(h: np.ndarray, then: np.ndarray) -> np.ndarray:
     return mix64(h * np.uint64(0x9E3779B97F4A7C15) + then)
 
 
-def levels_of(blocks: int) -> int:
+def levels_of(blocks: int, fan_bits: int = FAN_BITS) -> int:
     """Levels after which one unit holds a range."""
     n, levels = blocks, 1
-    while n > FAN:
-        n, levels = -(-n // FAN), levels + 1
+    while n > 1 << fan_bits:
+        n, levels = -(-n // (1 << fan_bits)), levels + 1
     return levels
 
 
-def digit_edges(sorted_keys: np.ndarray, level: int) -> np.ndarray:
+def digit_edges(sorted_keys: np.ndarray, level: int, fan_bits: int = FAN_BITS) -> np.ndarray:
     """Where the keys of each of a level's ranges begin and end; the keys agree in what earlier levels dealt by."""
-    digits = (sorted_keys >> np.uint64(64 - FAN_BITS * (level + 1))) & np.uint64(FAN - 1)
-    return np.searchsorted(digits, np.arange(FAN + 1, dtype=np.uint64))
+    fan = 1 << fan_bits
+    digits = (sorted_keys >> np.uint64(64 - fan_bits * (level + 1))) & np.uint64(fan - 1)
+    return np.searchsorted(digits, np.arange(fan + 1, dtype=np.uint64))
 
 
 class Sums:
@@ -93,10 +94,14 @@ class Sums:
     driver to add up.  ``down``: the replies' names and types.  A reply named
     ``owned`` is true for one of the blocks that have asked for a key only.
     ``keeps``: each range's keys and replies are a table of their own too (see ``exchange_and_keep``).
+    ``fan_bits``: bits of a key that a level deals by.  All keys are shuffled once
+    a level: more bits make fewer levels of more, smaller messages.
     """
 
-    def __init__(self, up: dict[str, str], down: dict[str, str], answer: Callable, extra: tuple[str, ...] = (), keeps: bool = False):
-        self.up, self.down, self.answer, self.extra, self.keeps = up, down, answer, extra, keeps
+    keeps, fan_bits = False, FAN_BITS
+
+    def __init__(self, up: dict[str, str], down: dict[str, str], answer: Callable, extra: tuple[str, ...] = (), keeps: bool = False, fan_bits: int = FAN_BITS):
+        self.up, self.down, self.answer, self.extra, self.keeps, self.fan_bits = up, down, answer, extra, keeps, fan_bits
 
     def dump(self, data: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, bytes]:
         return {"keys": pack_sorted(data["keys"][lo:hi])} | {n: pack_sorted(data[n][lo:hi]) for n in self.up}
@@ -134,7 +139,7 @@ class Sums:
 
 def messages(m: Sums, block: int, data: dict[str, np.ndarray]) -> list[dict]:
     """A block's rows of ``asked``: its distinct keys, sorted, with their data, one row a range that has any."""
-    edges = digit_edges(data["keys"], 0)
+    edges = digit_edges(data["keys"], 0, m.fan_bits)
     return [{"block": block, "digit": d} | m.dump(data, lo, hi) for d, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
 
 
@@ -156,14 +161,14 @@ def _merge(table: pa.Table, m: Sums, level: int) -> pa.Table:
     group, prefix = table.column("group")[0].as_py(), table.column("prefix")[0].as_py()
     children, parts = _children(table, m)
     data, at, owner = m.merge(parts)
-    unit = (group << (FAN_BITS * level)) | prefix
+    unit = (group << (m.fan_bits * level)) | prefix
     blank = dict.fromkeys(["keys", *m.up, "children", "counts", "places", "owner"])
     sizes = np.array([p["keys"].size for p in parts], np.int64)
     # Each child's places rise: differences are small.
     places = np.diff(at, prepend=0)
     places[np.cumsum(sizes)[:-1][sizes[1:] > 0]] = at[np.cumsum(sizes)[:-1][sizes[1:] > 0]]
     out = [blank | {"unit": unit, "group": group, "prefix": prefix, "digit": -1, "children": children, "counts": pack(sizes), "places": pack_sorted(places.astype(np.uint32)), "owner": pack_sorted(owner.astype(np.uint16))}]
-    edges = digit_edges(data["keys"], level)
+    edges = digit_edges(data["keys"], level, m.fan_bits)
     out += [blank | {"unit": unit, "group": group, "prefix": prefix, "digit": d} | m.dump(data, lo, hi) for d, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
     binary = [(n, pa.binary()) for n in ("keys", *m.up, "counts", "places", "owner")]
     return as_table(out, [*[(n, pa.int64()) for n in ("unit", "group", "prefix", "digit")], ("children", pa.list_(pa.int64())), *binary])
@@ -206,16 +211,16 @@ def exchange(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums)
 
 def exchange_and_keep(work: Workspace, name: str, asked: DataFrame, blocks: int, m: Sums) -> tuple[DataFrame, dict, DataFrame | None]:
     """As ``exchange``, and where ``m.keeps`` the table (part, keys, replies ...) of distinct keys, one row a key range."""
-    levels = levels_of(blocks)
+    levels, fan = levels_of(blocks, m.fan_bits), 1 << m.fan_bits
     up = asked.select(
-        F.col("block").alias("child"), F.pmod(F.xxhash64("block"), F.lit(-(-blocks // FAN))).alias("group"), F.col("digit").alias("prefix"), "keys", *m.up)
+        F.col("block").alias("child"), F.pmod(F.xxhash64("block"), F.lit(-(-blocks // fan))).alias("group"), F.col("digit").alias("prefix"), "keys", *m.up)
     middle = "unit long, group long, prefix long, digit long, children array<long>, keys binary" + "".join(f", {n} binary" for n in (*m.up, "counts", "places", "owner"))
     replies = "child long, part long" + "".join(f", {n} binary" for n in m.down)
     merged = []
     for level in range(1, levels):
         merged.append(work.put(up.groupBy("group", "prefix").applyInArrow(_merger(m, level), middle), f"{name}-merged{level}"))
         up = merged[-1].where("digit >= 0").select(
-            F.col("unit").alias("child"), F.shiftright("group", FAN_BITS).alias("group"), (F.col("prefix") * FAN + F.col("digit")).alias("prefix"), "keys", *m.up)
+            F.col("unit").alias("child"), F.shiftright("group", m.fan_bits).alias("group"), (F.col("prefix") * fan + F.col("digit")).alias("prefix"), "keys", *m.up)
     answers = work.put(up.groupBy("group", "prefix").applyInArrow(lambda t: _answer(t, m), replies + "".join(f", {n} long" for n in m.extra) + (", keys binary" if m.keeps else "")), f"{name}-answers")
     extra = answers.agg(*[F.sum(n).alias(n) for n in m.extra]).first().asDict() if m.extra else {}
     answers, kept_table = answers.drop(*m.extra), None

@@ -31,6 +31,8 @@ from vistaspark.sources.workspace import Workspace
 
 #: Counts above this are not discounted.
 CUTOFF = 5
+#: Bits a level of an exchange deals by: keys are most of what is shuffled, so few levels (1 to 256 blocks, 2 to 65,536).
+FAN_BITS = 8
 #: The lowest bits of a key are its order, 1 to 7.
 ORDER_BITS = np.uint64(7)
 #: Keys of the mark before a text (a context only) and of the end token.
@@ -167,7 +169,7 @@ def _totals(keys: np.ndarray, data: dict, order: int) -> tuple[dict, dict]:
 
 def count_table(order: int) -> B.Sums:
     """Occurrences are added up; one of the blocks that hold an n-gram answers for it."""
-    return B.Sums({"times": "i8"}, {"totals": "i8", "owned": "u1"}, partial(_totals, order=order), statistics(order), keeps=True)
+    return B.Sums({"times": "i8"}, {"totals": "i8", "owned": "u1"}, partial(_totals, order=order), statistics(order), keeps=True, fan_bits=FAN_BITS)
 
 
 def _weights(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
@@ -177,9 +179,9 @@ def _weights(keys: np.ndarray, data: dict) -> tuple[dict, dict]:
 
 
 #: s and a of a context from its count and the sums, over the n-grams after it, of their own and of their lower-order probabilities.
-WEIGHTS = B.Sums({"seen": "f8", "lower": "f8", "total": "i8"}, {"scale": "f8", "weight": "f8"}, _weights, keeps=True)
+WEIGHTS = B.Sums({"seen": "f8", "lower": "f8", "total": "i8"}, {"scale": "f8", "weight": "f8"}, _weights, keeps=True, fan_bits=FAN_BITS)
 #: Stored tables and what texts ask of them: absent numbers are zero.
-LOOKUP = B.Sums({"totals": "i8", "scale": "f8", "weight": "f8"}, {"totals": "i8", "scale": "f8", "weight": "f8"}, lambda keys, data: (data, {}))
+LOOKUP = B.Sums({"totals": "i8", "scale": "f8", "weight": "f8"}, {"totals": "i8", "scale": "f8", "weight": "f8"}, lambda keys, data: (data, {}), fan_bits=FAN_BITS)
 
 
 @dataclass(frozen=True)
