@@ -371,7 +371,7 @@ def _learn(work: Workspace, blocks: DataFrame, order: int) -> tuple[Model, DataF
     return Model(order, stats, tables), replies
 
 
-def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 2_000_000) -> Model:
+def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 3_000_000) -> Model:
     """A model of docs' texts, those left out where the boolean Column ``held_out`` is true.
 
     Its tables lie in the workspace and go with the application; ``Model.save`` keeps them.
@@ -381,7 +381,7 @@ def fit(docs: DataFrame, held_out=None, text: str = "text", id_col: str = "doc_i
     return _learn(work, blocks, order)[0]
 
 
-def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_tokens: int = 2_000_000) -> DataFrame:
+def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_tokens: int = 3_000_000) -> DataFrame:
     """Rows as those of ``score`` for docs that teach nothing (``held_out`` is true), by a stored model.
 
     The model's ranges take part in the exchange as further blocks, so a text's
@@ -409,7 +409,7 @@ def score_with(model: Model, docs: DataFrame, text: str = "text", id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc_id", order: int = 2, block_tokens: int = 3_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     ``held_out``: a boolean Column over docs; rows where it is true are scored but
