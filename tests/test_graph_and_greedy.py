@@ -108,3 +108,16 @@ def test_bridge_query_asks_for_the_default_number_of_pairs(spark, monkeypatch):
     asked, plain = [], registry.large.bridge_candidates
     monkeypatch.setattr(registry.large, "bridge_candidates", lambda *a: asked.append(a[-1]) or plain(*a))
     assert registry.QUERIES["bridge_candidates"](spark, SF).count() > 0 and asked == [EngineConfig().bridge_max_pairs]
+
+
+def test_medium_matches_are_asked_of_the_partition(spark, monkeypatch):
+    """Groups are those of the partition by similarity, not sets of index numbers."""
+    from tests.conftest import SF
+    from vistaspark.plans import registry
+
+    of = {r["index"]: r.component for r in registry._partition(spark, SF, registry.LINK).collect()}
+    asked, plain = [], registry.repair.medium_matches
+    monkeypatch.setattr(registry.repair, "medium_matches", lambda found: asked.append(found) or plain(found))
+    registry.QUERIES["group_match_medium"](spark, SF)
+    rows = asked[0].select("src", "dst", "member", "target").collect()
+    assert rows and all((of[r.member], of[r.target]) == (r.src, r.dst) for r in rows)
