@@ -11,7 +11,7 @@ neighbours are found in one pass over the table, each is as many checks away as
 the leaves before its own hold, and the budget is the quantile of those numbers
 that the wanted recall asks for.  Vectors in clusters need few checks; vectors
 without structure need a large share of the table, and get it: where that is over
-half of all rows, all rows meet in blocks.
+half of all rows, all rows meet in the blocks of a grid, once.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistaspark.operators.grid import Grid
 from vistaspark.sources.workspace import Workspace
 
 DECIMALS = 6
@@ -131,13 +132,14 @@ def measured_checks(placed: DataFrame, probes: pd.DataFrame, forest: list[Tree],
 def search(
     rows: DataFrame, k: int, sampled: Callable[[DataFrame, int], np.ndarray], work: Workspace, trees: int = 4, leaf_rows: int = 64,
     recall: float = 0.9, checks: int | None = None, probes: int = 128, seed: int = 1, report: dict | None = None,
+    kind: type = np.float64,
 ) -> DataFrame:
     """(i, j, sim): candidates among which each row's nearest are, over distinct rows (i, v).
 
     ``checks``: rows looked at for each row, over all trees; None: measured for
     ``recall`` (with 0.03 on top for what probes leave open) on ``probes`` rows.
     ``report`` gets the checks, the trees that were used, the leaves of each, and the
-    share of all pairs that were multiplied.
+    share of all pairs that were multiplied.  ``kind``: what vectors are packed as where all meet.
     """
     count = rows.count()
     depth = max(0, int(np.ceil(np.log2(max(1, min(MOST_LEAVES, count / leaf_rows))))))
@@ -162,9 +164,11 @@ def search(
         checks, used = measured_checks(placed, asked, forest, sizes, k, min(1.0, recall + 0.03)) if len(asked) else (1, 1)
         forest, sizes = forest[:used], sizes[: used * leaves]
         if 2 * checks > count:
-            # Over half of all rows: one leaf holds all, and blocks of it meet.
-            forest, sizes, leaves = [Tree(np.zeros(0, np.int64), np.zeros(0))], np.array([count]), 1
-    at = F.slice("leaves", 1, len(forest)) if leaves > 1 else F.array(F.lit(0))
+            grid = Grid(rows, count, sample.shape[1], work, _PART, kind, distance=True)
+            if report is not None:
+                report |= {"checks": checks, "trees": 0, "leaves": 1, "share": grid.share}
+            return grid.top_k(k).select("i", "j", "sim")
+    at = F.slice("leaves", 1, len(forest))
     parts = np.maximum(1, -(-sizes // _PART))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
