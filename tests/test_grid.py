@@ -3,10 +3,11 @@
 import numpy as np
 import pytest
 
-
+from tests.conftest import SF
 from tests.test_knn import frame, plain_top_k, same
 from vistaspark.operators import knn
 from vistaspark.operators.grid import connecting
+from vistaspark.plans import registry
 
 
 def loose(n, dim=24, seed=3):
@@ -50,3 +51,9 @@ def test_forest_has_the_components_of_all_pairs(spark, block_rows):
     assert 1 < len(set(components(260, plain))) < 260
     assert all(near[r.i, r.j] and abs(r.sim - s[r.i, r.j]) < 2e-6 and r.i < r.j for r in got)
     assert len(got) < np.triu((s >= 0.5) & near, 1).sum() * (1 if block_rows < 100 else 0.5)
+
+
+def test_cached_pairs_are_searched_once(spark, monkeypatch):
+    calls, plain = [], knn.top_k
+    monkeypatch.setattr(knn, "top_k", lambda *a, **kw: calls.append(1) or plain(*a, **kw))
+    assert registry.QUERIES["missing_pairs"](spark, SF).count() > 0 and len(calls) == 1
