@@ -57,3 +57,10 @@ def test_cached_pairs_are_searched_once(spark, monkeypatch):
     calls, plain = [], knn.top_k
     monkeypatch.setattr(knn, "top_k", lambda *a, **kw: calls.append(1) or plain(*a, **kw))
     assert registry.QUERIES["missing_pairs"](spark, SF).count() > 0 and len(calls) == 1
+
+
+def test_only_the_ranking_asked_for_is_made(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry.repair, "group_affinity", lambda members, *a, **kw: asked.append(kw["k"]) or spark.createDataFrame([], "src long, dst long, affinity double"))
+    registry.QUERIES["group_affinity_tail"](spark, SF).count()
+    assert asked == [16]
